@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from driftline.spec import CalibrationSpec, Layout, RunConfig
 SCHEMES = ("train", "final")
 
 
-@dataclass(frozen=True)
+@dataclass(eq=False)
 class CellTable:
     """Rows with their block and cells, shuffled once by device.
 
@@ -69,8 +70,16 @@ class CellTable:
         """Rows of cells ``first..last`` with the cell number as ``cell``."""
         return self.rows.filter(F.col(CELL[scheme]).between(first, last)).withColumn("cell", F.col(CELL[scheme]))
 
-    def join_devices(self, rows: DataFrame, table: DataFrame) -> DataFrame:
-        return join_device_table(rows, table, self.spec, self.cuts, self.layout)
+    def join_devices(self, rows: DataFrame, table: DataFrame, weight: int = 1) -> DataFrame:
+        """Join a one-row-per-device table; ``weight`` says how many plain rows one of its rows is worth."""
+        return join_device_table(rows, table, self.spec, self.cuts, self.layout, weight)
+
+    @cached_property
+    def gram(self):
+        """Sums of products of all cells, made on first use."""
+        from driftline.operators.gram import build_gram
+
+        return build_gram(self)
 
     def hot_devices(self) -> DataFrame:
         return self.cuts.table.filter(F.col("n") > self.layout.hot_rows).select(self.spec.device)

@@ -169,16 +169,19 @@ def salts(n: Column, layout: Layout) -> Column:
     return F.ceil(n / F.lit(layout.hot_rows)).cast("int")
 
 
-def join_device_table(rows: DataFrame, table: DataFrame, spec: CalibrationSpec, cuts: Cuts, layout: Layout) -> DataFrame:
+def join_device_table(
+    rows: DataFrame, table: DataFrame, spec: CalibrationSpec, cuts: Cuts, layout: Layout, weight: int = 1
+) -> DataFrame:
     """Join a one-row-per-device table (keyed by the device column) to rows.
 
-    A table of at most ``layout.broadcast_rows`` rows is broadcast. A larger
+    A table of at most ``layout.broadcast_rows`` rows is broadcast (a row worth
+    ``weight`` plain ones counts that often). A larger
     one is shuffled; devices above ``hot_rows`` are then spread over several
     tasks. Only those few devices' names are broadcast: there are at most
     (all rows / hot_rows) of them, and that is checked too.
     """
     key = spec.device
-    if cuts.devices <= layout.broadcast_rows:
+    if cuts.devices * weight <= layout.broadcast_rows:
         return rows.join(F.broadcast(table), key)
     if cuts.largest <= layout.hot_rows:
         return rows.join(table.hint("merge"), key)
