@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from concurrent.futures import Future
 from dataclasses import dataclass
-from functools import cached_property
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,22 @@ class CellTable:
     cuts: Cuts
     layout: Layout
 
+    def __post_init__(self) -> None:
+        self._fits: dict = {}
+        self._lock = Lock()
+
+    def once(self, key: tuple, make: Callable):
+        """Result of ``make()``, computed once per key even when several threads ask."""
+        with self._lock:
+            mine = key not in self._fits
+            future = self._fits.setdefault(key, Future())
+        if mine:
+            try:
+                future.set_result(make())
+            except BaseException as error:
+                future.set_exception(error)
+        return future.result()
+
     @property
     def folds(self) -> int:
         return self.config.cv_splits
@@ -74,12 +92,12 @@ class CellTable:
         """Join a one-row-per-device table; ``weight`` says how many plain rows one of its rows is worth."""
         return join_device_table(rows, table, self.spec, self.cuts, self.layout, weight)
 
-    @cached_property
+    @property
     def gram(self):
         """Sums of products of all cells, made on first use."""
         from driftline.operators.gram import build_gram
 
-        return build_gram(self)
+        return self.once(("gram",), lambda: build_gram(self))
 
     def hot_devices(self) -> DataFrame:
         return self.cuts.table.filter(F.col("n") > self.layout.hot_rows).select(self.spec.device)

@@ -1,13 +1,13 @@
 """Models behind one protocol: fit on the past of some cells, predict those cells.
 
-``fit_cells(table, scheme, cells)`` returns a ``Fitted`` whose ``add`` puts a
-prediction column on rows labelled with their ``cell``. The model used for a
-row of cell ``f`` has seen cells before ``f`` only.
+``fit_cells(table, scheme, cells)`` returns a ``Fitted``; its ``at`` puts a
+prediction column on rows of one cell. The model used for a row of cell ``f``
+has seen cells before ``f`` only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -24,11 +24,12 @@ Transform = Callable[[DataFrame, str], DataFrame]
 
 
 class Fitted:
-    """Models for a run of cells."""
+    """Models for some cells."""
 
     cells: tuple[int, ...]
 
-    def add(self, rows: DataFrame, out: str) -> DataFrame:
+    def at(self, rows: DataFrame, cell: int, out: str) -> DataFrame:
+        """Add the prediction for rows that all lie in ``cell``."""
         raise NotImplementedError
 
 
@@ -47,7 +48,12 @@ class LinearFitted(Fitted):
     cells: tuple[int, ...]
     name: str
 
+    def at(self, rows: DataFrame, cell: int, out: str) -> DataFrame:
+        one = self.models.filter(F.col("cell") == cell)
+        return add_linear(rows, self.table, one, self.scheme, [cell], {self.name: out})
+
     def add(self, rows: DataFrame, out: str) -> DataFrame:
+        """Rows of any of the cells, labelled ``cell``, in one pass."""
         return add_linear(rows, self.table, self.models, self.scheme, self.cells, {self.name: out})
 
 
@@ -83,9 +89,8 @@ class PerCellFitted(Fitted):
     def cells(self) -> tuple[int, ...]:
         return tuple(sorted(self.transforms))
 
-    def add(self, rows: DataFrame, out: str) -> DataFrame:
-        parts = [transform(rows.filter(F.col("cell") == f), out) for f, transform in self.transforms.items()]
-        return reduce(DataFrame.unionByName, parts)
+    def at(self, rows: DataFrame, cell: int, out: str) -> DataFrame:
+        return self.transforms[cell](rows, out)
 
 
 class PerCell(Estimator):
@@ -111,6 +116,17 @@ class Custom(PerCell):
         return self.fit_rows(table.fit_rows.filter(table.in_prefix(scheme, cell)))
 
 
+def add_predictions(rows: DataFrame, fitted: Mapping[str, Fitted], cells: Sequence[int]) -> DataFrame:
+    """Add one column per fitted model to rows labelled with their ``cell``."""
+    if all(isinstance(f, LinearFitted) for f in fitted.values()):
+        return reduce(lambda df, item: item[1].add(df, item[0]), fitted.items(), rows)
+    parts = []
+    for cell in cells:
+        part = rows.filter(F.col("cell") == cell)
+        parts.append(reduce(lambda df, item: item[1].at(df, cell, item[0]), fitted.items(), part))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def check_target(table: CellTable) -> None:
     """Targets that are not finite cannot be learned from."""
     bad = table.fit_rows.agg(F.count_if(~finite(q(table.spec.target))).alias("n")).first()["n"]
@@ -126,7 +142,7 @@ def check_columns(rows: DataFrame, table: CellTable) -> None:
         raise ValueError(f"prediction needs the features {list(features)} in this order, found {found}")
 
 
-def later_readings(readings: DataFrame, table: CellTable) -> DataFrame:
-    """Mark new feature rows to be predicted with the full fit."""
+def predict_later(fitted: Fitted, readings: DataFrame, table: CellTable, out: str = "prediction") -> DataFrame:
+    """Predict new feature rows with the full fit; also for streaming rows."""
     check_columns(readings, table)
-    return readings.withColumn("cell", F.lit(table.last))
+    return fitted.at(readings, table.last, out)

@@ -175,12 +175,13 @@ def add_linear(
 ) -> DataFrame:
     """Add predictions of linear models; ``outputs`` maps model name to new column.
 
-    ``rows`` carry the predicted cell as ``cell``. Point estimates, not clipped.
+    With several cells, ``rows`` carry theirs as ``cell``. Point estimates, not clipped.
     """
     wide = wide_models(models, table, scheme, cells, list(outputs))
     joined = table.join_devices(rows, wide, weight=4 * len(cells) * len(outputs))
+    which = F.lit(0) if len(cells) == 1 else F.col("cell") - min(cells)
     added = {}
     for name, out in outputs.items():
-        model = F.col(f"_{name}")[F.col("cell") - min(cells)]
+        model = F.col(f"_{name}")[which]
         added[out] = total([model["intercept"], *contributions(model, table.spec)])
     return joined.withColumns(added).drop(*[f"_{name}" for name in outputs])

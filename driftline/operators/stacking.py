@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from driftline.functions.columns import finite, q
 from driftline.operators.celltable import CellTable
-from driftline.operators.estimators import Estimator, Fitted, check_target, ridge
+from driftline.operators.estimators import Estimator, Fitted, add_predictions, check_target, ridge
 from driftline.operators.solve import nonnegative_line
 from driftline.operators.timesplit import fold_audit
 from driftline.operators.trees import boosting, random_forest
@@ -44,10 +45,10 @@ class StackFitted(Fitted):
     folds: DataFrame
     cells: tuple[int, ...]
 
-    def add(self, rows: DataFrame, out: str) -> DataFrame:
+    def at(self, rows: DataFrame, cell: int, out: str) -> DataFrame:
         inputs = [f"_base_{i}" for i in range(len(self.bases))]
         for base, column in zip(self.bases, inputs):
-            rows = base.add(rows, column)
+            rows = base.at(rows, cell, column)
         joined = self.table.join_devices(rows, self.weights.withColumnRenamed("intercept", "_intercept"))
         value = F.col("_intercept")
         for i, column in enumerate(inputs):
@@ -74,7 +75,9 @@ class ForwardStack(Estimator):
             raise ValueError("a stack predicts the block after its folds only")
         check_target(table)
         names = tuple(e.name for e in self.estimators)
-        bases = tuple(e.fit_cells(table, scheme, range(1, table.last + 1)) for e in self.estimators)
+        every = range(1, table.last + 1)
+        with ThreadPoolExecutor(len(names)) as pool:
+            bases = tuple(pool.map(lambda e: e.fit_cells(table, scheme, every), self.estimators))
         oof = out_of_fold(table, scheme, bases, names)
         weights = keep(blend_weights(oof, names, table))
         audit = fold_audit(table.rows, table.spec, folds, scheme)
@@ -84,9 +87,9 @@ class ForwardStack(Estimator):
 def out_of_fold(table: CellTable, scheme: str, bases: Sequence[Fitted], names: Sequence[str]) -> DataFrame:
     """``(device, ts, cell, y, <one column per base>)`` for all rows after the warm-up."""
     spec = table.spec
-    rows = table.cells(scheme, 1, table.folds)
-    for base, name in zip(bases, names):
-        rows = base.add(rows, name)
+    rows = add_predictions(
+        table.cells(scheme, 1, table.folds), dict(zip(names, bases)), range(1, table.folds + 1)
+    )
     oof = keep_columnar(rows.select(spec.device, spec.time, "cell", q(spec.target).alias("y"), *[q(n) for n in names]))
     bad = oof.agg(*[F.count_if(~finite(q(n))).alias(n) for n in names]).first().asDict()
     if any(bad.values()):

@@ -41,10 +41,12 @@ class TreeModel(PerCell):
     settings: dict = field(default_factory=dict)
 
     def fit(self, table: CellTable, scheme: str, cell: int) -> Transform:
+        key = (self.name, self.regressor.getSeed(), *sorted(self.settings.items()), scheme, cell)
+        return table.once(key, lambda: self._fit(table, scheme, cell))
+
+    def _fit(self, table: CellTable, scheme: str, cell: int) -> Transform:
         past = table.fit_rows.filter(table.in_prefix(scheme, cell))
-        training = with_vector(past, table, scheme, cell).select(
-            "features", q(table.spec.target).alias("label")
-        )
+        training = with_vector(past, table, scheme, cell).select("features", q(table.spec.target).alias("label"))
         model = self.regressor.fit(training.coalesce(max(1, math.ceil(table.cuts.rows / ROWS_PER_TASK))))
 
         def transform(rows: DataFrame, out: str) -> DataFrame:
@@ -76,11 +78,11 @@ def boosting(
 ) -> TreeModel:
     """Boosted trees on squared error, no early stopping.
 
-    Trees grow by level: the leaf limit becomes a depth. Spark's boosting has
+    Trees grow by level: the leaf limit becomes the depth with the nearest leaf count. Spark's boosting has
     no penalty on leaf values, so ``l2_regularization`` is only recorded.
     """
     regressor = GBTRegressor(
-        maxIter=max_iter, stepSize=learning_rate, maxDepth=max(1, math.ceil(math.log2(max_leaf_nodes))),
+        maxIter=max_iter, stepSize=learning_rate, maxDepth=max(1, round(math.log2(max_leaf_nodes))),
         minInstancesPerNode=min_samples_leaf, maxBins=MAX_BINS, lossType="squared", seed=seed,
         checkpointInterval=25, maxMemoryInMB=1024,
     )

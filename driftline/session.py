@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,17 +44,21 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+_shipping = Lock()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers; done once per session."""
     context = spark.sparkContext
-    if getattr(context, "_driftline_shipped", False):
-        return
-    package = Path(__file__).resolve().parent
-    archive = shutil.make_archive(
-        str(Path(tempfile.mkdtemp(prefix="driftline-")) / "driftline"), "zip", package.parent, package.name
-    )
-    context.addPyFile(archive)
-    context._driftline_shipped = True
+    with _shipping:
+        if getattr(context, "_driftline_shipped", False):
+            return
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            str(Path(tempfile.mkdtemp(prefix="driftline-")) / "driftline"), "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)
+        context._driftline_shipped = True
 
 
 def keep(df: DataFrame) -> DataFrame:
