@@ -52,10 +52,6 @@ class LinearFitted(Fitted):
         one = self.models.filter(F.col("cell") == cell)
         return add_linear(rows, self.table, one, self.scheme, [cell], {self.name: out})
 
-    def add(self, rows: DataFrame, out: str) -> DataFrame:
-        """Rows of any of the cells, labelled ``cell``, in one pass."""
-        return add_linear(rows, self.table, self.models, self.scheme, self.cells, {self.name: out})
-
 
 @dataclass
 class Linear(Estimator):
@@ -65,8 +61,16 @@ class Linear(Estimator):
     alpha: float | DataFrame = 1.0
 
     def fit_cells(self, table: CellTable, scheme: str, cells: Sequence[int]) -> LinearFitted:
-        models = keep(fit_linear(table.gram, scheme, cells, [self.name], self.alpha))
-        return LinearFitted(table, models, scheme, tuple(cells), self.name)
+        return fit_linear_models(table, scheme, cells, [self])[self.name]
+
+
+def fit_linear_models(
+    table: CellTable, scheme: str, cells: Sequence[int], estimators: Sequence[Linear]
+) -> dict[str, LinearFitted]:
+    """Several linear models from one reading of the sums."""
+    alpha = next((e.alpha for e in estimators if e.name == "ridge"), 1.0)
+    models = keep(fit_linear(table.gram, scheme, cells, [e.name for e in estimators], alpha))
+    return {e.name: LinearFitted(table, models, scheme, tuple(cells), e.name) for e in estimators}
 
 
 def mean_baseline() -> Linear:
@@ -116,14 +120,29 @@ class Custom(PerCell):
         return self.fit_rows(table.fit_rows.filter(table.in_prefix(scheme, cell)))
 
 
+def _add_linear_groups(rows: DataFrame, fitted: Mapping[str, LinearFitted], cells: Sequence[int]) -> DataFrame:
+    """Linear models that share a coefficient table are added with one join."""
+    groups: dict[int, list[tuple[str, LinearFitted]]] = {}
+    for out, f in fitted.items():
+        groups.setdefault(id(f.models), []).append((out, f))
+    for group in groups.values():
+        first = group[0][1]
+        models = first.models.filter(F.col("cell").isin(list(cells)))
+        rows = add_linear(rows, first.table, models, first.scheme, cells, {f.name: out for out, f in group})
+    return rows
+
+
 def add_predictions(rows: DataFrame, fitted: Mapping[str, Fitted], cells: Sequence[int]) -> DataFrame:
     """Add one column per fitted model to rows labelled with their ``cell``."""
-    if all(isinstance(f, LinearFitted) for f in fitted.values()):
-        return reduce(lambda df, item: item[1].add(df, item[0]), fitted.items(), rows)
+    linear = {out: f for out, f in fitted.items() if isinstance(f, LinearFitted)}
+    others = {out: f for out, f in fitted.items() if out not in linear}
+    rows = _add_linear_groups(rows, linear, list(cells))
+    if not others:
+        return rows
     parts = []
     for cell in cells:
-        part = rows.filter(F.col("cell") == cell)
-        parts.append(reduce(lambda df, item: item[1].at(df, cell, item[0]), fitted.items(), part))
+        part = rows if len(cells) == 1 else rows.filter(F.col("cell") == cell)
+        parts.append(reduce(lambda df, item: item[1].at(df, cell, item[0]), others.items(), part))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -67,12 +67,27 @@ def _per_device(gram: GramTable, extra: DataFrame | None, solve, schema: T.Struc
     return products.groupBy(device).cogroup(gram.levels.groupBy(device)).applyInPandas(run, schema)
 
 
-def ridge_cv(gram: GramTable, alphas: Sequence[float] = RIDGE_ALPHAS) -> DataFrame:
+def design_columns(spec: CalibrationSpec, features: Sequence[str] | None) -> list[int] | None:
+    """Positions of the chosen features' columns among ridge's 8 scaled and 31 one-hot ones; None for all."""
+    if features is None:
+        return None
+    spec.check_features(features)
+    p = len(spec.continuous)
+    spans = {c: [i] for i, c in enumerate(spec.continuous)}
+    spans[HOUR] = list(range(p, p + HOURS))
+    spans[WEEKDAY] = list(range(p + HOURS, p + HOURS + WEEKDAYS))
+    return [i for c in features for i in spans[c]]
+
+
+def ridge_cv(
+    gram: GramTable, alphas: Sequence[float] = RIDGE_ALPHAS, features: Sequence[str] | None = None
+) -> DataFrame:
     """``(device, candidate, alpha, fold, rmse)`` on the training block.
 
     A fold's error follows from the sums of its own cell, so the grid reads no rows.
     """
     table = gram.table
+    columns = design_columns(table.spec, features)
     folds, numbers = table.folds, [table.prefix_number("train", f) for f in range(1, table.folds + 1)]
     schema = _fields(
         table.spec.device, _device_type(table),
@@ -82,7 +97,7 @@ def ridge_cv(gram: GramTable, alphas: Sequence[float] = RIDGE_ALPHAS) -> DataFra
     def solve(device, sums: DeviceSums, head) -> Iterator[tuple]:
         for f in range(1, folds + 1):
             number = numbers[f - 1]
-            path = RidgePath(sums.design(sums.prefix("train", f), number), sums.p)
+            path = RidgePath(sums.design(sums.prefix("train", f), number), sums.p, columns)
             held_out = sums.design(sums.held_out("train", f), number)
             for i, alpha in enumerate(alphas):
                 error = squared_error(held_out, *path.weights(alpha))
@@ -101,9 +116,11 @@ def best_candidate(cv: DataFrame, device: str, keep: Sequence[str]) -> DataFrame
     )
 
 
-def tune_ridge(gram: GramTable, alphas: Sequence[float] = RIDGE_ALPHAS) -> DataFrame:
+def tune_ridge(
+    gram: GramTable, alphas: Sequence[float] = RIDGE_ALPHAS, features: Sequence[str] | None = None
+) -> DataFrame:
     """``(device, candidate, alpha, cv_rmse, candidates)``."""
-    return best_candidate(ridge_cv(gram, alphas), gram.table.spec.device, ["alpha"])
+    return best_candidate(ridge_cv(gram, alphas, features), gram.table.spec.device, ["alpha"])
 
 
 def fit_linear(
@@ -112,15 +129,18 @@ def fit_linear(
     cells: Sequence[int],
     models: Sequence[str] = LINEAR_MODELS,
     alpha: float | DataFrame = 1.0,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
     """Coefficient rows, per device and model, that may predict the given cells.
 
     ``alpha`` is one penalty for all devices or a ``(device, alpha)`` table.
+    ``features`` limits ridge to some of the features.
     """
     table = gram.table
     spec = table.spec
     numbers = {f: table.prefix_number(scheme, f) for f in cells}
     sensor = spec.continuous.index(spec.single_sensor)
+    columns = design_columns(spec, features)
     own_alpha = isinstance(alpha, DataFrame)
     penalties = alpha.select(spec.device, "alpha") if own_alpha else None
     common = None if own_alpha else float(alpha)
@@ -139,7 +159,7 @@ def fit_linear(
                     intercept, slopes[sensor] = single_line(design, sensor)
                 else:
                     used = penalty
-                    intercept, w = RidgePath(design, p).weights(penalty)
+                    intercept, w = RidgePath(design, p, columns).weights(penalty)
                     slopes, calendar = w[:p], w[p:]
                 intercept += sums.centre_y - slopes @ sums.centres
                 yield (

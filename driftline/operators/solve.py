@@ -72,8 +72,7 @@ class DeviceSums:
 class RidgePath:
     """Ridge on scaled features and one-hot levels for many penalties, from one design."""
 
-    def __init__(self, design: np.ndarray, p: int):
-        self.p = p
+    def __init__(self, design: np.ndarray, p: int, columns: list[int] | None = None):
         self.n = design[0, 0]
         self.mean = design[0, 1:] / self.n
         spread = design[1:, 1:] - self.n * np.outer(self.mean, self.mean)
@@ -81,13 +80,16 @@ class RidgePath:
         flat = variance <= FLAT * (np.diag(design)[1:p + 1] / self.n)
         self.scale = np.ones(len(spread) - 1)
         self.scale[:p] = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, variance)))
-        scaled = spread[:-1, :-1] / np.outer(self.scale, self.scale)
+        self.used = np.arange(len(self.scale)) if columns is None else np.asarray(columns)
+        scaled = (spread[:-1, :-1] / np.outer(self.scale, self.scale))[np.ix_(self.used, self.used)]
         self.values, self.vectors = np.linalg.eigh(scaled)
-        self.projected = self.vectors.T @ (spread[:-1, -1] / self.scale)
+        self.projected = self.vectors.T @ (spread[:-1, -1] / self.scale)[self.used]
 
     def weights(self, alpha: float) -> tuple[float, np.ndarray]:
         """(intercept, weights) against the unscaled, centred design."""
-        w = (self.vectors @ (self.projected / (np.maximum(self.values, 0.0) + alpha))) / self.scale
+        w = np.zeros(len(self.scale))
+        w[self.used] = self.vectors @ (self.projected / (np.maximum(self.values, 0.0) + alpha))
+        w /= self.scale
         return self.mean[-1] - w @ self.mean[:-1], w
 
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from driftline.functions.columns import q
 from driftline.functions.metrics import check_scores, score
 from driftline.operators.celltable import CellTable, build_cell_table
-from driftline.operators.estimators import Estimator, Fitted, add_predictions, mean_baseline, ridge, single_sensor_linear
+from driftline.operators.estimators import (
+    Estimator, Fitted, Linear, add_predictions, fit_linear_models, mean_baseline, ridge, single_sensor_linear,
+)
 from driftline.operators.importance import permutation_importance
 from driftline.operators.linear import RIDGE_ALPHAS, tune_ridge
 from driftline.operators.prepare import prepare, row_accounting
@@ -73,10 +75,14 @@ def build_estimators(
 
 def fit_all(table: CellTable, estimators: Mapping[str, Estimator], scheme: str) -> dict[str, Fitted]:
     """Full fits of all models on one block; the Spark jobs of different models overlap."""
-    table.gram  # shared by all of them
-    with ThreadPoolExecutor(max(1, len(estimators))) as pool:
-        fits = pool.map(lambda e: e.fit_cells(table, scheme, [table.last]), estimators.values())
-        return dict(zip(estimators, fits))
+    cells = [table.last]
+    linear = [e for e in estimators.values() if isinstance(e, Linear)]
+    others = [e for e in estimators.values() if not isinstance(e, Linear)]
+    with ThreadPoolExecutor(1 + len(others)) as pool:
+        jobs = {e.name: pool.submit(e.fit_cells, table, scheme, cells) for e in others}
+        fitted = fit_linear_models(table, scheme, cells, linear) if linear else {}
+        fitted |= {name: job.result() for name, job in jobs.items()}
+    return {name: fitted[name] for name in estimators}
 
 
 def score_block(table: CellTable, fitted: Mapping[str, Fitted], scheme: str, stage: str) -> DataFrame:
@@ -156,9 +162,10 @@ def run_calibration(
         searches["ridge"] = lambda: keep(tune_ridge(table.gram, RIDGE_ALPHAS))
     if "hist_gradient_boosting" in models:
         searches["boosting"] = lambda: tune_boosting(table, config)
-    fixed = build_estimators(config, models=[m for m in models if m not in ("ridge", "hist_gradient_boosting")])
+    waits = ("mean_baseline", "single_sensor_linear", "ridge", "hist_gradient_boosting")
+    fixed = build_estimators(config, models=[m for m in models if m not in waits])
     with ThreadPoolExecutor(len(searches) + 1) as pool:
-        # Models without a search do not wait for the searches.
+        # The forest and the stack do not wait for the searches; linear models are fitted together.
         early = pool.submit(fit_all, table, fixed, "train")
         found = {name: pool.submit(search) for name, search in searches.items()}
         found = {name: future.result() for name, future in found.items()}

@@ -59,7 +59,7 @@ def _events(spark: SparkSession, sf_dir: str, device: Column, stamp: Column) ->
     )
     in_check = F.hour("ts") == F.dayofmonth("ts") - 1
     in_maintenance = F.hour("ts") == F.pmod(F.dayofmonth("ts") + 11, F.lit(24))
-    return _with_outages(means, 50.0, F.lit(0.02) * F.col("w1"), in_check, in_maintenance)
+    return _with_outages(means, 50.0, F.lit(0.02) * F.col("w1") + F.lit(0.1) * F.sqrt("w3"), in_check, in_maintenance)
 
 
 def _hour(ts: str) -> Column:
