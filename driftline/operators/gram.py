@@ -59,11 +59,11 @@ def build_gram(table: CellTable) -> GramTable:
     rows = joined.select(*table.keys, *CELL_KEYS, HOUR, WEEKDAY, *[z.alias(n) for z, n in zip(_z(table), names)])
 
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]
+    sums = [F.expr(f"sum({names[i]} * {names[j]}) AS p{i}_{j}") for i, j in pairs]
     products = rows.groupBy(*table.keys, *CELL_KEYS).agg(*sums)
     levels = rows.groupBy(*table.keys, *CELL_KEYS, HOUR, WEEKDAY).agg(*[F.sum(n).alias(n) for n in names])
     if table.salted:
-        products = products.groupBy(device, *CELL_KEYS).agg(*[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in pairs])
+        products = products.groupBy(device, *CELL_KEYS).agg(*[F.expr(f"sum(p{i}_{j}) AS p{i}_{j}") for i, j in pairs])
         levels = levels.groupBy(device, *CELL_KEYS, HOUR, WEEKDAY).agg(*[F.sum(n).alias(n) for n in names])
     products = products.select(device, *CELL_KEYS, F.array(*[f"p{i}_{j}" for i, j in pairs]).alias("products"))
     return GramTable(table, keep_columnar(products), keep_columnar(levels), fills, width)

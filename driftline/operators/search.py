@@ -93,7 +93,10 @@ def tune_boosting(table: CellTable, config: RunConfig) -> BoostingSearch:
     The model is common to all devices, so a fold's RMSE is taken over all of them.
     """
     drawn = draw_boosting(config.search_iterations, config.seed)
-    cv = keep(forward_cv(table, [boosting(config.seed, **p) for p in drawn], by_device=False))
+    candidates = [boosting(config.seed, **p) for p in drawn]
+    # The full training fits run alongside: the winner's is needed next, and fits are remembered.
+    fit_many(table, candidates, "train", range(1, table.last + 1))
+    cv = keep(forward_cv(table, candidates, by_device=False))
     check_scores(cv)
     means = cv.groupBy("candidate").agg(F.avg("rmse").alias("cv_rmse"))
     best = means.orderBy("cv_rmse", "candidate").first()

@@ -185,15 +185,19 @@ def join_device_table(
         return rows.join(F.broadcast(table), key)
     if cuts.largest <= layout.hot_rows:
         return rows.join(table.hint("merge"), key)
-    hot = cuts.table.filter(F.col("n") > layout.hot_rows).select(key, salts(F.col("n"), layout).alias("_pieces"))
+    clustered = "_piece" in rows.columns
+    piece = "_piece" if clustered else "_join_piece"
+    hot = cuts.table.filter(F.col("n") > layout.hot_rows).select(key, salts(F.col("n"), layout).alias("_join_pieces"))
     if cuts.rows // layout.hot_rows <= layout.broadcast_rows:
         hot = F.broadcast(hot)
-    pieces = F.coalesce("_pieces", F.lit(1))
-    spread = rows.join(hot, key, "left").withColumn(
-        "_piece", F.pmod(F.xxhash64(q(spec.time)), pieces).cast("int")
-    )
-    copies = table.join(hot, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return spread.drop("_pieces").join(copies.drop("_pieces").hint("merge"), [key, "_piece"]).drop("_piece")
+    pieces = F.coalesce("_join_pieces", F.lit(1))
+    copies = table.join(hot, key, "left").withColumn(piece, F.explode(F.sequence(F.lit(0), pieces - 1)))
+    if not clustered:
+        rows = rows.join(hot, key, "left").withColumn(
+            piece, F.pmod(F.xxhash64(q(spec.time)), pieces).cast("int")
+        ).drop("_join_pieces")
+    joined = rows.join(copies.drop("_join_pieces").hint("merge"), [key, piece])
+    return joined if clustered else joined.drop(piece)
 
 
 def assign_cells(

@@ -16,6 +16,8 @@ from driftline.operators.estimators import PerCell, Transform
 from driftline.operators.preprocess import fill_at
 
 MAX_BINS = 255
+# Fewer rows than this per bin of a feature make its split points noise, at the cost of larger histograms.
+ROWS_PER_BIN = 64
 FOREST_DEPTH = 15
 # Enough work for one task of a tree level.
 ROWS_PER_TASK = 100_000
@@ -47,7 +49,8 @@ class TreeModel(PerCell):
     def _fit(self, table: CellTable, scheme: str, cell: int) -> Transform:
         past = table.fit_rows.filter(table.in_prefix(scheme, cell))
         training = with_vector(past, table, scheme, cell).select("features", q(table.spec.target).alias("label"))
-        model = self.regressor.fit(training.coalesce(max(1, math.ceil(table.cuts.rows / ROWS_PER_TASK))))
+        tasks = max(1, math.ceil(table.cuts.rows / ROWS_PER_TASK))
+        model = self.regressor.fit(training.coalesce(tasks), {self.regressor.maxBins: bins(table.cuts.rows)})
 
         def transform(rows: DataFrame, out: str) -> DataFrame:
             vectors = with_vector(rows, table, scheme, cell)
@@ -56,14 +59,19 @@ class TreeModel(PerCell):
         return transform
 
 
+def bins(rows: int) -> int:
+    """Bins per feature: 255, fewer for short records, and enough for the 24 hours."""
+    return min(MAX_BINS, max(32, rows // ROWS_PER_BIN))
+
+
 def random_forest(trees: int = 300, seed: int = 42) -> TreeModel:
     """At least two rows per leaf, half of the features per split, bootstrap samples.
 
-    Depth is limited to 15 levels, splits to 255 bins per feature.
+    Depth is limited to 15 levels, splits to at most 255 bins per feature.
     """
     regressor = RandomForestRegressor(
-        numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.5", maxDepth=FOREST_DEPTH, maxBins=MAX_BINS,
-        seed=seed, cacheNodeIds=False, maxMemoryInMB=1024,
+        numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.5", maxDepth=FOREST_DEPTH,
+        seed=seed, maxMemoryInMB=1024,
     )
     return TreeModel("random_forest", regressor, {"n_estimators": trees})
 
@@ -83,7 +91,7 @@ def boosting(
     """
     regressor = GBTRegressor(
         maxIter=max_iter, stepSize=learning_rate, maxDepth=max(1, round(math.log2(max_leaf_nodes))),
-        minInstancesPerNode=min_samples_leaf, maxBins=MAX_BINS, lossType="squared", seed=seed,
+        minInstancesPerNode=min_samples_leaf, lossType="squared", seed=seed,
         checkpointInterval=25, maxMemoryInMB=1024,
     )
     return TreeModel("hist_gradient_boosting", regressor, {

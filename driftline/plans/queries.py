@@ -66,8 +66,9 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def parsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = export.split_lines(views.raw_text(spark, sf_dir), views.EXPORT_HEADER)
-    return export.drop_empty_unnamed(export.parse_rows(raw))
+    lines = keep_columnar(views.raw_text(spark, sf_dir))
+    parsed = keep_columnar(export.parse_rows(export.split_lines(lines, views.EXPORT_HEADER)))
+    return export.drop_empty_unnamed(parsed)
 
 
 @query

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.columns import day_first_timestamp, measurement, q, text_or_null, valid_field
 from driftline.session import keep_columnar
@@ -28,9 +29,16 @@ BAD_NUMBER = "non-numeric measurement"
 def read_text(spark: SparkSession, paths: str | Sequence[str], device: str | None = None) -> DataFrame:
     """All fields as text, plus the device: a given name, else the file's own name."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.options(header="true", enforceSchema="false", **DIALECT).csv(paths)
+    header = spark.read.options(header="true", **DIALECT).csv(paths).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = spark.read.options(**DIALECT).schema(schema).csv(paths)
+    # A file with another header keeps that line as data, which the checks refuse.
+    is_header = F.lit(True)
+    for c in header:
+        is_header = is_header & (q(c).isNull() if UNNAMED.fullmatch(c) else q(c).eqNullSafe(F.lit(c)))
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return raw.select((F.lit(device) if device else stem).alias("device_id"), *[q(c) for c in raw.columns])
+    named = raw.select((F.lit(device) if device else stem).alias("device_id"), *[q(c) for c in header])
+    return named.filter(~is_header)
 
 
 def split_lines(lines: DataFrame, header: Sequence[str], line: str = "line") -> DataFrame:
