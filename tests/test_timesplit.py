@@ -69,11 +69,12 @@ def test_times_before_1970(spark):
 
 def test_short_records_are_set_aside(spark):
     frame = fleet_frame(devices=2, hours=100)
-    short = frame[frame.device_id == 0].head(4).assign(device_id=7, y=1.0, a=1.0)
+    short = frame[frame.device_id == 0].head(6).assign(device_id=7, y=1.0, a=1.0)
     tiny = frame[frame.device_id == 0].head(2).assign(device_id=8, y=1.0, a=1.0)
-    table = cell_table(spark, pd.concat([frame, short, tiny]))
+    config = RunConfig(cv_splits=5)
+    table = cell_table(spark, pd.concat([frame, short, tiny]), config)
     assert {(r["device_id"], r["reason"].split()[-1]) for r in table.cuts.rejected.collect()} == {(7, "folds"), (8, "blocks")}
-    same(labels(table), expected(frame))
+    same(labels(table), expected(frame, config))
 
 
 def test_periods_and_audit(spark):
