@@ -28,6 +28,11 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def null_for_nan(name: str) -> Column:
+    """The column as a double with NaN as NULL, so it is never compared or added as a value."""
+    return F.nanvl(q(name).cast("double"), F.lit(None).cast("double")).alias(name)
+
+
 def total(columns: list[Column]) -> Column:
     """Sum of columns, added from the left."""
     return reduce(lambda a, b: a + b, columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.columns import q
+from driftline.functions.columns import null_for_nan, q
 from driftline.spec import HOUR, WEEKDAY, CalibrationSpec
 
 
@@ -14,16 +14,15 @@ def any_sensor(spec: CalibrationSpec) -> Column:
     return F.coalesce(*[q(c) for c in spec.sensors]).isNotNull()
 
 
-def null_for_nan(rows: DataFrame, spec: CalibrationSpec) -> DataFrame:
-    """The columns a run needs, as doubles; NaN becomes NULL, so it is never compared or added as a value."""
+def measurements(rows: DataFrame, spec: CalibrationSpec) -> DataFrame:
+    """The columns a run needs, checked, as doubles with NaN as NULL."""
     spec.check_measurements(rows.schema)
-    value = lambda c: F.nanvl(q(c).cast("double"), F.lit(None).cast("double")).alias(c)
-    return rows.select(q(spec.device), q(spec.time), *[value(c) for c in (spec.target, *spec.continuous)])
+    return rows.select(q(spec.device), q(spec.time), *[null_for_nan(c) for c in (spec.target, *spec.continuous)])
 
 
 def row_accounting(rows: DataFrame, spec: CalibrationSpec, by_device: bool = False) -> DataFrame:
     """Parsed = without target + (with target but) without sensors + used. One pass."""
-    rows = null_for_nan(rows, spec)
+    rows = measurements(rows, spec)
     has_target = q(spec.target).isNotNull()
     groups = [q(spec.device)] if by_device else []
     return rows.groupBy(*groups).agg(
@@ -43,6 +42,6 @@ def calendar(rows: DataFrame, spec: CalibrationSpec) -> DataFrame:
 def prepare(rows: DataFrame, spec: CalibrationSpec) -> DataFrame:
     """Rows with a target and at least one sensor; gaps in the features stay NULL."""
     spec.check_features(spec.features)
-    rows = null_for_nan(rows, spec)
+    rows = measurements(rows, spec)
     kept = rows.filter(q(spec.target).isNotNull()).filter(any_sensor(spec))
     return calendar(kept, spec)

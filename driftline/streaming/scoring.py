@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from driftline.functions.columns import q
+from driftline.functions.columns import null_for_nan
 from driftline.operators.celltable import CellTable
 from driftline.operators.estimators import Fitted, predict_later
 from driftline.operators.prepare import any_sensor, calendar
@@ -19,8 +19,8 @@ from driftline.operators.prepare import any_sensor, calendar
 def score_readings(readings: DataFrame, fitted: Fitted, table: CellTable, out: str = "prediction") -> DataFrame:
     """Predictions for batch or streaming readings with at least one sensor; no target is needed."""
     spec = table.spec
-    values = [q(c).cast("double").alias(c) for c in spec.continuous]
-    features = calendar(readings.filter(any_sensor(spec)).select(spec.device, spec.time, *values), spec)
+    rows = readings.select(spec.device, spec.time, *[null_for_nan(c) for c in spec.continuous])
+    features = calendar(rows.filter(any_sensor(spec)), spec)
     return predict_later(fitted, features, table, out).select(spec.device, spec.time, out)
 
 

@@ -2,10 +2,11 @@ import glob
 import json
 
 import pytest
-from conftest import SPEC, fleet_frame, to_spark
+from conftest import SPEC, cell_table, fleet_frame, to_spark
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+import driftline.operators.stacking as stacking
 import driftline.plans.experiment as experiment
 from driftline import GAS_EXPORT, RunConfig, run_calibration, run_export
 from driftline.operators.estimators import ridge
@@ -23,14 +24,10 @@ SMALL = RunConfig.quick(forest_trees=5, search_iterations=1)
 @pytest.fixture(scope="module")
 def result(spark, export_path):
     """All six models on a synthetic export; boosting kept short."""
-    space = dict(BOOSTING_SPACE)
-    BOOSTING_SPACE["max_iter"] = ("whole", 4, 6)
-    experiment.stock_stack.__globals__["STACK_BOOSTING"]["max_iter"] = 5
-    try:
-        yield run_export(spark, export_path, GAS_EXPORT, SMALL)
-    finally:
-        BOOSTING_SPACE.update(space)
-        experiment.stock_stack.__globals__["STACK_BOOSTING"]["max_iter"] = 100
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setitem(BOOSTING_SPACE, "max_iter", ("whole", 4, 6))
+        patch.setitem(stacking.STACK_BOOSTING, "max_iter", 5)
+        return run_export(spark, export_path, GAS_EXPORT, SMALL)
 
 
 def test_accounting_and_periods(result):
@@ -155,7 +152,6 @@ def test_draws_are_seeded_and_inside_the_space():
 
 
 def test_boosting_search_scores_every_fold(spark, monkeypatch):
-    from conftest import cell_table
     monkeypatch.setitem(BOOSTING_SPACE, "max_iter", ("whole", 2, 3))
     config = RunConfig.quick(search_iterations=2)
     found = tune_boosting(cell_table(spark, fleet_frame(devices=2), config), config)
@@ -164,7 +160,6 @@ def test_boosting_search_scores_every_fold(spark, monkeypatch):
 
 
 def test_streamed_readings(spark, tmp_path):
-    from conftest import cell_table
     frame = fleet_frame(devices=2)
     table = cell_table(spark, frame)
     fitted = ridge(1.0).fit_cells(table, "final", [table.last])
