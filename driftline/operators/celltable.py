@@ -11,8 +11,7 @@ from threading import Lock
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.columns import q
-from driftline.operators.timesplit import CELL, TEST, Cuts, assign_cells, find_cuts, join_device_table, salts
+from driftline.operators.timesplit import CELL, TEST, Cuts, find_cuts, join_device_table, labelled_rows
 from driftline.session import keep_clustered
 from driftline.spec import CalibrationSpec, Layout, RunConfig
 
@@ -112,14 +111,8 @@ def bucket_count(df: DataFrame, rows: int, layout: Layout) -> int:
 def build_cell_table(
     features: DataFrame, spec: CalibrationSpec, config: RunConfig, layout: Layout = Layout()
 ) -> CellTable:
-    """Find the cuts, label the rows and keep them clustered by device."""
+    """Size the blocks and folds, label the rows and keep them clustered by device: one shuffle."""
     cuts = find_cuts(features, spec, config)
-    rows = assign_cells(features, spec, config, cuts, layout)
-    keys = [spec.device]
-    if cuts.largest > layout.hot_rows:
-        pieces = cuts.table.select(spec.device, salts(F.col("n"), layout).alias("_pieces"))
-        rows = join_device_table(rows, pieces, spec, cuts, layout)
-        rows = rows.withColumn("_piece", F.pmod(F.xxhash64(q(spec.time)), F.col("_pieces")).cast("int")).drop("_pieces")
-        keys.append("_piece")
-    kept = keep_clustered(rows, keys, bucket_count(features, cuts.rows, layout), [*keys, spec.time])
-    return CellTable(kept, spec, config, cuts, layout)
+    buckets = bucket_count(features, cuts.rows, layout)
+    rows, keys = labelled_rows(features, spec, config, cuts, layout, buckets)
+    return CellTable(keep_clustered(rows, keys, buckets, [*keys, spec.time]), spec, config, cuts, layout)

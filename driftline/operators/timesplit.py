@@ -1,10 +1,11 @@
-"""Time-ordered blocks and expanding-window folds, without ranking all rows.
-
-A block or fold starts at the row with a certain rank in a device's time
-order. Only those ranks are looked up: counts per day give the day holding the
-rank, counts per second inside that day give the second, and only when that
-second has several rows are they numbered. No row is moved to find a cut; rows
-then get their block and fold by comparing timestamps.
+"""Time-ordered blocks and expanding-window folds.
+
+Rows are shuffled once, by device. A device that one task can hold is numbered
+there. A larger one is never brought together: its blocks and folds start at
+rows with known ranks, and only those ranks are looked up. Counts per day give
+the day that holds a rank, counts per second inside that day give the second,
+and only when that second has several rows are they numbered. Its rows then
+get their block and fold by comparing timestamps.
 """
 
 from __future__ import annotations
@@ -56,24 +57,18 @@ def fold_starts(n: Column, folds: int) -> list[Column]:
 
 
 def day_counts(rows: DataFrame, spec: CalibrationSpec) -> DataFrame:
-    """Rows per device and day, and the earliest target of the day."""
-    return rows.groupBy(spec.device, epoch_day(q(spec.time)).alias("day")).agg(
-        F.count("*").alias("n_day"), F.min_by(q(spec.target), q(spec.time)).alias("first_target")
-    )
+    """Rows per device and day."""
+    return rows.groupBy(spec.device, epoch_day(q(spec.time)).alias("day")).agg(F.count("*").alias("n_day"))
 
 
 def rank_lookup(rows: DataFrame, spec: CalibrationSpec, days: DataFrame, wanted: list[Column]) -> DataFrame:
-    """Timestamps at the given ranks (0-based, expressions over ``n``), exactly, per device.
-
-    Returns ``(<device>, n, first_target, ts_at)`` where ``ts_at[i]`` belongs to ``wanted[i]``.
-    """
+    """``(device, ts_at)``: the timestamps at given ranks (0-based, expressions over ``n``), exactly."""
     device, ts = spec.device, q(spec.time)
     in_order = Window.partitionBy(device).orderBy("day")
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     days = days.withColumns({
         "upto": F.sum("n_day").over(in_order),
         "n": F.sum("n_day").over(whole),
-        "first_target": F.first("first_target").over(whole),
     })
     targets = F.array(*[
         F.struct(F.lit(i).alias("slot"), rank.cast("long").alias("rank")) for i, rank in enumerate(wanted)
@@ -81,15 +76,15 @@ def rank_lookup(rows: DataFrame, spec: CalibrationSpec, days: DataFrame, wanted:
     located = F.filter(targets, lambda t: (t["rank"] >= F.col("upto") - F.col("n_day")) & (t["rank"] < F.col("upto")))
     cut_days = keep(
         days.withColumn("hits", located)
-        .filter((F.size("hits") > 0) | (F.col("upto") == F.col("n_day")))
-        .select(device, "day", "n", "first_target", (F.col("upto") - F.col("n_day")).alias("before"), "hits")
+        .filter(F.size("hits") > 0)
+        .select(device, "day", (F.col("upto") - F.col("n_day")).alias("before"), "hits")
     )
 
     # At most 86,400 seconds per device and day.
     seconds = (
         rows.select(device, ts.alias("ts"))
         .withColumn("day", epoch_day(F.col("ts")))
-        .join(cut_days.filter(F.size("hits") > 0).select(device, "day"), [device, "day"], "left_semi")
+        .join(cut_days.select(device, "day"), [device, "day"], "left_semi")
         .groupBy(device, "day", epoch_second(F.col("ts")).alias("second"))
         .agg(F.count("*").alias("n_second"), F.min("ts").alias("ts_first"))
     )
@@ -118,16 +113,14 @@ def rank_lookup(rows: DataFrame, spec: CalibrationSpec, days: DataFrame, wanted:
         exact = exact.unionByName(
             numbered.join(within, [device, "second", "skip"]).select(device, "slot", "ts")
         )
-    per_slot = exact.groupBy(device).agg(
+    return exact.groupBy(device).agg(
         F.array(*[F.max(F.when(F.col("slot") == i, F.col("ts"))) for i in range(len(wanted))]).alias("ts_at")
     )
-    heads = cut_days.groupBy(device).agg(F.first("n").alias("n"), F.first("first_target").alias("first_target"))
-    return heads.join(per_slot, device, "left")
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """``table``: one row per device with sizes and cut timestamps. ``rejected``: (device, reason)."""
+    """``table``: one row per device with the sizes of its blocks and folds. ``rejected``: (device, n, reason)."""
 
     table: DataFrame
     rejected: DataFrame
@@ -137,33 +130,41 @@ class Cuts:
 
 
 def find_cuts(rows: DataFrame, spec: CalibrationSpec, config: RunConfig) -> Cuts:
-    """Where each device's blocks and folds begin."""
+    """Sizes of every device's blocks and folds, and its first target; one light pass."""
     k = config.cv_splits
     n = F.col("n")
     n_train, n_val, n_test = block_sizes(n, config)
     fit_all = n_train + n_val
-    wanted = [n_train, fit_all, *fold_starts(n_train, k), *fold_starts(fit_all, k)]
     reason = F.when(F.least(n_train, n_val, n_test) < 1, TOO_FEW_FOR_BLOCKS).when(
         fold_size(n_train, k) < 1, TOO_FEW_FOR_FOLDS
     )
-    found = keep(
-        rank_lookup(rows, spec, day_counts(rows, spec), wanted).select(
-            spec.device, "n", "first_target", n_train.alias("n_train"), n_val.alias("n_val"), n_test.alias("n_test"),
-            fold_size(n_train, k).alias("fold_rows_train"), fold_size(fit_all, k).alias("fold_rows_final"),
-            F.element_at("ts_at", 1).alias("validation_from"), F.element_at("ts_at", 2).alias("test_from"),
-            F.slice("ts_at", 3, k).alias("train_from"), F.slice("ts_at", 3 + k, k).alias("final_from"),
-            reason.alias("reason"),
-        )
+    counted = rows.groupBy(spec.device).agg(
+        F.count("*").alias("n"), F.min_by(q(spec.target), q(spec.time)).alias("first_target")
     )
+    found = keep(counted.select(
+        spec.device, "n", "first_target", n_train.alias("n_train"), n_val.alias("n_val"), n_test.alias("n_test"),
+        fold_size(n_train, k).alias("fold_rows_train"), fold_size(fit_all, k).alias("fold_rows_final"),
+        reason.alias("reason"),
+    ))
     table = found.filter("reason IS NULL").drop("reason")
     size = table.agg(F.count("*").alias("d"), F.sum("n").alias("n"), F.max("n").alias("m")).first()
     return Cuts(
-        table=table,
-        rejected=found.filter("reason IS NOT NULL").select(spec.device, "n", "reason"),
+        table=table, rejected=found.filter("reason IS NOT NULL").select(spec.device, "n", "reason"),
         devices=size["d"], rows=size["n"] or 0, largest=size["m"] or 0,
     )
 
 
+def cut_times(rows: DataFrame, spec: CalibrationSpec, config: RunConfig) -> DataFrame:
+    """``(device, validation_from, test_from, train_from, final_from)``: where blocks and folds begin in time."""
+    k = config.cv_splits
+    n_train, n_val, _ = block_sizes(F.col("n"), config)
+    wanted = [n_train, n_train + n_val, *fold_starts(n_train, k), *fold_starts(n_train + n_val, k)]
+    return keep(rank_lookup(rows, spec, day_counts(rows, spec), wanted).select(
+        spec.device, F.element_at("ts_at", 1).alias("validation_from"), F.element_at("ts_at", 2).alias("test_from"),
+        F.slice("ts_at", 3, k).alias("train_from"), F.slice("ts_at", 3 + k, k).alias("final_from"),
+    ))
+
+
 def salts(n: Column, layout: Layout) -> Column:
     """Number of pieces a device's rows are spread over."""
     return F.ceil(n / F.lit(layout.hot_rows)).cast("int")
@@ -200,14 +201,10 @@ def join_device_table(
     return joined if clustered else joined.drop(piece)
 
 
-def assign_cells(
-    rows: DataFrame, spec: CalibrationSpec, config: RunConfig, cuts: Cuts, layout: Layout = Layout()
-) -> DataFrame:
-    """Add ``block``, ``cell_train`` and ``cell_final``; rows of rejected devices are left out."""
+def cells_by_time(rows: DataFrame, spec: CalibrationSpec, config: RunConfig) -> DataFrame:
+    """Add ``block``, ``cell_train`` and ``cell_final`` from the joined columns of ``cut_times``."""
     k = config.cv_splits
     ts = q(spec.time)
-    bounds = cuts.table.select(spec.device, "validation_from", "test_from", "train_from", "final_from")
-    joined = join_device_table(rows, bounds, spec, cuts, layout)
 
     def passed(starts: str) -> Column:
         count = F.lit(0)
@@ -217,13 +214,57 @@ def assign_cells(
 
     in_test = ts >= F.col("test_from")
     in_validation = ts >= F.col("validation_from")
-    return joined.withColumns({
+    return rows.withColumns({
         "block": F.when(in_test, TEST).when(in_validation, VALIDATION).otherwise(TRAIN),
         "cell_train": F.when(in_test, k + 2).when(in_validation, k + 1).otherwise(passed("train_from")),
         "cell_final": F.when(in_test, k + 1).otherwise(passed("final_from")),
     }).drop("validation_from", "test_from", "train_from", "final_from")
 
 
+def cells_by_rank(rows: DataFrame, keys: Sequence[str], spec: CalibrationSpec, config: RunConfig) -> DataFrame:
+    """The same from each row's number in its device; ``n`` is the device's row count."""
+    k = config.cv_splits
+    rank, n = F.col("_rank"), F.col("n")
+    n_train, n_val, _ = block_sizes(n, config)
+    fit_all = n_train + n_val
+
+    def cell(size: Column) -> Column:
+        first = fold_starts(size, k)[0]
+        fold = F.floor((rank - first) / fold_size(size, k)) + 1
+        return F.when(rank < first, 0).otherwise(fold).cast("int")
+
+    in_test, in_validation = rank >= fit_all, rank >= n_train
+    order = Window.partitionBy(*keys).orderBy(spec.time)
+    return rows.withColumn("_rank", F.row_number().over(order) - 1).withColumns({
+        "block": F.when(in_test, TEST).when(in_validation, VALIDATION).otherwise(TRAIN),
+        "cell_train": F.when(in_test, k + 2).when(in_validation, k + 1).otherwise(cell(n_train)),
+        "cell_final": F.when(in_test, k + 1).otherwise(cell(fit_all)),
+    }).drop("_rank", "n")
+
+
+def labelled_rows(
+    rows: DataFrame, spec: CalibrationSpec, config: RunConfig, cuts: Cuts, layout: Layout, buckets: int
+) -> tuple[DataFrame, list[str]]:
+    """Rows with block and cells, hash-partitioned by the returned keys; rejected devices are left out.
+
+    Devices above ``layout.hot_rows`` are spread over pieces, by a hash of the timestamp.
+    """
+    device = spec.device
+    sized = join_device_table(rows, cuts.table.select(device, "n"), spec, cuts, layout)
+    if cuts.largest <= layout.hot_rows:
+        keys = [device]
+        return cells_by_rank(sized.repartition(buckets, *keys), keys, spec, config), keys
+    keys = [device, "_piece"]
+    small = sized.filter(F.col("n") <= layout.hot_rows).withColumn("_piece", F.lit(0))
+    large = sized.filter(F.col("n") > layout.hot_rows).withColumn(
+        "_piece", F.pmod(F.xxhash64(q(spec.time)), salts(F.col("n"), layout)).cast("int")
+    ).drop("n")
+    starts = join_device_table(large, cut_times(large, spec, config), spec, cuts, layout)
+    small = cells_by_rank(small.repartition(buckets, *keys), keys, spec, config)
+    large = cells_by_time(starts, spec, config).repartition(buckets, *keys)
+    return small.unionByName(large), keys
+
+
 def block_periods(rows: DataFrame, spec: CalibrationSpec) -> DataFrame:
     """Rows, first and last timestamp of each block."""
     return rows.groupBy(q(spec.device), "block").agg(

@@ -76,19 +76,13 @@ def keep_columnar(df: DataFrame) -> DataFrame:
 
 
 def keep_clustered(df: DataFrame, keys: list[str], buckets: int, sort: list[str]) -> DataFrame:
-    """Shuffle rows once by ``keys`` and keep them bucketed that way.
+    """Keep rows that are hash-partitioned by ``keys`` as a table bucketed the same way.
 
-    Later aggregates, windows and joins on ``keys`` then need no shuffle.
+    Every task writes one bucket. Later aggregates, windows and joins on
+    ``keys`` then need no shuffle.
     """
     spark = df.sparkSession
     name = f"driftline_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    (
-        df.repartition(buckets, *[F.col(f"`{k}`") for k in keys])
-        .write.format("parquet")
-        .bucketBy(buckets, *keys)
-        .sortBy(*sort)
-        .option("path", path)
-        .saveAsTable(name)
-    )
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*sort).option("path", path).saveAsTable(name)
     return spark.table(name)

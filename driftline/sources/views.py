@@ -1,7 +1,7 @@
 """Sensor-role views over the test tables.
 
-Every value is a quotient of exact decimal sums, so any engine gets the same
-doubles. The target is a fixed mix of the sensors plus unrelated columns as
+Every value is a quotient of exact sums (in units of 0.0001), so any engine
+gets the same doubles. The target is a fixed mix of the sensors plus unrelated columns as
 noise. The reference analyser is in its daily check, and the device in
 maintenance, at fixed points of the calendar.
 """
@@ -33,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exact_mean(value: Column, where: Column | None = None) -> Column:
-    number = value.cast("decimal(18,4)")
-    chosen = number if where is None else F.when(where, number)
-    return F.sum(chosen).cast("double") / F.count(chosen)
+    units = F.round(value * 10000).cast("long")
+    chosen = units if where is None else F.when(where, units)
+    return F.sum(chosen) / F.lit(10000.0) / F.count(chosen)
 
 
 def mix(stand_in: float, noise: Column) -> Column:

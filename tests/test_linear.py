@@ -7,7 +7,8 @@ from driftline.operators.linear import LINEAR_MODELS, RIDGE_ALPHAS, add_linear,
 from driftline.operators.estimators import predict_later, ridge
 from driftline.operators.prepare import prepare
 from driftline.operators.solve import nonnegative_line
-from driftline.spec import Layout
+from driftline.operators.timesplit import cut_times
+from driftline.spec import Layout, RunConfig
 
 LAYOUTS = pytest.mark.parametrize(
     "layout", [Layout(), HOT, SHUFFLED, HOT_SHUFFLED], ids=["plain", "hot", "shuffled", "hot_shuffled"])
@@ -78,7 +79,7 @@ def test_search_equals_the_plain_loop(spark):
 def test_later_rows_do_not_change_earlier_models(spark):
     frame = fleet_frame()
     table = cell_table(spark, frame)
-    starts = {r["device_id"]: r["train_from"][1] for r in table.cuts.table.collect()}
+    starts = {r["device_id"]: r["train_from"][1] for r in cut_times(table.rows, SPEC, table.config).collect()}
     poisoned = frame.copy()
     late = poisoned.ts >= poisoned.device_id.map(starts)
     poisoned.loc[late & poisoned.y.notna(), "y"] = -1e6
@@ -99,7 +100,7 @@ def test_selector_ignores_other_columns(spark):
 
 def test_sensor_absent_in_training_gives_the_mean(spark):
     frame = fleet_frame(devices=1)
-    cut = cell_table(spark, frame).cuts.table.first()["validation_from"]
+    cut = cut_times(cell_table(spark, frame).rows, SPEC, RunConfig.quick()).first()["validation_from"]
     frame.loc[frame.ts < cut, "a"] = np.nan
     frame["b"] = frame["b"].fillna(50.0)
     table = cell_table(spark, frame)

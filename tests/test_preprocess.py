@@ -8,6 +8,7 @@ from driftline.operators.preprocess import (
     device_fills, impute, one_hot, prefix_medians, scale_statistics, standard_scale,
 )
 from driftline.operators.running import running_totals, split_running_totals
+from driftline.operators.timesplit import cut_times
 from driftline.spec import Layout
 
 LAYOUTS = pytest.mark.parametrize(
@@ -49,7 +50,7 @@ def test_gaps_stay_until_imputed(spark):
 def test_later_rows_do_not_move_earlier_medians(spark):
     frame = fleet_frame()
     table = cell_table(spark, frame)
-    starts = {r["device_id"]: r["train_from"][1] for r in table.cuts.table.collect()}
+    starts = {r["device_id"]: r["train_from"][1] for r in cut_times(table.rows, SPEC, table.config).collect()}
     poisoned = frame.copy()
     late = poisoned.ts >= poisoned.device_id.map(starts)
     for c in SPEC.continuous:
