@@ -139,17 +139,21 @@ def find_cuts(rows: DataFrame, spec: CalibrationSpec, config: RunConfig) -> Cuts
         fold_size(n_train, k) < 1, TOO_FEW_FOR_FOLDS
     )
     counted = rows.groupBy(spec.device).agg(
-        F.count("*").alias("n"), F.min_by(q(spec.target), q(spec.time)).alias("first_target")
+        F.count("*").alias("n"), F.min_by(q(spec.target), q(spec.time)).alias("first_target"),
+        F.count_if(q(spec.time).isNull()).alias("no_time"),
     )
     found = keep(counted.select(
         spec.device, "n", "first_target", n_train.alias("n_train"), n_val.alias("n_val"), n_test.alias("n_test"),
         fold_size(n_train, k).alias("fold_rows_train"), fold_size(fit_all, k).alias("fold_rows_final"),
-        reason.alias("reason"),
+        "no_time", reason.alias("reason"),
     ))
+    bad = found.agg(F.sum("no_time").alias("t"), F.sum(F.when(q(spec.device).isNull(), n)).alias("d")).first()
+    if bad["t"] or bad["d"]:
+        raise ValueError(f"{bad['t'] or 0} row(s) without a timestamp, {bad['d'] or 0} without a device")
     table = found.filter("reason IS NULL").drop("reason")
     size = table.agg(F.count("*").alias("d"), F.sum("n").alias("n"), F.max("n").alias("m")).first()
     return Cuts(
-        table=table, rejected=found.filter("reason IS NOT NULL").select(spec.device, "n", "reason"),
+        table=table.drop("no_time"), rejected=found.filter("reason IS NOT NULL").select(spec.device, "n", "reason"),
         devices=size["d"], rows=size["n"] or 0, largest=size["m"] or 0,
     )
 

@@ -529,7 +529,7 @@ def run_manifest(spark, sf_dir):
     source = export.fingerprint(spark, f"{sf_dir}/events.parquet")
     paths = write_outputs(result, folder, source)
     append_manifest(result, f"{folder}/runs", "quick", source, paths)
-    return spark.read.parquet(f"{folder}/runs").select("recipe", "config", "inputs", "outputs")
+    return spark.read.parquet(f"{folder}/runs").select("recipe", "config", "inputs_digest", "outputs")
 
 
 @query

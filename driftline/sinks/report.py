@@ -56,15 +56,11 @@ def report(result: RunResult, source: DataFrame | None = None) -> DataFrame:
 
     features = F.array(*[F.lit(c) for c in spec.features])
     counts = ["rows_parsed", "rows_missing_target", "rows_without_sensor_data", "rows_used"]
-    files = (
-        F.lit(None).cast("array<struct<file:string,digest:string>>") if source is None
-        else F.array(*[
-            F.struct(F.lit(r["file"]).alias("file"), F.lit(r["digest"]).alias("digest"))
-            for r in source.select("file", "digest").limit(1000).collect()
-        ])
-    )
-    dataset = result.accounting.select(device, F.struct(
-        files.alias("files"), F.lit(spec.target).alias("target"), features.alias("features"), *counts
+    accounting = result.accounting.withColumn("files", F.lit(None).cast("array<struct<file:string,digest:string>>"))
+    if source is not None:
+        accounting = accounting.drop("files").join(_device_files(result, source), device, "left")
+    dataset = accounting.select(device, F.struct(
+        "files", F.lit(spec.target).alias("target"), features.alias("features"), *counts
     ).alias("dataset"))
 
     block = F.struct("n_rows", "first_ts", "last_ts")
@@ -97,6 +93,19 @@ def report(result: RunResult, source: DataFrame | None = None) -> DataFrame:
     }))
 
 
+def _device_files(result: RunResult, source: DataFrame) -> DataFrame:
+    """``(device, files)``: a file belongs to the device of its name, or to the only device there is."""
+    device = result.spec.device
+    kind = result.accounting.schema[device].dataType
+    if result.table is not None and result.table.cuts.devices == 1:
+        only = result.accounting.select(device).first()[0]
+        owner = F.lit(only).cast(kind)
+    else:
+        owner = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1).try_cast(kind)
+    files = F.array_sort(F.collect_list(F.struct("file", "digest")))
+    return source.withColumn(device, owner).groupBy(device).agg(files.alias("files"))
+
+
 def _tuning(result: RunResult) -> DataFrame:
     spec, config = result.spec, result.config
     spark, device = result.scores.sparkSession, spec.device
@@ -170,20 +179,26 @@ def write_outputs(result: RunResult, folder: str, source: DataFrame | None = Non
     result.scores.write.mode("overwrite").parquet(paths["scores"])
     result.importance.write.mode("overwrite").parquet(paths["importance"])
     result.rejected.write.mode("overwrite").parquet(paths["rejected"])
+    if source is not None:
+        paths["inputs"] = f"{folder}/inputs.parquet"
+        source.write.mode("overwrite").parquet(paths["inputs"])
     return paths
 
 
 def append_manifest(
     result: RunResult, runs_path: str, recipe: str, source: DataFrame | None = None, outputs: Mapping[str, str] | None = None
 ) -> None:
-    """Append one row on this run: recipe, settings, environment, time, input digests, output digests."""
+    """Append one row on this run: recipe, settings, environment, time, digests of inputs and outputs.
+
+    Inputs are folded into one digest; their list is the ``inputs`` output.
+    """
     spark = result.scores.sparkSession
-    digests = [] if source is None else [tuple(r) for r in source.select("file", "digest").limit(1000).collect()]
+    inputs = None if source is None else table_digest(source.select("file", "digest"))
     made = [(name, table_digest(spark.read.parquet(path))) for name, path in (outputs or {}).items() if path.endswith(".parquet")]
     row = spark.createDataFrame(
-        [(recipe, json.dumps(result.config.as_dict()), json.dumps(result.environment), result.elapsed, digests, made)],
-        "recipe string, config string, environment string, elapsed_seconds double, "
-        "inputs array<struct<file:string,digest:string>>, outputs array<struct<name:string,digest:string>>",
+        [(recipe, json.dumps(result.config.as_dict()), json.dumps(result.environment), result.elapsed, inputs, made)],
+        "recipe string, config string, environment string, elapsed_seconds double, inputs_digest string, "
+        "outputs array<struct<name:string,digest:string>>",
     )
     row.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(runs_path)
 

@@ -63,7 +63,7 @@ def _events(spark: SparkSession, sf_dir: str, device: Column, stamp: Column) ->
 
 
 def _hour(ts: str) -> Column:
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
+    return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(ts))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

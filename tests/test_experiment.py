@@ -86,7 +86,8 @@ def test_report_files(spark, result, export_path, tmp_path):
     append_manifest(result, str(tmp_path / "runs"), "quick", source, paths)
     append_manifest(result, str(tmp_path / "runs"), "quick", source, paths)
     runs = spark.read.parquet(str(tmp_path / "runs")).collect()
-    assert len(runs) == 2 and runs[0]["inputs"][0]["digest"] == source.first()["digest"]
+    assert len(runs) == 2 and runs[0]["inputs_digest"] == runs[1]["inputs_digest"] is not None
+    assert spark.read.parquet(paths["inputs"]).first()["digest"] == source.first()["digest"]
     assert runs[0]["outputs"] == runs[1]["outputs"] and json.loads(runs[0]["config"])["seed"] == 42
 
 
@@ -129,6 +130,13 @@ def test_fleet_run_repeats_and_every_device_chooses(spark):
     assert runs[0].selection.chosen.count() == 3 and runs[0].importance.count() == 15
 
 
+def test_files_belong_to_their_devices(spark):
+    run = run_calibration(to_spark(spark, fleet_frame(devices=2)), SPEC, SMALL, models=LINEAR)
+    source = spark.createDataFrame([("file:/x/1.csv", "b"), ("file:/x/0.csv", "a")], "file string, digest string")
+    found = {r["device_id"]: [f["digest"] for f in r["dataset"]["files"]] for r in report(run, source).collect()}
+    assert found == {0: ["a"], 1: ["b"]}
+
+
 def test_errors(spark, tmp_path):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         run_export(spark, str(tmp_path / "none.csv"), GAS_EXPORT, SMALL)
@@ -138,6 +146,9 @@ def test_errors(spark, tmp_path):
         run_calibration(to_spark(spark, fleet_frame(devices=1)._append(frame.dropna().tail(1))), SPEC, SMALL, models=LINEAR)
     with pytest.raises(ValueError, match="no device"):
         run_calibration(to_spark(spark, frame.head(3)), SPEC, SMALL, models=LINEAR)
+    with pytest.raises(ValueError, match="1 row.s. without a timestamp"):
+        run_calibration(to_spark(spark, frame).withColumn(
+            "ts", F.when(F.col("ts") != F.lit(frame.dropna().ts.iloc[5]), F.col("ts"))), SPEC, SMALL, models=LINEAR)
     with pytest.raises(ValueError, match="unknown"):
         run_calibration(to_spark(spark, frame), SPEC, SMALL, models=("lasso",))
 
