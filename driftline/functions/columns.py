@@ -16,11 +16,11 @@ NA_TOKENS = (
 # Fixed value: the number an export writes for a missing measurement.
 MISSING_MARKER = -200.0
 
-NUMBER = r"[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)?"
-# Blank, a no-value token, or a number: everything a measurement field may hold.
-FIELD_PATTERN = rf"^\s*(|{'|'.join(re.escape(token) for token in NA_TOKENS)}|{NUMBER})\s*$"
-DATE_PATTERN = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-TIME_PATTERN = r"^(\d{1,2})\.(\d{1,2})\.(\d{1,2})$"
+NUMBER = r"[+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?"
+# A number, a no-value token, or blank: everything a measurement field may hold.
+FIELD_PATTERN = rf"^\s*(?:{NUMBER}|{'|'.join(re.escape(token) for token in NA_TOKENS)}|)\s*$"
+DATE_PATTERN = r"^\d{1,2}/\d{1,2}/\d{4}$"
+TIME_PATTERN = r"^\d{1,2}\.\d{1,2}\.[0-5]?\d$"
 
 
 def q(name: str) -> Column:
@@ -61,13 +61,12 @@ def day_first_timestamp(date: Column, time: Column) -> Column:
     Built from its parts, so the session's time zone has no influence.
     """
     d, t = F.trim(date), F.trim(time)
-    part = lambda text, pattern, i: F.regexp_extract(text, pattern, i).try_cast("int")
-    second = part(t, TIME_PATTERN, 3)
+    part = lambda text, mark, i: F.split_part(text, F.lit(mark), F.lit(i)).try_cast("int")
     stamp = F.try_make_timestamp_ntz(
-        part(d, DATE_PATTERN, 3), part(d, DATE_PATTERN, 2), part(d, DATE_PATTERN, 1),
-        part(t, TIME_PATTERN, 1), part(t, TIME_PATTERN, 2), second.cast("decimal(16,6)"),
+        part(d, "/", 3), part(d, "/", 2), part(d, "/", 1),
+        part(t, ".", 1), part(t, ".", 2), part(t, ".", 3).cast("decimal(16,6)"),
     )
-    return F.when(second < 60, stamp)
+    return F.when(d.rlike(DATE_PATTERN) & t.rlike(TIME_PATTERN), stamp)
 
 
 def epoch_day(ts: Column) -> Column:

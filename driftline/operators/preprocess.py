@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftline.functions.columns import q
 from driftline.operators.celltable import CellTable
 from driftline.operators.running import running_totals, split_running_totals
+from driftline.session import keep_columnar
 from driftline.spec import HOUR, WEEKDAY
 
 HOURS, WEEKDAYS = 24, 7
@@ -51,6 +52,7 @@ def prefix_medians(table: CellTable, names: Sequence[str] | None = None) -> Data
     counted = values.groupBy(device, "feature", "v").agg(*[F.sum(c).alias(c) for c in counts])
     if not table.salted:
         return _middle(running_totals(counted, [device, "feature"], "v", counts), [device, "feature"], counts)
+    counted = keep_columnar(counted)
     hot = table.hot_devices()
     if table.cuts.rows // table.layout.hot_rows <= table.layout.broadcast_rows:
         hot = F.broadcast(hot)

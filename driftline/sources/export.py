@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,19 +58,17 @@ def parse_rows(raw: DataFrame, device: str = "device_id", time: str = "ts") -> D
         if key not in raw.columns:
             raise ValueError(f"no {key!r} column among {raw.columns}")
     names = [c for c in raw.columns if c not in (device, DATE, TIME)]
-    date, clock = text_or_null(q(DATE)), text_or_null(q(TIME))
-    stamp = day_first_timestamp(date, clock)
-    valid = F.lit(True)
-    for c in names:
-        valid = valid & valid_field(q(c))
-    problem = (
-        F.when(date.isNull() | clock.isNull(), INCOMPLETE)
-        .when(stamp.isNull(), BAD_TIME)
-        .when(~valid, BAD_NUMBER)
-    )
-    return raw.filter(F.coalesce(date, clock).isNotNull()).select(
-        q(device), stamp.alias(time), *[measurement(q(c)).alias(c) for c in names], problem.alias("problem")
+    # Each step uses the one before more than once, so the optimizer keeps them apart.
+    keyed = raw.select(
+        q(device), text_or_null(q(DATE)).alias("_date"), text_or_null(q(TIME)).alias("_time"), *[q(c) for c in names]
+    ).filter("coalesce(_date, _time) IS NOT NULL")
+    typed = keyed.select(
+        q(device), (F.col("_date").isNull() | F.col("_time").isNull()).alias("_incomplete"),
+        day_first_timestamp(F.col("_date"), F.col("_time")).alias(time),
+        *[measurement(q(c)).alias(c) for c in names], reduce(and_, [valid_field(q(c)) for c in names]).alias("_valid"),
     )
+    problem = F.when(F.col("_incomplete"), INCOMPLETE).when(q(time).isNull(), BAD_TIME).when(~F.col("_valid"), BAD_NUMBER)
+    return typed.select(q(device), q(time), *[q(c) for c in names], problem.alias("problem"))
 
 
 def reject_counts(parsed: DataFrame) -> DataFrame:
