@@ -126,7 +126,7 @@ def nonnegative_line(mean: np.ndarray, spread: np.ndarray) -> tuple[float, np.nd
             if (w < 0).any():
                 continue
             error = spread[-1, -1] - w @ spread[idx, -1]
-            if error < best_error - FLAT * abs(spread[-1, -1]):
+            if error < best_error:
                 best, best_error = np.zeros(b), error
                 best[idx] = w
     return float(mean[-1] - best @ mean[:-1]), best
