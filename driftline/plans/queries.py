@@ -16,7 +16,7 @@ from driftline.operators.importance import permutation_importance
 from driftline.operators.linear import fit_linear, ridge_cv, tune_ridge
 from driftline.operators.prepare import any_sensor, calendar, prepare, row_accounting
 from driftline.operators.preprocess import device_fills, impute, one_hot, prefix_medians, scale_statistics, standard_scale
-from driftline.operators.search import forward_cv, long_predictions, tune_boosting
+from driftline.operators.search import forward_cv, tune_boosting
 from driftline.operators.select import lowest_rmse, scores_wide
 from driftline.operators.stacking import ForwardStack, out_of_fold, stock_stack
 from driftline.operators.timesplit import block_periods, find_cuts, fold_audit

@@ -9,7 +9,6 @@ from pathlib import Path
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
