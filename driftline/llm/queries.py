@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftline.llm import simhash
-from driftline.llm.shared import table
+from driftline.llm import simhash, toxicity
+from driftline.llm.shared import remainder, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,3 +21,14 @@ def registered(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[
 @registered
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "expected_toxic", "toxic_spans",
+    )
