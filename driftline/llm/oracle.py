@@ -3,3 +3,31 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE["op1_decontaminate"] = rf"""
+WITH split AS (
+    SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id,
+        regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+    UNION ALL
+    SELECT 'b', CAST(item_id AS VARCHAR),
+        regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+    FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT id AS item, least(10, len(words)) AS n, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS content
+    FROM (SELECT id, words, unnest(range(1, greatest(2, len(words) - 8))) AS i FROM split WHERE kind = 'b' AND len(words) > 0)
+), sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+    SELECT id, n, i, array_to_string(words[i:i + n - 1], ' ') AS content
+    FROM (
+        SELECT id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM split, sizes WHERE kind = 'd' AND len(words) >= n
+    )
+), met AS (SELECT d.id, d.n, d.i, b.item FROM doc_windows AS d JOIN item_windows AS b USING (n, content)),
+hit_words AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS place FROM met) GROUP BY id),
+hit_items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM met) GROUP BY id)
+SELECT CAST(s.id AS BIGINT) AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split AS s LEFT JOIN hit_words USING (id) LEFT JOIN hit_items USING (id) WHERE kind = 'd'
+"""
