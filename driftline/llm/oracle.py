@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from driftline.llm.mixing import BLOCK, ROUNDS, hashed, round_key, swap
+
 ORACLE: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,3 +33,65 @@ SELECT CAST(s.id AS BIGINT) AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CA
     CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM split AS s LEFT JOIN hit_words USING (id) LEFT JOIN hit_items USING (id) WHERE kind = 'd'
 """
+
+
+def _shuffled(table: str, into: str) -> str:
+    """CTEs that send column x of a table with n, rank and epoch through the rounds of the shuffle."""
+    steps, last = [], table
+    for turn in range(1, ROUNDS + 1):
+        key = round_key("n", "rank", "epoch", str(turn)).replace(" div ", " // ")
+        moved = swap("x", "k", "n", "rank", "epoch", str(turn), "//")
+        steps.append(f"{into}_{turn} AS (SELECT * REPLACE ({moved} AS x) FROM (SELECT *, {key} AS k FROM {last})) ")
+        last = f"(SELECT * EXCLUDE (k) FROM {into}_{turn})"
+    return ", ".join(steps)
+
+
+ORACLE["op5_mix_sources"] = rf"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+        row_number() OVER (ORDER BY source NULLS LAST) AS rank
+    FROM docs GROUP BY source
+), weighed AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources),
+filling AS (
+    SELECT 0 AS round, rank, CAST(NULL AS BIGINT) AS held FROM weighed
+    UNION ALL
+    SELECT round + 1, rank, CASE WHEN held IS NOT NULL THEN held WHEN 2 * source_size * open_weight <= weight * left_over THEN 2 * source_size END
+    FROM (
+        SELECT f.round, f.rank, f.held, w.source_size, w.weight,
+            1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(held) OVER (), 0) AS left_over,
+            sum(CASE WHEN held IS NULL THEN weight ELSE 0 END) OVER () AS open_weight
+        FROM filling AS f JOIN weighed AS w USING (rank) WHERE round < 40
+    )
+), held AS (SELECT rank, held FROM filling WHERE round = 40),
+aims AS (
+    SELECT w.*, CASE WHEN held IS NOT NULL THEN CAST(held AS DOUBLE) ELSE
+        weight * (sum(source_size) OVER () * 3.0::DOUBLE / 2 - coalesce(sum(held) OVER (), 0))
+            / sum(CASE WHEN held IS NULL THEN weight ELSE 0 END) OVER () END AS target
+    FROM weighed AS w JOIN held USING (rank)
+), cut AS (
+    SELECT *, (source_size + {BLOCK - 1}) // {BLOCK} AS n, CAST(floor(target) AS BIGINT) // greatest(source_size, 1) AS passes,
+        CAST(floor(target) AS BIGINT) % greatest(source_size, 1) AS rest
+    FROM aims
+), places AS (SELECT rank, n, passes AS epoch, unnest(range(0, n)) AS place, rest, source_size FROM cut WHERE rest > 0),
+before AS (SELECT *, place AS x FROM places),
+{_shuffled("before", "turned")},
+lengths AS (
+    SELECT rank, place, x AS number, rest, CASE WHEN x = n - 1 THEN source_size - (n - 1) * {BLOCK} ELSE {BLOCK} END AS words
+    FROM turned_{ROUNDS}
+), part_taken AS (
+    SELECT rank, number, greatest(0, least(words, rest - (sum(words) OVER (PARTITION BY rank ORDER BY place) - words))) AS words FROM lengths
+), laid AS (
+    SELECT d.doc_id, d.size, c.rank, c.passes, c.source_size, c.target,
+        CAST(sum(d.size) OVER (PARTITION BY c.rank ORDER BY {hashed("abs(doc_id)", "//")}, doc_id) AS BIGINT) - d.size AS first
+    FROM docs AS d JOIN cut AS c ON d.source IS NOT DISTINCT FROM c.source
+), pieces AS (
+    SELECT doc_id, rank, number, greatest(first - number * {BLOCK}, 0) AS low, least(first + size - number * {BLOCK}, {BLOCK}) AS high
+    FROM (SELECT *, unnest(range(first // {BLOCK}, (first + size - 1) // {BLOCK} + 1)) AS number FROM laid WHERE size > 0)
+), part_by_doc AS (
+    SELECT doc_id, sum(greatest(0, least(high, words) - low)) AS words FROM pieces JOIN part_taken USING (rank, number) GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, CAST(passes * size + coalesce(words, 0) AS BIGINT) AS taken
+FROM laid LEFT JOIN part_by_doc USING (doc_id)
+"""
