@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, mixing, simhash, toxicity
+from driftline.llm import decontaminate, mixing, simhash, tokenfiles, toxicity
 from driftline.llm.shared import remainder, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@registered
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_records(table(spark, sf_dir, "documents"))
