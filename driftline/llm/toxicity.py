@@ -355,3 +355,17 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
     source = docs.select(*kept, text_bytes().alias("_text"))
     schema = source.drop("_text").schema.add("score", "double").add("expected_toxic", "double").add("toxic_spans", "string")
     return source.mapInArrow(of_batches, schema)
+
+
+def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold."""
+    spark = ready(docs)
+    shared_model, columns = spark.sparkContext.broadcast(model), docs.columns
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text or b"" for text in batch.column(columns.index("text")).cast(pa.binary()).to_pylist()]
+            scores = np.array(score_texts(shared_model.value, texts, settings)[0])
+            yield batch.filter(pa.array(scores < threshold, pa.bool_()))
+
+    return docs.mapInArrow(of_batches, docs.schema)
