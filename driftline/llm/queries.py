@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, lmscore, mixing, simhash, tokenfiles, toxicity
+from driftline.llm import decontaminate, lmscore, mixing, quality, simhash, tokenfiles, toxicity
 from driftline.llm.shared import remainder, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,9 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder(F.col("doc_id"), lmscore.HELD_OUT_DIVISOR) == 1, F.lit(False))
     model, words = lmscore.fit(docs, ~held_out)
     return lmscore.score(docs, model, words).withColumn("held_out", held_out)
+
+
+@registered
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
