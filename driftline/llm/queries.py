@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, lmscore, mixing, quality, simhash, tokenfiles, toxicity
+from driftline.llm import decontaminate, lmscore, mixing, pii, quality, simhash, tokenfiles, toxicity
 from driftline.llm.shared import remainder, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,16 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@registered
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [
+        F.aggregate("base", F.lit(0).cast("long"), lambda n, s: n + (s["kind"] == F.lit(kind)).cast("long")).alias(f"n_{name}")
+        for kind, name in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined_spans("base"), 256).alias("base_sha256"),
+        pii.joined_spans(F.array_sort(F.concat("base", "found"))).alias("spans"),
+    )

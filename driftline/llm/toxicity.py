@@ -43,12 +43,12 @@ TO_WORDS = bytes(
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 4_000  # labelled rows, by a hash of doc_id
+    train_rows: int = 3_000  # labelled rows, by a hash of doc_id
     train_bytes: int = 200_000  # longer labelled texts are left out of the training sample
     significance: float = 25.0  # likelihood ratio from which a word is taken as toxic
     least_contexts: int = 4  # words and stems with fewer are treated as unknown
-    rounds: int = 20
-    rate: float = 0.5
+    rounds: int = 8
+    rate: float = 1.5
     penalty: float = 0.02
     longest_chain: int = 128  # tokens; longer sentences are several chains
     tokens_at_once: int = 400_000
@@ -114,18 +114,27 @@ def marginals(model: Model, score: np.ndarray, begin: np.ndarray, length: np.nda
             toxic[t], total[t] = toxic_now, whole
         clean_back, toxic_back = np.ones(len(chosen)), np.ones(len(chosen))
         for t in range(steps - 1, -1, -1):
-            inside = live[t]
             on, off = toxic[t] * toxic_back, (1 - toxic[t]) * clean_back
-            result[at[t][inside]] = (on / (on + off))[inside]
+            whole = on + off
+            inside = live[t] if t > steps - 4 else None  # before, all chains of the batch go on
             if t:
-                after = live[t]
+                scale = 1 / (whole * total[t])
+                if inside is not None:
+                    scale = scale * inside
                 to_toxic = x[t] * toxic_back
-                for u, forward in ((0, 1 - toxic[t - 1]), (1, toxic[t - 1])):
-                    pairs[u, 0] += (forward * move[u, 0] * clean_back / ((on + off) * total[t]))[after].sum()
-                    pairs[u, 1] += (forward * move[u, 1] * to_toxic / ((on + off) * total[t]))[after].sum()
+                forward, backward = toxic[t - 1] * scale, to_toxic
+                rest = scale - forward
+                pairs += move * np.array([
+                    [rest @ clean_back, rest @ backward], [forward @ clean_back, forward @ backward]
+                ])
                 new_clean = (move[0, 0] * clean_back + move[0, 1] * to_toxic) / total[t]
                 new_toxic = (move[1, 0] * clean_back + move[1, 1] * to_toxic) / total[t]
-                clean_back, toxic_back = np.where(after, new_clean, 1.0), np.where(after, new_toxic, 1.0)
+                if inside is None:
+                    clean_back, toxic_back = new_clean, new_toxic
+                else:
+                    clean_back, toxic_back = np.where(inside, new_clean, 1.0), np.where(inside, new_toxic, 1.0)
+            toxic[t] = on / whole
+        result[at[live]] = toxic[live]
     return result, pairs
 
 
