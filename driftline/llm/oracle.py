@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from driftline.llm.licenses import CLUE, RULES, SENTENCES, SPEAKS_OF_LICENSE
 from driftline.llm.mixing import BLOCK, ROUNDS, hashed, round_key, swap
 
 ORACLE: dict[str, str] = {}
@@ -95,3 +96,40 @@ lengths AS (
 SELECT doc_id, size, source_size, target, CAST(passes * size + coalesce(words, 0) AS BIGINT) AS taken
 FROM laid LEFT JOIN part_by_doc USING (doc_id)
 """
+
+
+def _rules() -> tuple[str, str]:
+    """CTEs that let the rules consume a text's sequence of identifiers one after the other; the last one's name."""
+    steps, last = [], "sequences"
+    for nth, (name, ids) in enumerate(RULES):
+        frame = "," + ",".join(ids) + ","
+        steps.append(
+            f"rule_{nth} AS (SELECT doc_id, replace(rest, '{frame}', ',;,') AS rest, CASE WHEN contains(rest, '{frame}') "
+            f"AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
+        )
+        last = f"rule_{nth}"
+    return ", ".join(steps), last
+
+
+_STEPS, _LAST = _rules()
+_KNOWN = ", ".join(f"('{text}', '{name}')" for name, text in SENTENCES.items())
+ORACLE["op3_license_scan"] = rf"""
+WITH known(sentence, name) AS (VALUES {_KNOWN}),
+lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+cut AS (
+    SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS part
+    FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\x20\x09\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS parts
+          FROM lowered WHERE regexp_matches(text, '{CLUE}'))
+), named AS (
+    SELECT doc_id, place, sentence, name
+    FROM (SELECT doc_id, place, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM cut) LEFT JOIN known USING (sentence)
+), merged AS (
+    SELECT doc_id, string_agg(name, ',' ORDER BY place) AS ids,
+        count(*) FILTER (WHERE name IS NULL AND regexp_matches(sentence, '{SPEAKS_OF_LICENSE}')) AS n_unknown
+    FROM named GROUP BY doc_id
+), sequences AS (SELECT doc_id, ',' || coalesce(ids, '') || ',' AS rest, CAST([] AS VARCHAR[]) AS found FROM merged),
+{_STEPS}
+SELECT d.doc_id, coalesce(array_to_string(found, ','), '') AS licenses, coalesce(ids, '') AS sentence_ids,
+    CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown
+FROM documents AS d LEFT JOIN merged USING (doc_id) LEFT JOIN {_LAST} USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, lmscore, mixing, pii, quality, simhash, tokenfiles, toxicity
+from driftline.llm import decontaminate, licenses, lmscore, mixing, pii, quality, simhash, tokenfiles, toxicity
 from driftline.llm.shared import remainder, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(pii.joined_spans("base"), 256).alias("base_sha256"),
         pii.joined_spans(F.array_sort(F.concat("base", "found"))).alias("spans"),
     )
+
+
+@registered
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"), "n_unknown",
+    )
