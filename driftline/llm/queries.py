@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, licenses, lmscore, mixing, pii, quality, simhash, tokenfiles, toxicity
+from driftline.llm import decontaminate, licenses, lmscore, mixing, pii, quality, simhash, suffixes, tokenfiles, toxicity
 from driftline.llm.shared import remainder, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.array_join("licenses", ",").alias("licenses"),
         F.array_join("sentence_ids", ",").alias("sentence_ids"), "n_unknown",
     )
+
+
+@registered
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
