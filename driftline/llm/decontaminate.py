@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text shares no window with an item; null texts stay."""
-    marked = docs.withColumn("_text", F.md5(F.col("text").cast("binary")))
-    found = hits(marked.select("_text", "text"), ["_text"], benchmark, window, broadcast_rows)
-    bad = found.filter((F.col("n_hit") > 0) & F.col("_text").isNotNull()).select("_text")
-    return marked.join(bad, "_text", "left_anti").select(*docs.columns)
+    marked = docs.select(F.md5(F.col("text").cast("binary")).alias("key"), "text", F.struct(*docs.columns).alias("doc"))
+    found = hits(marked.select("key", "text"), ["key"], benchmark, window, broadcast_rows)
+    bad = found.filter((F.col("n_hit") > 0) & F.col("key").isNotNull()).select("key")
+    return marked.join(bad, "key", "left_anti").select("doc.*")

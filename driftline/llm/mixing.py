@@ -62,10 +62,13 @@ def with_keys(sources: DataFrame, epoch: str) -> DataFrame:
     )
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """Adds size, the number of words of the text."""
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANKS), "")
-    return docs.withColumn("size", F.size(words).cast("long"))
+def size_of(text: Column) -> Column:
+    """Words of a text."""
+    return F.size(words_of(text)).cast("long")
+
+
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
 def targets(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
@@ -178,6 +181,7 @@ def block_pieces(documents: DataFrame, sources: DataFrame, block: int = BLOCK) -
     Running sums go over buckets of the pseudorandom order first and then
     inside one bucket, so a large source is no single group.
     """
+    documents = documents.select("doc_id", "source", "size", "_row")
     rows = documents.count()
     buckets = max(1, rows // ROWS_PER_BUCKET)
     key = F.expr(hashed("abs(coalesce(doc_id, _row))"))
@@ -209,8 +213,10 @@ def taken_pieces(documents: DataFrame, sources: DataFrame, shards: int = SHARDS,
     )
 
 
-def _numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return stored(sized(docs).select(*columns, "size", F.monotonically_increasing_id().alias("_row")))
+def _numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    return stored(docs.select(
+        "doc_id", "source", size_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("_row"), *more
+    ))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
@@ -220,7 +226,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARD
     a source of its own, the last. Repeated rows are documents of their own.
     Without words every target is 0; an empty table gives no rows.
     """
-    documents = _numbered(docs, ["doc_id", "source"])
+    documents = _numbered(docs)
     sources = stored(targets(documents, weights, block))
     taken = taken_pieces(documents, sources, shards, block).groupBy("_row").agg(F.sum("n").alias("taken"))
     aims = sources.select(F.col("source").alias("_source"), "source_size", "target")
@@ -235,18 +241,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards:
     A document that a pass takes whole keeps its text; else the taken words are
     joined by spaces. The other columns stay, but for n_chars, which is counted anew.
     """
-    documents = _numbered(docs, docs.columns)
+    documents = _numbered(docs, F.struct(*docs.columns).alias("doc"))  # a struct, so that no column name clashes
     sources = stored(targets(documents, weights, block))
     passes = taken_pieces(documents, sources, shards, block).groupBy("_row", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("start", "n"))).alias("pieces"), F.sum("n").alias("taken")
     )
-    words = F.array_remove(F.split("text", BLANKS), "")
-    joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
-        "pieces", lambda piece: F.slice(w, (piece["start"] + 1).cast("int"), piece["n"].cast("int"))
+    joined = F.transform(F.array(words_of(F.col("doc.text"))), lambda words: F.array_join(F.flatten(F.transform(
+        "pieces", lambda piece: F.slice(words, (piece["start"] + 1).cast("int"), piece["n"].cast("int"))
     )), " "))[0]
     found = documents.join(passes, "_row").withColumn(
-        "text", F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(joined)
+        "text", F.when(F.col("taken") == F.col("size"), F.col("doc.text")).otherwise(joined)
     )
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
-    return toxicity.score(docs.select("doc_id", "text"), model).select(
+    return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "expected_toxic", "toxic_spans",
     )

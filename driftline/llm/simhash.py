@@ -119,7 +119,7 @@ def _split_crowded(places: DataFrame, crowd: int) -> DataFrame:
     crowded = stored(crowded)
     if not crowded.take(1):
         return places
-    other = F.shiftrightunsigned(F.col("fp"), F.when(F.col("key") < F.lit(1 << 31), 32).otherwise(0))
+    other = F.when(F.col("key") < F.lit(1 << 31), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
     parts = F.array(*[
         F.xxhash64("key", F.lit(j), F.shiftrightunsigned(other, 8 * j).bitwiseAND(F.lit(255))) for j in range(4)
     ])
@@ -228,6 +228,7 @@ def keep_one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int
     """
     named = near_duplicates(docs, width, max_bits)
     kept = named.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"])
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
-    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    whole = docs.select("doc_id", F.struct(*docs.columns).alias("doc"))  # a struct, so that no column name clashes
+    order = Window.partitionBy("doc_id").orderBy("doc")
+    once = whole.join(kept, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return once.select("doc.*").unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -341,33 +341,30 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, settin
 
 
 def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
-    """All columns of ``docs`` but text, with score, expected_toxic and toxic_spans of every row.
+    """doc_id, score, expected_toxic and toxic_spans of every row.
 
     Null and empty texts have no tokens and get the curve's score for none.
     Repeated rows are scored alike. Without labels of both kinds the score is
-    close to 0 for every text. An empty table gives no rows.
+    close to 0 for every text. An empty table gives no rows; other columns are
+    not read.
     """
     spark = ready(docs)
-    kept = [c for c in docs.columns if c != "text"]
     shared_model = spark.sparkContext.broadcast(model)  # bounded by the words of the training sample
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = score_texts(shared_model.value, batch.column("_text").to_pylist(), settings)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [
-                    pa.array(found[0], pa.float64()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.string())
-                ],
-                [*kept, "score", "expected_toxic", "toxic_spans"],
-            )
+            found = score_texts(shared_model.value, batch.column("text").to_pylist(), settings)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(found[0], pa.float64()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.string())
+            ], ["doc_id", "score", "expected_toxic", "toxic_spans"])
 
-    source = docs.select(*kept, text_bytes().alias("_text"))
-    schema = source.drop("_text").schema.add("score", "double").add("expected_toxic", "double").add("toxic_spans", "string")
-    return source.mapInArrow(of_batches, schema)
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(
+        of_batches, "doc_id long, score double, expected_toxic double, toxic_spans string"
+    )
 
 
 def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below the threshold."""
+    """The rows of ``docs``, all columns, that score below the threshold; null and empty texts score as ``score`` says."""
     spark = ready(docs)
     shared_model, columns = spark.sparkContext.broadcast(model), docs.columns
 
