@@ -28,7 +28,7 @@ BLOCK = 256
 SHARDS = 64
 ROUNDS = 16
 PRIME = 2_147_483_647
-CHUNK = 10_000
+CHUNK = 2_000
 ROWS_PER_BUCKET = 100_000
 BROADCAST_ROWS = 100_000
 
@@ -40,7 +40,7 @@ def hashed(number: str, div: str = "div") -> str:
 
 
 def round_key(n: str, rank: str, epoch: str, turn: str) -> str:
-    return f"({hashed(f'{n} + 7919 * {turn} + 104729 * {rank} + 15485863 * {epoch}')} % {n})"
+    return f"({hashed(f'{n} + 7919 * {turn} + 104729 * {rank} + 15485863 * {epoch}')} % greatest({n}, 1))"
 
 
 def swap(x: str, key: str, n: str, rank: str, epoch: str, turn: str, div: str = "div") -> str:
@@ -50,16 +50,25 @@ def swap(x: str, key: str, n: str, rank: str, epoch: str, turn: str, div: str =
     return f"CASE WHEN {coin} {div} 32768 % 2 = 1 THEN {partner} ELSE {x} END"
 
 
-def permuted(x: str, n: str, rank: str, epoch: str, backwards: bool = False) -> Column:
-    """The image of x under a source's permutation for a pass; ``keys`` has the round keys."""
-    turns = f"sequence({ROUNDS}, 1, -1)" if backwards else f"sequence(1, {ROUNDS})"
-    return F.expr(f"aggregate({turns}, CAST({x} AS BIGINT), (x, r) -> {swap('x', 'keys[r - 1]', n, rank, epoch, 'r')})")
-
+def permuted(x: str, n: str, rank: str, epoch: str, keys: str, backwards: bool = False) -> Column:
+    """The image of x under a source's permutation for a pass; ``keys`` has the round keys of the pass.
 
-def with_keys(sources: DataFrame, epoch: str) -> DataFrame:
-    return sources.withColumn(
-        "keys", F.expr(f"transform(sequence(1, {ROUNDS}), r -> CAST({round_key('blocks', 'rank', epoch, 'r')} AS BIGINT))")
-    )
+    The same as ``swap`` in all rounds, with the partner and the coin's number computed once.
+    """
+    turns = f"sequence({ROUNDS}, 1, -1)" if backwards else f"sequence(1, {ROUNDS})"
+    number = f"greatest(x, p) * 17 + 1000003 * r + 7907 * {rank} + 31 * {epoch}"
+    coin = f"transform(array({number}), v -> {hashed('v')} div 32768 % 2)[0]"
+    partner = f"({keys}[r - 1] + {n} - x) % {n}"
+    step = f"transform(array({partner}), p -> CASE WHEN {coin} = 1 THEN p ELSE x END)[0]"
+    return F.expr(f"aggregate({turns}, CAST({x} AS BIGINT), (x, r) -> {step})")
+
+
+def with_keys(sources: DataFrame, epochs: int = MOST_PASSES + 1) -> DataFrame:
+    """Adds keys: the round keys of each pass."""
+    key = round_key("blocks", "rank", "e", "r")
+    return sources.withColumn("keys", F.expr(
+        f"transform(sequence(0, {epochs - 1}), e -> transform(sequence(1, {ROUNDS}), r -> CAST({key} AS BIGINT)))"
+    ))
 
 
 def size_of(text: Column) -> Column:
@@ -100,6 +109,7 @@ def targets(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
         f"CASE WHEN full THEN CAST({MOST_PASSES} * source_size AS DOUBLE) "
         f"ELSE weight * (total * CAST({up} AS DOUBLE) / {down} - full_words) / open_weight END"
     ))
+    # epoch below passes: a whole pass; epoch equal to passes: the part of one
     cut = aimed.select("source", "rank", "weight", "source_size", "target").withColumn(
         "blocks", F.expr(f"(source_size + {block - 1}) div {block}")
     ).withColumn("last_words", F.expr(f"source_size - (blocks - 1) * {block}")).withColumn(
@@ -109,10 +119,10 @@ def targets(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
 
 
 def _with_slots(sources: DataFrame, block: int) -> DataFrame:
-    """Adds short_at, the place of the short last block in the pass that is not completed, and slots."""
-    placed = with_keys(sources, "passes").withColumn(
-        "short_at", F.when(F.col("blocks") > 0, permuted("blocks - 1", "blocks", "rank", "passes", backwards=True))
-    ).drop("keys")
+    """Adds keys, short_at, the place of the short last block in the pass that is not completed, and slots."""
+    placed = with_keys(sources).withColumn("short_at", F.when(
+        F.col("blocks") > 0, permuted("blocks - 1", "blocks", "rank", "passes", "keys[passes]", backwards=True)
+    ))
     return placed.withColumn("slots", F.expr(
         f"blocks * passes + CASE WHEN blocks = 0 THEN 0 WHEN (rest + {block - 1}) div {block} <= short_at "
         f"THEN (rest + {block - 1}) div {block} ELSE (rest + {block} - last_words + {block - 1}) div {block} END"
@@ -161,12 +171,14 @@ def slot_table(sources: DataFrame, shards: int = SHARDS, block: int = BLOCK) ->
         "rank", "shard", (F.col("first") + F.col("part") * CHUNK).alias("low"),
         F.expr(f"first + least(n, (part + 1) * {CHUNK}) - 1").alias("high"),
     )
-    dealt = chunks.repartition(F.col("rank"), F.col("low"))
-    per_source = sources.select("rank", "blocks", "last_words", "passes", "rest", "short_at")
-    slots = dealt.withColumn("slot", F.explode(F.sequence("low", "high"))).join(per_source, "rank").withColumn(
-        "epoch", F.expr("slot div blocks")
-    ).withColumn("place", F.expr("slot % blocks"))
-    numbered = with_keys(slots, "epoch").withColumn("number", permuted("place", "blocks", "rank", "epoch"))
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(parts, "rank", "low")  # few small rows, but much work for each
+    per_source = sources.select("rank", "blocks", "last_words", "passes", "rest", "short_at", "keys")
+    n_sources = sources.count()
+    slots = dealt.join(_checked(per_source, n_sources), "rank").withColumn(
+        "slot", F.explode(F.sequence("low", "high"))
+    ).withColumn("epoch", F.expr("slot div blocks")).withColumn("place", F.expr("slot % blocks"))
+    numbered = slots.withColumn("number", permuted("place", "blocks", "rank", "epoch", "keys[epoch]"))
     length = f"CASE WHEN number = blocks - 1 THEN last_words ELSE {block} END"
     done = f"(place * {block} - CASE WHEN place > short_at THEN {block} - last_words ELSE 0 END)"
     return numbered.select(

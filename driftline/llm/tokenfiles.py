@@ -19,11 +19,15 @@ replaces the file by an equal one.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ HEAD, CHECK, ENTRY = "<QI", "<I", "<QqQII"
 HEAD_BYTES, CHECK_BYTES, ENTRY_BYTES = 12, 4, 32
 MASK = 0xA282EAD8
 WORDS_AT_ONCE = 200_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 RECORDS_PER_READ = 2_000
 INDEX_TYPE = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("before", "<u8"), ("n", "<u4"), ("flags", "<u4")])
 
@@ -55,42 +59,91 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Words of Latin letters and plain marks: the pattern below cuts them as the tokenizer does, into runs of either.
+SIMPLE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e.,;:!?#*$%&|()\[\]{}\"/+=_@>~^-]+")
+RUN = re.compile(r"[a-z\u00df-\u017e]+|[^a-z\u00df-\u017e]+")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: visible Latin-1 characters stand for themselves, others follow from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of texts, word by word with a bounded cache.
 
     Only for tokenizers that split at white space and drop it: then a text's
-    ids are those of its words, one after the other.
+    ids are those of its words, one after the other. Simple words, in lower
+    case, go to the tokenizer's model run by run, if the tokenizer's rules are
+    the ones known here; all others go through the whole tokenizer.
     """
 
+    KNOWN_RULES = (  # fixed values: the rules for which runs of simple words are known
+        ("NFC", "Replace", "Lowercase"), "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+    )
+
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        rules = json.loads(definition)
+        steps = tuple(x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", []))
+        cuts = [x.get("pattern", {}).get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_runs = (steps, cuts[0] if cuts else None) == self.KNOWN_RULES
+        self.alphabet = byte_alphabet()
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.runs: dict[str, bytes] = {}
         self.lengths, self.starts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=self.kind)
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        mapped = run if run.isascii() else "".join(map(self.alphabet.__getitem__, run.encode()))
+        found = self.runs[run] = self._packed([token.id for token in self.tokenizer.model.tokenize(mapped)])
+        return found
+
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        lengths = np.array([len(x) for x in ids], dtype=np.int64)
+        """Remember the ids of new words, packed, so that the cache is few objects."""
+        packed, others = [b""] * len(words), []
+        known, simple, cut = self.runs.get, SIMPLE.fullmatch, RUN.findall
+        for nth, word in enumerate(words):
+            text = word.decode("utf-8", "replace")
+            if self.by_runs and simple(text):
+                runs = cut(text.lower())
+                if len(runs) == 1:
+                    packed[nth] = known(runs[0]) or self._run(runs[0])
+                else:
+                    packed[nth] = b"".join([known(run) or self._run(run) for run in runs])
+            else:
+                others.append((nth, text))
+        found = self.tokenizer.encode_batch([text for _, text in others], add_special_tokens=False)
+        for (nth, _), own in zip(others, found, strict=True):
+            packed[nth] = self._packed(own.ids)
+        lengths = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.kind.itemsize
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in ids for i in x), dtype=self.kind, count=int(lengths.sum()))))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(packed), dtype=self.kind)))
 
     def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each word."""
         if len(self.place) > CACHED_WORDS:
             self.forget()
-        if new := [w for w in dict.fromkeys(words) if w not in self.place]:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list({words[i] for i in missing}))
+            at[missing] = [self.place[words[i]] for i in missing]
         lengths = self.lengths[at]
         nth = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         return self.ids[np.repeat(self.starts[at], lengths) + nth], lengths
