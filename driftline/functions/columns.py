@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Texts that mean "no value" in an export, besides the empty field.
 NA_TOKENS = (
@@ -69,14 +70,21 @@ def day_first_timestamp(date: Column, time: Column) -> Column:
     return F.when(d.rlike(DATE_PATTERN) & t.rlike(TIME_PATTERN), stamp)
 
 
-def epoch_day(ts: Column) -> Column:
-    return F.unix_date(F.to_date(ts))
+def epoch_second(ts: Column, kind: T.DataType) -> Column:
+    """Whole seconds in the order of the timestamps.
 
-
-def epoch_second(ts: Column) -> Column:
-    """Whole wall-clock seconds since 1970-01-01, independent of the time zone."""
+    Of an instant, those since 1970-01-01 UTC, as a wall clock goes back when
+    daylight saving ends; of a timestamp without zone, those of its wall clock.
+    """
+    if isinstance(kind, T.TimestampType):
+        return F.unix_seconds(ts)
     clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    return epoch_day(ts).cast("long") * 86400 + clock.cast("long")
+    return F.unix_date(F.to_date(ts)).cast("long") * 86400 + clock.cast("long")
+
+
+def epoch_day(ts: Column, kind: T.DataType) -> Column:
+    """Number of the 86,400 seconds that ``epoch_second`` lies in."""
+    return F.floor(epoch_second(ts, kind) / 86400).cast("long")
 
 
 def iso(ts: Column) -> Column:

@@ -161,7 +161,18 @@ def check_columns(rows: DataFrame, table: CellTable) -> None:
         raise ValueError(f"prediction needs the features {list(features)} in this order, found {found}")
 
 
+NO_MODEL = "no model for the device"
+
+
 def predict_later(fitted: Fitted, readings: DataFrame, table: CellTable, out: str = "prediction") -> DataFrame:
-    """Predict new feature rows with the full fit; also for streaming rows."""
+    """Predict new feature rows with the full fit; also for streaming rows.
+
+    Readings of a device without a model stay, with a NULL prediction and a ``reason``.
+    """
     check_columns(readings, table)
-    return fitted.at(readings, table.last, out)
+    device = table.spec.device
+    predicted = fitted.at(readings, table.last, out).withColumn("reason", F.lit(None).cast("string"))
+    unknown = readings.join(table.cuts.table.select(device), device, "left_anti")
+    return predicted.unionByName(
+        unknown.withColumn(out, F.lit(None).cast("double")).withColumn("reason", F.lit(NO_MODEL))
+    )

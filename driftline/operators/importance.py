@@ -3,13 +3,14 @@
 A shuffle is a random cycle: rows are put in the order of a hash of their key,
 and each takes the feature values of the next one, the last those of the
 first. One window does it, with no join, and the order is the same in every
-engine. All features of a repeat share the shuffle. A large block is cut into
-cycles of about ``CYCLE_ROWS`` rows chosen by the same hash, so no device is
-handled by one task.
+engine. All features of a repeat share the shuffle. With devices above
+``Layout.hot_rows`` the same cycle is walked in slices of the hash order, so
+no device is handled by one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,35 +21,48 @@ from driftline.functions.metrics import rmse
 from driftline.operators.celltable import CellTable
 from driftline.operators.estimators import Fitted, LinearFitted
 from driftline.operators.linear import contributions, wide_models
+from driftline.session import keep, keep_columnar
 from driftline.spec import CalibrationSpec
 
-CYCLE_ROWS = 1_000_000
-
-
 def row_hash(spec: CalibrationSpec, repeat: Column, seed: int) -> Column:
     stamp = F.date_format(q(spec.time), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return F.md5(F.concat_ws(":", q(spec.device).cast("string"), stamp, repeat.cast("string"), F.lit(str(seed))))
 
 
-def with_donors(
-    rows: DataFrame, table: CellTable, repeats: int, seed: int, cycle_rows: int = CYCLE_ROWS
-) -> DataFrame:
+def with_donors(rows: DataFrame, table: CellTable, repeats: int, seed: int) -> DataFrame:
     """Every row once per repeat, with ``donor``: the features of the row it is paired with."""
     spec = table.spec
     repeated = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     hashed = repeated.withColumn("_hash", row_hash(spec, F.col("repeat"), seed))
-    if table.cuts.largest <= cycle_rows:
-        hashed = hashed.withColumn("_cycle", F.lit(0))
-    else:
-        sizes = table.cuts.table.select(spec.device, F.ceil(F.col("n_test") / cycle_rows).cast("long").alias("_cycles"))
-        number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
-        hashed = table.join_devices(hashed, sizes).withColumn("_cycle", F.pmod(number, F.col("_cycles"))).drop("_cycles")
     features = F.struct(*[q(c).alias(f"_{i}") for i, c in enumerate(spec.features)])
-    cycle = Window.partitionBy(spec.device, "repeat", "_cycle").orderBy("_hash", spec.time)
+    keys, order = [spec.device, "repeat"], ["_hash", spec.time]
+    if table.salted:
+        return _sliced_donors(hashed, features, keys, order, table, repeats)
+    cycle = Window.partitionBy(*keys).orderBy(*order)
     so_far = cycle.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return hashed.withColumn(
         "donor", F.coalesce(F.lead(features).over(cycle), F.first(features).over(so_far))
-    ).drop("_hash", "_cycle")
+    ).drop("_hash")
+
+
+def _sliced_donors(
+    hashed: DataFrame, features: Column, keys: list[str], order: list[str], table: CellTable, repeats: int
+) -> DataFrame:
+    """The same cycles: a slice's last row takes the first row of the next slice, the last slice's that of the first."""
+    parts = max(2, math.ceil(table.cuts.rows * repeats / table.layout.hot_rows))
+    sliced = keep_columnar(
+        hashed.repartitionByRange(parts, *keys, *order).withColumn("_slice", F.spark_partition_id())
+    )
+    firsts = sliced.groupBy(*keys, "_slice").agg(F.min_by(features, F.struct(*order)).alias("_own"))
+    slices = Window.partitionBy(*keys).orderBy("_slice")  # at most one row per slice and key
+    nexts = keep(firsts.select(
+        *keys, "_slice",
+        F.coalesce(F.lead("_own").over(slices), F.first("_own").over(slices)).alias("_next"),
+    ))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    return sliced.withColumn("donor", F.lead(features).over(inside)).join(nexts, [*keys, "_slice"]).withColumn(
+        "donor", F.coalesce("donor", "_next")
+    ).drop("_hash", "_slice", "_next")
 
 
 def _linear_errors(rows: DataFrame, table: CellTable, fitted: LinearFitted, cell: int) -> DataFrame:
@@ -102,7 +116,6 @@ def permutation_importance(
     repeats: int = 10,
     seed: int = 42,
     devices: DataFrame | None = None,
-    cycle_rows: int = CYCLE_ROWS,
 ) -> DataFrame:
     """``(device, feature, position, rmse_increase_mean, rmse_increase_std)`` on the last block.
 
@@ -112,7 +125,7 @@ def permutation_importance(
     rows = table.cells(scheme, cell, cell)
     if devices is not None:
         rows = table.join_devices(rows, devices.select(spec.device))
-    rows = with_donors(rows, table, repeats, seed, cycle_rows)
+    rows = with_donors(rows, table, repeats, seed)
     errors = (_linear_errors if isinstance(fitted, LinearFitted) else _general_errors)(rows, table, fitted, cell)
     names = F.array(*[F.lit(c) for c in spec.features])
     increase = F.col("rmse") - F.col("plain")

@@ -79,9 +79,14 @@ def fill_at(table: CellTable, scheme: str, f: int, feature: int) -> Column:
     return F.col("fills")[feature][table.prefix_number(scheme, f)]
 
 
+def fills_weight(table: CellTable) -> int:
+    """How many plain rows of about eight numbers a row of ``fills`` is worth."""
+    return max(1, len(table.spec.continuous) * len(table.prefixes) // 8)
+
+
 def impute(rows: DataFrame, table: CellTable, fills: DataFrame, scheme: str, f: int) -> DataFrame:
     """Continuous features filled with the medians of one prefix."""
-    joined = table.join_devices(rows, fills)
+    joined = table.join_devices(rows, fills, fills_weight(table))
     filled = {
         c: F.coalesce(q(c), fill_at(table, scheme, f, i)) for i, c in enumerate(table.spec.continuous)
     }

@@ -94,8 +94,6 @@ def tune_boosting(table: CellTable, config: RunConfig) -> BoostingSearch:
     """
     drawn = draw_boosting(config.search_iterations, config.seed)
     candidates = [boosting(config.seed, **p) for p in drawn]
-    # The full training fits run alongside: the winner's is needed next, and fits are remembered.
-    fit_many(table, candidates, "train", range(1, table.last + 1))
     cv = keep(forward_cv(table, candidates, by_device=False))
     check_scores(cv)
     means = cv.groupBy("candidate").agg(F.avg("rmse").alias("cv_rmse"))

@@ -44,7 +44,7 @@ def select_model(validation: DataFrame, by: Sequence[str], order: Sequence[str]
     if not facts["n"]:
         raise ValueError("no scored models to choose from")
     if facts["bad"]:
-        raise ValueError("every candidate needs a finite validation RMSE")
+        raise ValueError(f"{facts['bad']} validation score(s) are not finite, so no model can be chosen")
     chosen = keep(lowest_rmse(known, by, order).select(*by, "model"))
     found = {r["model"] for r in chosen.select("model").distinct().collect()}
     return Selection(chosen, tuple(name for name in order if name in found))

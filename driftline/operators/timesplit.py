@@ -58,12 +58,13 @@ def fold_starts(n: Column, folds: int) -> list[Column]:
 
 def day_counts(rows: DataFrame, spec: CalibrationSpec) -> DataFrame:
     """Rows per device and day."""
-    return rows.groupBy(spec.device, epoch_day(q(spec.time)).alias("day")).agg(F.count("*").alias("n_day"))
+    day = epoch_day(q(spec.time), rows.schema[spec.time].dataType)
+    return rows.groupBy(spec.device, day.alias("day")).agg(F.count("*").alias("n_day"))
 
 
 def rank_lookup(rows: DataFrame, spec: CalibrationSpec, days: DataFrame, wanted: list[Column]) -> DataFrame:
     """``(device, ts_at)``: the timestamps at given ranks (0-based, expressions over ``n``), exactly."""
-    device, ts = spec.device, q(spec.time)
+    device, ts, kind = spec.device, q(spec.time), rows.schema[spec.time].dataType
     in_order = Window.partitionBy(device).orderBy("day")
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     days = days.withColumns({
@@ -83,9 +84,9 @@ def rank_lookup(rows: DataFrame, spec: CalibrationSpec, days: DataFrame, wanted:
     # At most 86,400 seconds per device and day.
     seconds = (
         rows.select(device, ts.alias("ts"))
-        .withColumn("day", epoch_day(F.col("ts")))
+        .withColumn("day", epoch_day(F.col("ts"), kind))
         .join(cut_days.select(device, "day"), [device, "day"], "left_semi")
-        .groupBy(device, "day", epoch_second(F.col("ts")).alias("second"))
+        .groupBy(device, "day", epoch_second(F.col("ts"), kind).alias("second"))
         .agg(F.count("*").alias("n_second"), F.min("ts").alias("ts_first"))
     )
     in_day = Window.partitionBy(device, "day").orderBy("second")
@@ -106,7 +107,7 @@ def rank_lookup(rows: DataFrame, spec: CalibrationSpec, days: DataFrame, wanted:
         # Keys are unique to the microsecond, so one second holds at most a million rows.
         numbered = (
             rows.select(device, ts.alias("ts"))
-            .withColumn("second", epoch_second(F.col("ts")))
+            .withColumn("second", epoch_second(F.col("ts"), kind))
             .join(within.select(device, "second").distinct(), [device, "second"], "left_semi")
             .withColumn("skip", F.row_number().over(Window.partitionBy(device, "second").orderBy("ts")) - 1)
         )

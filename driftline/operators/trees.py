@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from driftline.functions.columns import q
 from driftline.operators.celltable import CellTable
 from driftline.operators.estimators import PerCell, Transform
-from driftline.operators.preprocess import fill_at
+from driftline.operators.preprocess import fill_at, fills_weight
 
+# Bins per feature, whatever the number of rows; also enough for the 24 hours.
 MAX_BINS = 255
-# Fewer rows than this per bin of a feature make its split points noise, at the cost of larger histograms.
-ROWS_PER_BIN = 64
-FOREST_DEPTH = 15
 # Enough work for one task of a tree level.
 ROWS_PER_TASK = 100_000
 
@@ -26,7 +24,7 @@ ROWS_PER_TASK = 100_000
 def with_vector(rows: DataFrame, table: CellTable, scheme: str, cell: int) -> DataFrame:
     """Add ``features``: all features median-imputed; hour and weekday stay numbers."""
     spec = table.spec
-    joined = table.join_devices(rows, table.gram.fills.select(spec.device, "fills"))
+    joined = table.join_devices(rows, table.gram.fills.select(spec.device, "fills"), fills_weight(table))
     values = [F.coalesce(q(c), fill_at(table, scheme, cell, i)) for i, c in enumerate(spec.continuous)]
     values += [q(c).cast("double") for c in spec.features[len(values):]]
     safe = [f"_f{i}" for i in range(len(values))]
@@ -50,7 +48,7 @@ class TreeModel(PerCell):
         past = table.fit_rows.filter(table.in_prefix(scheme, cell))
         training = with_vector(past, table, scheme, cell).select("features", q(table.spec.target).alias("label"))
         tasks = max(1, math.ceil(table.cuts.rows / ROWS_PER_TASK))
-        model = self.regressor.fit(training.coalesce(tasks), {self.regressor.maxBins: bins(table.cuts.rows)})
+        model = self.regressor.fit(training.coalesce(tasks), {self.regressor.maxBins: MAX_BINS})
 
         def transform(rows: DataFrame, out: str) -> DataFrame:
             vectors = with_vector(rows, table, scheme, cell)
@@ -59,21 +57,16 @@ class TreeModel(PerCell):
         return transform
 
 
-def bins(rows: int) -> int:
-    """Bins per feature: 255, fewer for short records, and enough for the 24 hours."""
-    return min(MAX_BINS, max(32, rows // ROWS_PER_BIN))
-
-
-def random_forest(trees: int = 300, seed: int = 42) -> TreeModel:
+def random_forest(trees: int = 300, seed: int = 42, depth: int = 15) -> TreeModel:
     """At least two rows per leaf, half of the features per split, bootstrap samples.
 
-    Depth is limited to 15 levels, splits to at most 255 bins per feature.
+    Spark ML grows no deeper than 30 levels; ``depth`` is ``RunConfig.forest_depth`` in a run.
     """
     regressor = RandomForestRegressor(
-        numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.5", maxDepth=FOREST_DEPTH,
+        numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.5", maxDepth=depth,
         seed=seed, maxMemoryInMB=1024,
     )
-    return TreeModel("random_forest", regressor, {"n_estimators": trees})
+    return TreeModel("random_forest", regressor, {"max_depth": depth, "n_estimators": trees})
 
 
 def boosting(

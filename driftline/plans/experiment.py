@@ -63,7 +63,7 @@ def build_estimators(
         "mean_baseline": mean_baseline,
         "single_sensor_linear": single_sensor_linear,
         "ridge": lambda: ridge(ridge_alpha),
-        "random_forest": lambda: random_forest(config.forest_trees, config.seed),
+        "random_forest": lambda: random_forest(config.forest_trees, config.seed, config.forest_depth),
         "hist_gradient_boosting": lambda: boosting(config.seed, **(boosting_params or {})),
         "stacking": lambda: stock_stack(config),
     }

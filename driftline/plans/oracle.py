@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from driftline.functions.columns import NA_TOKENS
 from driftline.operators.linear import RIDGE_ALPHAS
-from driftline.plans.queries import CONFIG, MANY_FOLDS, RIDGE_TWO_ALPHA, SHORT_CYCLES
-from driftline.sources.export import BAD_NUMBER, BAD_TIME, INCOMPLETE
-from driftline.sources.views import EVENT_TYPES, LINE_STATUS, RETURN_FLAGS, SENSOR_WEIGHTS, VIEW_SPEC
+from driftline.plans.queries import CONFIG, MANY_FOLDS, RIDGE_TWO_ALPHA
+from driftline.operators.estimators import NO_MODEL
+from driftline.sources.export import BAD_NUMBER, BAD_TIME, INCOMPLETE, SURPLUS
+from driftline.sources.views import SURPLUS_AH, EVENT_TYPES, LINE_STATUS, RETURN_FLAGS, SENSOR_WEIGHTS, VIEW_SPEC
 from driftline.operators.timesplit import TOO_FEW_FOR_BLOCKS, TOO_FEW_FOR_FOLDS
 
 SENSORS, FEATURES = VIEW_SPEC.sensors, VIEW_SPEC.continuous
@@ -222,11 +223,8 @@ def _ridge_two() -> str:
         n * cay / sa AS gay, n * cby / sb AS gby FROM stats)"""
 
 
-def _importance(view: str, cycle_rows: int | None) -> str:
+def _importance(view: str) -> str:
     last, repeats = CONFIG.cv_splits + 1, CONFIG.importance_repeats
-    cycle = "0" if cycle_rows is None else (
-        f"CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(ceil(n_test / {cycle_rows}::DOUBLE) AS BIGINT)"
-    )
     features = " UNION ALL ".join(
         f"SELECT device_id, repeat, '{c}' AS feature, {i}::BIGINT AS position, "
         + (f"{rmse('y', 'p_shuffled')}" if c == VIEW_SPEC.single_sensor else rmse("y", "p")) + f" - {rmse('y', 'p')} AS inc "
@@ -238,11 +236,10 @@ def _importance(view: str, cycle_rows: int | None) -> str:
         WHERE a.scheme = 'final' AND a.f = {last}),
     hashed AS (SELECT *, md5(CAST(device_id AS VARCHAR) || ':' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ':' ||
         CAST(repeat AS VARCHAR) || ':{CONFIG.seed}') AS h FROM tested JOIN range(0, {repeats}) rs(repeat) ON true),
-    cycled AS (SELECT *, {cycle} AS cycle FROM hashed),
-    placed AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY device_id, repeat, cycle) AS size
-        FROM cycled WINDOW w AS (PARTITION BY device_id, repeat, cycle ORDER BY h, ts)),
+    placed AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY device_id, repeat) AS size
+        FROM hashed WINDOW w AS (PARTITION BY device_id, repeat ORDER BY h, ts)),
     shuffled AS (SELECT p.*, p.icept + p.slope * p.x AS p, p.icept + p.slope * d.x AS p_shuffled FROM placed p
-        JOIN placed d ON p.device_id = d.device_id AND p.repeat = d.repeat AND p.cycle = d.cycle
+        JOIN placed d ON p.device_id = d.device_id AND p.repeat = d.repeat
         AND d.place = p.place % p.size + 1),
     increases AS ({features}),
     importance AS (SELECT device_id, feature, position, {r('avg(inc)')} AS rmse_increase_mean,
@@ -303,6 +300,8 @@ def oracle_sql() -> dict[str, str]:
         "ingest_parse": f"WITH {_parsed()} SELECT device_id, {stamp}, {', '.join(EXPORT_NAMES)} FROM typed",
         "ingest_reject_counts": f"WITH {_parsed()} SELECT problem, count(*) AS n_rows FROM judged "
                                 "WHERE problem IS NOT NULL GROUP BY problem",
+        "ingest_files": f"WITH {_parsed()} SELECT CASE WHEN t_ah = '{SURPLUS_AH}' THEN '{SURPLUS}' ELSE coalesce(problem, 'accepted') END "
+                        "AS outcome, count(*) AS n_rows FROM judged GROUP BY 1",
         "export_accounting": f"WITH {_parsed()} " + _accounting("device_id", "co", ("s1", "s2", "s3", "s4", "s5"), "typed"),
         "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) - 1 AS repeats FROM lineitem GROUP BY 1, 2 "
                           "HAVING count(*) > 1",
@@ -321,6 +320,8 @@ def oracle_sql() -> dict[str, str]:
                                f"SELECT device_id, block, n_rows, {iso('a')} AS first_ts, {iso('b')} AS last_ts FROM ends_",
         "fold_assignment": f"WITH {supplier}, {cells()} SELECT device_id, {stamp}, CAST(cell_train AS BIGINT) AS cell_train, "
                            "CAST(cell_final AS BIGINT) AS cell_final FROM cells",
+        "fold_assignment_split": f"WITH {supplier}, {cells()} SELECT device_id, {stamp}, "
+                                 "CAST(cell_train AS BIGINT) AS cell_train, CAST(cell_final AS BIGINT) AS cell_final FROM cells",
         "fold_audit_train": _audit("train"),
         "fold_audit_final": _audit("final"),
         "rejected_devices": f"""WITH {user}, {PREPARED}, counted AS (SELECT device_id, count(*) AS n FROM features GROUP BY 1),
@@ -363,6 +364,12 @@ def oracle_sql() -> dict[str, str]:
         "later_readings": f"{_linear(supplier)} SELECT device_id, {iso('x.ts')} AS ts, "
                           f"{r('icept + slope * coalesce(s1, m)')} AS prediction FROM rows_ x JOIN lines USING (device_id) "
                           f"WHERE scheme = 'final' AND f = {last} AND reference IS NULL AND {ANY_SENSOR}",
+        "unmatched_readings": f"""WITH {user}, {PREPARED}, counted AS (SELECT device_id, count(*) AS n FROM features GROUP BY 1),
+            sized AS (SELECT *, CAST(round_even(n * {CONFIG.train_frac}::DOUBLE, 0) AS BIGINT) AS a,
+                CAST(round_even(n * {CONFIG.val_frac}::DOUBLE, 0) AS BIGINT) AS b FROM counted),
+            judged AS (SELECT *, least(a, b, n - a - b) < 1 OR a // {many + 1} < 1 AS short FROM sized)
+            SELECT device_id, CASE WHEN short THEN '{NO_MODEL}' END AS reason, n AS n_rows,
+                CASE WHEN short THEN 0 ELSE n END AS n_predicted FROM judged""",
         "forward_cv_ols": f"{_linear(supplier)} " + " UNION ALL ".join(
             f"SELECT device_id, {i}::BIGINT AS candidate, CAST(f AS BIGINT) AS fold, count(*) AS n_rows, "
             f"{r(rmse('y', p))} AS rmse FROM predicted WHERE scheme = 'train' AND f <= {k} GROUP BY device_id, f"
@@ -393,8 +400,9 @@ def oracle_sql() -> dict[str, str]:
         "select_model": f"{_scores(user)}, placed AS (SELECT *, row_number() OVER (PARTITION BY device_id "
                         "ORDER BY rmse, model) AS place FROM scores WHERE stage = 'validation') "
                         "SELECT device_id, model, rmse FROM placed WHERE place = 1",
-        "permutation_importance_ols": f"{_importance(supplier, SHORT_CYCLES)} SELECT * FROM importance",
-        "importance_ranking": f"{_importance(hourly, None)} SELECT device_id, feature, rmse_increase_mean AS mean, "
+        "permutation_importance_ols": f"{_importance(supplier)} SELECT * FROM importance",
+        "importance_split": f"{_importance(supplier)} SELECT * FROM importance",
+        "importance_ranking": f"{_importance(hourly)} SELECT device_id, feature, rmse_increase_mean AS mean, "
                               "row_number() OVER (PARTITION BY device_id ORDER BY rmse_increase_mean DESC, position) AS place "
                               "FROM importance",
     }

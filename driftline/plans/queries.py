@@ -25,7 +25,7 @@ from driftline.plans.experiment import build_estimators, fit_all, run_calibratio
 from driftline.session import keep_columnar, shared_folder
 from driftline.sinks.report import append_manifest, finite_columns, report, six_decimals, write_outputs
 from driftline.sources import export, views
-from driftline.spec import GAS_EXPORT, RunConfig
+from driftline.spec import GAS_EXPORT, Layout, RunConfig
 from driftline.streaming.scoring import score_readings, stream_scores
 
 SPEC = views.VIEW_SPEC
@@ -37,7 +37,8 @@ RIDGE_TWO_ALPHA = 10.0
 # Folds that only long records can be cut into, to show the rejection of the others.
 MANY_FOLDS = RunConfig(cv_splits=45)
 # Cycles short enough that devices of the test tables are split over several.
-SHORT_CYCLES = 40
+# Devices above 100 rows are split, to show that splitting changes no result.
+SMALL_PIECES = Layout(hot_rows=100)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -52,10 +53,12 @@ def long(value: Column | str) -> Column:
     return (q(value) if isinstance(value, str) else value).cast("long")
 
 
-def fleet(spark: SparkSession, sf_dir: str, view=views.fleet_supplier, config: RunConfig = CONFIG) -> CellTable:
+def fleet(
+    spark: SparkSession, sf_dir: str, view=views.fleet_supplier, config: RunConfig = CONFIG, layout: Layout = Layout()
+) -> CellTable:
     """The view written once, prepared, cut and clustered."""
     rows = keep_columnar(view(spark, sf_dir))
-    return build_cell_table(prepare(rows, SPEC), SPEC, config)
+    return build_cell_table(prepare(rows, SPEC), SPEC, config, layout)
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -80,6 +83,20 @@ def ingest_parse(spark, sf_dir):
     return rows.select("device_id", iso(q("ts")).alias("ts"), *[q(c).alias(n) for c, n in zip(values, names)])
 
 
+@query
+def ingest_files(spark, sf_dir):
+    """The export written as files with a header each, some lines with a field too many, and read back: rows by outcome."""
+    lines = views.raw_text(spark, sf_dir)
+    fields = export.split_lines(lines, views.EXPORT_HEADER).drop("device_id", export.SURPLUS_FIELDS)
+    named = fields.select(*[q(c) for c in fields.columns if not export.UNNAMED.fullmatch(c)])
+    last = named.columns[-1]
+    doubled = F.when(q(last) == views.SURPLUS_AH, F.concat(q(last), F.lit(";8"))).otherwise(q(last))
+    folder = new_folder(spark)
+    named.withColumn(last, doubled).write.options(header="true", sep=";", quote="", emptyValue="").csv(folder)
+    rows = export.parse_rows(export.read_text(spark, folder, "station"))
+    return rows.groupBy(F.coalesce("problem", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n_rows"))
+
+
 @query
 def ingest_reject_counts(spark, sf_dir):
     return export.reject_counts(parsed_text(spark, sf_dir))
@@ -161,7 +178,17 @@ def block_periods_fleet(spark, sf_dir):
 
 @query
 def fold_assignment(spark, sf_dir):
-    return fleet(spark, sf_dir).rows.select(
+    return _cells(fleet(spark, sf_dir))
+
+
+@query
+def fold_assignment_split(spark, sf_dir):
+    """The same with every device split over pieces."""
+    return _cells(fleet(spark, sf_dir, layout=SMALL_PIECES))
+
+
+def _cells(table: CellTable) -> DataFrame:
+    return table.rows.select(
         "device_id", iso(q("ts")).alias("ts"), long("cell_train").alias("cell_train"),
         long("cell_final").alias("cell_final"),
     )
@@ -324,6 +351,16 @@ def later_readings(spark, sf_dir):
     )
 
 
+@query
+def unmatched_readings(spark, sf_dir):
+    """Readings of all devices, also of those whose record is too short for a model: none is lost."""
+    features = keep_columnar(prepare(views.fleet_user(spark, sf_dir), SPEC))
+    table = build_cell_table(features, SPEC, MANY_FOLDS)
+    fitted = mean_baseline().fit_cells(table, "final", [table.last])
+    later = predict_later(fitted, features.select("device_id", "ts", *SPEC.features), table)
+    return later.groupBy("device_id", "reason").agg(F.count("*").alias("n_rows"), F.count("prediction").alias("n_predicted"))
+
+
 # --- evaluation, stacking, selection ----------------------------------------------
 
 
@@ -435,12 +472,19 @@ def select_model(spark, sf_dir):
 
 @query
 def permutation_importance_ols(spark, sf_dir):
-    """Importance of the one-sensor line on the test block, shuffled in short cycles."""
-    table = fleet(spark, sf_dir)
+    """Importance of the one-sensor line on the test block."""
+    return _importance_values(fleet(spark, sf_dir))
+
+
+@query
+def importance_split(spark, sf_dir):
+    """The same with every device's cycle walked in slices."""
+    return _importance_values(fleet(spark, sf_dir, layout=SMALL_PIECES))
+
+
+def _importance_values(table: CellTable) -> DataFrame:
     fitted = single_sensor_linear().fit_cells(table, "final", [table.last])
-    values = permutation_importance(
-        table, fitted, "final", CONFIG.importance_repeats, CONFIG.seed, cycle_rows=SHORT_CYCLES
-    )
+    values = permutation_importance(table, fitted, "final", CONFIG.importance_repeats, CONFIG.seed)
     return values.select("device_id", "feature", long("position").alias("position"),
                          rounded(q("rmse_increase_mean")).alias("rmse_increase_mean"),
                          rounded(q("rmse_increase_std")).alias("rmse_increase_std"))
@@ -474,7 +518,7 @@ def random_forest_scores(spark, sf_dir):
 
 @query
 def boosting_scores(spark, sf_dir):
-    return _scored(fleet(spark, sf_dir, views.fleet_user), "hist_gradient_boosting", boosting(max_iter=30))
+    return _scored(fleet(spark, sf_dir, views.fleet_user), "hist_gradient_boosting", boosting())
 
 
 @query

@@ -23,51 +23,77 @@ DATE, TIME = "Date", "Time"
 DIALECT = {"sep": ";", "ignoreLeadingWhiteSpace": "true"}
 UNNAMED = re.compile(r"_c\d+")
 
+FILE, SURPLUS_FIELDS = "_file", "_surplus_fields"
+
+SURPLUS = "more fields than the header"
 INCOMPLETE = "date without time or time without date"
 BAD_TIME = "invalid timestamp"
 BAD_NUMBER = "non-numeric measurement"
+PROBLEMS = (SURPLUS, INCOMPLETE, BAD_TIME, BAD_NUMBER)
 
 
 def read_text(spark: SparkSession, paths: str | Sequence[str], device: str | None = None) -> DataFrame:
-    """All fields as text, plus the device: a given name, else the file's own name."""
+    """All fields as text, plus the device: a given name, else the file's own name.
+
+    Every file must begin with the same header; a file with another one, or
+    with none, is refused, as its fields would get wrong names.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     header = spark.read.options(header="true", **DIALECT).csv(paths).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.options(**DIALECT).schema(schema).csv(paths)
-    # A file with another header keeps that line as data, which the checks refuse.
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    lines = spark.read.text(paths).select(
+        (F.lit(device) if device else stem).alias("device_id"), F.col("_metadata.file_path").alias(FILE),
+        F.col("value").alias("line"),
+    ).filter(F.trim("line") != "")
+    rows = split_lines(lines, header)
     is_header = F.lit(True)
     for c in header:
         is_header = is_header & (q(c).isNull() if UNNAMED.fullmatch(c) else q(c).eqNullSafe(F.lit(c)))
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    named = raw.select((F.lit(device) if device else stem).alias("device_id"), *[q(c) for c in header])
-    return named.filter(~is_header)
+    is_header = is_header & ~q(SURPLUS_FIELDS)
+    # A line that names both key columns is a header, of this order or another.
+    fields = F.split(F.col("line"), DIALECT["sep"])
+    named = F.exists(fields, lambda f: F.trim(f) == DATE) & F.exists(fields, lambda f: F.trim(f) == TIME)
+    own = rows.groupBy(FILE).agg(F.count_if(is_header).alias("same"))
+    any_ = lines.groupBy(FILE).agg(F.count_if(named).alias("headers"))
+    bad = own.join(any_, FILE).filter((F.col("same") < 1) | (F.col("headers") > F.col("same"))).select(FILE)
+    foreign = [r[0] for r in bad.orderBy(FILE).limit(5).collect()]
+    if foreign:
+        raise ValueError(f"not the header that was read first, {header}: {foreign}")
+    return rows.filter(~is_header).drop(FILE)
 
 
 def split_lines(lines: DataFrame, header: Sequence[str], line: str = "line") -> DataFrame:
-    """The same, for lines that are already in a table; other columns are kept."""
+    """The fields of lines in a table, and whether a line has more of them than the header; other columns are kept."""
     names = [name or f"_c{i}" for i, name in enumerate(header)]
     schema = ", ".join(f"`{name}` STRING" for name in names)
     others = [q(c) for c in lines.columns if c != line]
+    unquoted = F.regexp_replace(q(line), '"[^"]*"', "")
+    surplus = (F.size(F.split(unquoted, DIALECT["sep"], -1)) > len(names)).alias(SURPLUS_FIELDS)
     fields = F.from_csv(q(line), schema, DIALECT)
-    return lines.select(*others, fields.alias("_fields")).select(*others, "_fields.*")
+    return lines.select(*others, surplus, fields.alias("_fields")).select(*others, SURPLUS_FIELDS, "_fields.*")
 
 
 def parse_rows(raw: DataFrame, device: str = "device_id", time: str = "ts") -> DataFrame:
-    """Typed rows ``(device, ts, measurements..., problem)``; separator-only lines are left out."""
+    """Typed rows ``(device, ts, measurements..., problem)``; separator-only lines are left out.
+
+    Lines with more fields than the header are a problem if ``split_lines`` has marked them.
+    """
     for key in (DATE, TIME):
         if key not in raw.columns:
             raise ValueError(f"no {key!r} column among {raw.columns}")
-    names = [c for c in raw.columns if c not in (device, DATE, TIME)]
+    names = [c for c in raw.columns if c not in (device, DATE, TIME, SURPLUS_FIELDS)]
+    surplus = q(SURPLUS_FIELDS) if SURPLUS_FIELDS in raw.columns else F.lit(False)
     # Each step uses the one before more than once, so the optimizer keeps them apart.
     keyed = raw.select(
-        q(device), text_or_null(q(DATE)).alias("_date"), text_or_null(q(TIME)).alias("_time"), *[q(c) for c in names]
-    ).filter("coalesce(_date, _time) IS NOT NULL")
+        q(device), surplus.alias("_surplus"), text_or_null(q(DATE)).alias("_date"), text_or_null(q(TIME)).alias("_time"),
+        *[q(c) for c in names],
+    ).filter("_surplus OR coalesce(_date, _time) IS NOT NULL")
     typed = keyed.select(
-        q(device), (F.col("_date").isNull() | F.col("_time").isNull()).alias("_incomplete"),
+        q(device), "_surplus", (F.col("_date").isNull() | F.col("_time").isNull()).alias("_incomplete"),
         day_first_timestamp(F.col("_date"), F.col("_time")).alias(time),
         *[measurement(q(c)).alias(c) for c in names], reduce(and_, [valid_field(q(c)) for c in names]).alias("_valid"),
     )
-    problem = F.when(F.col("_incomplete"), INCOMPLETE).when(q(time).isNull(), BAD_TIME).when(~F.col("_valid"), BAD_NUMBER)
+    problem = F.when(F.col("_surplus"), SURPLUS).when(F.col("_incomplete"), INCOMPLETE).when(q(time).isNull(), BAD_TIME).when(~F.col("_valid"), BAD_NUMBER)
     return typed.select(q(device), q(time), *[q(c) for c in names], problem.alias("problem"))
 
 
@@ -115,11 +141,11 @@ def ingest(raw: DataFrame, strict: bool = True, device: str = "device_id", time:
     parsed = keep_columnar(parse_rows(raw, device, time))
     unnamed = [c for c in parsed.columns if UNNAMED.fullmatch(c)]
     facts = parsed.agg(
-        *[F.count_if(F.col("problem") == p).alias(p) for p in (INCOMPLETE, BAD_TIME, BAD_NUMBER)],
+        *[F.count_if(F.col("problem") == p).alias(p) for p in PROBLEMS],
         *[F.count(q(c)).alias(c) for c in unnamed],
     ).first().asDict()
     if strict:
-        for problem in (INCOMPLETE, BAD_TIME, BAD_NUMBER):
+        for problem in PROBLEMS:
             if facts[problem]:
                 raise ValueError(f"{facts[problem]} row(s): {problem}")
     parsed = drop_empty_unnamed(parsed, facts)
@@ -135,26 +161,31 @@ def load_export(
     return ingest(read_text(spark, paths, device), strict).rows
 
 
-def fingerprint(spark: SparkSession, paths: str | Sequence[str], whole_file_bytes: int = 1 << 30) -> DataFrame:
-    """SHA-256 of every input file.
+SHA256, LINE_SUM = "sha256", "line_sum"
 
-    A file too large for one task gets a digest that any number of tasks can
-    add up instead: the sum of its lines' 64-bit hashes and the line count.
+
+def fingerprint(
+    spark: SparkSession, paths: str | Sequence[str], method: str = SHA256, whole_file_bytes: int = 1 << 30
+) -> DataFrame:
+    """``(file, kind, digest)`` of every input file, by one method for all.
+
+    ``sha256`` reads a file in one task and refuses files above
+    ``whole_file_bytes``. ``line_sum`` is for text of any size: the sum of the
+    lines' 64-bit hashes and their count, which any number of tasks can add up;
+    it does not see the order of lines.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if method == LINE_SUM:
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+        sums = lines.groupBy("file").agg(*line_digest(F.col("value")))
+        return sums.select("file", F.lit(method).alias("kind"), F.concat_ws(":", "line_hash_sum", "lines").alias("digest"))
+    if method != SHA256:
+        raise ValueError(f"unknown method {method!r}")
     files = spark.read.format("binaryFile").load(paths)
-    whole = files.filter(F.col("length") <= whole_file_bytes).select(
-        F.col("path").alias("file"), F.lit("sha256").alias("kind"), F.sha2("content", 256).alias("digest")
-    )
-    large = files.filter(F.col("length") > whole_file_bytes).select(F.col("path").alias("file"))
-    oversized = [r["file"] for r in large.limit(1).collect()]
-    if not oversized:
-        return whole
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    sums = lines.join(large, "file", "left_semi").groupBy("file").agg(*line_digest(F.col("value")))
-    return whole.unionByName(
-        sums.select("file", F.lit("line_sum").alias("kind"), F.concat_ws(":", "line_hash_sum", "lines").alias("digest"))
-    )
+    large = [r["path"] for r in files.filter(F.col("length") > whole_file_bytes).select("path").limit(5).collect()]
+    if large:
+        raise ValueError(f"too large for {SHA256} in one task, use {LINE_SUM!r}: {large}")
+    return files.select(F.col("path").alias("file"), F.lit(method).alias("kind"), F.sha2("content", 256).alias("digest"))
 
 
 def line_digest(line: Column) -> list[Column]:
@@ -166,13 +197,12 @@ def line_digest(line: Column) -> list[Column]:
 
 
 def changed_files(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """Files whose digest differs from, or is absent in, the expected ``(file, digest)``."""
+    """``(file, digest, expected)`` where the two differ; a file that only one side has differs too."""
     known = expected.select("file", F.col("digest").alias("expected"))
-    return found.join(known, "file", "left").filter(~F.col("digest").eqNullSafe(F.col("expected")))
+    return found.select("file", "digest").join(known, "file", "full").filter(~F.col("digest").eqNullSafe(F.col("expected")))
 
 
 def check_fingerprint(found: DataFrame, expected: DataFrame) -> None:
-    bad = changed_files(found, expected).select("file").limit(5).collect()
+    bad = changed_files(found, expected).select("file").orderBy("file").limit(5).collect()
     if bad:
         raise ValueError(f"input differs from the expected digest: {[r['file'] for r in bad]}")
-

@@ -107,6 +107,7 @@ EXPORT_HEADER = (
     "PT08.S3(NOx)", "NO2(GT)", "PT08.S4(NO2)", "PT08.S5(O3)", "T", "RH", "AH", "", "",
 )
 EXPORT_SPEC = GAS_EXPORT
+SURPLUS_AH = "19,0"  # lines with this last value get a field too many where files are written
 
 
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:

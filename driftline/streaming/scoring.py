@@ -17,11 +17,14 @@ from driftline.operators.prepare import any_sensor, calendar
 
 
 def score_readings(readings: DataFrame, fitted: Fitted, table: CellTable, out: str = "prediction") -> DataFrame:
-    """Predictions for batch or streaming readings with at least one sensor; no target is needed."""
+    """Predictions for batch or streaming readings with at least one sensor; no target is needed.
+
+    A device without a model gets NULL and a reason.
+    """
     spec = table.spec
     rows = readings.select(spec.device, spec.time, *[null_for_nan(c) for c in spec.continuous])
     features = calendar(rows.filter(any_sensor(spec)), spec)
-    return predict_later(fitted, features, table, out).select(spec.device, spec.time, out)
+    return predict_later(fitted, features, table, out).select(spec.device, spec.time, out, "reason")
 
 
 def stream_scores(

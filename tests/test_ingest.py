@@ -100,11 +100,22 @@ def test_many_files_are_many_devices(spark, tmp_path):
         ("north", 30), ("south", 30)}
 
 
-def test_files_with_different_headers_are_refused(spark, tmp_path):
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("other", [HEADER.replace("T;RH", "RH;T"), HEADER + ";x", None])
+def test_files_with_different_headers_are_refused(spark, tmp_path, strict, other):
     write_lines(tmp_path, [HEADER, ROWS[0]], "a.csv")
-    write_lines(tmp_path, [HEADER.replace("T;RH", "RH;T"), ROWS[1]], "b.csv")
-    with pytest.raises(ValueError, match="timestamp"):
-        export.load_export(spark, str(tmp_path / "*.csv"))
+    write_lines(tmp_path, [line for line in (other, ROWS[1]) if line], "b.csv")
+    with pytest.raises(ValueError, match=r"not the header that.*[ab]\.csv"):
+        export.load_export(spark, str(tmp_path / "*.csv"), strict=strict)
+
+
+def test_surplus_fields_are_a_problem(spark, tmp_path):
+    path = write_lines(tmp_path, [HEADER, ROWS[0], ROWS[1] + ";8;7", ";" * 40])
+    with pytest.raises(ValueError, match="2 row.*more fields"):
+        export.load_export(spark, path)
+    found = export.ingest(export.read_text(spark, path), strict=False)
+    assert found.rows.count() == 1
+    assert [r["problem"] for r in found.rejects.collect()] == [export.SURPLUS] * 2
 
 
 def test_lines_in_a_table_parse_like_a_file(spark, tmp_path):
@@ -126,9 +137,23 @@ def test_fingerprint(spark, tmp_path):
         export.check_fingerprint(found, good.withColumn("digest", F.lit("0")))
 
 
-def test_fingerprint_of_a_large_file_adds_up_lines(spark, tmp_path):
+def test_absent_and_unexpected_files_are_noticed(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        write_lines(tmp_path, [HEADER, *ROWS], name)
+    both = export.fingerprint(spark, str(tmp_path / "*.csv")).select("file", "digest")
+    one = export.fingerprint(spark, str(tmp_path / "a.csv")).select("file", "digest")
+    for found, expected in ((both, one), (one, both)):
+        with pytest.raises(ValueError, match="b.csv"):
+            export.check_fingerprint(found, expected)
+
+
+def test_line_sums_and_the_limit_of_whole_files(spark, tmp_path):
     path = write_lines(tmp_path, [HEADER, *ROWS])
     turned = write_lines(tmp_path, [ROWS[2], HEADER, ROWS[0], ROWS[1], ROWS[3]], "turned.csv")
     changed = write_lines(tmp_path, [HEADER, *ROWS[1:], ROWS[1]], "changed.csv")
-    first, second, third = [export.fingerprint(spark, p, 10).first() for p in (path, turned, changed)]
+    first, second, third = [export.fingerprint(spark, p, export.LINE_SUM).first() for p in (path, turned, changed)]
     assert first["kind"] == "line_sum" and first["digest"] == second["digest"] != third["digest"]
+    with pytest.raises(ValueError, match="too large"):
+        export.fingerprint(spark, path, whole_file_bytes=10)
+    with pytest.raises(ValueError, match="unknown method"):
+        export.fingerprint(spark, path, "md5")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from driftline.operators.estimators import LinearFitted, mean_baseline, ridge
 from driftline.operators.importance import _general_errors, _linear_errors, permutation_importance, ranked, with_donors
 from driftline.operators.select import scores_wide, select_model
-from driftline.spec import MODEL_ORDER
+from driftline.spec import MODEL_ORDER, Layout
 
 TABLE = [("mean_baseline", 1.5, 1.3), ("single_sensor_linear", .85, .73), ("ridge", .6, .5), ("random_forest", .7, .48),
          ("hist_gradient_boosting", .75, .47), ("stacking", .72, .4)]
@@ -58,10 +58,10 @@ def test_wide_scores(spark):
     assert tuple(wide.first()) == ("d", 2, "ridge", 1.0, 2.0, None, 4.0, 5.0, 6.0)
 
 
-@pytest.mark.parametrize("cycle_rows", [1_000_000, 5])
-def test_donors_are_a_permutation(spark, cycle_rows):
-    table = cell_table(spark, fleet_frame())
-    rows = with_donors(table.cells("final", 4, 4), table, 2, 42, cycle_rows)
+@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
+def test_donors_are_a_permutation(spark, hot_rows):
+    table = cell_table(spark, fleet_frame(), layout=Layout(hot_rows=hot_rows))
+    rows = with_donors(table.cells("final", 4, 4), table, 2, 42)
     own = rows.groupBy("device_id", "repeat").agg(
         F.sort_array(F.collect_list(F.struct("a", "b", "t", "hour", "day_of_week"))).alias("x"),
         F.sort_array(F.collect_list("donor")).alias("donors"), F.count_if(F.col("donor")["_3"] == F.col("hour")).alias("same"),
@@ -70,6 +70,16 @@ def test_donors_are_a_permutation(spark, cycle_rows):
         assert [tuple(x) for x in r["x"]] == [tuple(x) for x in r["donors"]] and r["same"] < r["n"]
 
 
+def test_donors_do_not_depend_on_the_layout(spark):
+    frame, found = fleet_frame(), []
+    for hot_rows in (1_000_000, 20):
+        table = cell_table(spark, frame, layout=Layout(hot_rows=hot_rows))
+        assert table.salted == (hot_rows == 20)
+        rows = with_donors(table.cells("final", 4, 4), table, 2, 42)
+        found.append({tuple(r) for r in rows.select("device_id", "repeat", "ts", F.to_json("donor")).collect()})
+    assert found[0] == found[1]
+
+
 def test_linear_shortcut_equals_predicting_again(spark):
     table = cell_table(spark, fleet_frame())
     fitted = ridge(1.0).fit_cells(table, "final", [4])
