@@ -91,6 +91,13 @@ class CellTable:
         """Join a one-row-per-device table; ``weight`` says how many plain rows one of its rows is worth."""
         return join_device_table(rows, table, self.spec, self.cuts, self.layout, weight)
 
+    @property
+    def fills(self) -> DataFrame:
+        """Medians of all prefixes and centres, a row per device, made on first use."""
+        from driftline.operators.gram import build_fills
+
+        return self.once(("fills",), lambda: build_fills(self))
+
     @property
     def gram(self):
         """Sums of products of all cells, made on first use."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.columns import finite, q
 from driftline.operators.celltable import CellTable
-from driftline.operators.linear import add_linear, fit_linear
+from driftline.operators.linear import PLAIN_MODELS, add_linear, fit_linear, fit_plain
 from driftline.session import keep
 
 Transform = Callable[[DataFrame, str], DataFrame]
@@ -67,9 +67,13 @@ class Linear(Estimator):
 def fit_linear_models(
     table: CellTable, scheme: str, cells: Sequence[int], estimators: Sequence[Linear]
 ) -> dict[str, LinearFitted]:
-    """Several linear models from one reading of the sums."""
-    alpha = next((e.alpha for e in estimators if e.name == "ridge"), 1.0)
-    models = keep(fit_linear(table.gram, scheme, cells, [e.name for e in estimators], alpha))
+    """Several linear models in one table; only ridge needs the sums of products."""
+    alpha = next((e.alpha for e in estimators if e.name == "ridge"), None)
+    plain = [e.name for e in estimators if e.name in PLAIN_MODELS]
+    parts = [fit_plain(table, {scheme: cells}, plain)] if plain else []
+    if alpha is not None:
+        parts.append(fit_linear(table.gram, scheme, cells, ["ridge"], alpha))
+    models = keep(reduce(DataFrame.unionByName, parts))
     return {e.name: LinearFitted(table, models, scheme, tuple(cells), e.name) for e in estimators}
 
 

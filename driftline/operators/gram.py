@@ -3,8 +3,8 @@
 With ``z = [1, x_1.., m_1.., y]`` (``x`` a feature less a centre, 0 where
 absent; ``m`` 1 where absent) the sums of ``z z'`` per cell give the sums for
 any imputed and scaled version of the features, and add up over cells, so the
-past of every fold is a prefix sum. One-hot levels need only the sums of ``z``
-per hour and weekday. Centres are each device's warm-up medians and its first
+past of every fold is a prefix sum. One-hot levels need the sums of ``z`` per
+hour and per weekday (31 rows per cell), and counts per hour and weekday. Centres are each device's warm-up medians and its first
 target: past values that cancel out of every result and only keep digits.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.columns import q
 from driftline.operators.celltable import CellTable
-from driftline.operators.preprocess import device_fills
+from driftline.operators.preprocess import WEEKDAYS, device_fills
 from driftline.session import keep, keep_columnar
 from driftline.spec import HOUR, WEEKDAY
 
@@ -26,9 +26,10 @@ CELL_KEYS = ("cell_train", "cell_final")
 
 @dataclass(frozen=True)
 class GramTable:
-    """``products``: one row per device and cell pair. ``levels``: per hour and weekday too.
+    """``products``: one row per device and cell pair. ``levels``: one more per hour (``kind`` 0) and weekday (1).
 
-    ``fills`` (one row per device): ``fills`` and the centres.
+    An hour's row also has its rows per weekday, ``c0`` to ``c6``. ``fills``
+    (one row per device): ``fills`` and the centres.
     """
 
     table: CellTable
@@ -46,13 +47,18 @@ def _z(table: CellTable) -> list:
     return [F.lit(1.0), *present, *absent, q(spec.target) - F.col("centre_y")]
 
 
-def build_gram(table: CellTable) -> GramTable:
-    """One pass over the rows for the medians, one for the sums."""
-    spec, device = table.spec, table.spec.device
+def build_fills(table: CellTable) -> DataFrame:
+    """``(device, fills, centres, centre_y)``: one pass over the rows for the medians."""
+    device = table.spec.device
     fills = device_fills(table).join(table.cuts.table.select(device, "first_target"), device)
-    fills = keep(fills.select(
+    return keep(fills.select(
         device, "fills", F.transform("fills", lambda m: m[0]).alias("centres"), F.col("first_target").alias("centre_y")
     ))
+
+
+def build_gram(table: CellTable) -> GramTable:
+    """One more pass over the rows for the sums."""
+    spec, device, fills = table.spec, table.spec.device, table.fills
     joined = table.join_devices(table.fit_rows, fills.select(device, "centres", "centre_y"))
     width = 2 * len(spec.continuous) + 2
     names = [f"z{i}" for i in range(width)]
@@ -61,9 +67,18 @@ def build_gram(table: CellTable) -> GramTable:
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
     sums = [F.expr(f"sum({names[i]} * {names[j]}) AS p{i}_{j}") for i, j in pairs]
     products = rows.groupBy(*table.keys, *CELL_KEYS).agg(*sums)
-    levels = rows.groupBy(*table.keys, *CELL_KEYS, HOUR, WEEKDAY).agg(*[F.sum(n).alias(n) for n in names])
+    pairs_of_levels = rows.groupBy(*table.keys, *CELL_KEYS, HOUR, WEEKDAY).agg(*[F.sum(n).alias(n) for n in names])
+    counts = [f"c{d}" for d in range(WEEKDAYS)]
+    sides = [
+        F.struct(
+            F.lit(kind).alias("kind"), F.col(level).cast("int").alias("level"), *names,
+            *[(F.when(F.col(WEEKDAY) == d, F.col("z0")).otherwise(0.0) if kind == 0 else F.lit(0.0)).alias(c) for d, c in enumerate(counts)],
+        ) for kind, level in enumerate((HOUR, WEEKDAY))
+    ]
+    levels = pairs_of_levels.select(device, *CELL_KEYS, F.explode(F.array(*sides)).alias("_l")).select(
+        device, *CELL_KEYS, "_l.*"
+    ).groupBy(device, *CELL_KEYS, "kind", "level").agg(*[F.sum(n).alias(n) for n in (*names, *counts)])
     if table.salted:
         products = products.groupBy(device, *CELL_KEYS).agg(*[F.expr(f"sum(p{i}_{j}) AS p{i}_{j}") for i, j in pairs])
-        levels = levels.groupBy(device, *CELL_KEYS, HOUR, WEEKDAY).agg(*[F.sum(n).alias(n) for n in names])
     products = products.select(device, *CELL_KEYS, F.array(*[f"p{i}_{j}" for i, j in pairs]).alias("products"))
     return GramTable(table, keep_columnar(products), keep_columnar(levels), fills, width)

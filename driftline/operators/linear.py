@@ -5,7 +5,7 @@ A model is a row of a coefficient table; predicting is one join and one expressi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,8 @@ from driftline.functions.columns import q, total
 from driftline.operators.celltable import CellTable
 from driftline.operators.gram import GramTable
 from driftline.operators.preprocess import HOURS, WEEKDAYS
-from driftline.operators.solve import DeviceSums, RidgePath, single_line, squared_error
+from driftline.operators.solve import FLAT, DeviceSums, RidgePath, single_line, squared_error
+from driftline.operators.timesplit import CELL
 from driftline.session import ship_package
 from driftline.spec import HOUR, WEEKDAY, CalibrationSpec
 
@@ -170,6 +171,64 @@ def fit_linear(
     return _per_device(gram, penalties, solve, model_schema(spec, _device_type(table)))
 
 
+PLAIN_MODELS = LINEAR_MODELS[:2]
+
+
+def fit_plain(table: CellTable, cells: Mapping[str, Sequence[int]], models: Sequence[str]) -> DataFrame:
+    """Coefficient rows of the mean and the one-sensor line, for any schemes at once, without Python.
+
+    Seven sums per cell give those of any past; absent sensor values count as
+    the past's median. Sums are of values less the device's centres, which
+    cancel out and keep digits.
+    """
+    spec, device = table.spec, table.spec.device
+    sensor = spec.continuous.index(spec.single_sensor)
+    head = table.fills.select(device, "fills", F.col("centres")[sensor].alias("centre"), "centre_y")
+    rows = table.join_devices(table.fit_rows, head.drop("fills")).select(
+        *table.keys, *CELL.values(), (q(spec.single_sensor) - F.col("centre")).alias("_x"),
+        (q(spec.target) - F.col("centre_y")).alias("_y"),
+    )
+    x, y = F.col("_x"), F.col("_y")
+    parts = {
+        "n": F.count("*").cast("double"), "y": F.sum(y), "k": F.count(x).cast("double"), "x": F.sum(x), "xx": F.sum(x * x),
+        "xy": F.sum(x * y), "yk": F.sum(F.when(x.isNotNull(), y)),
+    }
+    by_cell = rows.groupBy(*table.keys, *CELL.values()).agg(
+        *[F.coalesce(value, F.lit(0.0)).alias(f"_s{name}") for name, value in parts.items()]
+    )
+    pasts = [
+        F.struct(F.lit(scheme).alias("scheme"), F.lit(f).alias("cell"), F.lit(table.prefix_number(scheme, f)).alias("number"), *[
+            F.sum(F.when(F.col(CELL[scheme]) < f, F.col(f"_s{name}"))).alias(name) for name in parts
+        ]) for scheme, chosen in cells.items() for f in chosen
+    ]
+    past = by_cell.groupBy(device).agg(F.array(*pasts).alias("_pasts")).select(device, F.explode("_pasts").alias("p"))
+    joined = past.select(device, "p.*").join(head, device)
+    c = F.col
+    shift = c("fills")[sensor][c("number")] - c("centre")
+    absent = c("n") - c("k")
+    filled = joined.withColumns({
+        "sx": c("x") + absent * shift, "sxx": c("xx") + absent * shift * shift, "sxy": c("xy") + shift * (c("y") - c("yk")),
+        "own_fills": F.transform("fills", lambda m: m[c("number")]),
+    })
+    spread = c("sxx") - c("sx") * c("sx") / c("n")
+    slope = F.when(spread > FLAT * c("sxx"), (c("sxy") - c("sx") * c("y") / c("n")) / spread).otherwise(0.0)
+    solved = filled.withColumn("slope", slope)
+    line = F.struct(
+        F.lit(PLAIN_MODELS[1]).alias("model"), ((c("y") - c("slope") * c("sx")) / c("n") + c("centre_y") - c("slope") * c("centre")).alias("intercept"),
+        F.array(*[c("slope") if i == sensor else F.lit(0.0) for i in range(len(spec.continuous))]).alias("slopes"),
+    )
+    mean = F.struct(
+        F.lit(PLAIN_MODELS[0]).alias("model"), (c("y") / c("n") + c("centre_y")).alias("intercept"),
+        F.array(*[F.lit(0.0)] * len(spec.continuous)).alias("slopes"),
+    )
+    wanted = [m for name, m in zip(PLAIN_MODELS, (mean, line)) if name in models]
+    return solved.withColumn("m", F.explode(F.array(*wanted))).select(
+        device, "scheme", "cell", "m.model", F.lit(None).cast("double").alias("alpha"), c("n").cast("long").alias("fit_rows"),
+        "m.intercept", "m.slopes", c("own_fills").alias("fills"),
+        F.array(*[F.lit(0.0)] * HOURS).alias("hour_weights"), F.array(*[F.lit(0.0)] * WEEKDAYS).alias("weekday_weights"),
+    )
+
+
 def wide_models(models: DataFrame, table: CellTable, scheme: str, cells: Sequence[int], names: Sequence[str]) -> DataFrame:
     """One row per device: for each model an array of its coefficient rows, ordered by cell."""
     parts = ("intercept", "slopes", "fills", "hour_weights", "weekday_weights")

@@ -33,19 +33,16 @@ class DeviceSums:
 
         at = {tuple(c): i for i, c in enumerate(cells.tolist())}
         where = np.array([at[c] for c in zip(levels["cell_train"].tolist(), levels["cell_final"].tolist())])
-        hour = width + levels["hour"].to_numpy()
-        day = width + HOURS + levels["day_of_week"].to_numpy()
+        is_hour = levels["kind"].to_numpy() == 0
+        place = width + levels["level"].to_numpy() + np.where(is_hour, 0, HOURS)
         z = levels[[f"z{i}" for i in range(width)]].to_numpy()
-        n = z[:, 0]
-        for level in (hour, day):
-            np.add.at(sums, (where, level, level), n)
-            block = np.zeros((len(cells), size, width))
-            np.add.at(block, (where, level), z)
-            rows = np.unique(level)
-            sums[:, rows, :width] += block[:, rows]
-            sums[:, :width, rows] += block[:, rows].transpose(0, 2, 1)
-        np.add.at(sums, (where, hour, day), n)
-        np.add.at(sums, (where, day, hour), n)
+        np.add.at(sums, (where, place, place), z[:, 0])
+        np.add.at(sums, (where, place, slice(0, width)), z)
+        np.add.at(sums, (where, slice(0, width), place), z)
+        counts = levels[[f"c{d}" for d in range(WEEKDAYS)]].to_numpy()[is_hour]
+        for day in range(WEEKDAYS):
+            np.add.at(sums, (where[is_hour], place[is_hour], width + HOURS + day), counts[:, day])
+            np.add.at(sums, (where[is_hour], width + HOURS + day, place[is_hour]), counts[:, day])
         self.cells, self.sums = cells, sums
 
     def prefix(self, scheme: str, f: int) -> np.ndarray:

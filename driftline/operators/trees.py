@@ -24,7 +24,7 @@ ROWS_PER_TASK = 100_000
 def with_vector(rows: DataFrame, table: CellTable, scheme: str, cell: int) -> DataFrame:
     """Add ``features``: all features median-imputed; hour and weekday stay numbers."""
     spec = table.spec
-    joined = table.join_devices(rows, table.gram.fills.select(spec.device, "fills"), fills_weight(table))
+    joined = table.join_devices(rows, table.fills.select(spec.device, "fills"), fills_weight(table))
     values = [F.coalesce(q(c), fill_at(table, scheme, cell, i)) for i, c in enumerate(spec.continuous)]
     values += [q(c).cast("double") for c in spec.features[len(values):]]
     safe = [f"_f{i}" for i in range(len(values))]

@@ -156,7 +156,7 @@ def run_calibration(
         raise ValueError(f"no device can be calibrated: {[r['reason'] for r in reasons] or 'no usable rows'}")
     periods = keep(block_periods(table.rows, spec))
 
-    table.gram
+    table.fills
     searches = {}
     if "ridge" in models:
         searches["ridge"] = lambda: keep(tune_ridge(table.gram, RIDGE_ALPHAS))

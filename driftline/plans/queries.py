@@ -13,7 +13,7 @@ from driftline.functions.columns import iso, q, rounded
 from driftline.operators.celltable import CellTable, build_cell_table
 from driftline.operators.estimators import mean_baseline, predict_later, ridge, single_sensor_linear
 from driftline.operators.importance import permutation_importance
-from driftline.operators.linear import fit_linear, ridge_cv, tune_ridge
+from driftline.operators.linear import fit_linear, fit_plain, ridge_cv, tune_ridge
 from driftline.operators.prepare import any_sensor, calendar, prepare, row_accounting
 from driftline.operators.preprocess import device_fills, impute, one_hot, prefix_medians, scale_statistics, standard_scale
 from driftline.operators.search import forward_cv, tune_boosting
@@ -274,7 +274,7 @@ def tree_features(spark, sf_dir):
 def mean_models(spark, sf_dir):
     """Mean of the training block's target, per device."""
     table = fleet(spark, sf_dir)
-    models = fit_linear(table.gram, "train", [table.last], ["mean_baseline"])
+    models = fit_plain(table, {"train": [table.last]}, ["mean_baseline"])
     return models.select("device_id", "fit_rows", rounded(q("intercept")).alias("mean"))
 
 
@@ -283,8 +283,8 @@ def fleet_ols(spark, sf_dir):
     """One-sensor line per device, scheme and fold."""
     table = fleet(spark, sf_dir)
     cells = range(1, table.last + 1)
-    models = [fit_linear(table.gram, scheme, cells, ["single_sensor_linear"]) for scheme in ("train", "final")]
-    return models[0].unionByName(models[1]).select(
+    models = fit_plain(table, {"train": cells, "final": cells}, ["single_sensor_linear"])
+    return models.select(
         "device_id", "scheme", long("cell").alias("cell"), "fit_rows",
         rounded(q("intercept")).alias("intercept"), rounded(q("slopes")[0]).alias("slope"),
     )

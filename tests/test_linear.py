@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from conftest import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_table, fleet_frame
 
-from driftline.operators.linear import LINEAR_MODELS, RIDGE_ALPHAS, add_linear, fit_linear, ridge_cv, tune_ridge
+from driftline.operators.linear import LINEAR_MODELS, RIDGE_ALPHAS, add_linear, fit_linear, fit_plain, ridge_cv, tune_ridge
 from driftline.operators.estimators import predict_later, ridge
 from driftline.operators.prepare import prepare
 from driftline.operators.solve import nonnegative_line
@@ -56,6 +56,25 @@ def test_models_equal_the_closed_form(spark, layout):
             assert found["single_sensor_linear"].to_numpy() == pytest.approx(intercept + slope * rows.a.fillna(fill))
 
 
+@LAYOUTS
+def test_plain_models_equal_the_solver(spark, layout):
+    frame = fleet_frame()
+    frame.loc[(frame.device_id == 1) & (frame.a.notna()), "a"] = 7.0  # a sensor that never varies
+    table = cell_table(spark, frame, layout=layout)
+    cells = {scheme: range(1, table.last + 1) for scheme in ("train", "final")}
+    names = list(LINEAR_MODELS[:2])
+    key = lambda r: (r["device_id"], r["scheme"], r["cell"], r["model"])
+    got = {key(r): r for r in fit_plain(table, cells, names).collect()}
+    want = [r for scheme, f in cells.items() for r in fit_linear(table.gram, scheme, f, names).collect()]
+    assert len(got) == len(want) == 3 * 2 * 4 * 2
+    for r in want:
+        mine = got[key(r)]
+        assert mine["fit_rows"] == r["fit_rows"] and mine["intercept"] == pytest.approx(r["intercept"])
+        for part in ("slopes", "fills", "hour_weights", "weekday_weights"):
+            assert mine[part] == pytest.approx(r[part])
+    assert {r["slopes"][0] for k, r in got.items() if k[0] == 1} == {0.0}
+
+
 def test_search_equals_the_plain_loop(spark):
     frame = fleet_frame(devices=2)
     table, cells = cell_table(spark, frame), brute_cells(frame)

@@ -4,7 +4,7 @@ import pytest
 from conftest import SPEC, cell_table, fleet_frame
 from pyspark.sql import functions as F
 
-from driftline.operators.linear import add_linear, fit_linear
+from driftline.operators.linear import add_linear, fit_linear, fit_plain
 from driftline.operators.preprocess import prefix_medians
 from driftline.functions.metrics import score
 from driftline.spec import Layout
@@ -25,7 +25,7 @@ def test_medians_need_no_shuffle(table):
 
 
 def test_per_device_aggregates_need_no_shuffle(table):
-    joined = table.join_devices(table.fit_rows, table.gram.fills.select("device_id", "centres"))
+    joined = table.join_devices(table.fit_rows, table.fills.select("device_id", "centres"))
     text = plan(joined.groupBy("device_id", "cell_train").agg(F.sum(F.col("a") - F.col("centres")[0])))
     assert text.count("Exchange") == text.count("BroadcastExchange") > 0
     scan = [line for line in text.splitlines() if "FileScan" in line][0]
@@ -45,3 +45,14 @@ def test_no_single_task_exchange_on_rows(table):
     rows = add_linear(table.cells("train", 4, 4), table, models, "train", [4], {"ridge": "p"})
     text = plan(score(rows.withColumn("target", F.col("y")), ["device_id"], "target", "p"))
     assert "SinglePartition" not in text
+
+
+def test_mean_and_one_sensor_line_run_without_python(table):
+    text = plan(fit_plain(table, {"train": [1, 4], "final": [4]}, ["mean_baseline", "single_sensor_linear"]))
+    assert "InPandas" not in text and "Python" not in text
+    assert text.count("Exchange hashpartitioning") == 1  # the device table goes to the rows, which stay
+
+
+def test_level_sums_have_a_row_per_hour_and_weekday(table):
+    most = table.gram.levels.groupBy("device_id", "cell_train", "cell_final").count().agg(F.max("count")).first()[0]
+    assert most <= 31
