@@ -28,6 +28,7 @@ CELL = {"train": "cell_train", "final": "cell_final"}
 
 TOO_FEW_FOR_BLOCKS = "too few rows for three blocks"
 TOO_FEW_FOR_FOLDS = "too few training rows for the folds"
+INFINITE = "infinite values"
 
 
 def block_sizes(n: Column, config: RunConfig) -> tuple[Column, Column, Column]:
@@ -138,10 +139,12 @@ def find_cuts(rows: DataFrame, spec: CalibrationSpec, config: RunConfig) -> Cuts
     fit_all = n_train + n_val
     reason = F.when(F.least(n_train, n_val, n_test) < 1, TOO_FEW_FOR_BLOCKS).when(
         fold_size(n_train, k) < 1, TOO_FEW_FOR_FOLDS
-    )
+    ).when(F.col("infinite") > 0, INFINITE)
+    measured = [F.coalesce(F.abs(q(c)), F.lit(0.0)) for c in (spec.target, *spec.continuous)]
     counted = rows.groupBy(spec.device).agg(
         F.count("*").alias("n"), F.min_by(q(spec.target), q(spec.time)).alias("first_target"),
         F.count_if(q(spec.time).isNull()).alias("no_time"),
+        F.count_if(F.array_max(F.array(*measured)) == float("inf")).alias("infinite"),
     )
     found = keep(counted.select(
         spec.device, "n", "first_target", n_train.alias("n_train"), n_val.alias("n_val"), n_test.alias("n_test"),

@@ -27,8 +27,8 @@ from driftline.operators.select import Selection, select_model
 from driftline.operators.stacking import StackFitted, stock_stack
 from driftline.operators.timesplit import block_periods
 from driftline.operators.trees import boosting, random_forest
-from driftline.session import keep
-from driftline.sources.export import check_unique, load_export
+from driftline.session import keep, kept_so_far, release
+from driftline.sources.export import check_fingerprint, check_unique, fingerprint, load_export
 from driftline.spec import MODEL_ORDER, CalibrationSpec, Layout, RunConfig
 
 
@@ -207,6 +207,29 @@ def _stack_tables(fitted: Mapping[str, Fitted], scheme: str) -> tuple[DataFrame
     )
 
 
+def run_recipe(
+    spark: SparkSession, paths: str | Sequence[str], expected: DataFrame, folder: str, runs_path: str, spec: CalibrationSpec,
+    config: RunConfig = RunConfig(), recipe: str = "recipe", layout: Layout = Layout(), device: str | None = None,
+) -> dict[str, str]:
+    """The pinned recipe: check the files' digests, run, write the outputs, append to the manifest; returns the paths.
+
+    A changed, absent or unexpected file raises before anything is written to
+    ``folder``. Intermediate tables are dropped at the end, also after an error.
+    """
+    from driftline.sinks.report import append_manifest, write_outputs
+
+    source = fingerprint(spark, paths)
+    check_fingerprint(source, expected)
+    before = kept_so_far(spark)
+    try:
+        result = run_export(spark, paths, spec, config, layout, device)
+        written = write_outputs(result, folder, source)
+        append_manifest(result, runs_path, recipe, source, written)
+        return written
+    finally:
+        release(spark, before)
+
+
 def run_export(
     spark: SparkSession, paths: str | Sequence[str], spec: CalibrationSpec, config: RunConfig = RunConfig(),
     layout: Layout = Layout(), device: str | None = None,

@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         configured = context.getCheckpointDir()
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="driftline-")
     if context.getCheckpointDir() is None:
@@ -70,6 +70,7 @@ def keep_columnar(df: DataFrame) -> DataFrame:
     """Write rows as Parquet in the shared folder, so later passes can prune columns."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    _remember(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -83,5 +84,36 @@ def keep_clustered(df: DataFrame, keys: list[str], buckets: int, sort: list[str]
     spark = df.sparkSession
     name = f"driftline_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    _remember(spark, path, name)
     df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*sort).option("path", path).saveAsTable(name)
     return spark.table(name)
+
+
+_kept: dict[str, list[tuple[str, str | None]]] = {}
+
+
+def _remember(spark: SparkSession, path: str, name: str | None = None) -> None:
+    with _shipping:
+        _kept.setdefault(spark.sparkContext.applicationId, []).append((path, name))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Drop the tables and folders that this application has kept, from the ``since``-th on; returns how many.
+
+    Results that still read them can no longer be computed, so write them out first.
+    """
+    with _shipping:
+        mine = _kept.get(spark.sparkContext.applicationId, [])
+        gone, mine[since:] = mine[since:], []
+    for path, name in gone:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(gone)
+
+
+def kept_so_far(spark: SparkSession) -> int:
+    """How many tables and folders the application has kept; for ``release(spark, since)``."""
+    with _shipping:
+        return len(_kept.get(spark.sparkContext.applicationId, []))

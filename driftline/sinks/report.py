@@ -14,12 +14,12 @@ from driftline.operators.select import scores_wide
 from driftline.operators.stacking import STACK_BOOSTING, STACK_RIDGE_ALPHA
 from driftline.plans.experiment import RunResult
 
-SELECTION_RULE = "lowest validation RMSE; the test block is scored after the choice"
-IMPORTANCE_MEASURE = "increase in RMSE when the feature is shuffled"
-STACK_POLICY = {
-    "base_parameter_policy": "fixed before fitting, not taken from the searches",
-    "meta_model": "non-negative least squares with an intercept",
-    "oof_policy": "expanding window, past rows only; the warm-up is not used by the meta model",
+SELECTION_RULE = "the model with the least validation RMSE, chosen before any test row is scored"
+IMPORTANCE_MEASURE = "RMSE with the feature taken from another row, less RMSE as is"
+STACK_RULES = {
+    "base_models": "settings are constants; no search result goes into them",
+    "blend": "least squares over the bases' predictions, no weight below zero, with an intercept",
+    "blend_rows": "rows of the folds, each predicted from earlier rows; the rows before the first fold are left out",
 }
 
 
@@ -131,7 +131,7 @@ def _tuning(result: RunResult) -> DataFrame:
         )
         base = base.join(fits, device)
         settings = {
-            **STACK_POLICY, "ridge_alpha": STACK_RIDGE_ALPHA, "hist_gradient_boosting": STACK_BOOSTING,
+            **STACK_RULES, "ridge_alpha": STACK_RIDGE_ALPHA, "hist_gradient_boosting": STACK_BOOSTING,
         }
         parts.append(F.struct(
             *[(_constant(spark, v) if isinstance(v, Mapping) else F.lit(v)).alias(k) for k, v in settings.items()],

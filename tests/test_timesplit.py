@@ -3,7 +3,8 @@ import pytest
 from conftest import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_table, fleet_frame, to_spark
 
 from driftline.operators.prepare import prepare
-from driftline.operators.timesplit import block_periods, cut_times, fold_audit, fold_sizes_of, split_sizes, train_and_validation
+from driftline.operators.celltable import build_cell_table
+from driftline.operators.timesplit import INFINITE, block_periods, cut_times, fold_audit, fold_sizes_of, split_sizes, train_and_validation
 from driftline.spec import Layout, RunConfig
 
 COLUMNS = ["device_id", "ts", "block", "cell_train", "cell_final"]
@@ -118,3 +119,29 @@ def test_cuts_ignore_values(spark):
         for f in (frame, poisoned)
     ]
     assert first == second
+
+
+def test_layouts_agree_when_daylight_saving_ends(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        start = int(pd.Timestamp("2020-11-01 00:00", tz="America/New_York").timestamp())
+        rows = spark.range(80).selectExpr(
+            "'d' AS device_id", f"timestamp_seconds({start} + id * 300) AS ts", "id * 1.0D AS y", "id * 2.0D AS a", "1.0D AS b", "0.5D AS t"
+        )
+        features, found = prepare(rows, SPEC), []
+        for layout in (Layout(), Layout(hot_rows=10)):
+            table = build_cell_table(features, SPEC, RunConfig.quick(), layout)
+            found.append({tuple(r) for r in table.rows.selectExpr("unix_seconds(ts)", "block", "cell_train", "cell_final").collect()})
+        assert found[0] == found[1] and len(found[0]) == 80
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_devices_with_infinite_values_are_set_aside(spark):
+    frame = fleet_frame()
+    frame.loc[frame[frame.device_id == 1].index[5], "b"] = float("inf")
+    frame.loc[frame[frame.device_id == 2].index[9], "y"] = float("-inf")
+    table = cell_table(spark, frame)
+    assert {r["device_id"]: r["reason"] for r in table.cuts.rejected.collect()} == {1: INFINITE, 2: INFINITE}
+    assert [r[0] for r in table.rows.select("device_id").distinct().collect()] == [0]
