@@ -370,6 +370,8 @@ def oracle_sql() -> dict[str, str]:
             judged AS (SELECT *, least(a, b, n - a - b) < 1 OR a // {many + 1} < 1 AS short FROM sized)
             SELECT device_id, CASE WHEN short THEN '{NO_MODEL}' END AS reason, n AS n_rows,
                 CASE WHEN short THEN 0 ELSE n END AS n_predicted FROM judged""",
+        "stream_scoring": f"WITH {user}, {cells()} SELECT count(*) AS at_once, count(*) AS streamed, 0.0::DOUBLE AS difference "
+                          f"FROM rows_ WHERE {ANY_SENSOR} AND device_id IN (SELECT device_id FROM cells)",
         "forward_cv_ols": f"{_linear(supplier)} " + " UNION ALL ".join(
             f"SELECT device_id, {i}::BIGINT AS candidate, CAST(f AS BIGINT) AS fold, count(*) AS n_rows, "
             f"{r(rmse('y', p))} AS rmse FROM predicted WHERE scheme = 'train' AND f <= {k} GROUP BY device_id, f"
