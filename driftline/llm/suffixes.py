@@ -48,7 +48,6 @@ class Settings:
     crowd: int = 3_000  # different pieces of an anchor beyond which it is cut anew
     bucket_bytes: int = 1_500_000
     shard_bytes: int = 300_000
-    broadcast_rows: int = 500_000  # of the pieces or spans that are looked up in the texts
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -273,17 +272,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return with_bytes.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
 
 
-def _looked_up(docs: DataFrame, wanted: DataFrame, rows: int, settings: Settings) -> DataFrame:
-    """Texts with what is wanted of them, by the key of the text."""
-    side = F.broadcast(wanted) if rows <= settings.broadcast_rows else wanted
-    return keyed(docs).join(side, ["h1", "h2"])
+def _looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts with what is wanted of them, by the key of the text; a shuffle join at every size."""
+    return keyed(docs).join(wanted.hint("merge"), ["h1", "h2"])
 
 
-def fetched(docs: DataFrame, open_: DataFrame, scan: DataFrame, settings: Settings) -> DataFrame:
+def fetched(docs: DataFrame, open_: DataFrame, scan: DataFrame) -> DataFrame:
     """The bytes of open pieces: anchor, part, _row, start, wanted (its repeats are to be reported)."""
     per_row = open_.groupBy("_row").agg(F.collect_list(F.struct("anchor", "name", "place", "wanted", "crowded")).alias("pieces"))
-    wanted = stored(per_row.join(scan.select("_row", "h1", "h2"), "_row"))
-    rows = wanted.agg(F.coalesce(F.sum(F.size("pieces")), F.lit(0))).first()[0]
+    wanted = per_row.join(scan.select("_row", "h1", "h2"), "_row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ("anchor", "name", "part", "_row", "start", "wanted")
@@ -304,7 +301,7 @@ def fetched(docs: DataFrame, open_: DataFrame, scan: DataFrame, settings: Settin
                 [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], list(columns)
             )
 
-    texts = _looked_up(docs, wanted, rows, settings).select("text", "_row", "pieces")
+    texts = _looked_up(docs, wanted).select("text", "_row", "pieces")
     found = texts.mapInArrow(cut, "anchor long, name long, part binary, _row long, start long, wanted boolean")
     return found.dropDuplicates(["anchor", "name", "_row", "start"])  # a text that stands in several rows is fetched by each
 
@@ -353,6 +350,9 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> tuple[Da
     """The scan of the documents, and (_row, spans): maximal ranges of bytes that repeated strings cover."""
     scan = stored(scanned(docs))
     each = scan.select("_row", F.explode("pieces").alias("p")).select("_row", "p.*")
+    # An anchor that stands once in all texts has no repeats; most pieces end here.
+    standing = each.groupBy("anchor").count().filter("count > 1").select("anchor")
+    each = stored(each.join(standing, "anchor", "left_semi"))
     # Row and place are those of one occurrence: the only one, or any to fetch the bytes from.
     kinds = stored(each.groupBy("anchor", "name").agg(
         F.count("*").alias("n"), F.first("_row").alias("_row"), F.first("place").alias("place")
@@ -364,7 +364,7 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> tuple[Da
     whole = each.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"]).select(
         "_row", F.expr("place div 256").alias("low"), F.expr(f"place div 256 + place % 256 + {SPAN - 1}").alias("high")
     )
-    parts = stored(merged(stored(fetched(docs, stored(open_), scan, settings)), settings))
+    parts = stored(merged(stored(fetched(docs, open_, scan)), settings))
     ranges = whole.unionByName(parts).groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return scan, ranges.select("_row", _united("spans").alias("spans"))
 
@@ -398,7 +398,7 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
                 ["h1", "h2", "sha_left", "kept"],
             )
 
-    left = _looked_up(docs, wanted, wanted.count(), settings).select("h1", "h2", "text", "spans").mapInArrow(
+    left = _looked_up(docs, wanted).select("h1", "h2", "text", "spans").mapInArrow(
         cut, "h1 long, h2 long, sha_left string, kept binary"
     )
     whole = judged.filter((F.col("n_removed") == 0) | (F.col("n_removed") == F.col("n_bytes"))).select(
