@@ -46,7 +46,7 @@ CHUNK = 1 << 20  # bytes that are hashed at once; places in a chunk fit into 21
 @dataclass(frozen=True)
 class Settings:
     crowd: int = 3_000  # different pieces of an anchor beyond which it is cut anew
-    bucket_bytes: int = 1_500_000
+    bucket_bytes: int = 1_000_000
     shard_bytes: int = 300_000
 
 
@@ -351,7 +351,8 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> tuple[Da
     scan = stored(scanned(docs))
     each = scan.select("_row", F.explode("pieces").alias("p")).select("_row", "p.*")
     # An anchor that stands once in all texts has no repeats; most pieces end here.
-    standing = each.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # Stored, so that both sides of the join are plain shuffles, of which adaptive execution splits a hot anchor's.
+    standing = stored(each.groupBy("anchor").count().filter("count > 1").select("anchor"))
     each = stored(each.join(standing, "anchor", "left_semi"))
     # Row and place are those of one occurrence: the only one, or any to fetch the bytes from.
     kinds = stored(each.groupBy("anchor", "name").agg(
