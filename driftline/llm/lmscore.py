@@ -33,6 +33,7 @@ from driftline.llm.shared import ready, stored, text_bytes
 
 END = b"\n"  # no word has it
 HELD_OUT_DIVISOR = 5
+CACHED_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -41,10 +42,10 @@ class Settings:
     bits_per_entry: int = 10
     hashes: int = 4
     filter_bits: int = 1 << 29  # 64 MB, the bound of the broadcast filter
-    broadcast_words: int = 2_000_000
+    broadcast_words: int = 1_000_000
     bucket_bytes: int = 32_000_000  # text per counting bucket
     strength: float = 4.0  # k above
-    slice_words: int = 1_000_000
+    slice_words: int = 250_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -77,7 +78,7 @@ class Slices:
         self.words_at_once, self.cache = words_at_once, {END: word_hash(END)}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.cache) > 1_000_000:
+        if len(self.cache) > CACHED_WORDS:
             self.cache = {END: word_hash(END)}
         cache = self.cache
         for word in set(words).difference(cache):
@@ -211,7 +212,7 @@ def count_ngrams(texts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
     n_buckets = max(1, -(-total // settings.bucket_bytes))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices = Slices(settings.slice_words * 3)
+        slices = Slices(settings.slice_words * 4)
         texts = (x.as_py() for batch in batches for x in batch.column("text"))
         for own, before, _ in slices.of(texts):
             for kind, keys in ((1, own), (2, bigram_keys(before, own))):
