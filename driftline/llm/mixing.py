@@ -29,7 +29,7 @@ SHARDS = 64
 ROUNDS = 16
 PRIME = 2_147_483_647
 CHUNK = 2_000
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 2_000
 BROADCAST_ROWS = 100_000
 
 
