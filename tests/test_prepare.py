@@ -60,7 +60,8 @@ def test_schema_checks(rows):
 @pytest.mark.parametrize("name", ["CO(GT)", "NO2(GT)", " benzene(gt) ", "y"])
 def test_reference_columns_cannot_be_features(name):
     with pytest.raises(LeakageError):
-        CalibrationSpec(target="y", sensors=("a", name), weather=(), single_sensor="a", forbidden=GAS_EXPORT.forbidden)
+        CalibrationSpec(target="y", sensors=("a", name), weather=(), single_sensor="a",
+                        forbidden=GAS_EXPORT.forbidden, forbidden_suffixes=GAS_EXPORT.forbidden_suffixes)
     assert issubclass(LeakageError, ValueError)
     SPEC.check_features(["a", "PT08.S1(CO)"])
 
@@ -77,6 +78,6 @@ def test_configuration_is_checked(bad):
 def test_defaults_and_quick_preset():
     assert RunConfig().as_dict() | {"search_parallelism": 0} == {
         "train_frac": 0.7, "val_frac": 0.15, "cv_splits": 5, "search_iterations": 20, "forest_trees": 300,
-        "importance_repeats": 10, "seed": 42, "search_parallelism": 0}
+        "importance_repeats": 10, "seed": 42, "search_parallelism": 0, "forest_depth": 15}
     quick = RunConfig.quick()
     assert (quick.cv_splits, quick.search_iterations, quick.forest_trees, quick.importance_repeats) == (3, 2, 30, 3)
