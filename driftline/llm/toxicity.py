@@ -43,7 +43,7 @@ TO_WORDS = bytes(
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 3_000  # labelled rows, by a hash of doc_id
+    train_rows: int = 2_000  # labelled rows, by a hash of doc_id
     train_bytes: int = 200_000  # longer labelled texts are left out of the training sample
     significance: float = 25.0  # likelihood ratio from which a word is taken as toxic
     least_contexts: int = 4  # words and stems with fewer are treated as unknown
