@@ -91,6 +91,8 @@ def sentence_words(text: bytes) -> list[bytes]:
 def marginals(model: Model, score: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(toxic) of each token, and expected counts of the four tag pairs; forward and backward over equal-sized batches."""
     result, pairs = np.zeros(len(score)), np.zeros((2, 2))
+    if not len(length):
+        return result, pairs
     odds, move = np.exp(np.clip(score, -30, 30)), np.exp(model.transition)
     order = np.argsort(length, kind="stable")
     padded = -(-length[order] // 4) * 4
