@@ -5,11 +5,13 @@ bigrams of its texts, cuts the sums into buckets of a 64-bit hash, and a bucket
 is summed in one place. Counts c are quantised to levels 1 + floor(log c /
 log base); an n-gram is put into the filter once for every level up to its own,
 so its level is found by asking for level 1, 2, ... until the answer is no. A
-filter has a block per bucket, as large as the bucket's entries need, and at
-most ``filter_bits`` in all; beyond that bound no n-gram is left out, but
-wrong answers become more frequent (``false_positive_rate`` of the model).
+filter has a block per bucket, as large as the bucket's entries need, so the
+rate of wrong answers does not depend on the size of the corpus.
 
-The filter is broadcast; probabilities are smoothed towards unigrams:
+A filter of at most ``filter_bits`` is broadcast. A larger one stays in its
+blocks: texts are kept as slices of word hashes, the different n-grams of a
+slice are sent to the blocks of their buckets, and the levels come back to the
+slice. Probabilities are smoothed towards unigrams:
     p(w | v) = (c(v w) + k p(w)) / (c(v) + k),  p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 with all counts from the filter. The base score uses exact counts: those of the
 ``broadcast_words`` most frequent words are broadcast, those of all others are
@@ -20,12 +22,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,7 @@ from driftline.llm.shared import ready, stored, text_bytes
 END = b"\n"  # no word has it
 HELD_OUT_DIVISOR = 5
 CACHED_WORDS = 200_000
+ARROW_BITS = 8 * ((1 << 31) - 64)  # of one value; the text of a bucket needs far fewer
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,7 @@ class Settings:
     base: float = 1.5  # of the logarithm that quantises counts
     bits_per_entry: int = 10
     hashes: int = 4
-    filter_bits: int = 1 << 29  # 64 MB, the bound of the broadcast filter
+    filter_bits: int = 1 << 29  # 64 MB, up to which the filter is broadcast
     broadcast_words: int = 1_000_000
     bucket_bytes: int = 32_000_000  # text per counting bucket
     strength: float = 4.0  # k above
@@ -150,9 +154,14 @@ def filter_block(keys: np.ndarray, counts: np.ndarray, most_bits: int, settings:
     return np.packbits(bits, bitorder="little")
 
 
+def smoothed(own: np.ndarray, context: np.ndarray, both: np.ndarray, unit: float, k: float) -> np.ndarray:
+    """log10 p(w | v) from the counts of the word, the word before and both."""
+    return np.log10((np.minimum(both, context) + k * (own + 0.5) / unit) / (context + k))
+
+
 @dataclass
 class Model:
-    bits: np.ndarray
+    bits: np.ndarray  # of all blocks; none if the filter is not broadcast
     block_starts: np.ndarray  # in bits, one more than blocks
     words: np.ndarray  # sorted hashes of the broadcast words
     counts: np.ndarray
@@ -161,14 +170,15 @@ class Model:
     train_words: int
     entries: int
     settings: Settings
+    blocks: DataFrame | None = None  # (bucket, block) of a filter that is not broadcast
 
     @property
     def false_positive_rate(self) -> float:
         total = max(1, int(self.block_starts[-1]))
         return float((1 - math.exp(-self.settings.hashes * self.entries / total)) ** self.settings.hashes)
 
-    def filter_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated membership probes."""
+    def filter_levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by repeated membership probes, 0 for what is not in the filter."""
         n = len(self.block_starts) - 1
         level = np.zeros(len(keys), dtype=np.int64)
         alive, nth = np.arange(len(keys)), 1
@@ -184,7 +194,11 @@ class Model:
             alive = alive[there]
             level[alive] = nth
             nth += 1
-        return level_values(self.settings.base)[level]
+        return level
+
+    def filter_counts(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts."""
+        return level_values(self.settings.base)[self.filter_levels(keys)]
 
     def exact_counts(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of broadcast words, -1 for others."""
@@ -201,9 +215,16 @@ class Model:
         kinds, place = np.unique(np.concatenate((words, before)), return_inverse=True)
         single = self.filter_counts(unigram_keys(kinds))
         own, context = single[place[: len(words)]], single[place[len(words):]]
-        both = np.minimum(self.filter_counts(bigram_keys(before, words)), context)
-        k = self.settings.strength
-        return np.log10((both + k * (own + 0.5) / self.unit) / (context + k))
+        both = self.filter_counts(bigram_keys(before, words))
+        return smoothed(own, context, both, self.unit, self.settings.strength)
+
+    def base_parts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every word: whether its exact count is at hand, whether it is known, and its part of the base score."""
+        kinds, place = np.unique(words, return_inverse=True)
+        exact = self.exact_counts(kinds)[place]
+        resolved = exact >= 0 if not self.all_words else np.ones(len(words), dtype=bool)
+        count = np.maximum(exact, 0)
+        return resolved, count > 0, np.where(resolved, np.log10((count + 0.5) / self.unit), 0.0)
 
 
 def count_ngrams(texts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
@@ -243,7 +264,7 @@ def count_ngrams(texts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
         words, n_words = summed(table, 1)
         pairs, n_pairs = summed(table, 2)
         keys, counts = np.concatenate((unigram_keys(words), pairs)), np.concatenate((n_words, n_pairs))
-        block = filter_block(keys, counts, settings.filter_bits // n_buckets, settings)
+        block = filter_block(keys, counts, ARROW_BITS, settings)
         rows = len(words) + 1
         return pa.table({
             "bucket": pa.array([bucket] * rows, pa.int32()),
@@ -265,18 +286,24 @@ def fit(docs: DataFrame, usable: Column | None = None, settings: Settings = Sett
     counted = stored(counted)
     words = counted.filter("block IS NULL").select("word", "n")
     n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # At most broadcast_words rows and filter_bits bits reach the driver.
+    # At most broadcast_words rows, filter_bits bits and the sizes of the blocks reach the driver.
     top = (words if n_words <= settings.broadcast_words else words.orderBy(F.desc("n"), "word").limit(settings.broadcast_words)).toArrow()
     hashes = top["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
+    blocks = counted.filter("block IS NOT NULL").select("bucket", "block")
     sizes, parts, entries = np.zeros(n_buckets, dtype=np.int64), [b""] * n_buckets, 0
-    for row in counted.filter("block IS NOT NULL").select("bucket", "block", "entries").toArrow().to_pylist():
-        parts[row["bucket"]], sizes[row["bucket"]] = row["block"], 8 * len(row["block"])
+    measured = counted.filter("block IS NOT NULL").select("bucket", F.octet_length("block").alias("size"), "entries")
+    for row in measured.toArrow().to_pylist():
+        sizes[row["bucket"]] = 8 * row["size"]
         entries += row["entries"]
+    fits = sizes.sum() <= settings.filter_bits
+    if fits:
+        for row in blocks.toArrow().to_pylist():
+            parts[row["bucket"]] = row["block"]
     bits = np.frombuffer(b"".join(parts) or b"\0", dtype=np.uint8)
     model = Model(
         bits, np.concatenate(([0], np.cumsum(sizes))), hashes[order], top["n"].to_numpy()[order].astype(np.int64),
-        n_words <= settings.broadcast_words, n_tokens, n_words, entries, settings,
+        n_words <= settings.broadcast_words, n_tokens, n_words, entries, settings, None if fits else blocks,
     )
     return model, words
 
@@ -288,6 +315,11 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     counts are 0. Repeated rows get a row each, an empty table gives none.
     """
     spark = ready(docs)
+    if model.blocks is not None:
+        scored = _scored_in_blocks(docs, model)
+        if not model.all_words:
+            scored = _with_rare_words(stored(scored), words, model.unit)
+        return _columns(scored, model)
     shared_model = spark.sparkContext.broadcast(model)  # bounded by the settings
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +330,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             tokens, known, base, score = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
             open_words: list[list[int]] = [[] for _ in range(rows)]
             for own, before, owner in slices.of(x.as_py() for x in batch.column("text")):
-                kinds, place = np.unique(own, return_inverse=True)
-                exact = model.exact_counts(kinds)[place]
-                resolved = exact >= 0 if not model.all_words else np.ones(len(own), dtype=bool)
-                count = np.maximum(exact, 0)
-                add = np.where(resolved, np.log10((count + 0.5) / model.unit), 0.0)
-                for total, values in ((tokens, None), (known, count > 0), (base, add), (score, model.log_probabilities(own, before))):
+                resolved, there, add = model.base_parts(own)
+                for total, values in ((tokens, None), (known, there), (base, add), (score, model.log_probabilities(own, before))):
                     total += np.bincount(owner, values, minlength=rows).astype(total.dtype)
                 for i in np.flatnonzero(~resolved).tolist():
                     open_words[owner[i]].append(int(own[i]) - (1 << 64) * (int(own[i]) >> 63))
@@ -316,11 +344,146 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     scored = docs.select("doc_id", text_bytes().alias("text")).mapInArrow(of_batches, schema)
     if not model.all_words:
         scored = _with_rare_words(stored(scored.withColumn("_row", F.monotonically_increasing_id())), words, model.unit)
+    return _columns(scored, model)
+
+
+def _columns(scored: DataFrame, model: Model) -> DataFrame:
     return scored.select(
         "doc_id", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
+def _bucket_runs(keys: np.ndarray, n_buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, its keys) of sorted keys; sorted keys stand in the order of their buckets."""
+    bucket = buckets_of(keys, n_buckets)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()
+    return [(int(bucket[a]), keys[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _slice_words(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a kept slice's words and of the words before."""
+    kinds, sizes = np.frombuffer(row["kinds"], dtype=np.uint64), np.frombuffer(row["sizes"], dtype=np.int32)
+    own = kinds[np.frombuffer(row["own"], dtype=np.int32)]
+    before = np.roll(own, 1)
+    before[np.cumsum(sizes) - sizes] = kinds[np.frombuffer(row["starts"], dtype=np.int32)]
+    return own, before
+
+
+def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
+    """Scores by a filter that stays in its blocks; n-grams go to the blocks and levels come back by shuffle."""
+    settings, unit, n_buckets = model.settings, model.unit, len(model.block_starts) - 1
+    blocks = model.blocks
+    shared_model = docs.sparkSession.sparkContext.broadcast(replace(model, blocks=None))
+    empty = np.zeros(0, dtype=np.uint64)
+    block_model = replace(model, bits=empty, words=empty, counts=empty, blocks=None)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, first_id = shared_model.value, TaskContext.get().partitionId() << 40
+        ids: dict[int, int | None] = {}
+
+        def texts() -> Iterator[bytes]:
+            nth = 0
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                    ids[nth] = doc_id.as_py()
+                    nth += 1
+                    yield text.as_py()
+
+        for nth, (own, before, owner) in enumerate(Slices(settings.slice_words).of(texts())):
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            sizes = np.diff(np.append(first, len(own)))
+            kinds, place = np.unique(np.concatenate((own, before[first])), return_inverse=True)
+            place = place.astype(np.int32)
+            resolved, there, add = model.base_parts(own)
+            rare: list[list[int]] = [[] for _ in first]
+            part = np.repeat(np.arange(len(first)), sizes)
+            for i in np.flatnonzero(~resolved).tolist():
+                rare[part[i]].append(int(own[i]) - (1 << 64) * (int(own[i]) >> 63))
+            rows, n = owner[first].tolist(), len(first)
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array([None] * n + [first_id + nth], pa.int64()),
+                "_row": pa.array([first_id + i for i in rows] + [None], pa.int64()),
+                "doc_id": pa.array([ids[i] for i in rows] + [None], pa.int64()),
+                "n_tokens": pa.array([*sizes.tolist(), None], pa.int64()),
+                "n_known": pa.array([*np.add.reduceat(there.astype(np.int64), first).tolist(), None], pa.int64()),
+                "base_score": pa.array([*np.add.reduceat(add, first).tolist(), None], pa.float64()),
+                "open_words": pa.array([*rare, None], pa.list_(pa.int64())),
+                **{
+                    name: pa.array([None] * n + [values.tobytes()], pa.binary()) for name, values in (
+                        ("kinds", kinds), ("own", place[:len(own)]), ("starts", place[len(own):]),
+                        ("sizes", sizes.astype(np.int32)), ("rows", first_id + owner[first].astype(np.int64)),
+                    )
+                },
+            })
+            for i in [i for i in ids if i < rows[-1]]:
+                del ids[i]
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, before = _slice_words(row)
+                for kind, keys in ((1, unigram_keys(np.concatenate((own, before)))), (2, bigram_keys(before, own))):
+                    runs = _bucket_runs(np.unique(keys), n_buckets)
+                    yield pa.RecordBatch.from_pydict({
+                        "slice": pa.array([row["slice"]] * len(runs), pa.int64()), "kind": pa.array([kind] * len(runs), pa.int32()),
+                        "bucket": pa.array([bucket for bucket, _ in runs], pa.int32()), "keys": pa.array([keys for _, keys in runs], pa.binary()),
+                    })
+
+    def answers(asked: pa.Table, block: pa.Table) -> pa.Table:
+        parts = asked["keys"].to_pylist()
+        keys = np.frombuffer(b"".join(parts), dtype=np.uint64)
+        bits = np.frombuffer(block["block"][0].as_py() if block.num_rows else b"", dtype=np.uint8)
+        own = replace(block_model, bits=bits, block_starts=np.array([0, 8 * len(bits)]))
+        cuts = range(0, len(keys), settings.slice_words)
+        level = b"".join(own.filter_levels(keys[a:a + settings.slice_words]).astype(np.uint8).tobytes() for a in cuts) if len(bits) else bytes(len(keys))
+        ends = np.cumsum([len(part) // 8 for part in parts], dtype=np.int64).tolist()
+        found = [level[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return pa.table({
+            "slice": asked["slice"], "kind": asked["kind"], "bucket": asked["bucket"], "levels": pa.array(found, pa.binary()),
+        })
+
+    def gathered(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        (row,) = (r for r in rows if r["kind"] is None)
+        values = level_values(settings.base)
+        single, double = (
+            values[np.frombuffer(b"".join(
+                r["levels"] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
+            ), dtype=np.uint8)] for kind in (1, 2)
+        )
+        own, before = _slice_words(row)
+        place = np.unique(unigram_keys(np.concatenate((own, before))), return_inverse=True)[1]
+        pair = np.unique(bigram_keys(before, own), return_inverse=True)[1]
+        one = single[place]
+        logs = smoothed(one[:len(own)], one[len(own):], double[pair], unit, settings.strength)
+        sizes = np.frombuffer(row["sizes"], dtype=np.int32)
+        return pa.table({
+            "_row": np.frombuffer(row["rows"], dtype=np.int64), "score": np.add.reduceat(logs, np.cumsum(sizes) - sizes),
+        })
+
+    hashes = "kinds binary, own binary, starts binary, sizes binary, rows binary"
+    kept = stored(docs.select("doc_id", text_bytes().alias("text")).mapInArrow(
+        sliced, "slice long, _row long, doc_id long, n_tokens long, n_known long, base_score double, "
+        f"open_words array<long>, {hashes}"
+    ))
+    slices = kept.filter("slice IS NOT NULL").select("slice", "kinds", "own", "starts", "sizes", "rows")
+    # A bucket's probes are split over copies of its block where far more text is scored than was learnt from.
+    n_tokens = kept.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    copies = max(1, -(-n_tokens // max(1, 2 * model.train_tokens)))
+    asked = slices.mapInArrow(probes, "slice long, kind int, bucket int, keys binary").withColumn("copy", F.pmod("slice", F.lit(copies)))
+    there = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    found = asked.groupBy("bucket", "copy").cogroup(there.groupBy("bucket", "copy")).applyInArrow(
+        answers, "slice long, kind int, bucket int, levels binary"
+    )
+    scores = slices.unionByName(found, allowMissingColumns=True).groupBy("slice").applyInArrow(gathered, "_row long, score double")
+    parts = kept.filter("slice IS NULL").select("_row", "doc_id", "n_tokens", "n_known", "base_score", "open_words")
+    return parts.unionByName(scores, allowMissingColumns=True).groupBy("_row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
+        F.flatten(F.collect_list("open_words")).alias("open_words"),
+    )
+
+
 def _with_rare_words(scored: DataFrame, words: DataFrame, unit: float) -> DataFrame:
     """Add what the words that are not broadcast contribute to the base score."""
     rare = scored.select("_row", F.explode("open_words").alias("word")).groupBy("_row", "word").count()

@@ -57,6 +57,19 @@ def test_model_beats_unigrams_on_held_out_text(spark):
     assert 0 < model.false_positive_rate < 0.05
 
 
+@pytest.mark.parametrize("usable", ["true", "coalesce(doc_id, 0) % 10 = 0"])
+def test_filter_beyond_the_broadcast_bound_scores_alike(spark, awkward, usable):
+    docs = frame(spark, [*awkward, *((100 + i, prose(i, 40)) for i in range(40))]).repartition(3)
+    found = []
+    for bits in (1 << 29, 1_000):  # the second one is far less than the entries need
+        settings = Settings(filter_bits=bits, broadcast_words=20, bucket_bytes=10_000, slice_words=50)
+        model, words = lmscore.fit(docs, F.expr(usable), settings)
+        assert (model.blocks is None) == (bits > 1_000) and 0 < model.false_positive_rate < 0.05
+        rows = lmscore.score(docs, model, words).collect()
+        found.append(sorted(str((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))) for r in rows))
+    assert found[0] == found[1]
+
+
 def test_no_training_text_and_empty_table(spark, awkward):
     docs = frame(spark, awkward)
     model, words = lmscore.fit(docs, F.lit(False))
