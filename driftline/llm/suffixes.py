@@ -19,7 +19,9 @@ follows, each step over all texts.
 A symbol of the transforms is a block of ``SYMBOL`` bytes, named by a 64-bit
 hash; so five rounds read 200 bytes. Anchors with more than ``crowd`` different
 pieces are cut anew under a second order of hashes, which splits their strings
-into more groups without parting equal ones.
+into more groups without parting equal ones. Groups that are crowded even then,
+as those of a passage that very many texts share, are compared string by string:
+128-bit hashes of all their strings are counted over all tasks.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ CHUNK = 1 << 20  # bytes that are hashed at once; places in a chunk fit into 21
 
 @dataclass(frozen=True)
 class Settings:
-    crowd: int = 3_000  # different pieces of an anchor beyond which it is cut anew
+    crowd: int = 3_000  # different pieces of an anchor beyond which it is cut anew, and pieces then compared in one place
     bucket_bytes: int = 1_000_000
     shard_bytes: int = 300_000
 
@@ -335,6 +337,48 @@ def merged(found: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def by_strings(found: DataFrame) -> DataFrame:
+    """(_row, low, high): byte ranges that are repeated, from counts of the pieces' strings; no group is ever in one place."""
+    string = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sizes = [], []
+            for part in batch.column("part").to_pylist():
+                n = len(part) - SPAN + 1
+                digests = b"".join(xxhash.xxh3_128_digest(part[i:i + SPAN]) for i in range(n))
+                hashes.append(np.frombuffer(digests, dtype=np.int64).reshape(-1, 2))
+                sizes.append(n)
+            both = np.concatenate(hashes) if hashes else np.zeros((0, 2), dtype=np.int64)
+            strings = pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], fields=list(string))
+            bounds = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("_row", "start", "wanted")), pa.ListArray.from_arrays(bounds, strings)],
+                ["_row", "start", "wanted", "strings"],
+            )
+
+    parts = found.select("part", "_row", "start", "wanted").mapInArrow(
+        hashed, "_row long, start long, wanted boolean, strings array<struct<h1:long,h2:long>>"
+    )
+    # Stored, so that both sides of the join are plain shuffles, of which adaptive execution splits a hot string's.
+    each = stored(parts.select("_row", "start", "wanted", F.posexplode("strings").alias("at", "s")).select(
+        "_row", "start", "wanted", "at", "s.h1", "s.h2"
+    ))
+    again = stored(each.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"))
+    low = F.col("start") + F.col("at")
+    spans = each.filter("wanted").join(again, ["h1", "h2"], "left_semi").groupBy("_row", "start").agg(
+        F.collect_list(F.struct(low.alias("low"), (low + SPAN).alias("high"))).alias("spans")
+    )
+    return spans.select("_row", F.explode(_united("spans")).alias("s")).select("_row", "s.low", "s.high")
+
+
+def compared(found: DataFrame, settings: Settings) -> DataFrame:
+    """(_row, low, high) of all open pieces: groups of at most ``crowd`` pieces in buckets, larger ones by strings."""
+    crowds = stored(found.groupBy("anchor").count().filter(F.col("count") > settings.crowd).select("anchor"))
+    few = merged(found.join(crowds, "anchor", "left_anti"), settings)
+    return few.unionByName(by_strings(found.join(crowds, "anchor", "left_semi")))
+
+
 def _united(spans: str | Column) -> Column:
     """Sorted ranges with those that touch made one."""
     empty = F.array().cast("array<struct<low:bigint,high:bigint>>")
@@ -365,7 +409,7 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> tuple[Da
     whole = each.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"]).select(
         "_row", F.expr("place div 256").alias("low"), F.expr(f"place div 256 + place % 256 + {SPAN - 1}").alias("high")
     )
-    parts = stored(merged(stored(fetched(docs, open_, scan)), settings))
+    parts = stored(compared(stored(fetched(docs, open_, scan)), settings))
     ranges = whole.unionByName(parts).groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return scan, ranges.select("_row", _united("spans").alias("spans"))
 

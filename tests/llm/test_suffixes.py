@@ -54,6 +54,22 @@ def test_removal_equals_brute_force(spark, rows, settings):
         assert r.kept is None or hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
 
 
+def test_passage_of_very_many_texts_is_never_compared_in_one_place(spark, monkeypatch):
+    passage = prose(60, 100)[:230]
+    rows = [(i, prose(600 + i, 40) + passage + prose(700 + i, 40)) for i in range(60)]
+    rows += [(100 + i, prose(800 + i, 30) + passage[:150] + prose(900 + i, 30)) for i in range(60)]
+    groups = []
+
+    def watched(found, settings, merged=suffixes.merged):
+        groups.extend(r["count"] for r in found.groupBy("anchor").count().collect())
+        return merged(found, settings)
+
+    monkeypatch.setattr(suffixes, "merged", watched)
+    got = suffixes.without_repeats(frame(spark, rows), Settings(crowd=10)).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == expected(rows)
+    assert max(groups, default=0) <= 10
+
+
 def test_long_text_over_several_chunks(monkeypatch):
     text = (prose(40, 3_000) + "#" + prose(41, 500) + prose(40, 300)).encode()
     whole = suffixes.pieces([text])
