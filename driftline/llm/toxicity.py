@@ -18,7 +18,6 @@ rows; scoring reads every token of every text, sentence by sentence.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -43,12 +42,12 @@ TO_WORDS = bytes(
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 2_000  # labelled rows, by a hash of doc_id
+    train_rows: int = 4_000  # labelled rows, by a hash of doc_id; a quarter at least of each label that has so many
     train_bytes: int = 200_000  # longer labelled texts are left out of the training sample
     significance: float = 25.0  # likelihood ratio from which a word is taken as toxic
     least_contexts: int = 4  # words and stems with fewer are treated as unknown
-    rounds: int = 8
-    rate: float = 1.5
+    rounds: int = 20
+    rate: float = 0.5
     penalty: float = 0.02
     longest_chain: int = 128  # tokens; longer sentences are several chains
     tokens_at_once: int = 400_000
@@ -140,25 +139,65 @@ def marginals(model: Model, score: np.ndarray, begin: np.ndarray, length: np.nda
     return result, pairs
 
 
-def context_counts(documents: list[list[bytes]], stem: bool) -> Counter:
-    """Different contexts (both neighbours and the word) of each word or stem."""
-    seen = set()
-    for words in documents:
-        seen.update(zip([BREAK, *words[:-1]], words, [*words[1:], BREAK], strict=True))
-    return Counter(word[:STEM_BYTES] if stem else word for _, word, _ in seen if word != BREAK)
+def within(features: tuple[np.ndarray, ...], bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Features without neighbours from other documents."""
+    before, own, after, stem = features
+    filled = bounds[1:] > bounds[:-1]
+    before[bounds[:-1][filled]] = 0
+    after[bounds[1:][filled] - 1] = 0
+    return before, own, after, stem
+
+
+class Corpus:
+    """Labelled texts as word numbers, and the stem number of every word; the break is number 0 of both."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        numbers: dict[bytes, int] = {BREAK: 0}
+        self.documents = []
+        for text in texts:
+            words = sentence_words(text)
+            self.documents.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int32, count=len(words)))
+        self.words = list(numbers)
+        stems: dict[bytes, int] = {}
+        self.stem_of = np.array([stems.setdefault(w[:STEM_BYTES], len(stems)) for w in self.words], dtype=np.int32)
+        self.stems = list(stems)
+
+    def flat(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of the chosen documents, and the documents' bounds."""
+        parts = [self.documents[i] for i in chosen.tolist()]
+        bounds = np.concatenate(([0], np.cumsum([len(part) for part in parts]))).astype(np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), bounds
+
+    def contexts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Different contexts (both neighbours and the word) of each word and of each stem in the chosen documents."""
+        own, bounds = self.flat(chosen)
+        before, after = np.roll(own, 1), np.roll(own, -1)
+        filled = bounds[1:] > bounds[:-1]
+        before[bounds[:-1][filled]] = 0
+        after[bounds[1:][filled] - 1] = 0
+        order = np.lexsort((after, before, own))
+        own, before, after = own[order], before[order], after[order]
+        first = np.ones(len(own), dtype=bool)
+        first[1:] = (own[1:] != own[:-1]) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])
+        words = own[first & (own != 0)]
+        return np.bincount(words, minlength=len(self.words)), np.bincount(self.stem_of[words], minlength=len(self.stems))
+
+    def features(self, model: Model, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As the model's features of the words."""
+        word = np.fromiter(map(model.words.get, self.words, repeat(0)), dtype=np.int32, count=len(self.words))[own]
+        stem = np.fromiter(map(model.stems.get, self.stems, repeat(0)), dtype=np.int32, count=len(self.stems))[self.stem_of[own]]
+        before, after = np.roll(word, 1), np.roll(word, -1)
+        if len(own):
+            before[0] = after[-1] = 0
+        return before, word, after, stem
 
 
-def significant(toxic: Counter, clean: Counter, ratio: float) -> set[bytes]:
-    """Units whose contexts lie in toxic documents far more often than chance would have it."""
-    n_toxic, n_clean = max(1, toxic.total()), max(1, clean.total())
-    found = set()
-    for unit, k in toxic.items():
-        c = clean.get(unit, 0)
-        share = (k + c) / (n_clean + n_toxic)
-        value = 2 * (k * np.log(k / (share * n_toxic)) + (c * np.log(c / (share * n_clean)) if c else 0.0))
-        if value >= ratio and k / n_toxic > 10 * c / n_clean:
-            found.add(unit)
-    return found
+def significant(toxic: np.ndarray, clean: np.ndarray, ratio: float) -> np.ndarray:
+    """Whether the contexts of each unit lie in toxic documents far more often than chance would have it."""
+    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int(clean.sum()))
+    share = np.maximum(toxic + clean, 1) / (n_clean + n_toxic)
+    value = 2 * (toxic * np.log(np.maximum(toxic, 1) / (share * n_toxic)) + clean * np.log(np.maximum(clean, 1) / (share * n_clean)))
+    return (toxic > 0) & (value >= ratio) & (toxic / n_toxic > 10 * clean / n_clean)
 
 
 def document_features(probability: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -171,38 +210,35 @@ def document_features(probability: np.ndarray, bounds: np.ndarray) -> np.ndarray
     return np.stack([np.ones(len(expected)), np.log1p(expected), most], axis=1)
 
 
-def logistic_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
+def logistic_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6] + [penalty] * (x.shape[1] - 1))
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit_field(documents: list[list[bytes]], labels: np.ndarray, settings: Settings) -> Model:
-    """Tag the tokens of the labelled documents, then fit the field by gradient steps on its exact likelihood."""
+def fit_field(corpus: Corpus, chosen: np.ndarray, labels: np.ndarray, settings: Settings) -> Model:
+    """Tag the tokens of the chosen documents, then fit the field by gradient steps on its exact likelihood."""
     model = Model()
-    by_label = [[words for words, y in zip(documents, labels.tolist(), strict=True) if y == label] for label in (0, 1)]
     tagged, known = [], []
-    for stem in (False, True):
-        clean, toxic = (context_counts(part, stem) for part in by_label)
+    counts = [corpus.contexts(chosen[labels[chosen] == label]) for label in (0, 1)]
+    for clean, toxic, units in zip(*counts, (corpus.words, corpus.stems), strict=True):
         tagged.append(significant(toxic, clean, settings.significance))
-        known.append(sorted(unit for unit, n in (clean + toxic).items() if n >= settings.least_contexts))
+        known.append(sorted(units[i] for i in np.flatnonzero(clean + toxic >= settings.least_contexts).tolist()))
     model.words, model.stems = ({unit: i for i, unit in enumerate(units, 1)} for units in known)
 
-    lengths = np.array([len(words) for words in documents])
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    flat = [word for words in documents for word in words]
-    in_toxic = np.repeat(labels, lengths) == 1
-    marked = np.fromiter((w in tagged[0] or w[:STEM_BYTES] in tagged[1] for w in flat), dtype=bool, count=len(flat))
-    is_break = np.fromiter((word == BREAK for word in flat), dtype=bool, count=len(flat))
+    flat, bounds = corpus.flat(chosen)
+    in_toxic = np.repeat(labels[chosen], np.diff(bounds)) == 1
+    is_break = flat == 0
+    marked = tagged[0][flat] | tagged[1][corpus.stem_of[flat]]
     tags = (marked & in_toxic).astype(np.float64)
     begin, length = document_chains(is_break, bounds, settings.longest_chain)
-    features = model.features(flat)
+    features = within(corpus.features(model, flat), bounds)
     sizes = [len(model.words) + 1] * 3 + [len(model.stems) + 1]
     model.emission = tuple(np.zeros(size) for size in sizes)
     inside, first = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
@@ -230,33 +266,43 @@ def fit_field(documents: list[list[bytes]], labels: np.ndarray, settings: Settin
     return model
 
 
-def train(texts: list[bytes], labels: np.ndarray, settings: Settings) -> Model:
-    """The field of all labelled texts; its document curve is fitted on fields that have not seen the document."""
+def train(texts: list[bytes], labels: np.ndarray, settings: Settings, toxic_share: float | None = None) -> Model:
+    """The field of all labelled texts; its document curve is fitted on fields that have not seen the document.
+
+    ``toxic_share`` is that of all labelled rows, where the texts hold more of one label than these.
+    """
     if not len(labels) or labels.min() == labels.max():
         return Model()
-    documents = [sentence_words(text) for text in texts]
-    model = fit_field(documents, labels, settings)
-    halves = np.arange(len(labels)) % 2
+    corpus, every = Corpus(texts), np.arange(len(labels))
+    model = fit_field(corpus, every, labels, settings)
     x = np.zeros((len(labels), 3))
     for half in (0, 1):
-        learn, judge = np.flatnonzero(halves != half), np.flatnonzero(halves == half)
-        if labels[learn].min() == labels[learn].max():
-            other = model
-        else:
-            other = fit_field([documents[i] for i in learn], labels[learn], settings)
-        x[judge] = field_features(other, [documents[i] for i in judge], settings)[0]
-    model.curve = logistic_curve(x, labels.astype(np.float64))
+        learn, judge = every[every % 2 != half], every[every % 2 == half]
+        other = model if labels[learn].min() == labels[learn].max() else fit_field(corpus, learn, labels, settings)
+        flat, bounds = corpus.flat(judge)
+        x[judge] = judged(other, corpus.features(other, flat), flat == 0, bounds, settings)[0]
+    own_share = labels.mean()
+    share = own_share if toxic_share is None else toxic_share
+    weight = np.where(labels == 1, share / own_share, (1 - share) / (1 - own_share))
+    model.curve = logistic_curve(x, labels.astype(np.float64), weight)
     return model
 
 
+def judged(
+    model: Model, features: tuple[np.ndarray, ...], is_break: np.ndarray, bounds: np.ndarray, settings: Settings
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each document, the marginal of each token, and the documents' bounds."""
+    begin, length = document_chains(is_break, bounds, settings.longest_chain)
+    probability, _ = marginals(model, model.scores(within(features, bounds)), begin, length)
+    return document_features(probability, bounds), probability, bounds
+
+
 def field_features(model: Model, documents: list[list[bytes]], settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of each document, the marginal of each token, and the documents' bounds."""
     bounds = np.concatenate(([0], np.cumsum([len(words) for words in documents]))).astype(np.int64)
     flat = [word for words in documents for word in words]
     is_break = np.fromiter((word == BREAK for word in flat), dtype=bool, count=len(flat))
-    begin, length = document_chains(is_break, bounds, settings.longest_chain)
-    probability, _ = marginals(model, model.scores(model.features(flat)), begin, length)
-    return document_features(probability, bounds), probability, bounds
+    return judged(model, model.features(flat), is_break, bounds, settings)
 
 
 def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -324,22 +370,38 @@ def score_texts(model: Model, texts: list[bytes], settings: Settings) -> tuple[l
     return scores, expected, spans
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings, usable: Column) -> tuple[list[bytes], np.ndarray]:
-    """At most ``train_rows`` labelled texts, in an order that only depends on doc_id."""
+def training_sample(
+    docs: DataFrame, labels: DataFrame, settings: Settings, usable: Column
+) -> tuple[list[bytes], np.ndarray, float | None]:
+    """At most ``train_rows`` labelled texts, in an order that only depends on doc_id, and the toxic share of all labelled rows.
+
+    Each label has its share, but a quarter at least where there are so many, so a rare one is learnt too.
+    """
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & usable)
-    chosen = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.train_rows)
+    each = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    there = dict(each.groupBy("toxic").count().collect())
+    clean, toxic = there.get(0, 0), there.get(1, 0)
+    share = toxic / (clean + toxic) if clean + toxic else None
+    least = settings.train_rows // 4
+    of_toxic = min(toxic, min(max(round(settings.train_rows * (share or 0)), least), settings.train_rows - least))
+    of_clean = min(clean, settings.train_rows - of_toxic)
+    of_toxic = min(toxic, settings.train_rows - of_clean)
+    first, second = (
+        each.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        for label, n in ((0, of_clean), (1, of_toxic))
+    )
+    chosen = first.unionByName(second)
     texts = docs.select("doc_id", text_bytes().alias("text")).filter(F.octet_length("text") <= settings.train_bytes)
     rows = texts.join(F.broadcast(chosen), "doc_id").toArrow()  # the sample is bounded by its settings
     order = np.lexsort((np.array([xxhash.xxh64_intdigest(t) for t in rows["text"].to_pylist()], dtype=np.uint64), rows["doc_id"].to_numpy()))
     taken = rows.take(pa.array(order))
-    return taken["text"].to_pylist(), taken["toxic"].to_numpy().astype(np.int64)
+    return taken["text"].to_pylist(), taken["toxic"].to_numpy().astype(np.int64), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, settings: Settings = Settings()) -> Model:
     """A model from the labelled documents that ``usable`` (a condition on doc_id) admits."""
-    texts, marks = training_sample(docs, labels, settings, F.lit(True) if usable is None else usable)
-    return train(texts, marks, settings)
+    texts, marks, share = training_sample(docs, labels, settings, F.lit(True) if usable is None else usable)
+    return train(texts, marks, settings, share)
 
 
 def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:

@@ -61,6 +61,19 @@ def test_held_out_documents_and_spans(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id >= 120) == [i for i, _, t in labels[120:] if not t]
 
 
+def test_rare_toxic_rows_are_in_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    rows, labels = labelled(800)
+    labels = [(i, q, t) for i, q, t in labels if not t or i % 16 == 0]  # 50 toxic and 600 clean
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    _, taken, share = toxicity.training_sample(docs, marks, Settings(train_rows=80), F.lit(True))
+    assert len(taken) == 80 and taken.sum() == 20 and share == pytest.approx(50 / 650)
+    _, taken, _ = toxicity.training_sample(docs, marks, Settings(), F.lit(True))
+    assert len(taken) == 650 and taken.sum() == 50
+    assert Settings().train_rows >= 4_000 and Settings().rounds >= 20
+
+
 def test_awkward_rows_and_missing_labels(spark, awkward):
     docs = frame(spark, awkward)
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
