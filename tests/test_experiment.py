@@ -2,7 +2,7 @@ import glob
 import json
 
 import pytest
-from conftest import SPEC, cell_table, fleet_frame, to_spark
+from fleet_tables import SPEC, cell_table, fleet_frame, to_spark
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

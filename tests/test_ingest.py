@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from conftest import synthetic_lines, write_lines
+from fleet_tables import synthetic_lines, write_lines
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_table, fleet_frame
+from fleet_tables import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_table, fleet_frame
 
 from driftline.operators.linear import LINEAR_MODELS, RIDGE_ALPHAS, add_linear, fit_linear, fit_plain, ridge_cv, tune_ridge
 from driftline.operators.estimators import predict_later, ridge

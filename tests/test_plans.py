@@ -1,7 +1,7 @@
 """Plans stay as designed: no shuffle on clustered rows, no single-task exchange, pruned scans."""
 
 import pytest
-from conftest import SPEC, cell_table, fleet_frame
+from fleet_tables import SPEC, cell_table, fleet_frame
 from pyspark.sql import functions as F
 
 from driftline.operators.linear import add_linear, fit_linear, fit_plain

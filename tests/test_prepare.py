@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import SPEC
+from fleet_tables import SPEC
 from pyspark.sql import functions as F
 
 from driftline.operators.prepare import prepare, row_accounting

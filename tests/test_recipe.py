@@ -1,7 +1,7 @@
 """The pinned recipe's digest check, and the release of intermediate tables."""
 
 import pytest
-from conftest import SPEC, fleet_frame, synthetic_lines, to_spark, write_lines
+from fleet_tables import SPEC, fleet_frame, synthetic_lines, to_spark, write_lines
 from pyspark.sql import functions as F
 
 from driftline.operators.celltable import build_cell_table

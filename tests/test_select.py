@@ -1,5 +1,5 @@
 import pytest
-from conftest import cell_table, fleet_frame
+from fleet_tables import cell_table, fleet_frame
 from pyspark.sql import functions as F
 
 from driftline.operators.estimators import LinearFitted, mean_baseline, ridge

@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import HOT_SHUFFLED, SPEC, cell_table, fleet_frame
+from fleet_tables import HOT_SHUFFLED, SPEC, cell_table, fleet_frame
 from pyspark.sql import functions as F
 
 from driftline.operators.estimators import Custom, add_predictions, mean_baseline, ridge, single_sensor_linear

@@ -1,6 +1,6 @@
 import pandas as pd
 import pytest
-from conftest import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_table, fleet_frame, to_spark
+from fleet_tables import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_table, fleet_frame, to_spark
 
 from driftline.operators.prepare import prepare
 from driftline.operators.celltable import build_cell_table
