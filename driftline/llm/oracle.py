@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from driftline.llm.centroids import CLUSTERS, DIMS, SCALE, SEED
+from driftline.llm.centroids import ROUNDS as CLUSTER_ROUNDS
 from driftline.llm.licenses import CLUE, RULES, SENTENCES, SPEAKS_OF_LICENSE
 from driftline.llm.mixing import BLOCK, ROUNDS, hashed, round_key, swap
 
@@ -133,3 +135,39 @@ SELECT d.doc_id, coalesce(array_to_string(found, ','), '') AS licenses, coalesce
     CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown
 FROM documents AS d LEFT JOIN merged USING (doc_id) LEFT JOIN {_LAST} USING (doc_id)
 """
+
+
+def _cluster_rounds() -> str:
+    """CTEs near_t (assignment to the centroids at_t) and at_t (centroids after t rounds)."""
+    steps = []
+    for turn in range(CLUSTER_ROUNDS + 1):
+        steps.append(f"""near_{turn} AS (
+    SELECT r, min(away * {CLUSTERS} + k) % {CLUSTERS} AS k, min(away * {CLUSTERS} + k) // {CLUSTERS} AS away
+    FROM (SELECT r, k, sum((e.x - c.x) * (e.x - c.x)) AS away FROM entries AS e JOIN at_{turn} AS c USING (p) GROUP BY r, k) GROUP BY r
+)""")
+        if turn < CLUSTER_ROUNDS:
+            steps.append(f"""at_{turn + 1} AS (
+    SELECT k, p, coalesce(m.x, c.x) AS x FROM at_{turn} AS c LEFT JOIN (
+        SELECT k, p, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM entries JOIN near_{turn} USING (r) GROUP BY k, p
+    ) AS m USING (k, p)
+)""")
+    return ", ".join(steps)
+
+
+ORACLE["op11_centroid_clusters"] = f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS}
+), entries AS (SELECT r, unnest(range(0, {DIMS})) AS p, unnest(v) AS x FROM kept),
+firsts AS (
+    SELECT k, v FROM (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id), v) - 1 AS k, v FROM kept) WHERE k < {CLUSTERS}
+), at_0 AS (SELECT k, unnest(range(0, {DIMS})) AS p, unnest(v) AS x FROM firsts),
+{_cluster_rounds()},
+names AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p)) AS name FROM at_{CLUSTER_ROUNDS} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(away AS BIGINT) AS distance,
+    CAST(sum(away) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(away) OVER () AS BIGINT) AS inertia,
+    name AS centroid_sha256
+FROM kept JOIN near_{CLUSTER_ROUNDS} USING (r) JOIN names USING (k)
+"""
