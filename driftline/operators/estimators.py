@@ -138,9 +138,15 @@ def _add_linear_groups(rows: DataFrame, fitted: Mapping[str, LinearFitted], cell
 
 def add_predictions(rows: DataFrame, fitted: Mapping[str, Fitted], cells: Sequence[int]) -> DataFrame:
     """Add one column per fitted model to rows labelled with their ``cell``."""
+    from driftline.operators.trees import TreesFitted, add_tree_predictions
+
     linear = {out: f for out, f in fitted.items() if isinstance(f, LinearFitted)}
     others = {out: f for out, f in fitted.items() if out not in linear}
     rows = _add_linear_groups(rows, linear, list(cells))
+    trees = {out: f for out, f in others.items() if isinstance(f, TreesFitted) and f.models is not None}
+    if trees:
+        rows = add_tree_predictions(rows, trees, list(cells))
+        others = {out: f for out, f in others.items() if out not in trees}
     if not others:
         return rows
     parts = []

@@ -15,7 +15,7 @@ from driftline.functions.columns import q
 from driftline.functions.metrics import check_scores, score
 from driftline.operators.celltable import CellTable
 from driftline.operators.estimators import Estimator, PerCell, PerCellFitted, add_predictions
-from driftline.operators.trees import boosting
+from driftline.operators.trees import TreeModel, boosting, fit_trees
 from driftline.session import keep
 from driftline.spec import RunConfig
 
@@ -67,7 +67,9 @@ def forward_cv(
 
 
 def fit_many(table: CellTable, candidates: Sequence[Estimator], scheme: str, cells: Sequence[int]) -> list:
-    """Fit all candidates; those fitted cell by cell share one pool."""
+    """Fit all candidates; tree models are grown together, those fitted cell by cell share one pool."""
+    if all(isinstance(c, TreeModel) for c in candidates):
+        return fit_trees(table, candidates, scheme, cells)
     if not all(isinstance(c, PerCell) for c in candidates):
         return [c.fit_cells(table, scheme, cells) for c in candidates]
     jobs = [(c, f) for c in candidates for f in cells]
