@@ -1,11 +1,13 @@
 """Permutation importance on the test block.
 
-A shuffle is a random cycle: rows are put in the order of a hash of their key,
-and each takes the feature values of the next one, the last those of the
-first. One window does it, with no join, and the order is the same in every
-engine. All features of a repeat share the shuffle. With devices above
-``Layout.hot_rows`` the same cycle is walked in slices of the hash order, so
-no device is handled by one task.
+Every feature is shuffled on its own in every repeat. A device's rows get ranks
+in the order of a hash of their keys. A shuffle is a bijection on the ranks,
+``ROUNDS`` rounds of swap-or-not whose numbers follow from (seed, repeat, feature):
+each row gives its value to the row at the rank it is sent to. Both meet by one
+aggregate over (device, repeat, feature, rank), which needs no sort per feature,
+and no shuffle of rows as long as they are clustered by device. With devices
+above ``Layout.hot_rows`` ranks are counted in slices of the hash order, so no
+device is handled by one task. The bijection is plain arithmetic, the same in every engine.
 """
 
 from __future__ import annotations
@@ -24,89 +26,118 @@ from driftline.operators.linear import contributions, wide_models
 from driftline.session import keep, keep_columnar
 from driftline.spec import CalibrationSpec
 
-def row_hash(spec: CalibrationSpec, repeat: Column, seed: int) -> Column:
+ROUNDS = 16
+PRIME = (1 << 31) - 1
+
+
+def row_hash(spec: CalibrationSpec, seed: int) -> Column:
     stamp = F.date_format(q(spec.time), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.md5(F.concat_ws(":", q(spec.device).cast("string"), stamp, repeat.cast("string"), F.lit(str(seed))))
+    return F.md5(F.concat_ws(":", q(spec.device).cast("string"), stamp, F.lit(str(seed))))
+
+
+def scrambled(number: str, seed: int) -> str:
+    """SQL text: a number below PRIME that follows from ``number`` and the seed."""
+    a = f"((({number}) % {PRIME} * 48271 + {(seed * 16807 + 11) % PRIME}) % {PRIME})"
+    return f"(({a} * {a} + 69621 * {a} + 12345) % {PRIME})"
+
 
+def swapped(x: str, turn: str, key: str, n: str, seed: int) -> str:
+    """SQL text: where rank ``x`` of ``n`` is after one round; a round undoes itself, so it is a bijection."""
+    number = f"(({key}) * {ROUNDS} + {turn}) * 3"
+    partner = f"(({scrambled(number, seed)} % {n} + {n} - {x}) % {n})"
+    z = f"((greatest({x}, {partner}) % {PRIME} * {scrambled(f'{number} + 1', seed)} + {scrambled(f'{number} + 2', seed)}) % {PRIME})"
+    return f"CASE WHEN ({z} * {z} % {PRIME}) % 2 = 1 THEN {partner} ELSE {x} END"
 
-def with_donors(rows: DataFrame, table: CellTable, repeats: int, seed: int) -> DataFrame:
-    """Every row once per repeat, with ``donor``: the features of the row it is paired with."""
+
+def sent_to(seed: int) -> Column:
+    """The rank that a row's value is sent to, from ``_rank``, ``_size`` and ``_key``."""
+    return F.expr(f"aggregate(sequence(0L, {ROUNDS - 1}L), _rank, (x, i) -> {swapped('x', 'i', '_key', '_size', seed)})")
+
+
+def with_ranks(rows: DataFrame, table: CellTable, seed: int) -> DataFrame:
+    """``_rank`` (from 0) and ``_size`` of each row in its device, in hash order."""
     spec = table.spec
-    repeated = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    hashed = repeated.withColumn("_hash", row_hash(spec, F.col("repeat"), seed))
-    features = F.struct(*[q(c).alias(f"_{i}") for i, c in enumerate(spec.features)])
-    keys, order = [spec.device, "repeat"], ["_hash", spec.time]
-    if table.salted:
-        return _sliced_donors(hashed, features, keys, order, table, repeats)
-    cycle = Window.partitionBy(*keys).orderBy(*order)
-    so_far = cycle.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return hashed.withColumn(
-        "donor", F.coalesce(F.lead(features).over(cycle), F.first(features).over(so_far))
-    ).drop("_hash")
-
-
-def _sliced_donors(
-    hashed: DataFrame, features: Column, keys: list[str], order: list[str], table: CellTable, repeats: int
-) -> DataFrame:
-    """The same cycles: a slice's last row takes the first row of the next slice, the last slice's that of the first."""
-    parts = max(2, math.ceil(table.cuts.rows * repeats / table.layout.hot_rows))
+    device, order = spec.device, ["_hash", spec.time]
+    hashed = rows.withColumn("_hash", row_hash(spec, seed))
+    if not table.salted:
+        whole = Window.partitionBy(device)
+        return hashed.withColumns({
+            "_rank": (F.row_number().over(whole.orderBy(*order)) - 1).cast("long"), "_size": F.count("*").over(whole)
+        }).drop("_hash")
+    parts = max(2, math.ceil(table.cuts.rows / table.layout.hot_rows))
     sliced = keep_columnar(
-        hashed.repartitionByRange(parts, *keys, *order).withColumn("_slice", F.spark_partition_id())
+        hashed.repartitionByRange(parts, device, *order).withColumn("_slice", F.spark_partition_id())
     )
-    firsts = sliced.groupBy(*keys, "_slice").agg(F.min_by(features, F.struct(*order)).alias("_own"))
-    slices = Window.partitionBy(*keys).orderBy("_slice")  # at most one row per slice and key
-    nexts = keep(firsts.select(
-        *keys, "_slice",
-        F.coalesce(F.lead("_own").over(slices), F.first("_own").over(slices)).alias("_next"),
+    slices = Window.partitionBy(device)  # at most one row per slice and device
+    before = slices.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keep(sliced.groupBy(device, "_slice").agg(F.count("*").alias("_n")).select(
+        device, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(slices).alias("_size"),
     ))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return sliced.withColumn("donor", F.lead(features).over(inside)).join(nexts, [*keys, "_slice"]).withColumn(
-        "donor", F.coalesce("donor", "_next")
-    ).drop("_hash", "_slice", "_next")
+    inside = Window.partitionBy(device, "_slice").orderBy(*order)
+    return sliced.withColumn("_in", F.row_number().over(inside)).join(offsets, [device, "_slice"]).withColumn(
+        "_rank", F.col("_before") + F.col("_in") - 1
+    ).drop("_hash", "_slice", "_in", "_before")
 
 
-def _linear_errors(rows: DataFrame, table: CellTable, fitted: LinearFitted, cell: int) -> DataFrame:
-    """``(device, repeat, plain, errors[feature])``: RMSE as is and with each feature shuffled.
+def exchanged(ranked: DataFrame, spec: CalibrationSpec, repeats: int, seed: int, stays: Sequence[str], goes: str) -> DataFrame:
+    """``(device, _key, _place, <stays>, given)``: each row of each shuffle with the value that was sent to its rank.
 
-    Only the shuffled feature's share of the prediction changes, so one pass serves all features.
+    ``_key`` is repeat * features + position; ``goes`` is an array with a value per feature.
+    """
+    width = len(spec.features)
+    keyed = ranked.withColumn("_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats * width - 1).cast("long"))))
+    given = F.col(goes)[(F.col("_key") % width).cast("int")]
+    none = [F.lit(None).cast(ranked.schema[c].dataType).alias(c) for c in stays]
+    both = F.array(
+        F.struct(F.col("_rank").alias("_place"), *stays, F.lit(None).cast("double").alias("given")),
+        F.struct(sent_to(seed).alias("_place"), *none, given.alias("given")),
+    )
+    records = keyed.select(spec.device, "_key", F.explode(both).alias("_r")).select(spec.device, "_key", "_r.*")
+    return records.groupBy(spec.device, "_key", "_place").agg(*[F.max(c).alias(c) for c in stays], F.max("given").alias("given"))
+
+
+def _linear_errors(rows: DataFrame, table: CellTable, fitted: LinearFitted, cell: int, repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(device, _key, rmse)`` with one feature shuffled, and ``(device, plain)``.
+
+    Only the shuffled feature's share of a prediction changes, so shares are exchanged instead of values.
     """
     spec, name = table.spec, fitted.name
     wide = wide_models(fitted.models, table, fitted.scheme, [cell], [name])
-    joined = table.join_devices(rows, wide, weight=4)
+    joined = table.join_devices(with_ranks(rows, table, seed), wide, weight=4)
     model = F.col(f"_{name}")[0]
-    own = contributions(model, spec)
-    position = {c: i for i, c in enumerate(spec.features)}
-    theirs = contributions(model, spec, lambda c: F.col("donor")[f"_{position[c]}"])
+    shares = contributions(model, spec)
     predicted = model["intercept"]
-    for part in own:
-        predicted = predicted + part
-    y = q(spec.target)
+    for share in shares:
+        predicted = predicted + share
     staged = joined.select(
-        spec.device, "repeat", (y - predicted).alias("error"),
-        *[(b - a).alias(f"shift_{i}") for i, (a, b) in enumerate(zip(own, theirs))],
+        spec.device, "_rank", "_size", (q(spec.target) - predicted).alias("_error"), F.array(*shares).alias("_shares")
     )
-    error = F.col("error")
-    shifted = [F.sqrt(F.avg((error - F.col(f"shift_{i}")) ** 2)) for i in range(len(spec.features))]
-    return staged.groupBy(spec.device, "repeat").agg(
-        F.sqrt(F.avg(error * error)).alias("plain"), F.array(*shifted).alias("errors")
+    met = exchanged(staged, spec, repeats, seed, ["_error", "_shares"], "_shares")
+    own = F.col("_shares")[(F.col("_key") % len(spec.features)).cast("int")]
+    error = F.col("_error") + own - F.col("given")
+    shuffled = met.groupBy(spec.device, "_key").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    return shuffled, staged.groupBy(spec.device).agg(F.sqrt(F.avg(F.col("_error") * F.col("_error"))).alias("plain"))
+
+
+def _general_errors(rows: DataFrame, table: CellTable, fitted: Fitted, cell: int, repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The same for any model: it predicts every row once per feature and repeat."""
+    spec, width = table.spec, len(table.spec.features)
+    stays = [spec.time, spec.target, *spec.features]
+    ranked = with_ranks(rows, table, seed).select(
+        spec.device, "_rank", "_size", *[q(c) for c in stays], F.array(*[q(c).cast("double") for c in spec.features]).alias("_values")
     )
-
-
-def _general_errors(rows: DataFrame, table: CellTable, fitted: Fitted, cell: int) -> DataFrame:
-    """The same for any model: it predicts every row once per feature."""
-    spec = table.spec
-    numbered = rows.withColumn("_shuffled", F.explode(F.sequence(F.lit(-1), F.lit(len(spec.features) - 1))))
-    swapped = numbered.withColumns({
-        c: F.when(F.col("_shuffled") == i, F.col("donor")[f"_{i}"]).otherwise(q(c))
-        for i, c in enumerate(spec.features)
-    }).drop("donor")
-    scored = fitted.at(swapped, cell, "_prediction").groupBy(spec.device, "repeat", "_shuffled").agg(
+    met = exchanged(ranked, spec, repeats, seed, stays, "_values")
+    position = F.col("_key") % width
+    swapped_in = met.withColumns({
+        c: F.when(position == i, F.col("given").cast(ranked.schema[c].dataType)).otherwise(q(c)) for i, c in enumerate(spec.features)
+    }).drop("given")
+    shuffled = fitted.at(swapped_in, cell, "_prediction").groupBy(spec.device, "_key").agg(
         rmse(q(spec.target), F.col("_prediction")).alias("rmse")
     )
-    at = lambda i: F.max(F.when(F.col("_shuffled") == i, F.col("rmse")))
-    return scored.groupBy(spec.device, "repeat").agg(
-        at(-1).alias("plain"), F.array(*[at(i) for i in range(len(spec.features))]).alias("errors")
+    plain = fitted.at(rows, cell, "_prediction").groupBy(spec.device).agg(
+        rmse(q(spec.target), F.col("_prediction")).alias("plain")
     )
+    return shuffled, plain
 
 
 def permutation_importance(
@@ -121,16 +152,16 @@ def permutation_importance(
 
     ``devices`` (one row per device) limits the work to devices that chose this model.
     """
-    spec, cell = table.spec, table.last
+    spec, cell, width = table.spec, table.last, len(table.spec.features)
     rows = table.cells(scheme, cell, cell)
     if devices is not None:
         rows = table.join_devices(rows, devices.select(spec.device))
-    rows = with_donors(rows, table, repeats, seed)
-    errors = (_linear_errors if isinstance(fitted, LinearFitted) else _general_errors)(rows, table, fitted, cell)
+    errors = _linear_errors if isinstance(fitted, LinearFitted) else _general_errors
+    shuffled, plain = errors(rows, table, fitted, cell, repeats, seed)
     names = F.array(*[F.lit(c) for c in spec.features])
     increase = F.col("rmse") - F.col("plain")
     return (
-        errors.select(spec.device, "plain", F.posexplode("errors").alias("position", "rmse"))
+        shuffled.join(plain, spec.device).withColumn("position", (F.col("_key") % width).cast("int"))
         .groupBy(spec.device, "position")
         .agg(F.avg(increase).alias("rmse_increase_mean"), F.stddev_pop(increase).alias("rmse_increase_std"))
         .select(

@@ -7,8 +7,9 @@ models from closed formulas, none of which the Spark side uses.
 from __future__ import annotations
 
 from driftline.functions.columns import NA_TOKENS
+from driftline.operators.importance import ROUNDS, swapped
 from driftline.operators.linear import RIDGE_ALPHAS
-from driftline.plans.queries import CONFIG, MANY_FOLDS, RIDGE_TWO_ALPHA
+from driftline.plans.queries import CONFIG, DAILY_STEP, MANY_FOLDS, RIDGE_TWO_ALPHA
 from driftline.operators.estimators import NO_MODEL
 from driftline.sources.export import BAD_NUMBER, BAD_TIME, INCOMPLETE, SURPLUS
 from driftline.sources.views import SURPLUS_AH, EVENT_TYPES, LINE_STATUS, RETURN_FLAGS, SENSOR_WEIGHTS, VIEW_SPEC
@@ -209,9 +210,15 @@ def _audit(scheme: str) -> str:
         {iso('c')} AS oof_start, {iso('d')} AS oof_end FROM edges"""
 
 
-def _ridge_two() -> str:
+_DETERMINANT = "((gaa + alpha) * (gbb + alpha) - gab * gab)"
+RIDGE_WEIGHTS = (
+    f"(gay * (gbb + alpha) - gby * gab) / {_DETERMINANT} / sa", f"(gby * (gaa + alpha) - gay * gab) / {_DETERMINANT} / sb",
+)
+
+
+def _ridge_two(view: str | None = None) -> str:
     """Sums for ridge on s1 and w3, imputed and scaled, per prefix; solved by Cramer's rule."""
-    return f"""{_linear(FLEET_SUPPLIER)},
+    return f"""{_linear(view or FLEET_SUPPLIER)},
     pair AS (SELECT p.device_id, p.scheme, p.f, y, coalesce(s1, m_s1) AS a, coalesce(w3, m_w3) AS b
         FROM past p JOIN medians USING (device_id, scheme, f) WHERE p.scheme = 'train'),
     stats AS (SELECT device_id, f, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my,
@@ -223,27 +230,56 @@ def _ridge_two() -> str:
         n * cay / sa AS gay, n * cby / sb AS gby FROM stats)"""
 
 
-def _importance(view: str) -> str:
-    last, repeats = CONFIG.cv_splits + 1, CONFIG.importance_repeats
-    features = " UNION ALL ".join(
-        f"SELECT device_id, repeat, '{c}' AS feature, {i}::BIGINT AS position, "
-        + (f"{rmse('y', 'p_shuffled')}" if c == VIEW_SPEC.single_sensor else rmse("y", "p")) + f" - {rmse('y', 'p')} AS inc "
-        "FROM shuffled GROUP BY device_id, repeat"
-        for i, c in enumerate(VIEW_SPEC.features)
+def _shuffles(table: str, repeats: int) -> str:
+    """CTEs from the rows of ``table`` (device_id, ts) to ``sent``: each (device_id, key, place) with the row whose value comes there."""
+    width = len(VIEW_SPEC.features)
+    steps, last = [], "keyed"
+    for turn in range(ROUNDS):
+        steps.append(f"turn_{turn} AS (SELECT * REPLACE ({swapped('x', str(turn), 'key', 'size', CONFIG.seed)} AS x) FROM {last})")
+        last = f"turn_{turn}"
+    return f"""placed AS (SELECT device_id, ts, row_number() OVER (PARTITION BY device_id ORDER BY
+            md5(CAST(device_id AS VARCHAR) || ':' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ':{CONFIG.seed}'), ts) - 1 AS place,
+            count(*) OVER (PARTITION BY device_id) AS size FROM {table}),
+    keyed AS (SELECT device_id, ts, size, place AS x, key FROM placed JOIN range(0, {repeats * width}) ks(key) ON true),
+    {", ".join(steps)},
+    sent AS (SELECT p.device_id, t.key, p.ts, t.ts AS giver FROM {last} t JOIN placed p ON p.device_id = t.device_id AND p.place = t.x)"""
+
+
+def _increases(tested: str, shares: dict[str, str]) -> str:
+    """Importance from rows ``tested`` with y, p and the features' shares of p; features without a share change nothing."""
+    width = len(VIEW_SPEC.features)
+    own, given = (
+        "CASE s.key % " + str(width) + "".join(f" WHEN {VIEW_SPEC.features.index(c)} THEN {t}.{column}" for c, column in shares.items()) + " ELSE 0.0 END"
+        for t in ("o", "g")
     )
+    return f"""{_shuffles(tested, CONFIG.importance_repeats)},
+    errors AS (SELECT s.device_id, s.key, sqrt(avg(pow(o.y - o.p + ({own}) - ({given}), 2))) AS e, sqrt(avg(pow(o.y - o.p, 2))) AS plain
+        FROM sent s JOIN {tested} o ON o.device_id = s.device_id AND o.ts = s.ts
+        JOIN {tested} g ON g.device_id = s.device_id AND g.ts = s.giver GROUP BY ALL),
+    names(position, feature) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(VIEW_SPEC.features))}),
+    importance AS (SELECT device_id, feature, CAST(position AS BIGINT) AS position, {r('avg(e - plain)')} AS rmse_increase_mean,
+        {r('stddev_pop(e - plain)')} AS rmse_increase_std FROM errors JOIN names ON position = key % {width} GROUP BY ALL)"""
+
+
+def _importance(view: str) -> str:
     return f"""{_linear(view)},
-    tested AS (SELECT a.*, l.icept, l.slope, coalesce(a.s1, l.m) AS x FROM ahead a JOIN lines l USING (device_id, scheme, f)
-        WHERE a.scheme = 'final' AND a.f = {last}),
-    hashed AS (SELECT *, md5(CAST(device_id AS VARCHAR) || ':' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ':' ||
-        CAST(repeat AS VARCHAR) || ':{CONFIG.seed}') AS h FROM tested JOIN range(0, {repeats}) rs(repeat) ON true),
-    placed AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY device_id, repeat) AS size
-        FROM hashed WINDOW w AS (PARTITION BY device_id, repeat ORDER BY h, ts)),
-    shuffled AS (SELECT p.*, p.icept + p.slope * p.x AS p, p.icept + p.slope * d.x AS p_shuffled FROM placed p
-        JOIN placed d ON p.device_id = d.device_id AND p.repeat = d.repeat
-        AND d.place = p.place % p.size + 1),
-    increases AS ({features}),
-    importance AS (SELECT device_id, feature, position, {r('avg(inc)')} AS rmse_increase_mean,
-        {r('stddev_pop(inc)')} AS rmse_increase_std FROM increases GROUP BY device_id, feature, position)"""
+    tested AS (SELECT a.device_id, a.ts, a.y, l.slope * coalesce(a.s1, l.m) AS share, l.icept + l.slope * coalesce(a.s1, l.m) AS p
+        FROM ahead a JOIN lines l USING (device_id, scheme, f) WHERE a.scheme = 'final' AND a.f = {CONFIG.cv_splits + 1}),
+    {_increases("tested", {VIEW_SPEC.single_sensor: "share"})}"""
+
+
+def _importance_three() -> str:
+    """A ridge of s1 and w3 plus the daily profile, on the validation block."""
+    last = CONFIG.cv_splits + 1
+    profile = "(hour(a.ts) - 11.5::DOUBLE) * " + repr(DAILY_STEP) + "::DOUBLE"
+    wa = "((gay * (gbb + alpha) - gby * gab) / ((gaa + alpha) * (gbb + alpha) - gab * gab) / sa)"
+    wb = "((gby * (gaa + alpha) - gay * gab) / ((gaa + alpha) * (gbb + alpha) - gab * gab) / sb)"
+    return f"""{_ridge_two(HOURLY)}, solved AS (SELECT *, {RIDGE_TWO_ALPHA}::DOUBLE AS alpha, {wa} AS wa, {wb} AS wb FROM scaled WHERE f = {last}),
+    shares AS (SELECT a.device_id, a.ts, a.y, my - wa * ma - wb * mb AS icept, wa * coalesce(a.s1, m_s1) AS sa1, wb * coalesce(a.w3, m_w3) AS sw3,
+        {profile} AS shour FROM ahead a JOIN solved s ON a.device_id = s.device_id AND a.f = s.f
+        JOIN medians m ON m.device_id = s.device_id AND m.f = s.f AND m.scheme = 'train' WHERE a.scheme = 'train' AND a.f = {last}),
+    tested AS (SELECT *, icept + sa1 + sw3 + shour AS p FROM shares),
+    {_increases("tested", {"s1": "sa1", "w3": "sw3", "hour": "shour"})}"""
 
 
 def _nonnegative_two() -> str:
@@ -293,9 +329,7 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN l_tax > 0 THEN l_discount / l_tax WHEN l_discount > 0 THEN 'infinity'::DOUBLE "
         "{0} END"
     )
-    solve = "(gaa + alpha) * (gbb + alpha) - gab * gab"
-    wa = f"(gay * (gbb + alpha) - gby * gab) / ({solve}) / sa"
-    wb = f"(gby * (gaa + alpha) - gay * gab) / ({solve}) / sb"
+    wa, wb = RIDGE_WEIGHTS
     return {
         "ingest_parse": f"WITH {_parsed()} SELECT device_id, {stamp}, {', '.join(EXPORT_NAMES)} FROM typed",
         "ingest_reject_counts": f"WITH {_parsed()} SELECT problem, count(*) AS n_rows FROM judged "
@@ -404,6 +438,9 @@ def oracle_sql() -> dict[str, str]:
                         "SELECT device_id, model, rmse FROM placed WHERE place = 1",
         "permutation_importance_ols": f"{_importance(supplier)} SELECT * FROM importance",
         "importance_split": f"{_importance(supplier)} SELECT * FROM importance",
+        "importance_three_features": f"{_importance_three()} SELECT * FROM importance",
+        "importance_three_split": f"{_importance_three()} SELECT * FROM importance",
+        "importance_three_general": f"{_importance_three()} SELECT * FROM importance",
         "importance_ranking": f"{_importance(hourly)} SELECT device_id, feature, rmse_increase_mean AS mean, "
                               "row_number() OVER (PARTITION BY device_id ORDER BY rmse_increase_mean DESC, position) AS place "
                               "FROM importance",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline.functions import metrics
 from driftline.functions.columns import iso, q, rounded
 from driftline.operators.celltable import CellTable, build_cell_table
-from driftline.operators.estimators import mean_baseline, predict_later, ridge, single_sensor_linear
+from driftline.operators.estimators import LinearFitted, PerCellFitted, mean_baseline, predict_later, ridge, single_sensor_linear
 from driftline.operators.importance import permutation_importance
 from driftline.operators.linear import fit_linear, fit_plain, ridge_cv, tune_ridge
 from driftline.operators.prepare import any_sensor, calendar, prepare, row_accounting
@@ -22,7 +22,7 @@ from driftline.operators.stacking import ForwardStack, out_of_fold, stock_stack
 from driftline.operators.timesplit import block_periods, find_cuts, fold_audit
 from driftline.operators.trees import boosting, random_forest
 from driftline.plans.experiment import build_estimators, fit_all, run_calibration, score_block
-from driftline.session import keep_columnar, shared_folder
+from driftline.session import keep, keep_columnar, shared_folder
 from driftline.sinks.report import append_manifest, finite_columns, report, six_decimals, write_outputs
 from driftline.sources import export, views
 from driftline.spec import GAS_EXPORT, Layout, RunConfig
@@ -34,9 +34,10 @@ KEYS = ["device_id"]
 LINEAR_TWO = ("mean_baseline", "single_sensor_linear")
 RIDGE_TWO = ("s1", "w3")
 RIDGE_TWO_ALPHA = 10.0
+# What the daily profile of the importance queries rises by in an hour.
+DAILY_STEP = 0.05
 # Folds that only long records can be cut into, to show the rejection of the others.
 MANY_FOLDS = RunConfig(cv_splits=45)
-# Cycles short enough that devices of the test tables are split over several.
 # Devices above 100 rows are split, to show that splitting changes no result.
 SMALL_PIECES = Layout(hot_rows=100)
 
@@ -478,18 +479,51 @@ def permutation_importance_ols(spark, sf_dir):
 
 @query
 def importance_split(spark, sf_dir):
-    """The same with every device's cycle walked in slices."""
+    """The same with every device's ranks counted in slices."""
     return _importance_values(fleet(spark, sf_dir, layout=SMALL_PIECES))
 
 
 def _importance_values(table: CellTable) -> DataFrame:
     fitted = single_sensor_linear().fit_cells(table, "final", [table.last])
-    values = permutation_importance(table, fitted, "final", CONFIG.importance_repeats, CONFIG.seed)
+    return _importance_table(permutation_importance(table, fitted, "final", CONFIG.importance_repeats, CONFIG.seed))
+
+
+def _three_features(spark, sf_dir, layout: Layout = Layout()) -> tuple[CellTable, LinearFitted]:
+    """A ridge of s1 and w3 plus a fixed daily profile, which predicts the validation block."""
+    table = fleet(spark, sf_dir, views.hourly, layout=layout)
+    models = fit_linear(table.gram, "train", [table.last], ["ridge"], RIDGE_TWO_ALPHA, RIDGE_TWO)
+    profile = F.array(*[F.lit((h - 11.5) * DAILY_STEP) for h in range(24)])
+    return table, LinearFitted(table, keep(models.withColumn("hour_weights", profile)), "train", (table.last,), "ridge")
+
+
+def _importance_table(values: DataFrame) -> DataFrame:
     return values.select("device_id", "feature", long("position").alias("position"),
                          rounded(q("rmse_increase_mean")).alias("rmse_increase_mean"),
                          rounded(q("rmse_increase_std")).alias("rmse_increase_std"))
 
 
+@query
+def importance_three_features(spark, sf_dir):
+    """Three features that matter, each shuffled on its own."""
+    table, fitted = _three_features(spark, sf_dir)
+    return _importance_table(permutation_importance(table, fitted, "train", CONFIG.importance_repeats, CONFIG.seed))
+
+
+@query
+def importance_three_split(spark, sf_dir):
+    """The same with ranks counted in slices."""
+    table, fitted = _three_features(spark, sf_dir, SMALL_PIECES)
+    return _importance_table(permutation_importance(table, fitted, "train", CONFIG.importance_repeats, CONFIG.seed))
+
+
+@query
+def importance_three_general(spark, sf_dir):
+    """The same by predicting every shuffled row, as for a model of any kind."""
+    table, fitted = _three_features(spark, sf_dir)
+    of_any_kind = PerCellFitted({table.last: lambda rows, out: fitted.at(rows, table.last, out)})
+    return _importance_table(permutation_importance(table, of_any_kind, "train", CONFIG.importance_repeats, CONFIG.seed))
+
+
 @query
 def importance_ranking(spark, sf_dir):
     """Importance table in report order: largest increase first, feature order when equal."""

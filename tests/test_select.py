@@ -3,7 +3,9 @@ from fleet_tables import cell_table, fleet_frame
 from pyspark.sql import functions as F
 
 from driftline.operators.estimators import LinearFitted, mean_baseline, ridge
-from driftline.operators.importance import _general_errors, _linear_errors, permutation_importance, ranked, with_donors
+from driftline.operators.importance import (
+    _general_errors, _linear_errors, exchanged, permutation_importance, ranked, sent_to, with_ranks,
+)
 from driftline.operators.select import scores_wide, select_model
 from driftline.spec import MODEL_ORDER, Layout
 
@@ -58,37 +60,73 @@ def test_wide_scores(spark):
     assert tuple(wide.first()) == ("d", 2, "ridge", 1.0, 2.0, None, 4.0, 5.0, 6.0)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
-def test_donors_are_a_permutation(spark, hot_rows):
-    table = cell_table(spark, fleet_frame(), layout=Layout(hot_rows=hot_rows))
-    rows = with_donors(table.cells("final", 4, 4), table, 2, 42)
-    own = rows.groupBy("device_id", "repeat").agg(
-        F.sort_array(F.collect_list(F.struct("a", "b", "t", "hour", "day_of_week"))).alias("x"),
-        F.sort_array(F.collect_list("donor")).alias("donors"), F.count_if(F.col("donor")["_3"] == F.col("hour")).alias("same"),
-        F.count("*").alias("n"))
-    for r in own.collect():
-        assert [tuple(x) for x in r["x"]] == [tuple(x) for x in r["donors"]] and r["same"] < r["n"]
+def sent(spark, table, repeats, seed):
+    """``{(device, key): [rank sent to, by rank]}``."""
+    ranked = with_ranks(table.cells("final", 4, 4), table, seed)
+    keyed = ranked.withColumn("_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats * 5 - 1).cast("long"))))
+    found = {}
+    for r in keyed.select("device_id", "_key", "_rank", "_size", sent_to(seed).alias("to")).collect():
+        found.setdefault((r["device_id"], r["_key"]), [None] * r["_size"])[r["_rank"]] = r["to"]
+    return found
 
 
-def test_donors_do_not_depend_on_the_layout(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
+def test_every_feature_has_a_permutation_of_its_own(spark, hot_rows):
+    table = cell_table(spark, fleet_frame(), layout=Layout(hot_rows=hot_rows))
+    assert table.salted == (hot_rows == 20)
+    found = sent(spark, table, 3, 42)
+    assert len(found) == 3 * 15
+    for places in found.values():
+        assert sorted(places) == list(range(len(places))) and sum(i == p for i, p in enumerate(places)) < len(places) / 3
+    for device in range(3):
+        own = [tuple(places) for (d, _), places in found.items() if d == device]
+        assert len(set(own)) == 15
+        same = [sum(x == y for x, y in zip(a, b)) for i, a in enumerate(own) for b in own[:i]]
+        assert max(same) < len(own[0]) / 3
+
+
+def test_shuffles_are_even(spark):
+    """Over many keys every rank is sent everywhere equally often."""
+    n, keys = 7, 7000
+    rows = spark.range(n * keys).select((F.col("id") % n).alias("_rank"), F.expr(f"id div {n}").alias("_key"), F.lit(n).cast("long").alias("_size"))
+    counts = rows.groupBy("_rank", sent_to(5).alias("to")).count().toPandas()
+    assert len(counts) == n * n and counts["count"].between(850, 1150).all()
+
+
+def test_shuffles_do_not_depend_on_the_layout(spark):
     frame, found = fleet_frame(), []
     for hot_rows in (1_000_000, 20):
         table = cell_table(spark, frame, layout=Layout(hot_rows=hot_rows))
-        assert table.salted == (hot_rows == 20)
-        rows = with_donors(table.cells("final", 4, 4), table, 2, 42)
-        found.append({tuple(r) for r in rows.select("device_id", "repeat", "ts", F.to_json("donor")).collect()})
-    assert found[0] == found[1]
+        fitted = ridge(1.0).fit_cells(table, "final", [4])
+        rows = permutation_importance(table, fitted, repeats=2).collect()
+        found.append({(r["device_id"], r["position"]): (r["rmse_increase_mean"], r["rmse_increase_std"]) for r in rows})
+    assert found[0].keys() == found[1].keys()
+    for key, values in found[0].items():
+        assert values == pytest.approx(found[1][key])
+
+
+def test_values_are_exchanged_as_sent(spark):
+    """A feature's shuffled column holds the same values, gaps too; all others stay."""
+    table = cell_table(spark, fleet_frame(devices=1))
+    ranked = with_ranks(table.cells("final", 4, 4), table, 7).select(
+        "device_id", "_rank", "_size", "y", F.array("a", "b", "t", F.col("hour").cast("double"), F.col("day_of_week").cast("double")).alias("v"))
+    rows = sorted(ranked.collect(), key=lambda r: r["_rank"])
+    places = sent(spark, table, 2, 7)
+    for r in exchanged(ranked, table.spec, 2, 7, ["y", "v"], "v").collect():
+        own, key = rows[r["_place"]], r["_key"]
+        giver = rows[places[r["device_id"], key].index(r["_place"])]
+        assert r["y"] == own["y"] and r["v"] == own["v"] and r["given"] == giver["v"][key % 5]
 
 
 def test_linear_shortcut_equals_predicting_again(spark):
     table = cell_table(spark, fleet_frame())
     fitted = ridge(1.0).fit_cells(table, "final", [4])
-    rows = with_donors(table.cells("final", 4, 4), table, 2, 1)
-    fast = {(r[0], r[1]): r for r in _linear_errors(rows, table, fitted, 4).collect()}
-    slow = _general_errors(rows, table, fitted, 4).collect()
-    assert isinstance(fitted, LinearFitted) and len(slow) == 6
-    for r in slow:
-        assert fast[(r[0], r[1])]["errors"] == pytest.approx(r["errors"]) and fast[(r[0], r[1])]["plain"] == pytest.approx(r["plain"])
+    rows = table.cells("final", 4, 4)
+    fast, slow = (
+        {tuple(r[:-1]): r[-1] for part in errors(rows, table, fitted, 4, 2, 1) for r in part.collect()} for errors in (_linear_errors, _general_errors)
+    )
+    assert isinstance(fitted, LinearFitted) and len(slow) == 3 * 2 * 5 + 3
+    assert fast == pytest.approx(slow)
 
 
 def test_importance_finds_the_driver_and_repeats(spark):
