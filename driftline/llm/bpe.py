@@ -18,9 +18,9 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm.shared import ready, text_bytes
+from driftline.llm.tokenfiles import RUN, SIMPLE, byte_alphabet
 
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 100  # words or pieces, and characters of one
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 100  # words, and as many pieces; and characters of one
 CHARACTERS_AT_ONCE = 1 << 20
 OUTPUT_BYTES = 4 << 20
+ID_BITS, PLACE_BITS = 20, 40
+RANK_SHIFT, ID_MASK, PLACE_MASK = ID_BITS + PLACE_BITS, (1 << ID_BITS) - 1, (1 << PLACE_BITS) - 1
 BLANK = re.compile(r"[\x20\x09-\x0D]")
+ALPHABET = byte_alphabet()
 words_of = re.compile(r"[\x20\x09-\x0D]+").split
 
 
@@ -52,46 +56,74 @@ class Merges:
             raise ValueError(f"not a plain byte-pair vocabulary: {model.get('type')}, {unknown}")
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        if max(self.ids.values(), default=0) >> ID_BITS:
+            raise ValueError(f"ids of more than {ID_BITS} bits")
+        # A pair of ids in one number, and a merge's rank and new id in one: numbers are quicker to hash and to compare than tuples.
+        self.pairs: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+            self.pairs[self.ids[left] << ID_BITS | self.ids[right]] = rank << RANK_SHIFT | self.ids[left + right]
+        self.first = {c: i for c, i in self.ids.items() if len(c) == 1}
+        ends = len(self.suffix)
+        self.last = {c[:1]: i for c, i in self.ids.items() if len(c) == 1 + ends and c.endswith(self.suffix)}
 
     def merged(self, piece: str) -> list[int]:
         """Ids of a piece; characters that are not in the vocabulary are left out."""
-        named = [*piece[:-1], piece[-1:] + self.suffix] if piece else []
-        symbols = [self.ids[c] for c in named if c in self.ids]
+        first, last = self.first, self.last
+        symbols = [first[c] for c in piece[:-1] if c in first]
+        symbols += [last[c] for c in piece[-1:] if c in last]
         size = len(symbols)
         if size < 2:
             return symbols
-        pairs = self.pairs
+        found_of = self.pairs.get
         before, after = list(range(-1, size - 1)), [*range(1, size), -1]
-        queue = []
-        for place in range(size - 1):
-            if (found := pairs.get((symbols[place], symbols[place + 1]))) is not None:
-                queue.append((found[0], place, found[1]))
+        # An entry: rank, place and new id of a merge, in this order of weight.
+        queue = [
+            found + (place << ID_BITS) for place in range(size - 1)
+            if (found := found_of(symbols[place] << ID_BITS | symbols[place + 1])) is not None
+        ]
         heapify(queue)
         while queue:
-            _, place, new = heappop(queue)
-            right = after[place]
-            if symbols[place] < 0 or right < 0:
+            entry = heappop(queue)
+            new, place = entry & ID_MASK, entry >> ID_BITS & PLACE_MASK
+            left, right = symbols[place], after[place]
+            if left < 0 or right < 0:
                 continue  # stale: the symbol has gone, or has no neighbour any more
-            found = pairs.get((symbols[place], symbols[right]))
-            if found is None or found[1] != new:
+            found = found_of(left << ID_BITS | symbols[right])
+            if found is None or found & ID_MASK != new:
                 continue  # stale: another merge has changed one of the two
             symbols[place], symbols[right] = new, -1
             after[place] = right = after[right]
             if right >= 0:
                 before[right] = place
-                if (found := pairs.get((new, symbols[right]))) is not None:
-                    heappush(queue, (found[0], place, found[1]))
-            if (left := before[place]) >= 0 and (found := pairs.get((symbols[left], new))) is not None:
-                heappush(queue, (found[0], left, found[1]))
+                if (found := found_of(new << ID_BITS | symbols[right])) is not None:
+                    heappush(queue, found + (place << ID_BITS))
+            if (left := before[place]) >= 0 and (found := found_of(symbols[left] << ID_BITS | new)) is not None:
+                heappush(queue, found + (left << ID_BITS))
         return [s for s in symbols if s >= 0]
 
 
+class Remembered(dict):
+    """The last entries that were met, two generations of at most ``REMEMBERED`` each; what recurs is never forgotten for long."""
+
+    before: dict[str, bytes] = {}
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def old(self, key: str) -> bytes | None:
+        """An entry of the generation before, now in this one."""
+        found = self.before.get(key)
+        return None if found is None else self.put(key, found)
+
+
 class Coder:
-    """Texts to ids and back by the rules of one tokenizers file.
+    """Texts to ids by the rules of one tokenizers file.
 
     Files whose special tokens are found after normalising, or with white space
     around them, and vocabularies other than plain BPE are refused.
@@ -110,16 +142,12 @@ class Coder:
         added = rules.get("added_tokens") or []
         if any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
             raise ValueError("added tokens with rules of their own are not known here")
-        self.special = {x["content"]: x["id"] for x in added}
+        self.special = special_tokens(rules)
         self.cut = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if added else None
-        size = 1 + max(chain(self.merges.ids.values(), self.special.values()))
-        self.names = [""] * size
-        for name, number in chain(self.merges.ids.items(), self.special.items()):
-            self.names[number] = name
-        self.decoder = self.library.decoder
         self.drops_blanks = self._drops_blanks(rules)
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        steps = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        self.by_runs = self.drops_blanks and steps == ["NFC", "Replace", "Lowercase"]
+        self.known, self.pieces = Remembered(), Remembered()
 
     def _drops_blanks(self, rules: dict) -> bool:
         """Whether a text's ids are those of its words, one after the other: white space ends pieces and leaves none."""
@@ -130,9 +158,10 @@ class Coder:
             for x in steps
         )
         cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        split = cuts[0] if cuts else {}
+        split, after = (cuts[0], cuts[1]) if len(cuts) == 2 else ({}, {})
         return (
-            by_word and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
+            by_word and after.get("type") == "ByteLevel" and not after.get("add_prefix_space") and not after.get("use_regex")
+            and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
             # Fixed value: the one pattern known here that never matches white space.
             and split["pattern"].get("Regex") == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
         )
@@ -147,37 +176,41 @@ class Coder:
             return
         yield from (piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
 
-    def _plain(self, text: str) -> Iterator[int]:
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of a piece."""
+        return self.pieces.old(piece) or self.pieces.put(piece, array("I", self.merges.merged(piece)).tobytes())
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        known = self.pieces.get
         for piece in self._pieces(text):
-            found = self.pieces.get(piece)
-            if found is None:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                found = self.merges.merged(piece)
-                if len(piece) <= LONGEST_REMEMBERED and not self.drops_blanks:
-                    self.pieces[piece] = found
-            yield from found
-
-    def _cut(self, text: str) -> Iterator[int]:
+            found = known(piece)
+            yield self._piece(piece) if found is None else found
+
+    def _packed(self, text: str) -> bytes:
         """Ids of a text with its special tokens, which are found as they stand."""
-        at = 0
+        parts, at = [], 0
         for found in self.cut.finditer(text) if self.cut else ():
-            yield from self._plain(text[at:found.start()])
-            yield self.special[found.group()]
+            parts += self._plain(text[at:found.start()])
+            parts.append(array("I", [self.special[found.group()]]).tobytes())
             at = found.end()
-        yield from self._plain(text[at:])
+        parts += self._plain(text[at:])
+        return b"".join(parts)
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word, packed, for ``encode`` to look up."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        packed = self._packed(word)
-        if len(word) <= LONGEST_REMEMBERED:
-            self.known[word] = packed
-        return packed
-
-    def _packed(self, text: str) -> bytes:
-        return np.fromiter(self._cut(text), dtype="<u4").tobytes()
+        """Ids of a word, for ``encode`` to look up."""
+        if (found := self.known.old(word)) is not None:
+            return found
+        if self.by_runs and SIMPLE.fullmatch(word) and "<|" not in word:
+            known, parts = self.pieces.get, []
+            for run in RUN.findall(word.lower()):
+                if not run.isascii():
+                    run = "".join(map(ALPHABET.__getitem__, run.encode()))
+                found = known(run)
+                parts.append(self._piece(run) if found is None else found)
+            packed = b"".join(parts)
+        else:
+            packed = self._packed(word)
+        return self.known.put(word, packed)
 
     def encode(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit integers."""
@@ -194,6 +227,26 @@ class Coder:
     def encode_bytes(self, text: bytes) -> bytes:
         return self.encode(text.decode("utf-8", "replace"))
 
+
+def special_tokens(rules: dict) -> dict[str, int]:
+    return {x["content"]: x["id"] for x in rules.get("added_tokens") or []}
+
+
+class Names:
+    """Ids back to text; without the merges, so that a decoding worker is small."""
+
+    def __init__(self, definition: str) -> None:
+        from tokenizers import Tokenizer
+
+        rules = json.loads(definition)
+        known = rules["model"]["vocab"] | special_tokens(rules)
+        self.names = [""] * (1 + max(known.values(), default=0))
+        for name, number in known.items():
+            self.names[number] = name
+        # A tokenizer without vocabulary has the file's decoder alone.
+        small = rules | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}
+        self.decoder = Tokenizer.from_str(json.dumps(small)).decoder
+
     def decode(self, ids: bytes) -> str:
         """The vocabulary's strings of all ids, special tokens too, put together by the file's decoder."""
         names = list(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -212,14 +265,15 @@ def slices(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-_coders: dict[int, Coder] = {}
+_loaded: dict[tuple[type, int], object] = {}
 
 
-def coder(definition: str) -> Coder:
-    key = zlib.crc32(definition.encode())
-    if key not in _coders:
-        _coders[key] = Coder(definition)
-    return _coders[key]
+def loaded(kind: type, definition: str):
+    """A worker's one ``Coder`` or ``Names`` of a definition."""
+    key = kind, zlib.crc32(definition.encode())
+    if key not in _loaded:
+        _loaded[key] = kind(definition)
+    return _loaded[key]
 
 
 def _definition(df: DataFrame, tokenizer: str | None):
@@ -260,7 +314,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_
     """
     definition = _definition(docs, tokenizer)
     texts = docs.select(F.col(id_column).alias("_id"), text_bytes(text_column).alias("_text"))
-    encoded = _instead(texts, "_text", "ids", pa.binary(), "binary", lambda: coder(definition.value).encode_bytes)
+    encoded = _instead(texts, "_text", "ids", pa.binary(), "binary", lambda: loaded(Coder, definition.value).encode_bytes)
     return encoded.select(F.col("_id").alias(id_column), "ids")
 
 
@@ -271,4 +325,4 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, ids_column: str = "
     """
     definition = _definition(encoded, tokenizer)
     whole = encoded.drop("decoded").withColumn("_ids", F.coalesce(F.col(ids_column), F.lit(b"")))
-    return _instead(whole, "_ids", "decoded", pa.string(), "string", lambda: coder(definition.value).decode)
+    return _instead(whole, "_ids", "decoded", pa.string(), "string", lambda: loaded(Names, definition.value).decode)
