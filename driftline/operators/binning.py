@@ -1,4 +1,4 @@
-"""Bin edges of the tree models, from exact counts of all values.
+"""Inputs of the tree models, and bin edges from exact counts of all values for prefixes beyond one task.
 
 Values are counted per feature and prefix, running totals give the ranks, and
 the driver gets the edges alone: at most 254 a feature and prefix.
@@ -16,7 +16,7 @@ from driftline.functions.columns import q
 from driftline.operators.celltable import CellTable
 from driftline.operators.preprocess import fills_weight, long_values
 from driftline.operators.running import split_running_totals
-from driftline.operators.splits import MOST_BINS
+from driftline.operators.splits import MOST_BINS, edges_of
 from driftline.operators.timesplit import CELL
 
 Edges = dict[tuple[str, int], list[np.ndarray]]
@@ -85,13 +85,6 @@ def _cuts(table: CellTable) -> DataFrame:
     return few
 
 
-def edges_of(few: np.ndarray, below: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """Middles between neighbouring values, or between the values around each cut, without repeats."""
-    low, high = (few[:-1], few[1:]) if len(few) else (below, above)
-    middle = low + (high - low) / 2
-    return np.unique(np.where(middle < high, middle, low))
-
-
 def bin_edges(table: CellTable) -> Edges:
     """Edges per prefix and feature; a value's bin is the number of edges below it."""
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from concurrent.futures import Future
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.timesplit import CELL, TEST, Cuts, find_cuts, join_device_table, labelled_rows
+from driftline.operators.timesplit import (
+    CELL, TEST, Cuts, find_cuts, join_device_table, labelled_rows, refolded_cuts, relabelled_rows,
+)
 from driftline.session import keep_clustered
 from driftline.spec import CalibrationSpec, Layout, RunConfig
 
@@ -109,6 +111,18 @@ class CellTable:
         return self.cuts.table.filter(F.col("n") > self.layout.hot_rows).select(self.spec.device)
 
 
+def refolded(table: CellTable, folds: int) -> CellTable:
+    """The same rows, where they are, with their blocks cut into another number of folds."""
+
+    def make() -> CellTable:
+        config = replace(table.config, cv_splits=folds)
+        cuts = refolded_cuts(table.cuts, table.spec, folds)
+        rows = relabelled_rows(table.rows, table.spec, config, cuts, table.layout, table.keys)
+        return CellTable(rows, table.spec, config, cuts, table.layout)
+
+    return table if folds == table.folds else table.once(("refolded", folds), make)
+
+
 def bucket_count(df: DataFrame, rows: int, layout: Layout) -> int:
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))

@@ -126,11 +126,14 @@ def _general_errors(rows: DataFrame, table: CellTable, fitted: Fitted, cell: int
     ranked = with_ranks(rows, table, seed).select(
         spec.device, "_rank", "_size", *[q(c) for c in stays], F.array(*[q(c).cast("double") for c in spec.features]).alias("_values")
     )
-    met = exchanged(ranked, spec, repeats, seed, stays, "_values")
+    # Predicting is most of the work here, so the rows of a device are dealt out.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    met = exchanged(ranked.repartition(parts, spec.device, "_rank"), spec, repeats, seed, stays, "_values")
     position = F.col("_key") % width
     swapped_in = met.withColumns({
         c: F.when(position == i, F.col("given").cast(ranked.schema[c].dataType)).otherwise(q(c)) for i, c in enumerate(spec.features)
     }).drop("given")
+    swapped_in = swapped_in.repartition(parts, spec.device, "_key", "_place")
     shuffled = fitted.at(swapped_in, cell, "_prediction").groupBy(spec.device, "_key").agg(
         rmse(q(spec.target), F.col("_prediction")).alias("rmse")
     )

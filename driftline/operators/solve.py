@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 
@@ -106,24 +104,66 @@ def single_line(design: np.ndarray, feature: int) -> tuple[float, float]:
     return y / n - slope * x / n, slope
 
 
-def nonnegative_line(mean: np.ndarray, spread: np.ndarray) -> tuple[float, np.ndarray]:
-    """Least squares with an intercept and weights >= 0, exactly.
+def least_squares_lines(means: np.ndarray, spreads: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Intercepts and weights of least squares for many devices at once, on the ``used`` inputs of each.
 
-    ``mean`` and ``spread`` (co-variances) are those of the inputs and, last,
-    the target. All 2^b choices of nonzero weights are tried (b is the number
-    of stacked models, three in the stock stack).
+    ``means`` (devices, b + 1) and ``spreads`` (co-variances) are those of the
+    inputs and, last, the target. Of equally good weights the smallest are taken.
+    """
+    inner, outer = spreads[:, :-1, :-1], spreads[:, :-1, -1]
+    mask = np.ones(outer.shape, dtype=bool) if used is None else used
+    scale = np.sqrt(np.maximum(np.diagonal(inner, axis1=1, axis2=2), np.finfo(float).tiny))
+    both = mask[:, :, None] & mask[:, None, :]
+    correlations = np.where(both, inner / (scale[:, :, None] * scale[:, None, :]), 0.0)
+    solved = np.linalg.pinv(correlations, rcond=1e-12, hermitian=True) @ np.where(mask, outer / scale, 0.0)[:, :, None]
+    weights = np.where(mask, solved[:, :, 0] / scale, 0.0)
+    return means[:, -1] - (weights * means[:, :-1]).sum(axis=1), weights
+
+
+def nonnegative_lines(means: np.ndarray, spreads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares with an intercept and weights >= 0, exactly, for many devices at once and any number of inputs.
+
+    Active sets: of the inputs left out, the one along which the error falls
+    steepest joins; if that turns weights negative, the step ends where the
+    first of them is 0 and it leaves. Every step lowers a device's error, so no
+    set of inputs comes back; devices that are done wait for the others.
     """
-    b = len(mean) - 1
-    varying = [i for i in range(b) if spread[i, i] > FLAT * (spread[i, i] + mean[i] ** 2)]
-    best, best_error = np.zeros(b), spread[-1, -1]
-    for size in range(1, len(varying) + 1):
-        for chosen in combinations(varying, size):
-            idx = list(chosen)
-            w = np.linalg.lstsq(spread[np.ix_(idx, idx)], spread[idx, -1], rcond=None)[0]
-            if (w < 0).any():
-                continue
-            error = spread[-1, -1] - w @ spread[idx, -1]
-            if error < best_error:
-                best, best_error = np.zeros(b), error
-                best[idx] = w
-    return float(mean[-1] - best @ mean[:-1]), best
+    inner, outer = spreads[:, :-1, :-1], spreads[:, :-1, -1]
+    devices, b = outer.shape
+    own = np.diagonal(inner, axis1=1, axis2=2)
+    varying = own > FLAT * (own + means[:, :-1] ** 2)
+    scale = np.sqrt(np.where(varying, own, 1.0))
+    target = np.sqrt(np.maximum(spreads[:, -1, -1], 0.0))
+    weights, used = np.zeros((devices, b)), np.zeros((devices, b), dtype=bool)
+    error = np.full(devices, np.inf)
+    open_ = np.ones(devices, dtype=bool)
+    while open_.any():
+        # Correlation of each input left out with what is not explained yet.
+        slope = (outer - (inner @ weights[:, :, None])[:, :, 0]) / (scale * np.where(target > 0, target, 1.0)[:, None])
+        slope = np.where(varying & ~used, slope, -np.inf)
+        best = slope.argmax(axis=1)
+        left = spreads[:, -1, -1] - 2 * (weights * outer).sum(axis=1) + (weights * (inner @ weights[:, :, None])[:, :, 0]).sum(axis=1)
+        open_ &= (slope[np.arange(devices), best] > 1e-10) & (left < error)
+        error = np.where(open_, left, error)
+        used[open_, best[open_]] = True
+        moving = open_.copy()
+        while moving.any():
+            at = np.flatnonzero(moving)
+            _, wanted = least_squares_lines(means[at], spreads[at], used[at])
+            bad = used[at] & (wanted <= 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                reach = np.where(bad, weights[at] / (weights[at] - wanted), np.inf)
+            reach = np.where(np.isnan(reach), 0.0, reach)
+            step = np.minimum(reach.min(axis=1), 1.0)
+            weights[at] += step[:, None] * (wanted - weights[at])
+            first = bad & (reach <= step[:, None])
+            used[at] &= ~first
+            weights[at] = np.where(used[at], np.maximum(weights[at], 0.0), 0.0)
+            moving[at] = bad.any(axis=1)
+    return means[:, -1] - (weights * means[:, :-1]).sum(axis=1), weights
+
+
+def nonnegative_line(mean: np.ndarray, spread: np.ndarray) -> tuple[float, np.ndarray]:
+    """The same for one device."""
+    intercepts, weights = nonnegative_lines(np.asarray(mean)[None], np.asarray(spread)[None])
+    return float(intercepts[0]), weights[0]

@@ -42,6 +42,26 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)]).astype(np.uint8)
 
 
+def edges_of(few: np.ndarray, below: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Middles between neighbouring values, or between the values around each cut, without repeats."""
+    low, high = (few[:-1], few[1:]) if len(few) else (below, above)
+    middle = low + (high - low) / 2
+    return np.unique(np.where(middle < high, middle, low))
+
+
+def column_edges(x: np.ndarray, most: int = MOST_BINS) -> list[np.ndarray]:
+    """Edges of each column's bins from all its values; ``binning`` gives the same from counts."""
+    none, out = np.zeros(0), []
+    for column in np.sort(x, axis=0).T:
+        kinds = column[np.concatenate(([True], column[1:] != column[:-1]))]
+        if len(kinds) <= most:
+            out.append(edges_of(kinds, none, none))
+            continue
+        reach = np.arange(1, most, dtype=np.int64) * (len(column) - 1)
+        out.append(edges_of(none, column[reach // most], column[-(-reach // most)]))
+    return out
+
+
 def bin_sums(bins: np.ndarray, slot: np.ndarray, slots: int, width: int, *weights: np.ndarray | None) -> list[np.ndarray]:
     """``(slots, features, width)`` sums of each weight, and counts for None."""
     features = bins.shape[1]
@@ -73,7 +93,8 @@ def best_splits(
 ) -> Splits:
     """Largest fall of the penalised squared error over all features and bins; the first of equal ones."""
     slots, features, width = n.shape
-    left_n, left_w, left_s = (a.cumsum(axis=2) for a in (n, weight, total))
+    left_n, left_s = n.cumsum(axis=2), total.cumsum(axis=2)
+    left_w = left_n if weight is n else weight.cumsum(axis=2)
     all_n, all_w, all_s = (a[:, :, -1:] for a in (left_n, left_w, left_s))
     fits = (left_n >= least) & (all_n - left_n >= least)
     if allowed is not None:
@@ -136,6 +157,16 @@ class BestFirst:
                 consider(self.child[node] + 1)
         return unknown
 
+    def larger_siblings(self, wanted: list[int], summed: dict) -> dict[int, int]:
+        """Wanted nodes whose smaller sibling is wanted too and whose parent has been summed, with that sibling."""
+        pairs = {}
+        for node in wanted:
+            up = self.parent[node]
+            if up in summed and node == self.child[up] and node + 1 in wanted:
+                small, large = (node, node + 1) if self.size[node] <= self.size[node + 1] else (node + 1, node)
+                pairs[large] = small
+        return pairs
+
     def learn(self, node: int, found: tuple) -> None:
         gain, feature, cut, n_left, _, sum_left = found
         if gain <= 0:
@@ -265,12 +296,20 @@ def boost(bins: np.ndarray, y: np.ndarray, edges: list[np.ndarray], settings: di
         exponent = unit(n, np.abs(residual).max(initial=0.0))
         g = in_units(residual, exponent)
         tree, at = BestFirst(n, g.sum(), settings["max_leaf_nodes"], least), np.zeros(n, dtype=np.int64)
+        held: dict[int, list[np.ndarray]] = {}  # counts and sums by bin of the nodes that were summed
         while wanted := tree.wanted():
+            # Of two siblings the smaller one is summed; the other one is what is left of their parent, exactly.
+            rest = tree.larger_siblings(wanted, held)
+            direct = [node for node in wanted if node not in rest]
             slot = np.full(len(tree.split), -1)
-            slot[wanted] = np.arange(len(wanted))
+            slot[direct] = np.arange(len(direct))
             mine = slot[at]
             live = np.flatnonzero(mine >= 0)
-            counts, sums = bin_sums(bins[live], mine[live], len(wanted), width, None, g[live])
+            counts, sums = bin_sums(bins[live], mine[live], len(direct), width, None, g[live])
+            held.update({node: [counts[i], sums[i]] for i, node in enumerate(direct)})
+            for node, smaller in rest.items():
+                held[node] = [a - b for a, b in zip(held.pop(tree.parent[node]), held[smaller])]
+            counts, sums = (np.stack([held[node][k] for node in wanted]) for k in (0, 1))
             found = best_splits(counts, counts, sums, l2, least)
             for i, node in enumerate(wanted):
                 tree.learn(node, found.row(i))

@@ -273,6 +273,31 @@ def labelled_rows(
     return small.unionByName(large), keys
 
 
+def relabelled_rows(
+    rows: DataFrame, spec: CalibrationSpec, config: RunConfig, cuts: Cuts, layout: Layout, keys: Sequence[str]
+) -> DataFrame:
+    """Kept rows with the cells of another number of folds; they are already clustered by ``keys`` and stay where they are."""
+    bare = rows.drop("block", *CELL.values())
+    sized = join_device_table(bare, cuts.table.select(spec.device, "n"), spec, cuts, layout)
+    if "_piece" not in keys:
+        return cells_by_rank(sized, keys, spec, config)
+    small = cells_by_rank(sized.filter(F.col("n") <= layout.hot_rows), keys, spec, config)
+    large = sized.filter(F.col("n") > layout.hot_rows).drop("n")
+    starts = join_device_table(large, cut_times(large, spec, config), spec, cuts, layout)
+    return small.unionByName(cells_by_time(starts, spec, config))
+
+
+def refolded_cuts(cuts: Cuts, spec: CalibrationSpec, folds: int) -> Cuts:
+    """The same blocks with another number of folds; every device must have the rows for it."""
+    table = cuts.table.withColumns({
+        "fold_rows_train": fold_size(F.col("n_train"), folds), "fold_rows_final": fold_size(F.col("n_train") + F.col("n_val"), folds),
+    })
+    few = table.filter("fold_rows_train < 1").count()
+    if few:
+        raise ValueError(f"{few} device(s): {TOO_FEW_FOR_FOLDS}")
+    return Cuts(table, cuts.rejected, cuts.devices, cuts.rows, cuts.largest)
+
+
 def block_periods(rows: DataFrame, spec: CalibrationSpec) -> DataFrame:
     """Rows, first and last timestamp of each block."""
     return rows.groupBy(q(spec.device), "block").agg(

@@ -89,7 +89,6 @@ def matrix(lists: pa.ChunkedArray | pa.ListArray, width: int) -> np.ndarray:
 def grow_in_tasks(table: CellTable, members: Sequence[Member], numbers: Sequence[int]) -> DataFrame:
     """Trees of the members ``numbers``, each grown by one task; a forest's trees are dealt over several."""
     ship_package(table.rows.sparkSession)
-    edges = bin_edges(table)
     cores = max(1, table.rows.sparkSession.sparkContext.defaultParallelism)
     trees = sum(members[m].settings["n_estimators"] for m in numbers if members[m].kind == "forest")
     at_once = max(1, math.ceil(trees / (2 * cores)))
@@ -107,18 +106,19 @@ def grow_in_tasks(table: CellTable, members: Sequence[Member], numbers: Sequence
         *[q(c) for c in table.spec.features], "fills",
     )
     dealt = rows.select("unit", "h", "y", F.array(*inputs(table, prefix)).alias("x")).repartitionByRange(len(units), "unit")
-    about = {m: (members[m], edges[members[m].scheme, members[m].cell]) for m in numbers}
+    about = {m: members[m] for m in numbers}
     features = len(table.spec.features)
 
     def grow(part: pa.Table) -> pa.Table:
         m, first, last = units[part["unit"][0].as_py()]
-        member, own = about[m]
+        member = about[m]
         x, y, h = matrix(part["x"], features), part["y"].to_numpy(), part["h"].to_numpy()
         if member.kind == "forest":
             return tree_table([
                 tree_row(m, t, whole_tree(x, y, h, member, t), rows=len(y)) for t in range(first, last)
             ])
-        start, grown = splits.boost(splits.binned(x, own), y, own, member.settings)
+        edges = splits.column_edges(x)
+        start, grown = splits.boost(splits.binned(x, edges), y, edges, member.settings)
         empty = [tree_row(m, -1, Tree(*[np.zeros(0)] * 5), start=start)]  # the start value also of a model without trees
         return tree_table(empty + [tree_row(m, t, tree, rows=len(y), start=start) for t, tree in enumerate(grown)])
 

@@ -203,7 +203,7 @@ def _stack_tables(fitted: Mapping[str, Fitted], scheme: str) -> tuple[DataFrame
         return None, None
     return (
         stack.folds.withColumn("scheme", F.lit(scheme)),
-        stack.weights.withColumn("scheme", F.lit(scheme)),
+        None if stack.weights is None else stack.weights.withColumn("scheme", F.lit(scheme)),
     )
 
 

@@ -131,8 +131,8 @@ PREDICTED = """predicted AS (SELECT a.device_id, a.ts, a.scheme, a.f, a.y, l.mea
     l.icept + l.slope * coalesce(a.s1, l.m) AS p1 FROM ahead a JOIN lines l USING (device_id, scheme, f))"""
 
 
-def _linear(view: str) -> str:
-    return f"WITH {view}, {cells()}, {prefixes()}, {MEDIANS}, {LINES}, {PREDICTED}"
+def _linear(view: str, k: int = CONFIG.cv_splits) -> str:
+    return f"WITH {view}, {cells(k)}, {prefixes(k)}, {MEDIANS}, {LINES}, {PREDICTED}"
 
 
 def _scores(view: str, by: str = "device_id") -> str:
@@ -282,13 +282,13 @@ def _importance_three() -> str:
     {_increases("tested", {"s1": "sa1", "w3": "sw3", "hour": "shour"})}"""
 
 
-def _nonnegative_two() -> str:
+def _nonnegative_two(k: int = CONFIG.cv_splits) -> str:
     """Least error among the feasible supports of a two-input blend."""
     flat = "1e-12"
-    return f"""{_linear(FLEET_SUPPLIER)},
+    return f"""{_linear(FLEET_SUPPLIER, k)},
     oof AS (SELECT device_id, avg(y) AS my, avg(p0) AS m0, avg(p1) AS m1, var_pop(y) AS vy, var_pop(p0) AS v0,
         var_pop(p1) AS v1, covar_pop(p0, p1) AS c01, covar_pop(p0, y) AS c0, covar_pop(p1, y) AS c1
-        FROM predicted WHERE scheme = 'train' AND f BETWEEN 1 AND {CONFIG.cv_splits} GROUP BY device_id),
+        FROM predicted WHERE scheme = 'train' AND f BETWEEN 1 AND {k} GROUP BY device_id),
     tries AS (
         SELECT *, 0 AS size, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1 FROM oof
         UNION ALL SELECT *, 1, c0 / v0, 0.0 FROM oof WHERE v0 > {flat} * (v0 + m0 * m0)
@@ -414,6 +414,12 @@ def oracle_sql() -> dict[str, str]:
         "oof_prefix_mean": f"{_linear(supplier)} SELECT device_id, {stamp}, CAST(f AS BIGINT) AS fold, {r('p0')} AS prediction "
                            f"FROM predicted WHERE scheme = 'train' AND f <= {k}",
         "stack_two_linear": _nonnegative_two(),
+        "stack_two_folds": _nonnegative_two(2),
+        "stack_two_folds_split": _nonnegative_two(2),
+        "stack_own_final": f"""{_linear(supplier)},
+            shifts AS (SELECT device_id, median(y - p1) AS shift FROM predicted WHERE scheme = 'train' AND f BETWEEN 1 AND {k} GROUP BY device_id)
+            SELECT device_id, 'stacking' AS model, {r(rmse("y", "(p1 + shift)"))} AS rmse, {r("avg(abs(y - p1 - shift))")} AS mae
+            FROM predicted JOIN shifts USING (device_id) WHERE scheme = 'train' AND f = {last} GROUP BY device_id""",
         "score_metrics": f"{_scores(supplier)} SELECT * FROM scores",
         "scores_table": f"{_scores(user)} SELECT device_id, CASE model WHEN 'mean_baseline' THEN 0 ELSE 1 END::BIGINT AS ord, "
                         f"model, {wide} FROM scores GROUP BY device_id, model",

@@ -18,7 +18,7 @@ from driftline.operators.prepare import any_sensor, calendar, prepare, row_accou
 from driftline.operators.preprocess import device_fills, impute, one_hot, prefix_medians, scale_statistics, standard_scale
 from driftline.operators.search import forward_cv, tune_boosting
 from driftline.operators.select import lowest_rmse, scores_wide
-from driftline.operators.stacking import ForwardStack, out_of_fold, stock_stack
+from driftline.operators.stacking import CustomFinal, ForwardStack, out_of_fold, stock_stack
 from driftline.operators.timesplit import block_periods, find_cuts, fold_audit
 from driftline.operators.trees import boosting, random_forest
 from driftline.plans.experiment import build_estimators, fit_all, run_calibration, score_block
@@ -387,14 +387,43 @@ def oof_prefix_mean(spark, sf_dir):
 @query
 def stack_two_linear(spark, sf_dir):
     """Non-negative blend of mean and one-sensor line, learned from past-only predictions."""
-    table = fleet(spark, sf_dir)
-    stack = ForwardStack([mean_baseline(), single_sensor_linear()]).fit_cells(table, "train", [table.last])
+    return _two_linear_weights(fleet(spark, sf_dir))
+
+
+def _two_linear_weights(table: CellTable, **settings) -> DataFrame:
+    stack = ForwardStack([mean_baseline(), single_sensor_linear()], **settings).fit_cells(table, "train", [table.last])
     return stack.weights.select(
         "device_id", rounded(q("intercept"), 5).alias("intercept"),
         rounded(q("weights")[0], 5).alias("weight_mean"), rounded(q("weights")[1], 5).alias("weight_line"),
     )
 
 
+@query
+def stack_two_folds(spark, sf_dir):
+    """The same stack with two folds of its own, where the run has three."""
+    return _two_linear_weights(fleet(spark, sf_dir), folds=2)
+
+
+@query
+def stack_two_folds_split(spark, sf_dir):
+    """The same with every device spread over several pieces."""
+    return _two_linear_weights(fleet(spark, sf_dir, layout=SMALL_PIECES), folds=2)
+
+
+@query
+def stack_own_final(spark, sf_dir):
+    """A final estimator of one's own in place of the blend: the median error of the line, per device, added to it; validation scores."""
+
+    def median_error(oof, names):
+        shifts = keep(oof.groupBy("device_id").agg(F.median(q("y") - q(names[1])).alias("_shift")))
+        return lambda rows, inputs, out: rows.join(F.broadcast(shifts), "device_id").withColumn(out, q(inputs[1]) + q("_shift")).drop("_shift")
+
+    table = fleet(spark, sf_dir)
+    stack = ForwardStack([mean_baseline(), single_sensor_linear()], final=CustomFinal(median_error))
+    scores = _scored(table, "stacking", stack)
+    return scores.select("device_id", "model", *[rounded(q(m)).alias(m) for m in ("rmse", "mae")])
+
+
 def two_model_scores(table: CellTable) -> DataFrame:
     estimators = build_estimators(CONFIG, models=LINEAR_TWO)
     parts = [

@@ -49,6 +49,7 @@ def test_edges_are_exact_quantiles(spark, frame, monkeypatch):
                 else:
                     want = np.unique(np.percentile(x[:, f], np.linspace(0, 100, most + 1)[1:-1], method="midpoint"))
                 assert edges[scheme, cell][f] == pytest.approx(want)
+                assert np.array_equal(edges[scheme, cell][f], splits.column_edges(x[:, f:f + 1], most)[0])
 
 
 def plain_boosting(x, y, edges, rate, turns, leaves, least, l2):
