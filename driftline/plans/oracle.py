@@ -9,7 +9,8 @@ from __future__ import annotations
 from driftline.functions.columns import NA_TOKENS
 from driftline.operators.importance import ROUNDS, swapped
 from driftline.operators.linear import RIDGE_ALPHAS
-from driftline.plans.queries import CONFIG, DAILY_STEP, MANY_FOLDS, RIDGE_TWO_ALPHA
+from driftline.operators.splits import MOST_BINS
+from driftline.plans.queries import CONFIG, DAILY_STEP, MANY_FOLDS, RIDGE_TWO_ALPHA, STUMPS
 from driftline.operators.estimators import NO_MODEL
 from driftline.sources.export import BAD_NUMBER, BAD_TIME, INCOMPLETE, SURPLUS
 from driftline.sources.views import SURPLUS_AH, EVENT_TYPES, LINE_STATUS, RETURN_FLAGS, SENSOR_WEIGHTS, VIEW_SPEC
@@ -282,6 +283,35 @@ def _importance_three() -> str:
     {_increases("tested", {"s1": "sa1", "w3": "sw3", "hour": "shour"})}"""
 
 
+def _stumps() -> str:
+    """Boosted trees of one split: edges at exact quantiles, the split with the largest fall of the penalised error, added to what was predicted."""
+    last, width, rate, l2, least = CONFIG.cv_splits + 1, len(VIEW_SPEC.features), *(STUMPS[k] for k in ("learning_rate", "l2_regularization", "min_samples_leaf"))
+    values = "[" + ", ".join([f"coalesce({c}, m_{c})" for c in FEATURES] + ["CAST(hour AS DOUBLE)", "CAST(day_of_week AS DOUBLE)"]) + "]"
+    rows = "SELECT {0}.device_id, {0}.ts, y, " + values + " AS v FROM {0} JOIN medians USING (device_id, scheme, f) WHERE scheme = 'train' AND f = " + str(last)
+    steps = []
+    for turn in range(STUMPS["max_iter"]):
+        steps.append(f"""sides_{turn} AS (SELECT i, edge, count(*) AS n, sum(y - p) AS s, count(*) FILTER (v[i + 1] <= edge) AS nl,
+        sum(y - p) FILTER (v[i + 1] <= edge) AS sl FROM edges JOIN fit_{turn} ON true GROUP BY i, edge),
+    split_{turn} AS (SELECT i, edge, {rate}::DOUBLE * sl / (nl + {l2}) AS a, {rate}::DOUBLE * (s - sl) / (n - nl + {l2}) AS b FROM sides_{turn}
+        WHERE nl >= {least} AND n - nl >= {least}
+        ORDER BY sl * sl / (nl + {l2}) + (s - sl) * (s - sl) / (n - nl + {l2}) - s * s / (n + {l2}) DESC, i, edge LIMIT 1)""")
+        for name in ("fit", "held"):
+            steps.append(f"{name}_{turn + 1} AS (SELECT device_id, ts, y, v, p + CASE WHEN v[i + 1] <= edge THEN a ELSE b END AS p FROM {name}_{turn}, split_{turn})")
+    return f"""{_linear(HOURLY)},
+    inside AS ({rows.format("past")}), beyond AS ({rows.format("ahead")}),
+    long AS (SELECT unnest(range(0, {width})) AS i, unnest(v) AS x FROM inside),
+    kinds AS (SELECT i, count(DISTINCT x) AS k, count(*) AS n FROM long GROUP BY i),
+    sorted AS (SELECT i, x, row_number() OVER (PARTITION BY i ORDER BY x) - 1 AS place FROM long),
+    few AS (SELECT i, x + (lead(x) OVER (PARTITION BY i ORDER BY x) - x) / 2 AS edge FROM (SELECT DISTINCT i, x FROM long) JOIN kinds USING (i) WHERE k <= {MOST_BINS}),
+    cuts AS (SELECT i, (j * (n - 1)) // {MOST_BINS} AS low, (j * (n - 1) + {MOST_BINS - 1}) // {MOST_BINS} AS high
+        FROM kinds JOIN range(1, {MOST_BINS}) js(j) ON true WHERE k > {MOST_BINS}),
+    edges AS (SELECT i, edge FROM few WHERE edge IS NOT NULL UNION
+        SELECT c.i, a.x + (b.x - a.x) / 2 FROM cuts c JOIN sorted a ON a.i = c.i AND a.place = c.low JOIN sorted b ON b.i = c.i AND b.place = c.high),
+    fit_0 AS (SELECT *, avg(y) OVER () AS p FROM inside), held_0 AS (SELECT *, (SELECT avg(y) FROM inside) AS p FROM beyond),
+    {", ".join(steps)}
+    SELECT device_id, 'hist_gradient_boosting' AS model, {r(rmse("y", "p"))} AS rmse, {r("avg(abs(y - p))")} AS mae FROM held_{STUMPS["max_iter"]} GROUP BY device_id"""
+
+
 def _nonnegative_two(k: int = CONFIG.cv_splits) -> str:
     """Least error among the feasible supports of a two-input blend."""
     flat = "1e-12"
@@ -444,6 +474,7 @@ def oracle_sql() -> dict[str, str]:
                         "SELECT device_id, model, rmse FROM placed WHERE place = 1",
         "permutation_importance_ols": f"{_importance(supplier)} SELECT * FROM importance",
         "importance_split": f"{_importance(supplier)} SELECT * FROM importance",
+        "boosting_stumps": _stumps(),
         "importance_three_features": f"{_importance_three()} SELECT * FROM importance",
         "importance_three_split": f"{_importance_three()} SELECT * FROM importance",
         "importance_three_general": f"{_importance_three()} SELECT * FROM importance",

@@ -36,6 +36,7 @@ RIDGE_TWO = ("s1", "w3")
 RIDGE_TWO_ALPHA = 10.0
 # What the daily profile of the importance queries rises by in an hour.
 DAILY_STEP = 0.05
+STUMPS = {"max_iter": 3, "max_leaf_nodes": 2, "learning_rate": 0.5, "min_samples_leaf": 20, "l2_regularization": 5.0}
 # Folds that only long records can be cut into, to show the rejection of the others.
 MANY_FOLDS = RunConfig(cv_splits=45)
 # Devices above 100 rows are split, to show that splitting changes no result.
@@ -584,6 +585,13 @@ def boosting_scores(spark, sf_dir):
     return _scored(fleet(spark, sf_dir, views.fleet_user), "hist_gradient_boosting", boosting())
 
 
+@query
+def boosting_stumps(spark, sf_dir):
+    """A few boosted trees of one split each, with a penalty on their leaves: validation scores."""
+    scores = _scored(fleet(spark, sf_dir, views.hourly), "hist_gradient_boosting", boosting(**STUMPS))
+    return scores.select("device_id", "model", *[rounded(q(m)).alias(m) for m in ("rmse", "mae")])
+
+
 @query
 def boosting_search(spark, sf_dir):
     table = fleet(spark, sf_dir, views.hourly)
