@@ -6,7 +6,9 @@ is summed in one place. Counts c are quantised to levels 1 + floor(log c /
 log base); an n-gram is put into the filter once for every level up to its own,
 so its level is found by asking for level 1, 2, ... until the answer is no. A
 filter has a block per bucket, as large as the bucket's entries need, so the
-rate of wrong answers does not depend on the size of the corpus.
+rate of wrong answers does not depend on the size of the corpus. Inside a
+bucket an n-gram is known by 32 bits of its hash; words have exact counts by
+64 bits besides.
 
 A filter of at most ``filter_bits`` is broadcast. A larger one stays in its
 blocks: texts are kept as slices of word hashes, the different n-grams of a
@@ -32,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import ready, stored, text_bytes
+from driftline.llm.shared import drop_unused_shuffles, ready, stored, text_bytes
 
 END = b"\n"  # no word has it
 HELD_OUT_DIVISOR = 5
 CACHED_WORDS = 200_000
+PROBES_IN_A_ROW = 1024  # so that a batch of rows stays small
 ARROW_BITS = 8 * ((1 << 31) - 64)  # of one value; the text of a bucket needs far fewer
 
 
@@ -45,9 +48,9 @@ class Settings:
     base: float = 1.5  # of the logarithm that quantises counts
     bits_per_entry: int = 10
     hashes: int = 4
-    filter_bits: int = 1 << 29  # 64 MB, up to which the filter is broadcast
+    filter_bits: int = 1 << 26  # 8 MB, up to which the filter is broadcast; one way of scoring for all that is larger
     broadcast_words: int = 1_000_000
-    bucket_bytes: int = 32_000_000  # text per counting bucket
+    bucket_bytes: int = 12_000_000  # text per counting bucket, which one task holds
     strength: float = 4.0  # k above
     slice_words: int = 250_000
 
@@ -75,6 +78,11 @@ def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
+def inner(keys: np.ndarray) -> np.ndarray:
+    """What tells the keys of a bucket apart: 32 bits, for a bucket has a few million entries and wrong answers are commoner by far."""
+    return keys & np.uint64(0xFFFFFFFF)
+
+
 class Slices:
     """Word hashes of texts, in slices of bounded length that may cut a text."""
 
@@ -146,7 +154,7 @@ def filter_block(keys: np.ndarray, counts: np.ndarray, most_bits: int, settings:
     """Bytes of a bucket's block."""
     level = levels(counts, settings.base)
     size = max(64, min(most_bits, int(level.sum()) * settings.bits_per_entry)) // 8 * 8
-    bits = np.zeros(size, dtype=bool)
+    bits, keys = np.zeros(size, dtype=bool), inner(keys)
     sizes = np.uint64(size)
     for nth in range(1, int(level.max(initial=0)) + 1):
         for place in bit_places(keys[level >= nth], nth, sizes, settings.hashes):
@@ -182,8 +190,9 @@ class Model:
         n = len(self.block_starts) - 1
         level = np.zeros(len(keys), dtype=np.int64)
         alive, nth = np.arange(len(keys)), 1
+        blocks, keys = buckets_of(keys, n).astype(np.int64), inner(keys)
         while n and len(alive) and nth < 120:
-            block = buckets_of(keys[alive], n).astype(np.int64)
+            block = blocks[alive]
             starts = self.block_starts[block]
             sizes = (self.block_starts[block + 1] - starts).astype(np.uint64)
             there = np.ones(len(alive), dtype=bool)
@@ -246,13 +255,14 @@ def count_ngrams(texts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([int(order_key[a]) for a, _ in pairs], pa.int32()),
                     "kind": pa.array([kind] * len(pairs), pa.int32()),
-                    "keys": pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()),
+                    "keys": pa.array([(keys[a:b] if kind == 1 else inner(keys[a:b]).astype(np.uint32)).tobytes() for a, b in pairs], pa.binary()),
                     "counts": pa.array([n[a:b].astype(np.uint32).tobytes() for a, b in pairs], pa.binary()),
                 })
 
     def summed(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
         rows = table.filter(pa.compute.equal(table["kind"], kind))
-        keys = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["keys"].to_pylist()] or [np.zeros(0, np.uint64)])
+        stored_as = np.uint64 if kind == 1 else np.uint32
+        keys = np.concatenate([np.frombuffer(x, dtype=stored_as) for x in rows["keys"].to_pylist()] or [np.zeros(0, stored_as)])
         counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows["counts"].to_pylist()] or [np.zeros(0, np.uint32)])
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order].astype(np.int64)
@@ -263,7 +273,7 @@ def count_ngrams(texts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
         bucket = table["bucket"][0].as_py()
         words, n_words = summed(table, 1)
         pairs, n_pairs = summed(table, 2)
-        keys, counts = np.concatenate((unigram_keys(words), pairs)), np.concatenate((n_words, n_pairs))
+        keys, counts = np.concatenate((unigram_keys(words), pairs.astype(np.uint64))), np.concatenate((n_words, n_pairs))
         block = filter_block(keys, counts, ARROW_BITS, settings)
         rows = len(words) + 1
         return pa.table({
@@ -284,6 +294,7 @@ def fit(docs: DataFrame, usable: Column | None = None, settings: Settings = Sett
     texts = (docs if usable is None else docs.filter(usable)).select(text_bytes().alias("text"))
     counted, n_buckets = count_ngrams(texts, settings)
     counted = stored(counted)
+    drop_unused_shuffles(docs.sparkSession)
     words = counted.filter("block IS NULL").select("word", "n")
     n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # At most broadcast_words rows, filter_bits bits and the sizes of the blocks reach the driver.
@@ -354,10 +365,13 @@ def _columns(scored: DataFrame, model: Model) -> DataFrame:
 
 
 def _bucket_runs(keys: np.ndarray, n_buckets: int) -> list[tuple[int, bytes]]:
-    """(bucket, its keys) of sorted keys; sorted keys stand in the order of their buckets."""
+    """(bucket, inner keys of some of its keys) of sorted keys, in their order, which is that of their buckets."""
     bucket = buckets_of(keys, n_buckets)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()
-    return [(int(bucket[a]), keys[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [
+        (int(bucket[a]), inner(keys[first:min(first + PROBES_IN_A_ROW, b)]).astype(np.uint32).tobytes())
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True) for first in range(a, b, PROBES_IN_A_ROW)
+    ]
 
 
 def _slice_words(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -426,21 +440,40 @@ def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
                     runs = _bucket_runs(np.unique(keys), n_buckets)
                     yield pa.RecordBatch.from_pydict({
                         "slice": pa.array([row["slice"]] * len(runs), pa.int64()), "kind": pa.array([kind] * len(runs), pa.int32()),
+                        "part": pa.array(range(len(runs)), pa.int32()),
                         "bucket": pa.array([bucket for bucket, _ in runs], pa.int32()), "keys": pa.array([keys for _, keys in runs], pa.binary()),
                     })
 
-    def answers(asked: pa.Table, block: pa.Table) -> pa.Table:
-        parts = asked["keys"].to_pylist()
-        keys = np.frombuffer(b"".join(parts), dtype=np.uint64)
-        bits = np.frombuffer(block["block"][0].as_py() if block.num_rows else b"", dtype=np.uint8)
-        own = replace(block_model, bits=bits, block_starts=np.array([0, 8 * len(bits)]))
-        cuts = range(0, len(keys), settings.slice_words)
-        level = b"".join(own.filter_levels(keys[a:a + settings.slice_words]).astype(np.uint8).tobytes() for a in cuts) if len(bits) else bytes(len(keys))
-        ends = np.cumsum([len(part) // 8 for part in parts], dtype=np.int64).tolist()
-        found = [level[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        return pa.table({
-            "slice": asked["slice"], "kind": asked["kind"], "bucket": asked["bucket"], "levels": pa.array(found, pa.binary()),
-        })
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by bucket, each bucket's block in front of its probes; one block and one batch are in memory."""
+        place, filter_of = None, None
+        for batch in batches:
+            where = list(zip(batch.column("bucket").to_pylist(), batch.column("copy").to_pylist(), strict=True))
+            block, keys = batch.column("block"), batch.column("keys")
+            sizes = pa.compute.fill_null(pa.compute.binary_length(keys), 0).to_numpy() // 4
+            levels_of, first = [], 0
+            while first < len(where):
+                if block[first].is_valid:
+                    bits = np.frombuffer(block[first].as_py(), dtype=np.uint8)
+                    place, filter_of = where[first], replace(block_model, bits=bits, block_starts=np.array([0, 8 * len(bits)]))
+                    levels_of.append(None)
+                    first += 1
+                    continue
+                end, held = first + 1, int(sizes[first])
+                while end < len(where) and where[end] == where[first] and held < settings.slice_words:
+                    held += int(sizes[end])
+                    end += 1
+                asked = np.frombuffer(b"".join(keys[first:end].to_pylist()), dtype=np.uint32).astype(np.uint64)
+                there = place == where[first] and len(filter_of.bits)
+                level = filter_of.filter_levels(asked).astype(np.uint8).tobytes() if there else bytes(len(asked))
+                ends = np.cumsum(sizes[first:end]).tolist()
+                levels_of += [level[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                first = end
+            probes_only = block.is_null()
+            yield pa.RecordBatch.from_arrays(
+                [c.filter(probes_only) for c in (*map(batch.column, ("slice", "kind", "part")), pa.array(levels_of, pa.binary()))],
+                ["slice", "kind", "part", "levels"],
+            )
 
     def gathered(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -448,7 +481,7 @@ def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
         values = level_values(settings.base)
         single, double = (
             values[np.frombuffer(b"".join(
-                r["levels"] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
+                r["levels"] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
             ), dtype=np.uint8)] for kind in (1, 2)
         )
         own, before = _slice_words(row)
@@ -470,11 +503,14 @@ def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
     # A bucket's probes are split over copies of its block where far more text is scored than was learnt from.
     n_tokens = kept.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     copies = max(1, -(-n_tokens // max(1, 2 * model.train_tokens)))
-    asked = slices.mapInArrow(probes, "slice long, kind int, bucket int, keys binary").withColumn("copy", F.pmod("slice", F.lit(copies)))
+    asked = slices.mapInArrow(probes, "slice long, kind int, part int, bucket int, keys binary").withColumn("copy", F.pmod("slice", F.lit(copies)))
     there = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
-    found = asked.groupBy("bucket", "copy").cogroup(there.groupBy("bucket", "copy")).applyInArrow(
-        answers, "slice long, kind int, bucket int, levels binary"
-    )
+    dealt = asked.unionByName(there, allowMissingColumns=True).repartition("bucket", "copy")
+    found = stored(dealt.sortWithinPartitions("bucket", "copy", F.col("block").isNull()).mapInArrow(
+        answered, "slice long, kind int, part int, levels binary"
+    ))
+    del asked, there, dealt
+    drop_unused_shuffles(docs.sparkSession)
     scores = slices.unionByName(found, allowMissingColumns=True).groupBy("slice").applyInArrow(gathered, "_row long, score double")
     parts = kept.filter("slice IS NULL").select("_row", "doc_id", "n_tokens", "n_known", "base_score", "open_words")
     return parts.unionByName(scores, allowMissingColumns=True).groupBy("_row").agg(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,5 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     return keep_columnar(df)
 
 
+def drop_unused_shuffles(spark: SparkSession) -> None:
+    """Let the driver's collector run, so that Spark's cleaner removes shuffle files that no DataFrame needs any more.
+
+    Spark does the same by itself every ``spark.cleaner.periodicGC.interval``, by default half an hour: too late
+    where one query writes several large tables, one after the other.
+    """
+    for _ in range(2):  # the first run frees the DataFrames, the second one what they held
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.5)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

@@ -76,3 +76,42 @@ def test_no_training_text_and_empty_table(spark, awkward):
     got = lmscore.score(docs, model, words).collect()
     assert len(got) == len(awkward) and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
     assert lmscore.score(frame(spark, []), model, words).count() == 0
+
+
+def plain_scores(rows, usable, settings):
+    """Smoothed bigram scores from dictionaries of counts, quantised to their levels."""
+    def pairs(text):
+        words = tokens(text)
+        return list(zip([END, *words], words))
+
+    learnt = [text for doc_id, text in rows if usable(doc_id)]
+    single, double = Counter(t for text in learnt for t in tokens(text)), Counter(p for text in learnt for p in pairs(text))
+    unit = sum(single.values()) + 0.5 * (len(single) + 1)
+
+    def quantised(c):
+        return 0.0 if not c else 1.0 if c < settings.base else (lambda n: (settings.base ** (n - 1) + settings.base ** n) / 2)(
+            1 + math.floor(math.log(c) / math.log(settings.base) + 1e-9)
+        )
+
+    def log_p(before, word):
+        own, context, both = (quantised(c) for c in (single[word], single[before], double[before, word]))
+        return math.log10((min(both, context) + settings.strength * (own + 0.5) / unit) / (context + settings.strength))
+
+    return [(doc_id, round(sum(log_p(*p) for p in pairs(text)), 5)) for doc_id, text in rows]
+
+
+@pytest.mark.parametrize("filter_bits", [1 << 29, 1_000])
+def test_scores_equal_brute_force(spark, awkward, filter_bits):
+    rows = [*awkward, *((100 + i, prose(i, 40)) for i in range(40)), (200, "the end " * 300)]
+    settings = Settings(filter_bits=filter_bits, bits_per_entry=60, hashes=12, broadcast_words=20, bucket_bytes=9_000, slice_words=70)
+    docs = frame(spark, rows).repartition(4)
+    model, words = lmscore.fit(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1, settings)
+    got = [(r.doc_id, round(r.score, 5)) for r in lmscore.score(docs, model, words).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain_scores(rows, lambda i: (i or 0) % 3 != 1, settings)))
+
+
+def test_training_texts_that_are_all_null(spark):
+    docs = frame(spark, [(1, None), (2, None), (3, "some words")])
+    model, words = lmscore.fit(docs, F.col("doc_id") < 3)
+    got = {r.doc_id: r for r in lmscore.score(docs, model, words).collect()}
+    assert got[1].train_tokens == 2 and got[1].n_known == 1 and got[3].n_known == 1
