@@ -196,7 +196,7 @@ def block_pieces(documents: DataFrame, sources: DataFrame, block: int = BLOCK) -
     documents = documents.select("doc_id", "source", "size", "_row")
     rows = documents.count()
     buckets = max(1, rows // ROWS_PER_BUCKET)
-    key = F.expr(hashed("abs(coalesce(doc_id, _row))"))
+    key = F.expr(hashed(f"coalesce(doc_id, _row) & {(1 << 63) - 1}"))  # not abs: the least long has none
     placed = documents.filter("size > 0").withColumn("order", key).withColumn("bucket", F.expr(f"order * {buckets} div {PRIME}"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -215,6 +215,32 @@ def block_pieces(documents: DataFrame, sources: DataFrame, block: int = BLOCK) -
     )
 
 
+def packed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+    """The mix as fixed-length blocks: shard, source, epoch, number, n_words and text, a row per slot.
+
+    A block holds ``block`` consecutive words of its source, joined by spaces;
+    fewer only a source's last one and the one that its target cuts. Shards
+    take their sources' blocks by multinomial draws; the last shard takes what they leave.
+    Null texts have no words, a null source is one of its own, an empty table gives no rows.
+    """
+    documents = _numbered(docs, F.col("text"))
+    sources = stored(targets(documents, weights, block))
+    slots = stored(slot_table(sources, shards, block))
+    pieces = block_pieces(documents, sources, block).join(documents.select("_row", "text"), "_row").select(
+        "rank", "number", "low", F.slice(
+            words_of(F.col("text")), (F.expr(f"number * {block} + low - offset") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int")
+        ).alias("words"),
+    )
+    blocks = pieces.groupBy("rank", "number").agg(  # at most ``block`` words
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("low", "words"))), lambda p: p["words"])).alias("held")
+    )
+    named = slots.join(_checked(sources.select("rank", "source"), sources.count()), "rank")
+    return named.join(blocks, ["rank", "number"]).select(
+        "shard", "source", "epoch", "number", F.col("words").cast("long").alias("n_words"),
+        F.array_join(F.slice("held", 1, F.col("words").cast("int")), " ").alias("text"),
+    ).filter("n_words > 0")
+
+
 def taken_pieces(documents: DataFrame, sources: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
     """_row, shard, epoch, start and n: the words of documents that the slots take."""
     pieces, slots = block_pieces(documents, sources, block), slot_table(sources, shards, block)

@@ -87,7 +87,7 @@ lengths AS (
     SELECT rank, number, greatest(0, least(words, rest - (sum(words) OVER (PARTITION BY rank ORDER BY place) - words))) AS words FROM lengths
 ), laid AS (
     SELECT d.doc_id, d.size, c.rank, c.passes, c.source_size, c.target,
-        CAST(sum(d.size) OVER (PARTITION BY c.rank ORDER BY {hashed("abs(doc_id)", "//")}, doc_id) AS BIGINT) - d.size AS first
+        CAST(sum(d.size) OVER (PARTITION BY c.rank ORDER BY {hashed(f"doc_id & {(1 << 63) - 1}", "//")}, doc_id) AS BIGINT) - d.size AS first
     FROM docs AS d JOIN cut AS c ON d.source IS NOT DISTINCT FROM c.source
 ), pieces AS (
     SELECT doc_id, rank, number, greatest(first - number * {BLOCK}, 0) AS low, least(first + size - number * {BLOCK}, {BLOCK}) AS high

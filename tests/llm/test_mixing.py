@@ -1,3 +1,4 @@
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -89,3 +90,50 @@ def test_no_rows_and_no_words(spark):
     got = mixing.mix(frame(spark, [(1, None, "a"), (2, " ", None)])).collect()
     assert [(r.target, r.taken) for r in got] == [(0.0, 0)] * 2
     assert mixing.mixed_documents(frame(spark, [(1, None, "a")])).count() == 0
+
+
+def test_least_long_as_id(spark):
+    rows = [(-(1 << 63), prose(1, 50), "a"), ((1 << 63) - 1, prose(2, 50), "a"), (-1, prose(3, 50), "b")]
+    assert {r.doc_id for r in mixing.mix(frame(spark, rows)).collect()} == {r[0] for r in rows}
+
+
+def words_of(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+def test_packed_blocks(spark, rows):
+    docs = frame(spark, rows)
+    blocks = mixing.packed_blocks(docs, block=16, shards=8).collect()
+    sources = {r.source: r for r in mixing.targets(mixing._numbered(docs), block=16).collect()}
+    words, short = Counter(), Counter()
+    own = defaultdict(set)
+    for _, text, source in rows:
+        own[source].update(words_of(text))
+    for b in blocks:
+        held = b.text.split(" ")
+        assert len(held) == b.n_words <= 16 and set(held) <= own[b.source]
+        words[b.source] += b.n_words
+        short[b.source] += b.n_words < 16
+    assert {s: words[s] for s in sources} == {s: int(r.target) for s, r in sources.items()}
+    assert all(short[s] <= r.passes + 2 for s, r in sources.items())
+    assert {b.shard for b in blocks} == set(range(8))
+    # Whole passes hold every word of a source once each.
+    for source, r in sources.items():
+        for epoch in range(r.passes):
+            held = Counter(w for b in blocks if b.source == source and b.epoch == epoch for w in b.text.split(" "))
+            assert held == Counter(w for _, text, s in rows if s == source for w in words_of(text))
+    assert mixing.packed_blocks(frame(spark, [])).count() == 0
+
+
+def test_shards_draw_their_sources_by_chance(spark):
+    """Shares of a source in the shards scatter as draws do, neither equal nor all in one."""
+    rows = [(i, prose(i, 600), "ab"[i % 2]) for i in range(60)]
+    blocks = Counter((b.source, b.shard) for b in mixing.packed_blocks(frame(spark, rows), block=16, shards=10).collect())
+    sizes = Counter()
+    for (_, shard), n in blocks.items():
+        sizes[shard] += n
+    shares = [blocks["a", shard] / sizes[shard] for shard in range(9)]
+    whole = sum(blocks["a", s] for s in range(10)) / sum(sizes.values())
+    spread = sum((x - whole) ** 2 for x in shares) / len(shares)
+    want = whole * (1 - whole) / (sum(sizes.values()) / 10)
+    assert want / 4 < spread < want * 4
