@@ -230,7 +230,6 @@ class Grown:
 
 def boost_by_level(table: CellTable, members: Sequence[Member], numbers: Sequence[int]) -> list[dict]:
     """Trees of boosted members on one large prefix, all of them a level at a time."""
-    spark = table.rows.sparkSession
     first, features = members[numbers[0]], len(table.spec.features)
     edges, n = bin_edges(table)[first.scheme, first.cell], prefix_rows(table)[first.scheme, first.cell]
     rows = large_rows(table, first.scheme, first.cell)
