@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm.shared import ready, text_bytes
-from driftline.llm.tokenfiles import RUN, SIMPLE, byte_alphabet
+from driftline.llm.tokenfiles import RUN, SIMPLE, byte_alphabet, drops_blanks
 
 REMEMBERED, LONGEST_REMEMBERED = 100_000, 100  # words, and as many pieces; and characters of one
 CHARACTERS_AT_ONCE = 1 << 20
@@ -129,9 +129,6 @@ class Coder:
     around them, and vocabularies other than plain BPE are refused.
     """
 
-    #: Normalisers that change each word on its own, so that texts can be cut at ASCII blanks first.
-    BY_WORD = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"}
-
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -144,28 +141,11 @@ class Coder:
             raise ValueError("added tokens with rules of their own are not known here")
         self.special = special_tokens(rules)
         self.cut = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if added else None
-        self.drops_blanks = self._drops_blanks(rules)
+        self.drops_blanks = drops_blanks(rules)
         steps = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
         self.by_runs = self.drops_blanks and steps == ["NFC", "Replace", "Lowercase"]
         self.known, self.pieces = Remembered(), Remembered()
 
-    def _drops_blanks(self, rules: dict) -> bool:
-        """Whether a text's ids are those of its words, one after the other: white space ends pieces and leaves none."""
-        normal = rules.get("normalizer") or {}
-        steps = normal.get("normalizers", [normal] if normal else [])
-        by_word = all(
-            x["type"] in self.BY_WORD and (x["type"] != "Replace" or (x["pattern"].get("Regex"), x["content"]) == ("\\s+", " "))
-            for x in steps
-        )
-        cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        split, after = (cuts[0], cuts[1]) if len(cuts) == 2 else ({}, {})
-        return (
-            by_word and after.get("type") == "ByteLevel" and not after.get("add_prefix_space") and not after.get("use_regex")
-            and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
-            # Fixed value: the one pattern known here that never matches white space.
-            and split["pattern"].get("Regex") == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-        )
-
     def _pieces(self, text: str) -> Iterator[str]:
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)

@@ -289,7 +289,11 @@ def count_ngrams(texts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
 
 
 def fit(docs: DataFrame, usable: Column | None = None, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
-    """The model and the table of exact word counts (word, n) of all texts that ``usable`` admits."""
+    """The model and the table of exact word counts (word, n) of all texts that ``usable`` admits.
+
+    Null and blank texts count as their end token alone, repeated rows each
+    time; rows for which ``usable`` is null are left out. Without any text all counts are 0.
+    """
     ready(docs)
     texts = (docs if usable is None else docs.filter(usable)).select(text_bytes().alias("text"))
     counted, n_buckets = count_ngrams(texts, settings)

@@ -278,6 +278,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards:
 
     A document that a pass takes whole keeps its text; else the taken words are
     joined by spaces. The other columns stay, but for n_chars, which is counted anew.
+    Null and blank texts have no words and so no row; a null source is a source of its own; repeated rows
+    are documents of their own; an empty table gives no rows.
     """
     documents = _numbered(docs, F.struct(*docs.columns).alias("doc"))  # a struct, so that no column name clashes
     sources = stored(targets(documents, weights, block))

@@ -71,17 +71,40 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+# Normalisers that change each word on its own, and a pattern whose pieces hold no white space.
+BY_WORD = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"}
+NO_BLANKS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def drops_blanks(rules: dict) -> bool:
+    """Whether the ids of a text are those of its words, one after the other: white space ends pieces and leaves none."""
+    normal = rules.get("normalizer") or {}
+    by_word = all(
+        x["type"] in BY_WORD and (x["type"] != "Replace" or (x["pattern"].get("Regex"), x["content"]) == ("\\s+", " "))
+        for x in normal.get("normalizers", [normal] if normal else [])
+    )
+    cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split, after = (cuts[0], cuts[1]) if len(cuts) == 2 else ({}, {})
+    plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in rules.get("added_tokens") or [])
+    return (
+        by_word and plain and after.get("type") == "ByteLevel" and not after.get("add_prefix_space") and not after.get("use_regex")
+        and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
+        and split["pattern"].get("Regex") == NO_BLANKS
+    )
+
+
 class WordEncoder:
     """Ids of texts, word by word with a bounded cache.
 
-    Only for tokenizers that split at white space and drop it: then a text's
-    ids are those of its words, one after the other. Simple words, in lower
+    Only tokenizers that split at white space and drop it (``drops_blanks``)
+    have a text's ids as those of its words, one after the other; with all
+    others whole texts are encoded. Simple words, in lower
     case, go to the tokenizer's model run by run, if the tokenizer's rules are
     the ones known here; all others go through the whole tokenizer.
     """
 
     KNOWN_RULES = (  # fixed values: the rules for which runs of simple words are known
-        ("NFC", "Replace", "Lowercase"), "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+        ("NFC", "Replace", "Lowercase"), NO_BLANKS,
     )
 
     def __init__(self, definition: str) -> None:
@@ -94,6 +117,7 @@ class WordEncoder:
         rules = json.loads(definition)
         steps = tuple(x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", []))
         cuts = [x.get("pattern", {}).get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_word = drops_blanks(rules)
         self.by_runs = (steps, cuts[0] if cuts else None) == self.KNOWN_RULES
         self.alphabet = byte_alphabet()
         self.forget()
@@ -150,6 +174,11 @@ class WordEncoder:
 
     def encode(self, texts: Iterator[bytes], end_id: int) -> Iterator[np.ndarray]:
         """Ids of each text with the end id; small texts share a call, large ones take several."""
+        if not self.by_word:
+            for text in texts:
+                ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+                yield np.array([*ids, end_id], dtype=self.kind)
+            return
         waiting: list[list[bytes]] = []
 
         def flush() -> Iterator[np.ndarray]:
@@ -249,7 +278,9 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     A task seeks the records of a few index entries, in no need of their order.
     ``start`` counts the ids of all files before (one running sum over files)
-    and of the records before in the file (from the index).
+    and of the records before in the file (from the index). Records of null and
+    empty texts hold the end id alone, those without doc_id have a null one;
+    repeated rows have a record each; no files give no rows. A damaged record raises.
     """
     spark = ready(files)
     bases = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

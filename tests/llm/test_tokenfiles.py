@@ -46,3 +46,14 @@ def test_long_text_is_cut_at_words():
 
 def test_empty_table(spark):
     assert tokenfiles.token_records(frame(spark, [])).count() == 0
+
+
+def test_tokenizers_that_keep_blanks_encode_whole_texts(spark, awkward):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = [*awkward, (70, "  two  blanks\n and a line\t"), (71, "a <|endoftext|> b")]
+    want = sorted(zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for _, t in rows)
+    got = sorted(r.ids_crc32 for r in tokenfiles.token_records(frame(spark, rows), path).collect())
+    assert got == want
