@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from driftline.llm.centroids import CLUSTERS, DIMS, SCALE, SEED
 from driftline.llm.centroids import ROUNDS as CLUSTER_ROUNDS
-from driftline.llm.licenses import CLUE, RULES, SENTENCES, SPEAKS_OF_LICENSE
+from driftline.llm.licenses import CLUE, RULES, SENTENCES, SPEAKS_OF_LICENSE, TAG
 from driftline.llm.mixing import BLOCK, ROUNDS, hashed, round_key, swap
 
 ORACLE: dict[str, str] = {}
@@ -118,17 +118,28 @@ _KNOWN = ", ".join(f"('{text}', '{name}')" for name, text in SENTENCES.items())
 ORACLE["op3_license_scan"] = rf"""
 WITH known(sentence, name) AS (VALUES {_KNOWN}),
 lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
-cut AS (
-    SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS part
-    FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\x20\x09\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS parts
-          FROM lowered WHERE regexp_matches(text, '{CLUE}'))
+parted AS (
+    SELECT doc_id, regexp_replace(regexp_replace(replace(text, '{TAG}', 'spdx license identifier '),
+        '([.!?:;])[\x20\x09\x0D\n]+', '\1' || chr(1), 'g'), '\n[^a-z0-9\n\x01]*\n', chr(1), 'g') AS text
+    FROM lowered WHERE regexp_matches(text, '{CLUE}')
+), runs AS (
+    SELECT doc_id, generate_subscripts(parts, 1) AS run, unnest(parts) AS part FROM (SELECT doc_id, string_split(text, chr(1)) AS parts FROM parted)
+), lined AS (
+    SELECT doc_id, run, list_filter(list_transform(string_split(part, chr(10)), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS lines
+    FROM runs
+), parts AS (
+    SELECT doc_id, run, generate_subscripts(p, 1) - 1 AS place, unnest(p) AS sentence
+    FROM (SELECT doc_id, run, CASE WHEN len(lines) > 1 THEN list_concat([array_to_string(lines, ' ')], lines) ELSE lines END AS p FROM lined)
 ), named AS (
-    SELECT doc_id, place, sentence, name
-    FROM (SELECT doc_id, place, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM cut) LEFT JOIN known USING (sentence)
+    SELECT doc_id, run, place, name, name IS NULL AND regexp_matches(sentence, '{SPEAKS_OF_LICENSE}') AS speaks FROM parts LEFT JOIN known USING (sentence)
+), by_run AS (
+    SELECT doc_id, run, max(name) FILTER (place = 0) AS whole, string_agg(name, ',' ORDER BY place) FILTER (place > 0) AS line_names,
+        count(*) FILTER (speaks AND place > 0) AS open_lines, count(*) FILTER (speaks) AS open
+    FROM named GROUP BY doc_id, run
 ), merged AS (
-    SELECT doc_id, string_agg(name, ',' ORDER BY place) AS ids,
-        count(*) FILTER (WHERE name IS NULL AND regexp_matches(sentence, '{SPEAKS_OF_LICENSE}')) AS n_unknown
-    FROM named GROUP BY doc_id
+    SELECT doc_id, string_agg(coalesce(whole, line_names), ',' ORDER BY run) AS ids,
+        sum(CASE WHEN whole IS NOT NULL THEN 0 WHEN line_names IS NOT NULL THEN open_lines WHEN open > 0 THEN 1 ELSE 0 END) AS n_unknown
+    FROM by_run GROUP BY doc_id
 ), sequences AS (SELECT doc_id, ',' || coalesce(ids, '') || ',' AS rest, CAST([] AS VARCHAR[]) AS found FROM merged),
 {_STEPS}
 SELECT d.doc_id, coalesce(array_to_string(found, ','), '') AS licenses, coalesce(ids, '') AS sentence_ids,
