@@ -158,13 +158,19 @@ def hits(texts: DataFrame, keys: list[str], benchmark: DataFrame, window: int =
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, items and spans (word positions) for every row of ``docs``; repeated rows get one each."""
-    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    """doc_id, n_words, n_hit, items and spans (word positions) for every row of ``docs``; repeated rows get one each.
+
+    Row numbers are stored before they are used, as a task that is run again could number its rows otherwise.
+    """
+    rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")))
     return hits(rows, ["_row", "doc_id"], benchmark, window, broadcast_rows).drop("_row")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text shares no window with an item; null texts stay."""
+    """The rows of ``docs``, all columns, whose text shares no window with an item.
+
+    Null texts stay, repeated rows stay or go together, an empty table stays empty.
+    """
     marked = docs.select(F.md5(F.col("text").cast("binary")).alias("key"), "text", F.struct(*docs.columns).alias("doc"))
     found = hits(marked.select("key", "text"), ["key"], benchmark, window, broadcast_rows)
     bad = found.filter((F.col("n_hit") > 0) & F.col("key").isNotNull()).select("key")
