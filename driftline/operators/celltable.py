@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from concurrent.futures import Future
 from dataclasses import dataclass, replace
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from driftline.operators.timesplit import (
     CELL, TEST, Cuts, find_cuts, join_device_table, labelled_rows, refolded_cuts, relabelled_rows,
 )
-from driftline.session import keep_clustered
+from driftline.session import keep_clustered, shuffle_partitions
 from driftline.spec import CalibrationSpec, Layout, RunConfig
 
 SCHEMES = ("train", "final")
@@ -107,6 +106,10 @@ class CellTable:
 
         return self.once(("gram",), lambda: build_gram(self))
 
+    def slices(self, values: int = 1) -> int:
+        """Tasks for ``values`` numbers of every row, where groups are too large for one."""
+        return self.layout.slices(self.cuts.rows * values, shuffle_partitions(self.rows.sparkSession))
+
     def hot_devices(self) -> DataFrame:
         return self.cuts.table.filter(F.col("n") > self.layout.hot_rows).select(self.spec.device)
 
@@ -124,9 +127,9 @@ def refolded(table: CellTable, folds: int) -> CellTable:
 
 
 def bucket_count(df: DataFrame, rows: int, layout: Layout) -> int:
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = shuffle_partitions(df.sparkSession)
     most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-    return max(1, min(most, max(least, math.ceil(rows / layout.hot_rows))))
+    return max(1, min(most, max(least, layout.slices(rows, least))))
 
 
 def build_cell_table(

@@ -3,7 +3,7 @@ import pytest
 from fleet_tables import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_table, fleet_frame, to_spark
 
 from driftline.operators.prepare import prepare
-from driftline.operators.celltable import build_cell_table
+from driftline.operators.celltable import bucket_count, build_cell_table
 from driftline.operators.timesplit import INFINITE, block_periods, cut_times, fold_audit, fold_sizes_of, split_sizes, train_and_validation
 from driftline.spec import Layout, RunConfig
 
@@ -145,3 +145,13 @@ def test_devices_with_infinite_values_are_set_aside(spark):
     table = cell_table(spark, frame)
     assert {r["device_id"]: r["reason"] for r in table.cuts.rejected.collect()} == {1: INFINITE, 2: INFINITE}
     assert [r[0] for r in table.rows.select("device_id").distinct().collect()] == [0]
+
+
+def test_small_pieces_do_not_make_small_tasks(spark):
+    """Pieces are dealt over the session's partitions; more tasks come with more rows, not with smaller pieces."""
+    table = cell_table(spark, fleet_frame(), layout=Layout(hot_rows=5))
+    assert table.cuts.rows > 20 * table.layout.hot_rows and table.keys == ["device_id", "_piece"]
+    assert len({r[0] for r in table.rows.selectExpr("_metadata.file_path").distinct().collect()}) <= 4
+    assert bucket_count(table.rows, 32_000_000, Layout(hot_rows=100)) == 160
+    assert bucket_count(table.rows, 32_000_000, Layout()) == 16
+    same(labels(table), expected(fleet_frame()))
