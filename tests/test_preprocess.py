@@ -91,3 +91,10 @@ def test_split_running_totals_equal_the_window(spark):
     one = running_totals(rows, ["g"], "v", ["n"]).select("g", "v", "n_upto", "n_all")
     other = split_running_totals(rows, ["g"], "v", ["n"], 7).select("g", "v", "n_upto", "n_all")
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_slices_of_medians_follow_the_rows(spark):
+    """Values of devices in small pieces are ranked in as many slices as the session has partitions, not one per piece."""
+    table = cell_table(spark, fleet_frame(), layout=Layout(hot_rows=5))
+    assert table.slices(len(SPEC.continuous)) == 4 and Layout(hot_rows=100).slices(9_000_000, 4) == 45
+    assert Layout(hot_rows=40).slices(100, 4) == 3 and Layout().slices(9_000_000, 4) == 5
