@@ -3,31 +3,37 @@
 Every feature is shuffled on its own in every repeat. A device's rows get ranks
 in the order of a hash of their keys. A shuffle is a bijection on the ranks,
 ``ROUNDS`` rounds of swap-or-not whose numbers follow from (seed, repeat, feature):
-each row gives its value to the row at the rank it is sent to. Both meet by one
-aggregate over (device, repeat, feature, rank), which needs no sort per feature,
-and no shuffle of rows as long as they are clustered by device. With devices
-above ``Layout.hot_rows`` ranks are counted in slices of the hash order, so no
-device is handled by one task. The bijection is plain arithmetic, the same in every engine.
+each row gives its value to the row at the rank it is sent to. For a linear model
+a device's values meet in the arrays of its group, without a shuffle as long as rows
+are clustered by device. Otherwise they meet by one aggregate over (device, repeat,
+feature, rank), which needs no sort per feature. With devices above ``Layout.hot_rows``
+ranks are counted in slices of the hash order, so no device is handled by one task.
+The bijection is plain arithmetic, the same in every engine.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.columns import q
 from driftline.functions.metrics import rmse
 from driftline.operators.celltable import CellTable
 from driftline.operators.estimators import Fitted, LinearFitted
 from driftline.operators.linear import contributions, wide_models
-from driftline.session import keep, keep_columnar
+from driftline.session import keep, keep_columnar, ship_package
 from driftline.spec import CalibrationSpec
 
 ROUNDS = 16
 PRIME = (1 << 31) - 1
+RANKS_AT_ONCE = 1 << 20  # ranks of shuffles that are held at a time
+PLAIN = -1  # the key of the error without a shuffle
 
 
 def row_hash(spec: CalibrationSpec, seed: int) -> Column:
@@ -54,6 +60,24 @@ def sent_to(seed: int) -> Column:
     return F.expr(f"aggregate(sequence(0L, {ROUNDS - 1}L), _rank, (x, i) -> {swapped('x', 'i', '_key', '_size', seed)})")
 
 
+def scrambled_array(number: np.ndarray, seed: int) -> np.ndarray:
+    """``scrambled`` of whole numbers from 0 on."""
+    a = (number % PRIME * 48271 + (seed * 16807 + 11) % PRIME) % PRIME
+    return (a * a + 69621 * a + 12345) % PRIME
+
+
+def places(rank: np.ndarray, size: np.ndarray | int, keys: np.ndarray, seed: int) -> np.ndarray:
+    """``sent_to`` of each rank (columns) under each key (rows)."""
+    x = np.repeat(rank[None].astype(np.int64), len(keys), axis=0)
+    for turn in range(ROUNDS):
+        number = (keys[:, None] * ROUNDS + turn) * 3
+        partner = scrambled_array(number, seed) % size - x
+        partner += np.where(partner < 0, size, 0)
+        z = (np.maximum(x, partner) % PRIME * scrambled_array(number + 1, seed) + scrambled_array(number + 2, seed)) % PRIME
+        x = np.where(z * z % PRIME % 2 == 1, partner, x)
+    return x
+
+
 def with_ranks(rows: DataFrame, table: CellTable, seed: int) -> DataFrame:
     """``_rank`` (from 0) and ``_size`` of each row in its device, in hash order."""
     spec = table.spec
@@ -64,9 +88,8 @@ def with_ranks(rows: DataFrame, table: CellTable, seed: int) -> DataFrame:
         return hashed.withColumns({
             "_rank": (F.row_number().over(whole.orderBy(*order)) - 1).cast("long"), "_size": F.count("*").over(whole)
         }).drop("_hash")
-    parts = max(2, math.ceil(table.cuts.rows / table.layout.hot_rows))
     sliced = keep_columnar(
-        hashed.repartitionByRange(parts, device, *order).withColumn("_slice", F.spark_partition_id())
+        hashed.repartitionByRange(max(2, table.slices()), device, *order).withColumn("_slice", F.spark_partition_id())
     )
     slices = Window.partitionBy(device)  # at most one row per slice and device
     before = slices.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,17 +108,63 @@ def exchanged(ranked: DataFrame, spec: CalibrationSpec, repeats: int, seed: int,
     ``_key`` is repeat * features + position; ``goes`` is an array with a value per feature.
     """
     width = len(spec.features)
-    keyed = ranked.withColumn("_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats * width - 1).cast("long"))))
-    given = F.col(goes)[(F.col("_key") % width).cast("int")]
-    none = [F.lit(None).cast(ranked.schema[c].dataType).alias(c) for c in stays]
+    return _met(ranked, spec, repeats, seed, {c: q(c) for c in stays}, F.col(goes)[(F.col("_key") % width).cast("int")])
+
+
+def _met(ranked: DataFrame, spec: CalibrationSpec, repeats: int, seed: int, stays: dict[str, Column], given: Column) -> DataFrame:
+    """The same for expressions that may depend on ``_key``."""
+    ship_package(ranked.sparkSession)
+    keys = np.arange(repeats * len(spec.features), dtype=np.int64)
+
+    @F.pandas_udf("array<long>")
+    def sent(rank: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series(list(np.ascontiguousarray(places(rank.to_numpy(), size.to_numpy(), keys, seed).T)))
+
+    keyed = ranked.withColumn("_sent", sent("_rank", "_size")).select("*", F.posexplode("_sent").alias("_key", "_to")).withColumn(
+        "_key", F.col("_key").cast("long")
+    )
+    none = [F.lit(None).cast(kind.dataType).alias(kind.name) for kind in keyed.select(*[c.alias(n) for n, c in stays.items()]).schema]
     both = F.array(
-        F.struct(F.col("_rank").alias("_place"), *stays, F.lit(None).cast("double").alias("given")),
-        F.struct(sent_to(seed).alias("_place"), *none, given.alias("given")),
+        F.struct(F.col("_rank").alias("_place"), *[c.alias(n) for n, c in stays.items()], F.lit(None).cast("double").alias("given")),
+        F.struct(F.col("_to").alias("_place"), *none, given.alias("given")),
     )
     records = keyed.select(spec.device, "_key", F.explode(both).alias("_r")).select(spec.device, "_key", "_r.*")
     return records.groupBy(spec.device, "_key", "_place").agg(*[F.max(c).alias(c) for c in stays], F.max("given").alias("given"))
 
 
+def errors_of_device(error: np.ndarray, shares: np.ndarray, repeats: int, seed: int) -> np.ndarray:
+    """RMSE under every key, and without a shuffle, of one device's rows in the order of their ranks."""
+    n, width = shares.shape
+    found, step = np.empty(repeats * width + 1), max(1, RANKS_AT_ONCE // n)
+    found[-1] = np.sqrt(np.mean(error * error))
+    for first in range(0, repeats * width, step):
+        keys = np.arange(first, min(repeats * width, first + step), dtype=np.int64)
+        own = np.ascontiguousarray(shares.T[keys % width])
+        given = np.empty_like(own)
+        np.put_along_axis(given, places(np.arange(n), n, keys, seed), own, axis=1)
+        found[keys] = np.sqrt(np.mean((error + own - given) ** 2, axis=1))
+    return found
+
+
+def _errors_in_groups(staged: DataFrame, spec: CalibrationSpec, repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Errors of devices that one task can hold, each in one group."""
+    ship_package(staged.sparkSession)
+    device, width = spec.device, len(spec.features)
+    keys = np.append(np.arange(repeats * width, dtype=np.int64), PLAIN)
+
+    def of_device(part: pa.Table) -> pa.Table:
+        order = np.argsort(part["_rank"].to_numpy())
+        shares = part["_shares"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        found = errors_of_device(part["_error"].to_numpy()[order], shares[order], repeats, seed)
+        names = pa.repeat(part[device][0], len(keys))
+        return pa.table({device: names, "_key": keys, "rmse": found})
+
+    kinds = T.StructType([staged.schema[device], T.StructField("_key", T.LongType()), T.StructField("rmse", T.DoubleType())])
+    found = keep_columnar(staged.drop("_size").groupBy(device).applyInArrow(of_device, kinds))
+    plain = found.filter(F.col("_key") == PLAIN).select(device, F.col("rmse").alias("plain"))
+    return found.filter(F.col("_key") != PLAIN), plain
+
+
 def _linear_errors(rows: DataFrame, table: CellTable, fitted: LinearFitted, cell: int, repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """``(device, _key, rmse)`` with one feature shuffled, and ``(device, plain)``.
 
@@ -112,9 +181,11 @@ def _linear_errors(rows: DataFrame, table: CellTable, fitted: LinearFitted, cell
     staged = joined.select(
         spec.device, "_rank", "_size", (q(spec.target) - predicted).alias("_error"), F.array(*shares).alias("_shares")
     )
-    met = exchanged(staged, spec, repeats, seed, ["_error", "_shares"], "_shares")
+    if not table.salted:
+        return _errors_in_groups(staged, spec, repeats, seed)
     own = F.col("_shares")[(F.col("_key") % len(spec.features)).cast("int")]
-    error = F.col("_error") + own - F.col("given")
+    met = _met(staged, spec, repeats, seed, {"_kept": F.col("_error") + own}, own)
+    error = F.col("_kept") - F.col("given")
     shuffled = met.groupBy(spec.device, "_key").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
     return shuffled, staged.groupBy(spec.device).agg(F.sqrt(F.avg(F.col("_error") * F.col("_error"))).alias("plain"))
 

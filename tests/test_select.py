@@ -1,12 +1,15 @@
+import numpy as np
 import pytest
 from fleet_tables import cell_table, fleet_frame
 from pyspark.sql import functions as F
 
+from driftline.operators import importance
 from driftline.operators.estimators import LinearFitted, mean_baseline, ridge
 from driftline.operators.importance import (
-    _general_errors, _linear_errors, exchanged, permutation_importance, ranked, sent_to, with_ranks,
+    _general_errors, _linear_errors, exchanged, permutation_importance, places, ranked, sent_to, with_ranks,
 )
 from driftline.operators.select import scores_wide, select_model
+from driftline.session import keep_columnar
 from driftline.spec import MODEL_ORDER, Layout
 
 TABLE = [("mean_baseline", 1.5, 1.3), ("single_sensor_linear", .85, .73), ("ridge", .6, .5), ("random_forest", .7, .48),
@@ -139,3 +142,30 @@ def test_importance_finds_the_driver_and_repeats(spark):
     assert {r[1] for r in first[::5]} <= {"a", "b"} and all(r[4] >= 0 for r in first)
     flat = permutation_importance(table, mean_baseline().fit_cells(table, "final", [4]), repeats=2).collect()
     assert max(abs(r["rmse_increase_mean"]) for r in flat) < 1e-12
+
+
+def test_ranks_in_arrays_go_where_the_expression_sends_them(spark):
+    for n, seed in ((1, 3), (2, 42), (97, 42), (1000, 7)):
+        rows = spark.range(n).select(F.col("id").alias("_rank"), F.lit(n).cast("long").alias("_size"))
+        keyed = rows.withColumn("_key", F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 1, 29, 299)])))
+        want = keyed.select("_key", "_rank", sent_to(seed).alias("to")).orderBy("_key", "_rank").toPandas()["to"].to_numpy().reshape(4, n)
+        got = places(np.arange(n), n, np.array([0, 1, 29, 299]), seed)
+        assert (got == want).all() and (places(np.arange(n), np.full(n, n), np.array([0, 1, 29, 299]), seed) == want).all()
+
+
+def test_linear_importance_moves_no_rows_and_no_arrays(spark, monkeypatch):
+    """Devices that one task holds are shuffled in arrays; for others a row of a shuffle carries two numbers."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep_columnar(df)
+
+    monkeypatch.setattr(importance, "keep_columnar", kept)
+    table = cell_table(spark, fleet_frame())
+    permutation_importance(table, ridge(1.0).fit_cells(table, "final", [4]), repeats=2)
+    assert "FlatMapGroupsInArrow" in plans[-1] and plans[-1].count("Exchange hashpartitioning") == 1  # of the models
+    table = cell_table(spark, fleet_frame(), layout=Layout(hot_rows=20))
+    shuffled, _ = _linear_errors(table.cells("final", 4, 4), table, ridge(1.0).fit_cells(table, "final", [4]), 4, 2, 1)
+    text = shuffled._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
