@@ -2,9 +2,10 @@
 
 Every text gets rule statistics: counts the usual filters look at, as rates.
 Random trees split them at random places; the shorter the mean path of a row,
-the more anomalous it is. The forest is grown on labelled good rows, so what
-no good row looks like is isolated early, and the threshold on the anomaly
-score is calibrated on labelled rows of both kinds: the one that separates
+the more anomalous it is. Splits are drawn before any row is seen, so every
+tree counts all labelled good rows and is cut off where at most one is left:
+what no good row looks like is isolated early. The threshold on the anomaly
+score is calibrated on all labelled rows of both kinds: the one that separates
 them best among those that keep nearly all good rows.
 """
 
@@ -19,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import ready, text_bytes
+from driftline.llm.shared import ready, stored, text_bytes
+from driftline.operators.running import split_running_totals
+from driftline.session import shuffle_partitions
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_letters", "n_marks", "n_bare", "n_distinct", "n_long_words")
 SYMBOLS, MARKS = b"#*$%&|<>", b".,!?;:"
+RATES = 11  # statistics of a row, see ``rates``
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SHORT_WORDS = 50_000  # longer texts are counted in arrays, which need less memory
 _LETTERS = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalpha())
@@ -37,9 +41,7 @@ _CONTINUES = bytes(range(0x80, 0xC0))
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 20_000  # labelled rows, by a hash of doc_id
     trees: int = 200
-    tree_rows: int = 512
     depth: int = 12
     good_kept: float = 0.99  # least share of good labelled rows that the threshold keeps
     seed: int = 7
@@ -138,72 +140,166 @@ def mean_path(n: int) -> float:
     return 0.0 if n <= 1 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, settings: Settings) -> Forest:
-    """Trees over random rows of x. Splits are drawn over a node's part of the box from ``low`` to ``high``,
+def calibrated(score: np.ndarray, good: np.ndarray, least_kept: float) -> float:
+    """The same as ``threshold_of`` for scores that fit in an array."""
+    order = np.argsort(-score, kind="stable")
+    bad_out, good_out = np.cumsum(~good[order]), np.cumsum(good[order])
+    last = np.append(score[order][1:] < score[order][:-1], True)
+    fair = last & (good_out <= (1 - least_kept) * good.sum())
+    gain = np.where(fair, bad_out / max(1, (~good).sum()) - good_out / max(1, good.sum()), -1.0)
+    best = int(np.argmax(gain))
+    if gain[best] <= 0:
+        return np.inf
+    below = score[order][best + 1] if best + 1 < len(score) else score[order][best]
+    return float((score[order][best] + below) / 2) if below < score[order][best] else float(score[order][best])
+
+
+@dataclass
+class Cuts:
+    """Random trees of full depth before any row was seen: node i has the children 2 i + 1 and 2 i + 2."""
+
+    feature: np.ndarray  # (trees, inner nodes), -1 where the box has no width
+    split: np.ndarray
+    depth: int
+
+    def leaves(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """Number among the leaves of full depth of each row."""
+        node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[rows, self.feature[tree, node]] >= self.split[tree, node])
+        return node - ((1 << self.depth) - 1)
+
+
+def drawn_cuts(low: np.ndarray, high: np.ndarray, settings: Settings) -> Cuts:
+    """Splits are drawn over a node's part of the box from ``low`` to ``high``,
 
     so a place beyond all rows can be cut off as early as one among them.
     """
     rng = np.random.default_rng(settings.seed)
+    inner = (1 << settings.depth) - 1
+    feature, split = np.full((settings.trees, inner), -1, dtype=np.int16), np.zeros((settings.trees, inner))
+    for tree in range(settings.trees):
+        lo, hi, first = low[None], high[None], 0
+        for _ in range(settings.depth):
+            nodes = np.arange(len(lo))
+            draw = np.where(hi > lo, rng.random(lo.shape), -1.0)
+            f = draw.argmax(axis=1)
+            wide = draw[nodes, f] >= 0
+            at = lo[nodes, f] + rng.random(len(lo)) * (hi[nodes, f] - lo[nodes, f])
+            feature[tree, first:first + len(lo)] = np.where(wide, f, -1)
+            split[tree, first:first + len(lo)] = np.where(wide, at, np.inf)
+            first += len(lo)
+            lo, hi = np.repeat(lo, 2, axis=0), np.repeat(hi, 2, axis=0)
+            hi[2 * nodes, f], lo[2 * nodes + 1, f] = at, at
+    return Cuts(feature, split, settings.depth)
+
+
+def forest_of(cuts: Cuts, counts: np.ndarray, settings: Settings) -> Forest:
+    """Trees cut off where at most one good row is left; ``counts``: good rows by (tree, leaf of full depth)."""
     grown = []
-    for _ in range(settings.trees):
-        rows = rng.choice(len(x), size=min(settings.tree_rows, len(x)), replace=False)
+    for tree in range(settings.trees):
+        levels = [counts[tree]]
+        while len(levels[0]) > 1:
+            levels.insert(0, levels[0].reshape(-1, 2).sum(axis=1))
+        rows = np.concatenate(levels)
         feature, split, left, path = [-1], [0.0], [0], [0.0]
-        open_ = [(0, rows, 0, low.copy(), high.copy())]
+        open_ = [(0, 0, 0)]  # place here, node of the full tree, depth
         while open_:
-            node, own, depth, lo, hi = open_.pop()
-            wide = np.flatnonzero(hi > lo)
-            if depth >= settings.depth or len(own) <= 1 or not len(wide):
-                path[node] = depth + mean_path(len(own))
+            here, node, depth = open_.pop()
+            if depth >= settings.depth or rows[node] <= 1 or cuts.feature[tree, node] < 0:
+                path[here] = depth + mean_path(int(rows[node]))
                 continue
-            f = int(rng.choice(wide))
-            at = rng.uniform(lo[f], hi[f])
-            over = x[own, f] >= at
-            feature[node], split[node], left[node] = f, at, len(feature)
-            for side in (False, True):
-                feature.append(-1)
-                split.append(0.0)
-                left.append(0)
-                path.append(0.0)
-                lo2, hi2 = lo.copy(), hi.copy()
-                (lo2 if side else hi2)[f] = at
-                open_.append((len(feature) - 1, own[over == side], depth + 1, lo2, hi2))
+            feature[here], split[here], left[here] = int(cuts.feature[tree, node]), float(cuts.split[tree, node]), len(feature)
+            for side in (1, 2):
+                open_.append((len(feature), 2 * node + side, depth + 1))
+                for name, value in ((feature, -1), (split, 0.0), (left, 0), (path, 0.0)):
+                    name.append(value)
         grown.append((feature, split, left, path))
     size = max(len(t[0]) for t in grown)
     pad = lambda k, kind: np.array([t[k] + [0] * (size - len(t[k])) for t in grown], dtype=kind)
-    return Forest(pad(0, np.int64), pad(1, float), pad(2, np.int64), pad(3, float), max(mean_path(min(settings.tree_rows, len(x))), 1e-9))
+    return Forest(pad(0, np.int64), pad(1, float), pad(2, np.int64), pad(3, float), max(mean_path(int(counts[0].sum())), 1e-9))
 
 
-def calibrated(score: np.ndarray, good: np.ndarray, least_kept: float) -> float:
-    """The threshold that rejects most bad rows, less good rows, among those that keep ``least_kept`` of the good."""
-    order = np.argsort(-score, kind="stable")
-    bad_out, good_out = np.cumsum(~good[order]), np.cumsum(good[order])
-    last = np.append(score[order][1:] < score[order][:-1], True)
-    fair = last & (good_out <= (1 - least_kept) * good.sum())
-    gain = np.where(fair, bad_out / max(1, (~good).sum()) - good_out / max(1, good.sum()), -1.0)
-    best = int(np.argmax(gain))
-    if gain[best] <= 0:
-        return np.inf
-    below = score[order][best + 1] if best + 1 < len(score) else score[order][best]
-    return float((score[order][best] + below) / 2) if below < score[order][best] else float(score[order][best])
+def counted_leaves(labelled: DataFrame, cuts: Cuts) -> np.ndarray:
+    """Good rows by (tree, leaf); a task adds up its rows, and the driver gets at most a number per leaf."""
+    shared, trees, leaves = labelled.sparkSession.sparkContext.broadcast(cuts), len(cuts.feature), 1 << cuts.depth
 
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((trees, leaves), dtype=np.int64)
+        for batch in batches:
+            x = matrix(batch)
+            for tree in range(trees):
+                found[tree] += np.bincount(shared.value.leaves(x, tree), minlength=leaves)
+        tree, leaf = np.nonzero(found)
+        yield pa.RecordBatch.from_pydict({"tree": tree.astype(np.int32), "leaf": leaf.astype(np.int32), "n": found[tree, leaf]})
 
-def train(counts: np.ndarray, good: np.ndarray, settings: Settings) -> Forest | None:
-    x = rates(counts)
-    if good.sum() < 2 or good.all():
-        return None
-    forest = grow(x[good], x.min(axis=0), x.max(axis=0), settings)
-    forest.threshold = calibrated(forest.anomaly(x), good, settings.good_kept)
-    return forest
+    parts = labelled.filter("good").select("x").mapInArrow(of_batches, "tree int, leaf int, n long")
+    rows = parts.groupBy("tree", "leaf").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((trees, leaves), dtype=np.int64)
+    out[rows["tree"].to_numpy(), rows["leaf"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def threshold_of(scores: DataFrame, n_good: int, n_bad: int, least_kept: float) -> float:
+    """The threshold that rejects most bad rows, less good rows, among those that keep ``least_kept`` of the good.
+
+    ``scores``: ``(anomaly, good)`` of all labelled rows. Rows are counted per
+    score and added up in slices of the order, so any number of them will do.
+    """
+    counted = scores.groupBy(F.lit(0).alias("all"), (-F.col("anomaly")).alias("order")).agg(
+        F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")
+    )
+    parts = shuffle_partitions(scores.sparkSession)
+    ranked = split_running_totals(counted, ["all"], "order", ["g", "b"], parts).select("order", "g_upto", "b_upto")
+    gain = F.col("b_upto") / F.lit(float(max(1, n_bad))) - F.col("g_upto") / F.lit(float(max(1, n_good)))
+    fair = ranked.filter(F.col("g_upto") <= F.lit((1 - least_kept) * n_good)).withColumn("gain", gain)
+    best = fair.agg(F.max(F.struct("gain", -F.col("order")))).first()[0]
+    if best is None or best[0] <= 0:
+        return np.inf
+    score = best[1]
+    below = ranked.filter(F.col("order") > F.lit(-score)).agg(F.min("order")).first()[0]
+    return score if below is None else (score - below) / 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Forest | None:
-    """A forest from at most ``train_rows`` labelled rows; None without both kinds of label."""
+    """A forest from all labelled rows; None without both kinds of label.
+
+    Every tree counts all good rows, its box spans all labelled ones, and the threshold is judged on all of them.
+    """
+    spark = ready(docs)
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    chosen = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.train_rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = measured(picked).join(F.broadcast(chosen), "doc_id").toArrow().sort_by([(c, "ascending") for c in ("doc_id", *COUNTS)])
-    counts = np.stack([rows[name].to_numpy() for name in COUNTS + MORE], axis=1) if rows.num_rows else np.zeros((0, 12))
-    return train(counts, rows["quality"].to_numpy() == 1, settings)
+    chosen = marked.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    names = COUNTS + MORE
+
+    def with_rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = rates(np.stack([batch.column(name).to_numpy() for name in names], axis=1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("good"), lists], ["good", "x"])
+
+    # All texts are measured where they lie: counts are moved to the labels, not texts.
+    picked = measured(docs.filter(F.col("doc_id").isNotNull())).join(chosen.hint("merge"), "doc_id")
+    labelled = stored(picked.select("good", *names).mapInArrow(with_rates, "good boolean, x array<double>"))
+    ends = [f(F.col("x")[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(RATES)]
+    seen = labelled.agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"), *ends).first()
+    n_good, n_bad = seen["n_good"], seen["n_bad"]
+    if n_good < 2 or not n_bad:
+        return None
+    cuts = drawn_cuts(np.array(seen[2:2 + RATES], dtype=float), np.array(seen[2 + RATES:], dtype=float), settings)
+    forest = forest_of(cuts, counted_leaves(labelled, cuts), settings)
+    shared = spark.sparkContext.broadcast(forest)
+
+    def anomalies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(shared.value.anomaly(matrix(batch)))], ["good", "anomaly"])
+
+    scores = labelled.mapInArrow(anomalies, "good boolean, anomaly double")
+    forest.threshold = threshold_of(scores, n_good, n_bad, settings.good_kept)
+    return forest
 
 
 def judge(docs: DataFrame, forest: Forest | None) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from llm_tables import frame, prose
 
 from driftline.llm import quality
@@ -67,3 +68,19 @@ def test_no_labels_and_empty_table(spark, awkward):
     docs = frame(spark, awkward)
     assert quality.fit(docs, none) is None
     assert quality.judge(frame(spark, []), None).count() == 0
+
+
+def test_every_labelled_row_counts(spark):
+    """Each tree counts all good rows, and the threshold is the one that all labelled rows ask for."""
+    rows = [(i, junk(i) if i % 5 == 0 else prose(i, 60 + 7 * i)) for i in range(150)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    settings = quality.Settings(trees=5)
+    forest = quality.fit(docs, labels, settings)
+    x = quality.rates(np.array([quality.statistics(text.encode()) for _, text in rows]))
+    good = np.array([i % 5 != 0 for i in range(150)])
+    cuts = quality.drawn_cuts(x.min(axis=0), x.max(axis=0), settings)
+    counts = np.array([np.bincount(cuts.leaves(x[good], t), minlength=1 << cuts.depth) for t in range(5)])
+    assert (counts.sum(axis=1) == good.sum()).all()
+    want = quality.forest_of(cuts, counts, settings)
+    assert all((getattr(forest, a) == getattr(want, a)).all() for a in ("feature", "split", "left", "path")) and forest.usual == want.usual
+    assert forest.threshold == pytest.approx(quality.calibrated(want.anomaly(x), good, settings.good_kept), abs=1e-12)
