@@ -129,7 +129,7 @@ def _met(ranked: DataFrame, spec: CalibrationSpec, repeats: int, seed: int, stay
         F.struct(F.col("_to").alias("_place"), *none, given.alias("given")),
     )
     records = keyed.select(spec.device, "_key", F.explode(both).alias("_r")).select(spec.device, "_key", "_r.*")
-    return records.groupBy(spec.device, "_key", "_place").agg(*[F.max(c).alias(c) for c in stays], F.max("given").alias("given"))
+    return records.groupBy(spec.device, "_key", "_place").agg(*[F.max(q(c)).alias(c) for c in stays], F.max("given").alias("given"))
 
 
 def errors_of_device(error: np.ndarray, shares: np.ndarray, repeats: int, seed: int) -> np.ndarray:
