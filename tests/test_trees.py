@@ -217,3 +217,17 @@ def test_forest_by_level_and_by_shuffle(spark, frame, table, monkeypatch):
 def test_forest_trees_do_not_depend_on_their_company(spark, table):
     few, many = (random_forest(trees=n, seed=9).fit_cells(table, "train", [4]).trees for n in (3, 11))
     assert same_trees(few.collect(), many.filter("number < 3").collect())
+
+
+def test_a_level_of_a_large_boosted_model_is_one_job(spark, frame):
+    """Three leaves are two levels; besides them a tree may need its unit again, and some trees a write."""
+    table = cell_table(spark, frame, layout=BY_LEVEL)
+    bin_edges(table), prefix_rows(table)  # made once, for both
+    jobs = {}
+    for turns in (1, 5):
+        member = trees.Member("boosting", "train", 4, 1, boosting(max_iter=turns, max_leaf_nodes=3, min_samples_leaf=4).settings)
+        spark.sparkContext.setJobGroup(f"boosting {turns}", "trees")
+        trees.boost_by_level(table, [member], [0])
+        jobs[turns] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting {turns}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[5] - jobs[1] <= 4 * 3 + 2
