@@ -57,3 +57,16 @@ def test_tokenizers_that_keep_blanks_encode_whole_texts(spark, awkward):
     want = sorted(zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for _, t in rows)
     got = sorted(r.ids_crc32 for r in tokenfiles.token_records(frame(spark, rows), path).collect())
     assert got == want
+
+
+def test_cache_of_an_encoder_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "CACHED_ENTRIES", 1_000, raising=False)
+    with open(tokenfiles.default_tokenizer(), encoding="utf-8") as file:
+        encoder = tokenfiles.WordEncoder(file.read())
+    letters = "abcdefghij"
+    for nth in range(40):
+        words = ["".join(letters[int(c)] for c in str(nth * 100 + i)) for i in range(100)]
+        text = [f"{word},{word}k;{word}l".encode() for word in words]
+        got, lengths = encoder.of_words(text)
+        assert got.tolist() == encoder.tokenizer.encode(b" ".join(text).decode(), add_special_tokens=False).ids and len(lengths) == 100
+        assert len(encoder.place) + len(encoder.runs) <= 1_000 + 5 * 100
