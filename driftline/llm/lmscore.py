@@ -39,6 +39,8 @@ from driftline.llm.shared import drop_unused_shuffles, ready, stored, text_bytes
 END = b"\n"  # no word has it
 HELD_OUT_DIVISOR = 5
 CACHED_WORDS = 200_000
+WORDS_HELD = 50_000  # as Python objects, before they are hashed
+KEYS_AT_ONCE = 1 << 17  # of a bucket, while its block is filled
 PROBES_IN_A_ROW = 1024  # so that a batch of rows stays small
 ARROW_BITS = 8 * ((1 << 31) - 64)  # of one value; the text of a bucket needs far fewer
 
@@ -83,34 +85,38 @@ def inner(keys: np.ndarray) -> np.ndarray:
     return keys & np.uint64(0xFFFFFFFF)
 
 
+class HashedWords(dict):
+    """Hashes of the words asked for so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = word_hash(word)
+        return found
+
+
 class Slices:
     """Word hashes of texts, in slices of bounded length that may cut a text."""
 
     def __init__(self, words_at_once: int) -> None:
-        self.words_at_once, self.cache = words_at_once, {END: word_hash(END)}
+        self.words_at_once, self.cache = words_at_once, HashedWords()
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         if len(self.cache) > CACHED_WORDS:
-            self.cache = {END: word_hash(END)}
-        cache = self.cache
-        for word in set(words).difference(cache):
-            cache[word] = word_hash(word)
-        return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+            self.cache.clear()
+        return np.fromiter(map(self.cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def of(self, texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(hashes, hashes of the words before, number of the text); before a text stands an end."""
-        waiting, owners, held, last = [], [], 0, END
-        starts: list[bytes] = []
+        waiting: list[bytes] = []
+        hashed, owners, sizes, starts, held, last = [], [], [], [], 0, END
 
         def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             nonlocal held
-            flat = [w for part in waiting for w in part]
-            own = self.hashes(flat)
-            sizes = np.array([len(part) for part in waiting])
+            own = np.concatenate([*hashed, self.hashes(waiting)])
+            lengths = np.array(sizes)
             before = np.roll(own, 1)
-            before[np.cumsum(sizes) - sizes] = self.hashes(starts)
-            out = own, before, np.repeat(np.array(owners), sizes)
-            waiting.clear(), owners.clear(), starts.clear()
+            before[np.cumsum(lengths) - lengths] = self.hashes(starts)
+            out = own, before, np.repeat(np.array(owners), lengths)
+            waiting.clear(), hashed.clear(), owners.clear(), sizes.clear(), starts.clear()
             held = 0
             return out
 
@@ -120,14 +126,18 @@ class Slices:
             last = END
             for at in range(0, len(words), self.words_at_once):
                 part = words[at:at + self.words_at_once]
-                waiting.append(part)
+                waiting += part
                 owners.append(nth)
+                sizes.append(len(part))
                 starts.append(last)
                 last = part[-1]
                 held += len(part)
                 if held >= self.words_at_once:
                     yield flush()
-        if waiting:
+                elif len(waiting) >= WORDS_HELD:
+                    hashed.append(self.hashes(waiting))
+                    waiting.clear()
+        if sizes:
             yield flush()
 
 
@@ -154,11 +164,12 @@ def filter_block(keys: np.ndarray, counts: np.ndarray, most_bits: int, settings:
     """Bytes of a bucket's block."""
     level = levels(counts, settings.base)
     size = max(64, min(most_bits, int(level.sum()) * settings.bits_per_entry)) // 8 * 8
-    bits, keys = np.zeros(size, dtype=bool), inner(keys)
-    sizes = np.uint64(size)
-    for nth in range(1, int(level.max(initial=0)) + 1):
-        for place in bit_places(keys[level >= nth], nth, sizes, settings.hashes):
-            bits[place] = True
+    bits, sizes = np.zeros(size, dtype=bool), np.uint64(size)
+    for first in range(0, len(keys), KEYS_AT_ONCE):
+        some, own = inner(keys[first:first + KEYS_AT_ONCE]), level[first:first + KEYS_AT_ONCE]
+        for nth in range(1, int(own.max(initial=0)) + 1):
+            for place in bit_places(some[own >= nth], nth, sizes, settings.hashes):
+                bits[place] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -230,8 +241,13 @@ class Model:
     def base_parts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every word: whether its exact count is at hand, whether it is known, and its part of the base score."""
         kinds, place = np.unique(words, return_inverse=True)
-        exact = self.exact_counts(kinds)[place]
-        resolved = exact >= 0 if not self.all_words else np.ones(len(words), dtype=bool)
+        resolved, known, part = self.base_parts_of_kinds(kinds)
+        return resolved[place], known[place], part[place]
+
+    def base_parts_of_kinds(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for different words in the order of their hashes."""
+        exact = self.exact_counts(kinds)
+        resolved = exact >= 0 if not self.all_words else np.ones(len(kinds), dtype=bool)
         count = np.maximum(exact, 0)
         return resolved, count > 0, np.where(resolved, np.log10((count + 0.5) / self.unit), 0.0)
 
@@ -247,9 +263,12 @@ def count_ngrams(texts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
         for own, before, _ in slices.of(texts):
             for kind, keys in ((1, own), (2, bigram_keys(before, own))):
                 keys, n = np.unique(keys, return_counts=True)
-                order_key = buckets_of(unigram_keys(keys), n_buckets) if kind == 1 else buckets_of(keys, n_buckets)
-                order = np.argsort(order_key, kind="stable")
-                keys, n, order_key = keys[order], n[order], order_key[order]
+                if kind == 1:
+                    order_key = buckets_of(unigram_keys(keys), n_buckets)
+                    order = np.argsort(order_key, kind="stable")
+                    keys, n, order_key = keys[order], n[order], order_key[order]
+                else:
+                    order_key = buckets_of(keys, n_buckets)  # sorted, as the keys are
                 cuts = np.flatnonzero(np.concatenate(([True], order_key[1:] != order_key[:-1], [True]))) if len(keys) else np.zeros(1, int)
                 pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_pydict({
@@ -277,9 +296,9 @@ def count_ngrams(texts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
         block = filter_block(keys, counts, ARROW_BITS, settings)
         rows = len(words) + 1
         return pa.table({
-            "bucket": pa.array([bucket] * rows, pa.int32()),
-            "word": pa.array([*words.view(np.int64).tolist(), None], pa.int64()),
-            "n": pa.array([*n_words.tolist(), None], pa.int64()),
+            "bucket": pa.array(np.full(rows, bucket, dtype=np.int32)),
+            "word": pa.concat_arrays([pa.array(words.view(np.int64)), pa.nulls(1, pa.int64())]),
+            "n": pa.concat_arrays([pa.array(n_words.astype(np.int64)), pa.nulls(1, pa.int64())]),
             "block": pa.array([None] * len(words) + [block.tobytes()], pa.binary()),
             "entries": pa.array([None] * len(words) + [int(levels(counts, settings.base).sum())], pa.int64()),
         })
@@ -378,13 +397,13 @@ def _bucket_runs(keys: np.ndarray, n_buckets: int) -> list[tuple[int, bytes]]:
     ]
 
 
-def _slice_words(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a kept slice's words and of the words before."""
+def _slice_words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a kept slice's different words, and the numbers among them of its words and of the words before."""
     kinds, sizes = np.frombuffer(row["kinds"], dtype=np.uint64), np.frombuffer(row["sizes"], dtype=np.int32)
-    own = kinds[np.frombuffer(row["own"], dtype=np.int32)]
+    own = np.frombuffer(row["own"], dtype=np.int32)
     before = np.roll(own, 1)
-    before[np.cumsum(sizes) - sizes] = kinds[np.frombuffer(row["starts"], dtype=np.int32)]
-    return own, before
+    before[np.cumsum(sizes) - sizes] = np.frombuffer(row["starts"], dtype=np.int32)
+    return kinds, own, before
 
 
 def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
@@ -412,11 +431,11 @@ def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
             sizes = np.diff(np.append(first, len(own)))
             kinds, place = np.unique(np.concatenate((own, before[first])), return_inverse=True)
             place = place.astype(np.int32)
-            resolved, there, add = model.base_parts(own)
-            rare: list[list[int]] = [[] for _ in first]
-            part = np.repeat(np.arange(len(first)), sizes)
-            for i in np.flatnonzero(~resolved).tolist():
-                rare[part[i]].append(int(own[i]) - (1 << 64) * (int(own[i]) >> 63))
+            resolved, there, add = (values[place[:len(own)]] for values in model.base_parts_of_kinds(kinds))
+            open_at = np.flatnonzero(~resolved)
+            rare = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(open_at, np.append(first, len(own))).astype(np.int32)), pa.array(own[open_at].view(np.int64))
+            )
             rows, n = owner[first].tolist(), len(first)
             yield pa.RecordBatch.from_pydict({
                 "slice": pa.array([None] * n + [first_id + nth], pa.int64()),
@@ -425,7 +444,7 @@ def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
                 "n_tokens": pa.array([*sizes.tolist(), None], pa.int64()),
                 "n_known": pa.array([*np.add.reduceat(there.astype(np.int64), first).tolist(), None], pa.int64()),
                 "base_score": pa.array([*np.add.reduceat(add, first).tolist(), None], pa.float64()),
-                "open_words": pa.array([*rare, None], pa.list_(pa.int64())),
+                "open_words": pa.concat_arrays([rare, pa.nulls(1, rare.type)]),
                 **{
                     name: pa.array([None] * n + [values.tobytes()], pa.binary()) for name, values in (
                         ("kinds", kinds), ("own", place[:len(own)]), ("starts", place[len(own):]),
@@ -439,9 +458,9 @@ def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own, before = _slice_words(row)
-                for kind, keys in ((1, unigram_keys(np.concatenate((own, before)))), (2, bigram_keys(before, own))):
-                    runs = _bucket_runs(np.unique(keys), n_buckets)
+                kinds, own, before = _slice_words(row)
+                for kind, keys in ((1, np.sort(unigram_keys(kinds))), (2, np.unique(bigram_keys(kinds[before], kinds[own])))):
+                    runs = _bucket_runs(keys, n_buckets)
                     yield pa.RecordBatch.from_pydict({
                         "slice": pa.array([row["slice"]] * len(runs), pa.int64()), "kind": pa.array([kind] * len(runs), pa.int32()),
                         "part": pa.array(range(len(runs)), pa.int32()),
@@ -488,11 +507,11 @@ def _scored_in_blocks(docs: DataFrame, model: Model) -> DataFrame:
                 r["levels"] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
             ), dtype=np.uint8)] for kind in (1, 2)
         )
-        own, before = _slice_words(row)
-        place = np.unique(unigram_keys(np.concatenate((own, before))), return_inverse=True)[1]
-        pair = np.unique(bigram_keys(before, own), return_inverse=True)[1]
-        one = single[place]
-        logs = smoothed(one[:len(own)], one[len(own):], double[pair], unit, settings.strength)
+        kinds, own, before = _slice_words(row)
+        one = np.empty(len(kinds))
+        one[np.argsort(unigram_keys(kinds))] = single
+        pair = np.unique(bigram_keys(kinds[before], kinds[own]), return_inverse=True)[1]
+        logs = smoothed(one[own], one[before], double[pair], unit, settings.strength)
         sizes = np.frombuffer(row["sizes"], dtype=np.int32)
         return pa.table({
             "_row": np.frombuffer(row["rows"], dtype=np.int64), "score": np.add.reduceat(logs, np.cumsum(sizes) - sizes),

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -115,3 +116,28 @@ def test_training_texts_that_are_all_null(spark):
     model, words = lmscore.fit(docs, F.col("doc_id") < 3)
     got = {r.doc_id: r for r in lmscore.score(docs, model, words).collect()}
     assert got[1].train_tokens == 2 and got[1].n_known == 1 and got[3].n_known == 1
+
+
+def test_a_slice_holds_few_words_as_objects():
+    texts = [" ".join(f"word{(i * 2_000 + j) % 5_000}" for j in range(2_000)).encode() for i in range(200)]
+    tracemalloc.start()
+    slices = lmscore.Slices(1_000_000)
+    own, before, owner = next(slices.of(iter(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [lmscore.word_hash(t) for text in texts for t in tokens(text.decode())]
+    assert own.tolist() == want and before[0] == lmscore.word_hash(END) and before[1:].tolist() == [
+        a if same else lmscore.word_hash(END) for a, same in zip(want[:-1], owner[1:] == owner[:-1], strict=True)
+    ]
+    assert peak < 60 * len(own)  # 8 bytes a word in each of a few arrays
+
+
+def test_a_block_is_filled_a_part_at_a_time():
+    keys = lmscore.mixed(np.arange(1, 1_000_001, dtype=np.uint64))
+    tracemalloc.start()
+    block = lmscore.filter_block(keys, 1 + np.arange(len(keys)) % 3, 1 << 30, Settings())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    model = lmscore.Model(block, np.array([0, 8 * len(block)]), np.zeros(0, np.uint64), np.zeros(0, np.int64), True, 1, 1, 1, Settings())
+    assert (model.filter_levels(keys) >= lmscore.levels(1 + np.arange(len(keys)) % 3, 1.5)).all()
+    assert peak < 66 * len(keys)
