@@ -43,7 +43,7 @@ HEAD, CHECK, ENTRY = "<QI", "<I", "<QqQII"
 HEAD_BYTES, CHECK_BYTES, ENTRY_BYTES = 12, 4, 32
 MASK = 0xA282EAD8
 WORDS_AT_ONCE = 200_000
-CACHED_ENTRIES = 400_000  # words and runs of a worker's cache, which stays between tasks
+CACHED_WORDS, CACHED_RUNS = 800_000, 100_000  # of a worker, which keeps them between tasks
 RECORDS_PER_READ = 2_000
 INDEX_TYPE = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("before", "<u8"), ("n", "<u4"), ("flags", "<u4")])
 
@@ -161,8 +161,10 @@ class WordEncoder:
 
     def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each word."""
-        if len(self.place) + len(self.runs) > CACHED_ENTRIES:
+        if len(self.place) > CACHED_WORDS:
             self.forget()
+        if len(self.runs) > CACHED_RUNS:
+            self.runs.clear()
         at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
