@@ -5,10 +5,12 @@ A model is a row of a coefficient table; predicting is one join and one expressi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +19,16 @@ from driftline.functions.columns import q, total
 from driftline.operators.celltable import CellTable
 from driftline.operators.gram import GramTable
 from driftline.operators.preprocess import HOURS, WEEKDAYS
-from driftline.operators.solve import FLAT, DeviceSums, RidgePath, single_line, squared_error
+from driftline.operators.solve import FLAT, DeviceSums, RidgePath, single_lines, squared_errors
 from driftline.operators.timesplit import CELL
-from driftline.session import ship_package
+from driftline.session import shuffle_partitions, ship_package
 from driftline.spec import HOUR, WEEKDAY, CalibrationSpec
 
 # The ridge penalties searched, 10^-3 to 10^3 in 13 equal log steps.
 RIDGE_ALPHAS = tuple(10.0 ** (-3 + i / 2) for i in range(13))
 
+CELLS_AT_ONCE, GROUPS_OF_TASK = 1_000, 20
+
 LINEAR_MODELS = ("mean_baseline", "single_sensor_linear", "ridge")
 
 
@@ -47,25 +51,38 @@ def model_schema(spec: CalibrationSpec, device_type: T.DataType) -> T.StructType
 
 
 def _per_device(gram: GramTable, extra: DataFrame | None, solve, schema: T.StructType) -> DataFrame:
-    """Run ``solve(key, sums, extra row)`` on the sums of one device at a time.
+    """Run ``solve(devices, sums)`` on the sums of some devices at a time, dealt into groups of about ``CELLS_AT_ONCE`` cell pairs.
 
-    A group holds at most one row per cell pair, and per cell pair, hour and weekday.
+    A device has at most one row per cell pair, and per cell pair, hour and weekday. ``sums.heads`` has its extra columns.
     """
     table = gram.table
-    ship_package(table.rows.sparkSession)
+    spark = table.rows.sparkSession
+    ship_package(spark)
     device, width = table.spec.device, gram.width
     heads = gram.fills if extra is None else gram.fills.join(extra, device)
-    products = gram.products.join(heads, device)
+    groups = max(1, math.ceil(table.cuts.devices * 2 * (table.folds + 2) / CELLS_AT_ONCE))
+    parts = max(2, min(groups, max(shuffle_partitions(spark), math.ceil(groups / GROUPS_OF_TASK))))
+
+    def dealt(sums: DataFrame) -> DataFrame:
+        return sums.withColumn("_group", F.pmod(F.xxhash64(device), F.lit(groups))).repartition(parts, "_group")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        devices = pc.unique(left[device])
+        left, right = (x.append_column("_nth", pc.index_in(x[device], devices)) for x in (left, right))
+        left = left.sort_by([(c, "ascending") for c in ("_nth", "cell_train", "cell_final")])
+        return solve(devices, DeviceSums(left, right.filter(pc.is_valid(right["_nth"])), width))
+
+    products = dealt(gram.products.join(heads, device)).groupBy("_group")
+    return products.cogroup(dealt(gram.levels).groupBy("_group")).applyInArrow(run, schema)
+
+
+def _stacked(parts: list[tuple], schema: T.StructType) -> pa.Table:
+    return pa.concat_tables([pa.table(dict(zip(schema.names, columns, strict=True))) for columns in parts])
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=schema.names)
-        head = left.iloc[0]
-        fills = np.stack([np.asarray(m, dtype=float) for m in head["fills"]])
-        sums = DeviceSums(left, right, fills, np.asarray(head["centres"], dtype=float), head["centre_y"], width)
-        return pd.DataFrame(solve(key[0], sums, head), columns=schema.names)
 
-    return products.groupBy(device).cogroup(gram.levels.groupBy(device)).applyInPandas(run, schema)
+def _lists(numbers: np.ndarray) -> pa.Array:
+    """A row of numbers for each device as an array column."""
+    return pa.ListArray.from_arrays(np.arange(len(numbers) + 1, dtype=np.int32) * numbers.shape[1], np.ascontiguousarray(numbers).ravel())
 
 
 def design_columns(spec: CalibrationSpec, features: Sequence[str] | None) -> list[int] | None:
@@ -95,14 +112,15 @@ def ridge_cv(
         ("candidate", T.IntegerType()), ("alpha", T.DoubleType()), ("fold", T.IntegerType()), ("rmse", T.DoubleType()),
     )
 
-    def solve(device, sums: DeviceSums, head) -> Iterator[tuple]:
-        for f in range(1, folds + 1):
-            number = numbers[f - 1]
+    def solve(devices: pa.Array, sums: DeviceSums) -> pa.Table:
+        found = []
+        for f, number in zip(range(1, folds + 1), numbers, strict=True):
             path = RidgePath(sums.design(sums.prefix("train", f), number), sums.p, columns)
             held_out = sums.design(sums.held_out("train", f), number)
             for i, alpha in enumerate(alphas):
-                error = squared_error(held_out, *path.weights(alpha))
-                yield device, i, alpha, f, float(np.sqrt(error / held_out[0, 0]))
+                errors = np.sqrt(squared_errors(held_out, *path.weights(alpha)) / held_out[:, 0, 0])
+                found.append((devices, np.full(len(errors), i, np.int32), np.full(len(errors), alpha), np.full(len(errors), f, np.int32), errors))
+        return _stacked(found, schema)
 
     return _per_device(gram, None, solve, schema)
 
@@ -146,29 +164,30 @@ def fit_linear(
     penalties = alpha.select(spec.device, "alpha") if own_alpha else None
     common = None if own_alpha else float(alpha)
 
-    def solve(device, sums: DeviceSums, head) -> Iterator[tuple]:
-        penalty = float(head["alpha"]) if common is None else common
-        p = sums.p
+    def solve(devices: pa.Array, sums: DeviceSums) -> pa.Table:
+        found, n, p = [], len(devices), sums.p
+        penalty = np.full(n, common) if common is not None else sums.heads["alpha"].to_numpy()
         for f, number in numbers.items():
             design = sums.design(sums.prefix(scheme, f), number)
-            fills = sums.fills[:, number]
             for name in models:
-                slopes, calendar, used = np.zeros(p), np.zeros(HOURS + WEEKDAYS), None
+                slopes, calendar, used = np.zeros((n, p)), np.zeros((n, HOURS + WEEKDAYS)), pa.nulls(n, pa.float64())
                 if name == "mean_baseline":
-                    intercept = design[0, -1] / design[0, 0]
+                    intercept = design[:, 0, -1] / design[:, 0, 0]
                 elif name == "single_sensor_linear":
-                    intercept, slopes[sensor] = single_line(design, sensor)
+                    intercept, slopes[:, sensor] = single_lines(design, sensor)
                 else:
-                    used = penalty
+                    used = pa.array(penalty)
                     intercept, w = RidgePath(design, p, columns).weights(penalty)
-                    slopes, calendar = w[:p], w[p:]
-                intercept += sums.centre_y - slopes @ sums.centres
-                yield (
-                    device, scheme, f, name, used, int(design[0, 0]), float(intercept),
-                    slopes.tolist(), fills.tolist(), calendar[:HOURS].tolist(), calendar[HOURS:].tolist(),
-                )
-
-    return _per_device(gram, penalties, solve, model_schema(spec, _device_type(table)))
+                    slopes, calendar = w[:, :p], w[:, p:]
+                intercept = intercept + sums.centre_y - (slopes * sums.centres).sum(axis=1)
+                found.append((
+                    devices, pa.repeat(scheme, n), np.full(n, f, np.int32), pa.repeat(name, n), used, design[:, 0, 0].astype(np.int64), intercept,
+                    *[_lists(x) for x in (slopes, sums.fills[:, :, number], calendar[:, :HOURS], calendar[:, HOURS:])],
+                ))
+        return _stacked(found, schema)
+
+    schema = model_schema(spec, _device_type(table))
+    return _per_device(gram, penalties, solve, schema)
 
 
 PLAIN_MODELS = LINEAR_MODELS[:2]

@@ -1,9 +1,9 @@
-"""Small dense solves on one device's sums of products. Sizes depend on the number of features only."""
+"""Small dense solves on the sums of products of some devices at once. A device's sizes depend on the number of features only."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from driftline.operators.preprocess import HOURS, WEEKDAYS
 
@@ -12,95 +12,120 @@ FLAT = 1e-12
 
 
 class DeviceSums:
-    """Cell sums of one device, ready to be added up over any prefix.
+    """Cell sums of some devices, ready to be added up over any prefix; the first axis of all results is the device.
 
-    Basis: ``1, x_1..x_p, m_1..m_p, y, 24 hours, 7 weekdays``.
+    Basis: ``1, x_1..x_p, m_1..m_p, y, 24 hours, 7 weekdays``. ``products`` has a row per cell pair, ``levels`` one per
+    cell pair, kind and level, both with ``_nth``, the device's number from 0; ``products`` is ordered by it.
     """
 
-    def __init__(self, products: pd.DataFrame, levels: pd.DataFrame, fills: np.ndarray, centres: np.ndarray,
-                 centre_y: float, width: int):
+    def __init__(self, products: pa.Table, levels: pa.Table, width: int):
         self.width, self.p = width, (width - 2) // 2
-        self.fills, self.centres, self.centre_y = fills, centres, centre_y
+        owner = products["_nth"].to_numpy()
+        self.starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        self.cells = np.stack([products[c].to_numpy() for c in ("cell_train", "cell_final")], axis=1)
+        heads = products.take(pa.array(self.starts))
+        fills = _numbers(heads["fills"])
+        self.fills = fills.reshape(len(self.starts), self.p, fills.size // max(1, len(self.starts) * self.p))
+        self.centres, self.centre_y = _numbers(heads["centres"]).reshape(-1, self.p), heads["centre_y"].to_numpy()
+        self.heads = heads
+
         size = width + HOURS + WEEKDAYS
-        cells = products[["cell_train", "cell_final"]].to_numpy()
-        sums = np.zeros((len(cells), size, size))
+        sums = np.zeros((len(owner), size, size))
         upper = np.triu_indices(width)
-        packed = np.stack(products["products"].to_list())
+        packed = _numbers(products["products"]).reshape(len(owner), len(upper[0]))
         sums[:, upper[0], upper[1]] = packed
         sums[:, upper[1], upper[0]] = packed
 
-        at = {tuple(c): i for i, c in enumerate(cells.tolist())}
-        where = np.array([at[c] for c in zip(levels["cell_train"].tolist(), levels["cell_final"].tolist())])
+        own = [owner, *self.cells.T]
+        theirs = [levels[c].to_numpy() for c in ("_nth", "cell_train", "cell_final")]
+        most = [1 + max(x.max(initial=0), y.max(initial=0)) for x, y in zip(own, theirs)]
+        keys, wanted = (np.ravel_multi_index([x.astype(np.int64) for x in parts], most) for parts in (own, theirs))
+        order = np.argsort(keys)
+        where = order[np.searchsorted(keys, wanted, sorter=order)]
         is_hour = levels["kind"].to_numpy() == 0
         place = width + levels["level"].to_numpy() + np.where(is_hour, 0, HOURS)
-        z = levels[[f"z{i}" for i in range(width)]].to_numpy()
-        np.add.at(sums, (where, place, place), z[:, 0])
-        np.add.at(sums, (where, place, slice(0, width)), z)
-        np.add.at(sums, (where, slice(0, width), place), z)
-        counts = levels[[f"c{d}" for d in range(WEEKDAYS)]].to_numpy()[is_hour]
+        z = np.stack([levels[f"z{i}"].to_numpy() for i in range(width)], axis=1)
+        sums[where, place, place] = z[:, 0]
+        sums[where, place, :width] = z
+        sums[where, :width, place] = z
+        where, place = where[is_hour], place[is_hour]
         for day in range(WEEKDAYS):
-            np.add.at(sums, (where[is_hour], place[is_hour], width + HOURS + day), counts[:, day])
-            np.add.at(sums, (where[is_hour], width + HOURS + day, place[is_hour]), counts[:, day])
-        self.cells, self.sums = cells, sums
+            counts = levels[f"c{day}"].to_numpy()[is_hour]
+            sums[where, place, width + HOURS + day] = counts
+            sums[where, width + HOURS + day, place] = counts
+        self.sums = sums
 
     def prefix(self, scheme: str, f: int) -> np.ndarray:
-        return self.sums[self._cell(scheme) < f].sum(axis=0)
+        return self._added(self._cell(scheme) < f)
 
     def held_out(self, scheme: str, f: int) -> np.ndarray:
-        return self.sums[self._cell(scheme) == f].sum(axis=0)
+        return self._added(self._cell(scheme) == f)
 
     def _cell(self, scheme: str) -> np.ndarray:
         return self.cells[:, 0 if scheme == "train" else 1]
 
+    def _added(self, chosen: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.where(chosen[:, None, None], self.sums, 0.0), self.starts, axis=0)
+
     def design(self, sums: np.ndarray, prefix: int) -> np.ndarray:
         """Sums for ``1, imputed x_1..x_p, 24 hours, 7 weekdays, y`` with the medians of one prefix."""
-        p, width = self.p, self.width
-        turn = np.zeros((2 + p + HOURS + WEEKDAYS, len(sums)))
-        turn[0, 0] = 1.0
-        turn[1:p + 1, 1:p + 1] = np.eye(p)
-        turn[1:p + 1, p + 1:2 * p + 1] = np.diag(self.fills[:, prefix] - self.centres)
-        turn[p + 1:-1, width:] = np.eye(HOURS + WEEKDAYS)
-        turn[-1, width - 1] = 1.0
-        return turn @ sums @ turn.T
+        p, width, at = self.p, self.width, np.arange(self.p)
+        turn = np.zeros((len(sums), 2 + p + HOURS + WEEKDAYS, sums.shape[-1]))
+        turn[:, 0, 0] = 1.0
+        turn[:, 1 + at, 1 + at] = 1.0
+        turn[:, 1 + at, p + 1 + at] = self.fills[:, :, prefix] - self.centres
+        turn[:, p + 1:-1, width:] = np.eye(HOURS + WEEKDAYS)
+        turn[:, -1, width - 1] = 1.0
+        return turn @ sums @ turn.transpose(0, 2, 1)
+
+
+def _numbers(lists: pa.ChunkedArray) -> np.ndarray:
+    """All numbers of a column of arrays, or of arrays of arrays, one after the other."""
+    values = lists.combine_chunks()
+    while pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        values = values.flatten()
+    return values.to_numpy(zero_copy_only=False)
 
 
 class RidgePath:
-    """Ridge on scaled features and one-hot levels for many penalties, from one design."""
+    """Ridge on scaled features and one-hot levels for many penalties, from one design of each device."""
 
     def __init__(self, design: np.ndarray, p: int, columns: list[int] | None = None):
-        self.n = design[0, 0]
-        self.mean = design[0, 1:] / self.n
-        spread = design[1:, 1:] - self.n * np.outer(self.mean, self.mean)
-        variance = np.diag(spread)[:p] / self.n
-        flat = variance <= FLAT * (np.diag(design)[1:p + 1] / self.n)
-        self.scale = np.ones(len(spread) - 1)
-        self.scale[:p] = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, variance)))
-        self.used = np.arange(len(self.scale)) if columns is None else np.asarray(columns)
-        scaled = (spread[:-1, :-1] / np.outer(self.scale, self.scale))[np.ix_(self.used, self.used)]
-        self.values, self.vectors = np.linalg.eigh(scaled)
-        self.projected = self.vectors.T @ (spread[:-1, -1] / self.scale)[self.used]
-
-    def weights(self, alpha: float) -> tuple[float, np.ndarray]:
-        """(intercept, weights) against the unscaled, centred design."""
-        w = np.zeros(len(self.scale))
-        w[self.used] = self.vectors @ (self.projected / (np.maximum(self.values, 0.0) + alpha))
+        self.n = design[:, 0, 0]
+        self.mean = design[:, 0, 1:] / self.n[:, None]
+        spread = design[:, 1:, 1:] - self.n[:, None, None] * (self.mean[:, :, None] * self.mean[:, None, :])
+        variance = np.diagonal(spread, axis1=1, axis2=2)[:, :p] / self.n[:, None]
+        flat = variance <= FLAT * (np.diagonal(design, axis1=1, axis2=2)[:, 1:p + 1] / self.n[:, None])
+        self.scale = np.ones((len(spread), spread.shape[-1] - 1))
+        self.scale[:, :p] = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, variance)))
+        self.used = np.arange(self.scale.shape[1]) if columns is None else np.asarray(columns)
+        scaled = spread[:, :-1, :-1] / (self.scale[:, :, None] * self.scale[:, None, :])
+        self.values, self.vectors = np.linalg.eigh(scaled[:, self.used[:, None], self.used])
+        towards = (spread[:, :-1, -1] / self.scale)[:, self.used]
+        self.projected = (self.vectors.transpose(0, 2, 1) @ towards[:, :, None])[:, :, 0]
+
+    def weights(self, alpha: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(intercepts, weights) against the unscaled, centred designs, with one penalty or one for each device."""
+        w = np.zeros(self.scale.shape)
+        shrunk = self.projected / (np.maximum(self.values, 0.0) + np.reshape(alpha, (-1, 1)))
+        w[:, self.used] = (self.vectors @ shrunk[:, :, None])[:, :, 0]
         w /= self.scale
-        return self.mean[-1] - w @ self.mean[:-1], w
+        return self.mean[:, -1] - (w * self.mean[:, :-1]).sum(axis=1), w
 
 
-def squared_error(design: np.ndarray, intercept: float, weights: np.ndarray) -> float:
-    """Sum of squared errors of a linear model on the rows behind ``design``."""
-    a = np.concatenate([[-intercept], -weights, [1.0]])
-    return max(0.0, float(a @ design @ a))
+def squared_errors(design: np.ndarray, intercept: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums of squared errors of a linear model of each device on the rows behind ``design``."""
+    a = np.concatenate([-intercept[:, None], -weights, np.ones((len(weights), 1))], axis=1)
+    return np.maximum(0.0, (a[:, None, :] @ design @ a[:, :, None])[:, 0, 0])
 
 
-def single_line(design: np.ndarray, feature: int) -> tuple[float, float]:
-    """(intercept, slope) of y on one imputed feature; slope 0 when it does not vary."""
-    n, x, y = design[0, 0], design[0, 1 + feature], design[0, -1]
-    spread = design[1 + feature, 1 + feature] - x * x / n
-    if spread <= FLAT * design[1 + feature, 1 + feature]:
-        return y / n, 0.0
-    slope = (design[1 + feature, -1] - x * y / n) / spread
+def single_lines(design: np.ndarray, feature: int) -> tuple[np.ndarray, np.ndarray]:
+    """(intercepts, slopes) of y on one imputed feature; slope 0 when it does not vary."""
+    n, x, y = design[:, 0, 0], design[:, 0, 1 + feature], design[:, 0, -1]
+    own = design[:, 1 + feature, 1 + feature]
+    spread = own - x * x / n
+    flat = spread <= FLAT * own
+    slope = np.where(flat, 0.0, (design[:, 1 + feature, -1] - x * y / n) / np.where(flat, 1.0, spread))
     return y / n - slope * x / n, slope
 
 

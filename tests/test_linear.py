@@ -6,7 +6,7 @@ from fleet_tables import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_ta
 from driftline.operators.linear import LINEAR_MODELS, RIDGE_ALPHAS, add_linear, fit_linear, fit_plain, ridge_cv, tune_ridge
 from driftline.operators.estimators import predict_later, ridge
 from driftline.operators.prepare import prepare
-from driftline.operators.solve import nonnegative_line
+from driftline.operators.solve import RidgePath, nonnegative_line, single_lines, squared_errors
 from driftline.operators.timesplit import cut_times
 from driftline.spec import Layout, RunConfig
 
@@ -164,3 +164,26 @@ def test_nonnegative_line():
             guess = np.maximum(0, guess - step * centred.T @ (centred @ guess - target))
         assert w == pytest.approx(guess, abs=1e-8) and (w >= 0).all()
         assert intercept == pytest.approx(y.mean() - x.mean(axis=0) @ w)
+
+
+def test_designs_of_many_devices_are_solved_at_once():
+    rng = np.random.default_rng(3)
+    designs, tables = [], []
+    for _ in range(5):
+        day = rng.integers(0, 24, 60)
+        x = np.column_stack([rng.normal(size=(60, 2)) * [1, 50], np.eye(24)[day], np.eye(7)[day % 7]])
+        rows = np.column_stack([np.ones(60), x, x[:, 0] + rng.normal(size=60)])
+        tables.append(rows)
+        designs.append(rows.T @ rows)
+    designs, alphas = np.stack(designs), np.array([0.1, 1.0, 10.0, 100.0, 1000.0])
+    intercepts, weights = RidgePath(designs, 2).weights(alphas)
+    errors = squared_errors(designs, intercepts, weights)
+    lines = single_lines(designs, 1)
+    for i, rows in enumerate(tables):
+        x, y = rows[:, 1:-1], rows[:, -1]
+        scale = np.append(x[:, :2].std(axis=0), np.ones(31))
+        z, centred = (x - x.mean(axis=0)) / scale, y - y.mean()
+        want = np.linalg.solve(z.T @ z + alphas[i] * np.eye(33), z.T @ centred) / scale
+        assert weights[i] == pytest.approx(want, rel=1e-7, abs=1e-9)
+        assert errors[i] == pytest.approx(((y - intercepts[i] - x @ weights[i]) ** 2).sum(), rel=1e-7)
+        assert [lines[1][i], lines[0][i]] == pytest.approx(np.polyfit(x[:, 1], y, 1), rel=1e-7)

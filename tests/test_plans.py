@@ -4,7 +4,7 @@ import pytest
 from fleet_tables import SPEC, cell_table, fleet_frame
 from pyspark.sql import functions as F
 
-from driftline.operators.linear import add_linear, fit_linear, fit_plain
+from driftline.operators.linear import add_linear, fit_linear, fit_plain, ridge_cv
 from driftline.operators.preprocess import prefix_medians
 from driftline.functions.metrics import score
 from driftline.spec import Layout
@@ -47,6 +47,12 @@ def test_no_single_task_exchange_on_rows(table):
     assert "SinglePartition" not in text
 
 
+def test_one_python_call_solves_many_devices(table):
+    for solved in (fit_linear(table.gram, "train", [table.last]), ridge_cv(table.gram)):
+        text = plan(solved)
+        assert "FlatMapCoGroupsInArrow [_group" in text and "CoGroupsInPandas" not in text
+
+
 def test_mean_and_one_sensor_line_run_without_python(table):
     text = plan(fit_plain(table, {"train": [1, 4], "final": [4]}, ["mean_baseline", "single_sensor_linear"]))
     assert "InPandas" not in text and "Python" not in text
