@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.components import components
-from driftline.llm.shared import ready, stored, text_bytes
+from driftline.llm.shared import ready, stored, text_bytes, worker_cache
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     ready(docs)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             found = [fingerprint(text.as_py(), width) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(

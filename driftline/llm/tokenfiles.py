@@ -35,7 +35,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import ready, stored, text_bytes
+from driftline.llm.shared import ready, stored, text_bytes, worker_cache
 from driftline.session import shared_folder
 
 END_ID = 2
@@ -43,7 +43,7 @@ HEAD, CHECK, ENTRY = "<QI", "<I", "<QqQII"
 HEAD_BYTES, CHECK_BYTES, ENTRY_BYTES = 12, 4, 32
 MASK = 0xA282EAD8
 WORDS_AT_ONCE = 200_000
-CACHED_WORDS, CACHED_RUNS = 800_000, 100_000  # of a worker, which keeps them between tasks
+CACHED_WORDS, CACHED_RUNS = 800_000, 100_000  # of a worker, which keeps them between tasks of this operator
 RECORDS_PER_READ = 2_000
 INDEX_TYPE = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("before", "<u8"), ("n", "<u4"), ("flags", "<u4")])
 
@@ -210,14 +210,11 @@ class WordEncoder:
             yield from flush()
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
 def _encoder(definition: str) -> WordEncoder:
-    key = zlib.crc32(definition.encode())
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(definition)
-    return _encoders[key]
+    key, encoders = zlib.crc32(definition.encode()), worker_cache("tokenfiles")
+    if key not in encoders:
+        encoders[key] = WordEncoder(definition)
+    return encoders[key]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, folder: str | None = None) -> DataFrame:

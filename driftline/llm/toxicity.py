@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import ready, text_bytes
+from driftline.llm.shared import ready, text_bytes, worker_cache
 
 OFFENDING = 0.5  # marginal from which a token is reported as a toxic span
 THRESHOLD = 0.7  # score from which a document is rejected
@@ -416,6 +416,7 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
     shared_model = spark.sparkContext.broadcast(model)  # bounded by the words of the training sample
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         for batch in batches:
             found = score_texts(shared_model.value, batch.column("text").to_pylist(), settings)
             yield pa.RecordBatch.from_arrays([
@@ -433,6 +434,7 @@ def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, settings:
     shared_model, columns = spark.sparkContext.broadcast(model), docs.columns
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         for batch in batches:
             texts = [text or b"" for text in batch.column(columns.index("text")).cast(pa.binary()).to_pylist()]
             scores = np.array(score_texts(shared_model.value, texts, settings)[0])

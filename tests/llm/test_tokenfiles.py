@@ -1,3 +1,4 @@
+import weakref
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftline.llm import tokenfiles
+from driftline.llm.shared import worker_cache
 
 
 def test_round_trip(spark, awkward, tmp_path):
@@ -70,3 +72,14 @@ def test_runs_of_an_encoder_are_bounded(monkeypatch):
         got, lengths = encoder.of_words(text)
         assert got.tolist() == encoder.tokenizer.encode(b" ".join(text).decode(), add_special_tokens=False).ids and len(lengths) == 100
         assert len(encoder.runs) <= 1_000 + 5 * 100
+
+
+def test_a_worker_keeps_the_encoder_for_tasks_of_this_operator_only():
+    with open(tokenfiles.default_tokenizer(), encoding="utf-8") as file:
+        definition = file.read()
+    encoder = tokenfiles._encoder(definition)
+    assert tokenfiles._encoder(definition) is encoder
+    kept = weakref.ref(encoder)
+    del encoder
+    worker_cache("toxicity")
+    assert kept() is None
