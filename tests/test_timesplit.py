@@ -1,10 +1,13 @@
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from fleet_tables import HOT, HOT_SHUFFLED, SHUFFLED, SPEC, brute_cells, cell_table, fleet_frame, to_spark
 
 from driftline.operators.prepare import prepare
 from driftline.operators.celltable import bucket_count, build_cell_table
-from driftline.operators.timesplit import INFINITE, block_periods, cut_times, fold_audit, fold_sizes_of, split_sizes, train_and_validation
+from driftline.operators.timesplit import (
+    INFINITE, block_periods, block_sizes, cut_times, find_cuts, fold_audit, fold_sizes_of, join_device_table, split_sizes, train_and_validation,
+)
 from driftline.spec import Layout, RunConfig
 
 COLUMNS = ["device_id", "ts", "block", "cell_train", "cell_final"]
@@ -155,3 +158,40 @@ def test_small_pieces_do_not_make_small_tasks(spark):
     assert bucket_count(table.rows, 32_000_000, Layout(hot_rows=100)) == 160
     assert bucket_count(table.rows, 32_000_000, Layout()) == 16
     same(labels(table), expected(fleet_frame()))
+
+
+def test_many_split_devices_are_joined_by_one_shuffle_of_the_rows(spark):
+    """Devices that are split but have a small share of all rows are not spread for a join: their names would be too many to broadcast."""
+    layout = Layout(hot_rows=40, broadcast_rows=2)
+    rows = prepare(to_spark(spark, fleet_frame()), SPEC)
+    cuts = find_cuts(rows, SPEC, RunConfig.quick())
+    assert cuts.rows // layout.hot_rows > layout.broadcast_rows < cuts.devices
+    sized = cuts.table.select("device_id", "n", "n_train")
+    once = join_device_table(rows, sized.select("device_id", "n"), SPEC, cuts, layout)
+    twice = join_device_table(once, sized.select("device_id", "n_train"), SPEC, cuts, layout)
+    for joined, shuffles in ((once, 2), (twice, 3)):  # one of the rows, one of each device table
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == shuffles and "_join_piece" not in text
+    assert twice.filter("n > n_train").count() == cuts.rows
+
+
+def test_one_device_with_most_rows_is_spread_for_a_join(spark):
+    frame = fleet_frame(devices=12, hours=20)
+    frame.loc[frame["device_id"] > 5, "device_id"] = 5
+    frame["ts"] = pd.Timestamp("2020-03-01") + pd.to_timedelta(range(len(frame)), unit="h")
+    layout = Layout(hot_rows=40, broadcast_rows=5)
+    rows = prepare(to_spark(spark, frame), SPEC)
+    cuts = find_cuts(rows, SPEC, RunConfig.quick())
+    assert cuts.devices == 6 and cuts.largest > max(40, cuts.rows // 5)
+    joined = join_device_table(rows, cuts.table.select("device_id", "n"), SPEC, cuts, layout)
+    assert "_join_piece" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == cuts.rows and joined.select("device_id", "n").distinct().count() == 6
+
+
+def test_sizes_are_rounded_half_to_even_without_decimals(spark):
+    frame = pd.DataFrame({"n": [*range(1, 400), 10**6 + 10, 10**9 + 30, 10**12 + 50]})
+    config = RunConfig.quick()
+    sizes = spark.createDataFrame(frame).select("n", *[c.alias(x) for c, x in zip(block_sizes(F.col("n"), config), ("a", "b", "c"))])
+    assert "bround" not in sizes._jdf.queryExecution().analyzed().toString()
+    for n, a, b, c in sizes.collect():
+        assert (a, b, c) == (round(n * 0.7), round(n * 0.15), n - round(n * 0.7) - round(n * 0.15))
