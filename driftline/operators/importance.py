@@ -7,17 +7,20 @@ each row gives its value to the row at the rank it is sent to. For a linear mode
 a device's values meet in the arrays of its group, without a shuffle as long as rows
 are clustered by device. Otherwise they meet by one aggregate over (device, repeat,
 feature, rank), which needs no sort per feature. With devices above ``Layout.hot_rows``
-ranks are counted in slices of the hash order, so no device is handled by one task.
+ranks are counted in slices of the hash order, and the values of devices with more rows
+than that in the block meet by the aggregate, so no such device is handled by one task.
 The bijection is plain arithmetic, the same in every engine.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +29,14 @@ from driftline.functions.columns import q
 from driftline.functions.metrics import rmse
 from driftline.operators.celltable import CellTable
 from driftline.operators.estimators import Fitted, LinearFitted
-from driftline.operators.linear import contributions, wide_models
-from driftline.session import keep, keep_columnar, ship_package
+from driftline.operators.linear import GROUPS_OF_TASK, contributions, wide_models
+from driftline.session import keep, keep_columnar, ship_package, shuffle_partitions
 from driftline.spec import CalibrationSpec
 
 ROUNDS = 16
 PRIME = (1 << 31) - 1
-RANKS_AT_ONCE = 1 << 20  # ranks of shuffles that are held at a time
+RANKS_AT_ONCE = 1 << 16  # ranks of shuffles that are held at a time, so few that they stay in the processor's cache
+GROUP_ROWS = 20_000  # of split devices whose values meet in one group
 PLAIN = -1  # the key of the error without a shuffle
 
 
@@ -66,15 +70,29 @@ def scrambled_array(number: np.ndarray, seed: int) -> np.ndarray:
     return (a * a + 69621 * a + 12345) % PRIME
 
 
+def below_prime(number: np.ndarray) -> np.ndarray:
+    """The remainder by PRIME, which is one less than a power of two, of whole numbers from 0 to 2**62."""
+    number = (number & PRIME) + (number >> 31)
+    number = (number & PRIME) + (number >> 31)
+    number -= (number >= PRIME) * PRIME
+    return number
+
+
 def places(rank: np.ndarray, size: np.ndarray | int, keys: np.ndarray, seed: int) -> np.ndarray:
     """``sent_to`` of each rank (columns) under each key (rows)."""
     x = np.repeat(rank[None].astype(np.int64), len(keys), axis=0)
+    if not x.size:
+        return x
+    sizes, of = np.unique(np.atleast_1d(size), return_inverse=True)
     for turn in range(ROUNDS):
         number = (keys[:, None] * ROUNDS + turn) * 3
-        partner = scrambled_array(number, seed) % size - x
-        partner += np.where(partner < 0, size, 0)
-        z = (np.maximum(x, partner) % PRIME * scrambled_array(number + 1, seed) + scrambled_array(number + 2, seed)) % PRIME
-        x = np.where(z * z % PRIME % 2 == 1, partner, x)
+        partner = (scrambled_array(number, seed) % sizes)[:, of] - x
+        partner += (partner >> 63) & size  # the size where it is negative
+        larger = np.maximum(x, partner)
+        if sizes[-1] > PRIME:
+            larger %= PRIME
+        z = below_prime(larger * scrambled_array(number + 1, seed) + scrambled_array(number + 2, seed))
+        x = np.where(below_prime(z * z) & 1, partner, x)
     return x
 
 
@@ -132,35 +150,51 @@ def _met(ranked: DataFrame, spec: CalibrationSpec, repeats: int, seed: int, stay
     return records.groupBy(spec.device, "_key", "_place").agg(*[F.max(q(c)).alias(c) for c in stays], F.max("given").alias("given"))
 
 
-def errors_of_device(error: np.ndarray, shares: np.ndarray, repeats: int, seed: int) -> np.ndarray:
-    """RMSE under every key, and without a shuffle, of one device's rows in the order of their ranks."""
+def errors_of_devices(error: np.ndarray, shares: np.ndarray, sizes: np.ndarray, repeats: int, seed: int) -> np.ndarray:
+    """RMSE of each device (columns) under every key and, in the last row, without a shuffle.
+
+    The rows of a device stand together, in the order of their ranks.
+    """
     n, width = shares.shape
-    found, step = np.empty(repeats * width + 1), max(1, RANKS_AT_ONCE // n)
-    found[-1] = np.sqrt(np.mean(error * error))
+    found, step = np.empty((repeats * width + 1, len(sizes))), max(1, RANKS_AT_ONCE // n)
+    starts = np.cumsum(sizes) - sizes
+    first_row, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+    def root_mean(errors: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.add.reduceat(errors * errors, starts, axis=-1) / sizes)
+
+    found[-1] = root_mean(error)
     for first in range(0, repeats * width, step):
         keys = np.arange(first, min(repeats * width, first + step), dtype=np.int64)
         own = np.ascontiguousarray(shares.T[keys % width])
         given = np.empty_like(own)
-        np.put_along_axis(given, places(np.arange(n), n, keys, seed), own, axis=1)
-        found[keys] = np.sqrt(np.mean((error + own - given) ** 2, axis=1))
+        np.put_along_axis(given, places(np.arange(n) - first_row, size, keys, seed) + first_row, own, axis=1)
+        found[keys] = root_mean(error + own - given)
     return found
 
 
-def _errors_in_groups(staged: DataFrame, spec: CalibrationSpec, repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Errors of devices that one task can hold, each in one group."""
-    ship_package(staged.sparkSession)
+def _errors_in_groups(staged: DataFrame, spec: CalibrationSpec, repeats: int, seed: int, groups: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Errors of devices that one task can hold: a group each where rows are clustered by device, else dealt into ``groups``."""
+    spark = staged.sparkSession
+    ship_package(spark)
     device, width = spec.device, len(spec.features)
     keys = np.append(np.arange(repeats * width, dtype=np.int64), PLAIN)
 
-    def of_device(part: pa.Table) -> pa.Table:
-        order = np.argsort(part["_rank"].to_numpy())
+    def of_devices(part: pa.Table) -> pa.Table:
+        names = pc.unique(part[device])
+        nth = pc.index_in(part[device], names).to_numpy()
+        order = np.lexsort((part["_rank"].to_numpy(), nth))
         shares = part["_shares"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        found = errors_of_device(part["_error"].to_numpy()[order], shares[order], repeats, seed)
-        names = pa.repeat(part[device][0], len(keys))
-        return pa.table({device: names, "_key": keys, "rmse": found})
+        found = errors_of_devices(part["_error"].to_numpy()[order], shares[order], np.bincount(nth), repeats, seed)
+        whose = names.take(np.repeat(np.arange(len(names)), len(keys)))
+        return pa.table({device: whose, "_key": np.tile(keys, len(names)), "rmse": found.T.ravel()})
 
     kinds = T.StructType([staged.schema[device], T.StructField("_key", T.LongType()), T.StructField("rmse", T.DoubleType())])
-    found = keep_columnar(staged.drop("_size").groupBy(device).applyInArrow(of_device, kinds))
+    slim, by = staged.select(device, "_rank", "_error", "_shares"), device
+    if groups:
+        slim, by = slim.withColumn("_group", F.pmod(F.xxhash64(device), F.lit(groups))), "_group"
+        slim = slim.repartition(min(groups, max(shuffle_partitions(spark), math.ceil(groups / GROUPS_OF_TASK))), by)
+    found = keep_columnar(slim.groupBy(by).applyInArrow(of_devices, kinds))
     plain = found.filter(F.col("_key") == PLAIN).select(device, F.col("rmse").alias("plain"))
     return found.filter(F.col("_key") != PLAIN), plain
 
@@ -172,22 +206,31 @@ def _linear_errors(rows: DataFrame, table: CellTable, fitted: LinearFitted, cell
     """
     spec, name = table.spec, fitted.name
     wide = wide_models(fitted.models, table, fitted.scheme, [cell], [name])
-    joined = table.join_devices(with_ranks(rows, table, seed), wide, weight=4)
+    joined = table.join_devices(rows, wide, weight=4)  # while the rows are clustered
     model = F.col(f"_{name}")[0]
     shares = contributions(model, spec)
     predicted = model["intercept"]
     for share in shares:
         predicted = predicted + share
-    staged = joined.select(
-        spec.device, "_rank", "_size", (q(spec.target) - predicted).alias("_error"), F.array(*shares).alias("_shares")
-    )
+    staged = with_ranks(joined.select(
+        spec.device, spec.time, (q(spec.target) - predicted).alias("_error"), F.array(*shares).alias("_shares")
+    ), table, seed)
     if not table.salted:
         return _errors_in_groups(staged, spec, repeats, seed)
+    staged, most = keep_columnar(staged.drop(spec.time)), table.layout.hot_rows
+    size = staged.agg(F.count("*").alias("n"), F.max("_size").alias("most")).first()
+    groups = max(4 * shuffle_partitions(rows.sparkSession), math.ceil(size["n"] / GROUP_ROWS))
+    shuffled, plain = _errors_in_groups(staged.filter(F.col("_size") <= most), spec, repeats, seed, groups)
+    if (size["most"] or 0) <= most:
+        return shuffled, plain
+    large = staged.filter(F.col("_size") > most)
     own = F.col("_shares")[(F.col("_key") % len(spec.features)).cast("int")]
-    met = _met(staged, spec, repeats, seed, {"_kept": F.col("_error") + own}, own)
+    met = _met(large, spec, repeats, seed, {"_kept": F.col("_error") + own}, own)
     error = F.col("_kept") - F.col("given")
-    shuffled = met.groupBy(spec.device, "_key").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
-    return shuffled, staged.groupBy(spec.device).agg(F.sqrt(F.avg(F.col("_error") * F.col("_error"))).alias("plain"))
+    return (
+        shuffled.unionByName(met.groupBy(spec.device, "_key").agg(F.sqrt(F.avg(error * error)).alias("rmse"))),
+        plain.unionByName(large.groupBy(spec.device).agg(F.sqrt(F.avg(F.col("_error") * F.col("_error"))).alias("plain"))),
+    )
 
 
 def _general_errors(rows: DataFrame, table: CellTable, fitted: Fitted, cell: int, repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -170,3 +170,34 @@ def test_linear_importance_has_slim_records(spark, monkeypatch):
     text = shuffled._jdf.queryExecution().executedPlan().toString()
     sums = [line for line in text.splitlines() if "max(given" in line]
     assert sums and all(" HashAggregate" in line for line in sums)
+
+
+def test_split_devices_with_few_rows_in_the_block_meet_in_arrays(spark, monkeypatch):
+    """Devices whose rows of the block one task holds need no row per shuffle, also where devices are split; the others do."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep_columnar(df)
+
+    monkeypatch.setattr(importance, "keep_columnar", kept)
+    frame, found = fleet_frame(devices=6), []
+    for hot_rows in (1_000_000, 60, 25):
+        table = cell_table(spark, frame, layout=Layout(hot_rows=hot_rows))
+        fitted = ridge(1.0).fit_cells(table, "final", [4])
+        shuffled, plain = _linear_errors(table.cells("final", 4, 4), table, fitted, 4, 2, 1)
+        sizes = [r["count"] for r in table.cells("final", 4, 4).groupBy("device_id").count().collect()]
+        text = shuffled._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plans[-1] and ("Generate" in text) == (max(sizes) > hot_rows)
+        found.append({tuple(r[:-1]): r[-1] for part in (shuffled, plain) for r in part.collect()})
+    assert min(sizes) <= 25 < max(sizes) <= 60 < len(frame) / 6  # some in arrays, some by the aggregate
+    assert len(found[0]) == 6 * 11 and found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0])
+
+
+def test_shuffles_of_several_devices_at_once_are_those_of_each():
+    sizes, keys = np.array([1, 5, 40, 5]), np.array([0, 7, 29])
+    rank = np.concatenate([np.arange(n) for n in sizes])
+    each = [places(np.arange(n), int(n), keys, 3) for n in sizes]
+    assert (places(rank, np.repeat(sizes, sizes), keys, 3) == np.concatenate(each, axis=1)).all()
+    far = np.array([0, 5, importance.PRIME - 1, importance.PRIME, importance.PRIME + 1, 2**62 - 1, 2**62])
+    assert (importance.below_prime(far) == far % importance.PRIME).all()
