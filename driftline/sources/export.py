@@ -6,12 +6,16 @@ Text is read once: rows are typed, every rule violation is noted in a
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,15 +168,24 @@ def load_export(
 SHA256, LINE_SUM = "sha256", "line_sum"
 
 
+IN_TURN_BYTES = 64 << 20  # a file above that is hashed in chunks
+CHUNK_BYTES = 1 << 14
+WHOLE_FILE_BYTES = 1 << 30  # of files that the text source would unpack
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
+
 def fingerprint(
-    spark: SparkSession, paths: str | Sequence[str], method: str = SHA256, whole_file_bytes: int = 1 << 30
+    spark: SparkSession, paths: str | Sequence[str], method: str = SHA256, whole_file_bytes: int | None = None
 ) -> DataFrame:
     """``(file, kind, digest)`` of every input file, by one method for all.
 
-    ``sha256`` reads a file in one task and refuses files above
-    ``whole_file_bytes``. ``line_sum`` is for text of any size: the sum of the
-    lines' 64-bit hashes and their count, which any number of tasks can add up;
-    it does not see the order of lines.
+    ``sha256`` reads a large file in splits by many tasks; one task then hashes
+    its chunks in turn, as every step needs the one before. Files above
+    ``whole_file_bytes``, if given, and packed ones above ``WHOLE_FILE_BYTES``
+    are refused. ``line_sum`` is for text: the sum of the lines' 64-bit hashes
+    and their count, which any number of tasks can add up; it does not see the
+    order of lines.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if method == LINE_SUM:
@@ -182,10 +195,91 @@ def fingerprint(
     if method != SHA256:
         raise ValueError(f"unknown method {method!r}")
     files = spark.read.format("binaryFile").load(paths)
-    large = [r["path"] for r in files.filter(F.col("length") > whole_file_bytes).select("path").limit(5).collect()]
-    if large:
-        raise ValueError(f"too large for {SHA256} in one task, use {LINE_SUM!r}: {large}")
-    return files.select(F.col("path").alias("file"), F.lit(method).alias("kind"), F.sha2("content", 256).alias("digest"))
+    packed = F.lower("_metadata.file_path").rlike(PACKED)
+    most = F.when(packed, WHOLE_FILE_BYTES).otherwise(sys.maxsize) if whole_file_bytes is None else F.lit(whole_file_bytes)
+    refused = [r["path"] for r in files.filter(F.col("length") > most).select("path").limit(5).collect()]
+    if refused:
+        raise ValueError(f"too large for {SHA256} in one task, use {LINE_SUM!r}: {refused}")
+    # Content is not read of files that go by one of these conditions alone.
+    small, in_turn = files.filter(F.col("length") <= IN_TURN_BYTES), files.filter(F.col("length") > IN_TURN_BYTES)
+    whole = small.unionByName(in_turn.filter(packed)).select("path", F.sha2("content", 256).alias("digest"))
+    large = in_turn.filter(~packed).select("path", F.col("_metadata.file_path").alias("at"), "length")
+    count = large.count()
+    found = whole.unionByName(_hashed_in_turn(spark, paths, large, count)) if count else whole
+    return found.select(F.col("path").alias("file"), F.lit(method).alias("kind"), "digest")
+
+
+def _hashed_in_turn(spark: SparkSession, paths: list[str], large: DataFrame, count: int) -> DataFrame:
+    """``(path, digest)`` of ``count`` large files of any content, in bounded memory as long as the bytes between two line feeds are.
+
+    The text source cuts any bytes at line feeds and leaves these out, and a byte
+    order mark at the front; the file's length tells whether it had a last line feed and a mark.
+    """
+    lines = spark.read.text(paths, lineSep="\n").filter(
+        (F.col("_metadata.file_size") > IN_TURN_BYTES) & ~F.lower("_metadata.file_path").rlike(PACKED)
+    ).select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lines of a split, each with a line feed, in chunks."""
+        split, nth, rest = None, 0, b""
+
+        def chunks(data: bytes) -> pa.RecordBatch:
+            parts = [data[a:a + CHUNK_BYTES] for a in range(0, len(data), CHUNK_BYTES)]
+            return pa.RecordBatch.from_arrays([
+                pa.repeat(split[0], len(parts)), pa.repeat(pa.scalar(split[1], pa.int64()), len(parts)),
+                pa.array(range(nth, nth + len(parts)), pa.int64()), pa.array(parts, pa.binary()),
+            ], ["at", "start", "nth", "bytes"])
+
+        for batch in batches:
+            owner, start = batch.column("at").dictionary_encode(), batch.column("start").to_numpy()
+            named = owner.indices.to_numpy()
+            cuts = np.flatnonzero((start[1:] != start[:-1]) | (named[1:] != named[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]) if batch.num_rows else ():
+                mine = owner.dictionary[int(named[a])].as_py(), int(start[a])
+                if mine != split:
+                    if rest:
+                        yield chunks(rest)
+                    split, nth, rest = mine, 0, b""
+                rest += b"\n".join([*batch.column("line").slice(a, b - a).to_pylist(), b""])
+                full = len(rest) // CHUNK_BYTES * CHUNK_BYTES
+                if full:
+                    yield chunks(rest[:full])
+                    nth, rest = nth + full // CHUNK_BYTES, rest[full:]
+        if rest:
+            yield chunks(rest)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The digest of each file from its length, which comes first, and its chunks; the last byte waits until the file has ended."""
+        path, length, seen, last, states = None, 0, 0, b"", {}
+
+        def digest() -> pa.RecordBatch:
+            for mark, state in states.items():
+                if seen == length - len(mark):
+                    state.update(last)
+                if length - len(mark) <= seen <= length - len(mark) + 1:
+                    return pa.RecordBatch.from_pydict({"path": [path], "digest": [state.hexdigest()]})
+            raise ValueError(f"{path}: {length} bytes, {seen} of its lines")
+
+        for batch in batches:
+            for own, size, part in zip(*(batch.column(c) for c in ("path", "length", "bytes"))):
+                if part.is_valid:
+                    data = part.as_py()
+                    for state in states.values():
+                        state.update(last)
+                        state.update(memoryview(data)[:-1])
+                    last, seen = data[-1:], seen + len(data)
+                    continue
+                if path is not None:
+                    yield digest()
+                path, length, seen, last = own.as_py(), size.as_py(), 0, b""
+                states = {mark: hashlib.sha256(mark) for mark in (b"", BYTE_ORDER_MARK)}
+        if path is not None:
+            yield digest()
+
+    first = large.select("path", "at", "length", F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("nth"))
+    parts = first.unionByName(lines.mapInArrow(pack, "at string, start long, nth long, bytes binary"), allowMissingColumns=True)
+    ordered = parts.repartition(count, "at").sortWithinPartitions("at", "start", "nth")
+    return ordered.select("path", "length", "bytes").mapInArrow(hashed, "path string, digest string")
 
 
 def line_digest(line: Column) -> list[Column]:

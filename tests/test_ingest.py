@@ -1,4 +1,7 @@
+import gzip
 import hashlib
+import random
+from pathlib import Path
 
 import pytest
 from fleet_tables import synthetic_lines, write_lines
@@ -157,3 +160,43 @@ def test_line_sums_and_the_limit_of_whole_files(spark, tmp_path):
         export.fingerprint(spark, path, whole_file_bytes=10)
     with pytest.raises(ValueError, match="unknown method"):
         export.fingerprint(spark, path, "md5")
+
+
+@pytest.mark.parametrize("split_bytes", ["1000", "134217728"])
+def test_large_files_are_hashed_in_chunks(spark, tmp_path, monkeypatch, split_bytes):
+    """Any bytes, with and without a last line feed or a byte order mark, in one split and in many, beside small files."""
+    rng, mark = random.Random(5), b"\xef\xbb\xbf"
+    noise = rng.randbytes(40_000)
+    cases = {
+        "noise": noise, "ended": noise + b"\n", "fed": b"\n\n" + noise + b"\n\n\n", "text": b"a;b\r\n" * 9_000 + b"c", "feeds": b"\n" * 20_000,
+        "long": b"\x00" * 30_000, "marked": mark + noise, "marked_ended": mark + noise + b"\n", "twice": mark + mark + noise[:20_000],
+        "marks": mark * 9_000, "name with space": noise[:19_000], "small": b"x\n", "just": noise[:10_000], "more": noise[:10_001],
+        "packed.gz": gzip.compress(noise),
+    }
+    for name, content in cases.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(export, "IN_TURN_BYTES", 10_000)
+    monkeypatch.setattr(export, "CHUNK_BYTES", 1_500)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        plain = export.fingerprint(spark, str(tmp_path / "*"), whole_file_bytes=1 << 20)
+        found = {Path(r["file"]).name: (r["kind"], r["digest"]) for r in plain.collect()}
+        again = {Path(r["file"]).name: (r["kind"], r["digest"]) for r in export.fingerprint(spark, str(tmp_path / "*")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == again == {name: ("sha256", hashlib.sha256(content).hexdigest()) for name, content in cases.items()}
+    with pytest.raises(ValueError, match="too large"):
+        export.fingerprint(spark, str(tmp_path / "noise"), whole_file_bytes=39_999)
+
+
+def test_files_above_a_gibibyte_are_not_refused_by_their_size(spark, tmp_path):
+    """One sparse file of holes and lines: above what one value may hold by default, but not too large to be hashed."""
+    path, digest = tmp_path / "big", hashlib.sha256()
+    with open(path, "wb") as f:
+        for _ in range(1100):
+            part = (b"\x00" * 65_535 + b"\n") * 16
+            f.write(part)
+            digest.update(part)
+    assert path.stat().st_size > 1 << 30
+    assert export.fingerprint(spark, str(path)).first()["digest"] == digest.hexdigest()
