@@ -231,3 +231,34 @@ def test_a_level_of_a_large_boosted_model_is_one_job(spark, frame):
         jobs[turns] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting {turns}"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[5] - jobs[1] <= 4 * 3 + 2
+
+
+def test_rows_go_down_a_tree_together(monkeypatch):
+    """Rows at the leaves of a tree by their bins, some at a time, from the root or from nodes on the way, as one row goes alone."""
+    monkeypatch.setattr(splits, "DESCENDED_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 6, (100, 4)).astype(np.uint8)
+    feature, cut, left = np.array([0, 2, -1, 3, -1, -1, -1]), np.array([2, 4, 0, 0, 0, 0, 0]), np.array([1, 3, -1, 5, -1, -1, -1])
+
+    def alone(row, node):
+        while feature[node] >= 0:
+            node = left[node] + (row[feature[node]] > cut[node])
+        return node
+
+    for start in (np.zeros(100, dtype=np.int64), rng.choice([0, 1, 2, 3], 100)):
+        found = splits.descended(bins, start, feature, cut, left)
+        assert found.tolist() == [alone(row, node) for row, node in zip(bins, start)]
+    assert len(splits.descended(bins[:0], np.zeros(0, dtype=np.int64), feature, cut, left)) == 0
+
+
+def test_large_boosted_models_are_written_after_every_tree(spark, frame, monkeypatch):
+    """With many rows a tree's values are added once and kept, not again at each level; the trees are the same."""
+    kept, keep, found = [], trees.keep_columnar, []
+    monkeypatch.setattr(trees, "keep_columnar", lambda df: kept.append(df.columns) or keep(df))
+    for rows in (1 << 23, 1):
+        monkeypatch.setattr(trees, "ROWS_OF_WRITES", rows)
+        kept.clear()
+        fitted = boosting(max_iter=5, max_leaf_nodes=4, min_samples_leaf=5).fit_cells(cell_table(spark, frame, layout=BY_LEVEL), "train", [4])
+        found.append((kept.count(["y", "bins", "p"]), fitted.trees.collect()))
+    assert [n for n, _ in found] == [2, 6]
+    assert same_trees(*[grown for _, grown in found])
