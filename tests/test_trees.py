@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from fleet_tables import brute_cells, cell_table, fleet_frame
@@ -251,6 +253,38 @@ def test_rows_go_down_a_tree_together(monkeypatch):
     assert len(splits.descended(bins[:0], np.zeros(0, dtype=np.int64), feature, cut, left)) == 0
 
 
+def test_sums_of_bins_do_not_depend_on_how_many_rows_are_added_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    bins, slot, weight = rng.integers(0, 5, (50, 3)).astype(np.uint8), rng.integers(0, 2, 50), rng.integers(0, 9, 50)
+    want = np.zeros((2, 2, 3, 5))
+    for row, s, w in zip(bins, slot, weight):
+        for f, b in enumerate(row):
+            want[:, s, f, b] += (1, w)
+    for at_once in (7, 1000):
+        monkeypatch.setattr(splits, "SUMMED_AT_ONCE", at_once)
+        assert (splits.bin_sums(bins, slot, 2, 5, None, weight) == want).all()
+
+
+def test_rows_of_a_large_forest_are_handed_over_packed(spark, frame, monkeypatch):
+    """A task sends a record per node with its rows, none per row and tree; small blocks and single passes give the same trees."""
+    plans, keep = [], trees.keep_columnar
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return keep(df)
+
+    monkeypatch.setattr(trees, "keep_columnar", kept)
+    table, found = cell_table(spark, frame, layout=BY_LEVEL), []
+    for block, slots in ((1 << 16, 256), (20, 2)):
+        monkeypatch.setattr(trees, "BLOCK_ROWS", block)
+        monkeypatch.setattr(trees, "SLOTS_AT_ONCE", slots)
+        fitted = random_forest(4).fit_cells(table, "train", [4])
+        found.append(sorted((r["number"], r["node"], r["rows"], bytes(r["threshold"]), bytes(r["value"])) for r in fitted.trees.collect()))
+    assert found[0] == found[1] and len(found[0]) > 8
+    finished = [line for text in plans for line in text.splitlines() if "FlatMapGroupsInArrow [number" in line]
+    assert finished and all(re.search(r"\bw#\d+[,)\]]", line) for line in finished)  # packed: not a long of one row
+
+
 def test_large_boosted_models_are_written_after_every_tree(spark, frame, monkeypatch):
     """With many rows a tree's values are added once and kept, not again at each level; the trees are the same."""
     kept, keep, found = [], trees.keep_columnar, []
